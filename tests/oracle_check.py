@@ -99,7 +99,6 @@ def main():
     cat = load()
     sf_dir = f"/root/testdata/sf{a.sf}"
     spark = build_session("oracle-check", "local[8]", 8)
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = []

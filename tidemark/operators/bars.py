@@ -13,12 +13,12 @@ from ..functions.windows import own
 NEW_YORK = "America/New_York"
 
 
-def build_bars(ticks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """OHLCV bars from priced observations (`price`, `volume`); `order` is total up to equal prices."""
-    at = F.struct(*order)
+def build_bars(ticks: DataFrame, by: Sequence[str], order: Column) -> DataFrame:
+    """OHLCV bars from priced observations (`price`, `volume`). `order` is one number, total up to equal prices: a
+    fixed-width key keeps the aggregation hash-based and combined before the shuffle, however hot an asset is."""
     return ticks.groupBy(*by).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
 
 
 def resample(bars: DataFrame, length: str) -> DataFrame:
@@ -29,7 +29,7 @@ def resample(bars: DataFrame, length: str) -> DataFrame:
     ).select("asset", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def tick_bars(ticks: DataFrame, length: str, order: Sequence[str]) -> DataFrame:
+def tick_bars(ticks: DataFrame, length: str, order: Column) -> DataFrame:
     """Bars of any length straight from observations at `at`."""
     return build_bars(ticks.withColumn("ts", F.window("at", length)["start"]), ["asset", "ts"], order)
 

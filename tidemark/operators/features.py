@@ -21,7 +21,7 @@ def true_range(by="asset") -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-BLOCK = 128
+BLOCK = 512
 
 
 def ewm_means(df: DataFrame, means: dict[str, tuple[str, float, int]], by="asset", order="ts") -> DataFrame:
@@ -29,34 +29,32 @@ def ewm_means(df: DataFrame, means: dict[str, tuple[str, float, int]], by="asset
 
     A key's values are cut into blocks of BLOCK. Inside a block the average is a scaled running sum; the state at the
     ends of earlier blocks is added with its decay, back to where the decay is below double precision. Three windows
-    on one shuffle, nothing leaves the JVM. Missing values may only lead (a first difference, a warm-up).
+    on one shuffle, nothing leaves the JVM. Missing values may only lead (a first difference, a warm-up)
+    and columns averaged together must be missing on the same rows.
     """
     names = list(means)
+    some = means[names[0]][0]
     running = own(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_i_{n}": F.count(means[n][0]).over(running) - 1 for n in names})
-    df = df.withColumns({f"_k_{n}": F.floor(F.col(f"_i_{n}") / BLOCK) for n in names})
+    df = df.withColumn("_i", F.count(some).over(running) - 1)
+    df = df.withColumns({"_k": F.floor(F.col("_i") / BLOCK), "_j": F.pmod("_i", F.lit(BLOCK))})
+    inside = Window.partitionBy(by, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local, full = {}, {}
     for n in names:
         c, alpha, _ = means[n]
-        decay = 1 - alpha
-        j = F.pmod(F.col(f"_i_{n}"), F.lit(BLOCK))
-        x = F.when(F.col(f"_i_{n}") == 0, F.col(c) / alpha).otherwise(F.col(c))  # the first value enters whole
-        inside = Window.partitionBy(by, f"_k_{n}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        local[f"_l_{n}"] = alpha * F.pow(F.lit(decay), j) * F.sum(x * F.pow(F.lit(decay), -j)).over(inside)
+        x = F.when(F.col("_i") == 0, F.col(c) / alpha).otherwise(F.col(c))  # the first value enters whole
+        local[f"_l_{n}"] = alpha * F.pow(F.lit(1 - alpha), "_j") * F.sum(x * F.pow(F.lit(1 - alpha), -F.col("_j"))).over(inside)
     df = df.withColumns(local)
     for n in names:
-        _, alpha, least = means[n]
+        c, alpha, least = means[n]
         decay = 1 - alpha
-        j = F.pmod(F.col(f"_i_{n}"), F.lit(BLOCK))
-        end = F.when(j == BLOCK - 1, F.col(f"_l_{n}"))
-        blocks_back = max(1, math.ceil(40 / (BLOCK * -math.log(decay))))
+        end = F.when(F.col("_j") == BLOCK - 1, F.col(f"_l_{n}"))
         state = F.lit(0.0)
-        for m in range(1, blocks_back + 1):
-            earlier = F.max(end).over(Window.partitionBy(by).orderBy(f"_k_{n}").rangeBetween(-m, -m))
+        for m in range(1, max(1, math.ceil(40 / (BLOCK * -math.log(decay)))) + 1):
+            earlier = F.max(end).over(Window.partitionBy(by).orderBy("_k").rangeBetween(-m, -m))
             state = state + F.coalesce(earlier, F.lit(0.0)) * decay ** (BLOCK * (m - 1))
-        y = F.col(f"_l_{n}") + F.pow(F.lit(decay), j + 1) * state
-        full[n] = F.when(F.col(means[n][0]).isNotNull() & (F.col(f"_i_{n}") + 1 >= least), y)
-    return df.withColumns(full).drop(*[f"_{p}_{n}" for n in names for p in "ikl"])
+        y = F.col(f"_l_{n}") + F.pow(F.lit(decay), F.col("_j") + 1) * state
+        full[n] = F.when(F.col(c).isNotNull() & (F.col("_i") + 1 >= least), y)
+    return df.withColumns(full).drop("_i", "_k", "_j", *local)
 
 
 def with_atr(bars: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:

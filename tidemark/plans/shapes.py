@@ -2,7 +2,7 @@
 
 from .catalog import cte
 
-ORDER = "l_shipdate, l_orderkey, l_linenumber, l_extendedprice"
+ORDER = "l_shipdate, l_linenumber, l_extendedprice"
 
 
 def bars_sql(bucket: str) -> str:

@@ -22,30 +22,38 @@ def line_price():
 
 
 def line_ticks(spark, sf_dir) -> DataFrame:
-    """One price observation per line; the ordering columns end with the price, so ties cannot change a bar."""
+    """One price observation per line."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("asset"), F.col("l_shipdate").alias("at"), line_price().alias("price"),
-        F.col("l_quantity").alias("volume"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+        F.col("l_quantity").alias("volume"), line_order().alias("seq"))
 
 
-TICK_ORDER = ["at", "l_orderkey", "l_linenumber", "l_extendedprice"]
+def line_order():
+    """(ship day, line number, price in cents) packed into one long: lines that tie have the same price."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return (F.unix_date(F.col("l_shipdate").cast("date")) * 8 + F.col("l_linenumber")) * F.lit(1 << 33) + cents
+
+
+def event_order():
+    """(microsecond, event id) packed into one decimal."""
+    return F.unix_micros("at").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("event_id").cast("decimal(12,0)")
 
 
 def weekly_bars(spark, sf_dir) -> DataFrame:
     ticks = line_ticks(spark, sf_dir).withColumn("ts", F.date_trunc("week", "at").cast("date"))
-    return build_bars(ticks, ["asset", "ts"], TICK_ORDER)
+    return build_bars(ticks, ["asset", "ts"], F.col("seq"))
 
 
 def daily_bars(spark, sf_dir) -> DataFrame:
     ticks = line_ticks(spark, sf_dir).withColumn("ts", F.col("at").cast("date"))
-    return build_bars(ticks, ["asset", "ts"], TICK_ORDER)
+    return build_bars(ticks, ["asset", "ts"], F.col("seq"))
 
 
 def hourly_bars(spark, sf_dir) -> DataFrame:
     ticks = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("asset"), F.col("ts").alias("at"), F.date_trunc("hour", "ts").alias("ts"),
         (100 + F.sqrt("value") / 3).alias("price"), F.lit(1.0).alias("volume"), "event_id")
-    return build_bars(ticks, ["asset", "ts"], ["at", "event_id"])
+    return build_bars(ticks, ["asset", "ts"], event_order())
 
 
 def sectors(spark, sf_dir) -> DataFrame:
