@@ -122,7 +122,6 @@ def c9(spark, sf):
     return C.with_features(S.weekly_bars(spark, sf)).select("asset", "ts", *r6(*FEATS))
 
 
-cte("hday", "select *, cast(ts at time zone 'UTC' at time zone 'America/New_York' as date) as day from bars_h")
 
 
 @query("c10_session_vwap", """select asset, ts, round(sum((high + low + close) / 3 * volume) over w / sum(volume) over w, 6) as vwap from hday
