@@ -33,7 +33,7 @@ cte("earn", """select asset, quarter, accession, filed + to_hours(cast(accession
   row_number() over (partition by asset, date_trunc('quarter', filed) order by filed, accession) as rn from filings) where rn = 1""")
 cte("shortv", """select l_suppkey as asset, cast(date_trunc('week', l_shipdate) as date) as ts,
   sum(case when l_returnflag = 'R' then l_quantity else 0.0 end) as short, sum(l_quantity) as total from lineitem group by 1, 2""")
-cte("funda", """select asset, "end", cast("end" + cast(20 + asset % 40 as int) as date) as filed, val from (
+cte("funda", """select asset, "end", cast("end" + cast(20 + asset % 40 + case when quarter("end") = 2 and asset % 3 = 0 then 120 else 0 end as int) as date) as filed, val from (
   select o_custkey as asset, cast(date_trunc('quarter', o_orderdate) + interval 3 months - interval 1 day as date) as "end",
   sum(o_totalprice) as val from orders group by 1, 2)""")
 cte("snaps", """select distinct l_suppkey as asset, cast(date_trunc('month', o_orderdate) as date) as month from lineitem

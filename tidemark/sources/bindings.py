@@ -110,11 +110,12 @@ def short_volume(spark, sf_dir) -> DataFrame:
 
 
 def fundamentals(spark, sf_dir) -> DataFrame:
-    """Quarterly figures per customer: filed 20 to 59 days after the quarter's end."""
+    """Quarterly figures per customer: filed 20 to 59 days after the quarter's end, some second quarters
+    120 days later than that."""
     o = table(spark, sf_dir, "orders")
     end = F.date_sub(F.add_months(F.trunc("o_orderdate", "quarter"), 3), 1)
     return o.groupBy(F.col("o_custkey").alias("asset"), end.alias("end")).agg(F.sum("o_totalprice").alias("val")).select(
-        "asset", "end", F.expr("date_add(end, int(20 + asset % 40))").alias("filed"), "val")
+        "asset", "end", F.expr("date_add(end, int(20 + asset % 40 + if(quarter(end) = 2 and asset % 3 = 0, 120, 0)))").alias("filed"), "val")
 
 
 def snapshots(spark, sf_dir) -> DataFrame:
