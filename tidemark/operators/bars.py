@@ -62,7 +62,7 @@ def regular_session_hours(bars: DataFrame) -> DataFrame:
 
 def complete_bars(bars: DataFrame, now: DataFrame, length_hours: Column) -> DataFrame:
     """Bars already closed at the single moment in `now.now`."""
-    return bars.join(now, F.col("ts") + F.make_interval(hours=length_hours) <= F.col("now")).drop("now")
+    return bars.filter(F.col("ts") + F.make_interval(hours=length_hours) <= now.select("now").scalar())
 
 
 def session_number(bars: DataFrame) -> DataFrame:

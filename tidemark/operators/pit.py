@@ -149,7 +149,7 @@ def monthly_snapshots(revisions: DataFrame, months: DataFrame, plausible: DataFr
     """The list in force at each month start: the last revision strictly before it, skipped when its size is implausible;
     the small list loses the names of that month's (last good) mid list."""
     sizes = revisions.groupBy("list", "rev").agg(F.count("*").alias("_n")).join(plausible, "list").filter("_n >= least_names and _n <= most_names")
-    each = months.join(sizes.select("list").distinct(), F.lit(True))
+    each = months.select("month", F.explode(F.array(F.lit("mid"), F.lit("small"))).alias("list"))
     at = asof_join(each, sizes.select("list", "rev"), ["list"], "month", "rev", [], strict=True, slice_unit="YEAR").filter("rev is not null")
     names = at.join(revisions, ["list", "rev"]).select("list", "month", "asset")
     mid = names.filter("list = 'mid'").select("month", "asset")
