@@ -169,17 +169,20 @@ def high_distance(n: int = 252, min_count: int = 200) -> Column:
 
 
 def beta_residual(panel: DataFrame, n: int, min_count: int | None = None) -> DataFrame:
-    """Residual of each return against the market (median return of the session) with the beta of the session before."""
-    df = panel.withColumn("r", F.col("close") / sessions_ago("close", 1) - 1)
-    market = group_medians(df.select("ts", "r"), ["ts"], "r", "m")
-    df = df.join(market, "ts", "left").withColumn("_rm", F.col("r") * F.col("m")).withColumn(
-        "_mr", F.when(F.col("r").isNotNull(), F.col("m")))
+    """Residual of each return against the market (median return of the session) with the beta of the session before.
+
+    The market's own rolling mean and variance are taken once, on one row per session.
+    """
     k = min_count or n
-    cov = session_rolling(F.avg, "_rm", n, k) - session_rolling(F.avg, "r", n, k) * session_rolling(F.avg, "_mr", n, k)
-    var = session_rolling(F.var_pop, "_mr", n, k)
-    df = df.withColumn("_beta", cov / F.nullif(var, F.lit(0.0)))
+    df = panel.withColumn("r", F.col("close") / sessions_ago("close", 1) - 1)
+    market = panel.select("ts", "sno").distinct().join(group_medians(df.select("ts", "r"), ["ts"], "r", "m"), "ts", "left")
+    line = Window.orderBy("sno").rangeBetween(-(n - 1), 0)  # one row per session
+    market = market.select("ts", "m", over(F.avg, "m", line, k).alias("_mm"), over(F.var_pop, "m", line, k).alias("_mv"))
+    df = df.join(market, "ts", "left").withColumn("_rm", F.col("r") * F.col("m"))
+    cov = session_rolling(F.avg, "_rm", n, k) - session_rolling(F.avg, "r", n, k) * F.col("_mm")
+    df = df.withColumn("_beta", cov / F.nullif(F.col("_mv"), F.lit(0.0)))
     df = df.withColumn("beta", sessions_ago("_beta", 1))
-    return df.withColumn("residual", F.col("r") - F.col("beta") * F.col("m")).drop("_rm", "_mr", "_beta")
+    return df.withColumn("residual", F.col("r") - F.col("beta") * F.col("m")).drop("_rm", "_mm", "_mv", "_beta")
 
 
 def global_move(region_returns: DataFrame, bars: DataFrame, n: int = 60, min_count: int = 20, offset_hours: int = 6) -> DataFrame:

@@ -140,9 +140,9 @@ def e11(spark, sf):
     return E.rsi_with_averages(S.weekly_bars(spark, sf))
 
 
-@query("e12_intraday_momentum", fired("case when k = 2 and abs(body / atr) > 0.1 then cast(sign(body / atr) as int) else 0 end", "(select * replace (first(body) over (partition by asset, day order by ts) as body) from hk_atr)"))
+@query("e12_intraday_momentum", fired("case when k = 2 and abs(body / atr) > 0.1 then cast(sign(body / atr) as int) else 0 end", "hk_atr"))
 def e12(spark, sf):
-    return E.intraday_momentum(session_bars(spark, sf).withColumn("open", F.col("low")), 0.1, 2)
+    return E.intraday_momentum(session_bars(spark, sf), 0.1, 2)
 
 
 cte("gap_h", "select *, (open - pc) / atr as gap, (close - pc) / atr as move from hk_atr")

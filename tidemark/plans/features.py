@@ -181,8 +181,9 @@ def c15(spark, sf):
 
 
 cte("mkt_w", "select ts, median(r1) as m from r1_w where r1 is not null group by 1")
-cte("beta0_w", f"""select *, case when count(r1) over {ses(52)} >= 30 then (avg(r1 * m) over {ses(52)} - avg(r1) over {ses(52)} * avg(mr) over {ses(52)})
-  / nullif(var_pop(mr) over {ses(52)}, 0) end as b from (select p.*, m.m, case when r1 is not null then m.m end as mr from r1_w p left join mkt_w m using (ts))""")
+cte("mktr_w", f"""select c.ts, m.m, case when count(m) over w >= 30 then avg(m) over w end as mm, case when count(m) over w >= 30 then var_pop(m) over w end as mv
+  from cal_w c left join mkt_w m using (ts) window w as (order by sno range between 51 preceding and current row)""")
+cte("beta0_w", f"""select p.*, k.m, case when count(r1) over {ses(52)} >= 30 then (avg(r1 * k.m) over {ses(52)} - avg(r1) over {ses(52)} * k.mm) / nullif(k.mv, 0) end as b from r1_w p left join mktr_w k using (ts)""")
 cte("beta_w", f"select *, {ago(1, 'b')} as beta from beta0_w")
 cte("resid_w", "select *, r1 - beta * m as residual from beta_w")
 
