@@ -128,11 +128,12 @@ def snapshots(spark, sf_dir) -> DataFrame:
 
 def articles(spark, sf_dir) -> DataFrame:
     """Documents with the publication time of the event of the same number."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     return d.join(e, d.doc_id == e.event_id).select(
         F.col("doc_id").alias("id"), F.col("ts").alias("created_at"), "text", F.col("user_id").alias("asset"),
-        F.array("lang", "source").alias("symbols"))
+        F.when(F.col("n_chars") > 2000, F.array(F.col("lang"), F.col("source"), F.upper("lang"), F.lit("BRK.B")))
+        .otherwise(F.array("lang", "source")).alias("symbols"))
 
 
 def chain(spark, sf_dir) -> DataFrame:
