@@ -25,25 +25,36 @@ def asof_join(
 ) -> DataFrame:
     """Each left row with the newest right row of its key (`values` and `right_on`; null when none is known).
 
-    Both sides are laid on one timeline and cut into (key, time slice) partitions, so a key with a third of all rows
-    is spread over many tasks; what was known at the end of earlier slices is carried in from one summary row each.
-    Right rows at one moment are ordered by their values.
+    Right rows at one moment are ordered by their values. See `asof_join_many` for the plan.
     """
-    by, values = list(by), list(values)
+    series = {"_known": (right, right_on, list(values))}
+    joined = asof_join_many(left, series, by, left_on, strict=strict, slice_unit=slice_unit)
+    return joined.select(*[c for c in joined.columns if c != "_known"], F.col(f"_known.{right_on}").alias(right_on),
+                         *[F.col(f"_known.{v}").alias(v) for v in values])
+
+
+def asof_join_many(left: DataFrame, series: dict[str, tuple[DataFrame, str, list[str]]], by: Sequence[str], left_on: str, *,
+                   strict: bool, slice_unit: str = "MONTH") -> DataFrame:
+    """Each left row with the newest row of several right series, `name: (rows, moment column, values)`, one struct each.
+
+    All sides are laid on one timeline and cut into (key, time slice) partitions, so a key with a third of all rows is
+    spread over many tasks; what was known at the end of earlier slices is carried in from one summary row each. Any
+    number of series costs one window and one summary, and the left side is read twice however many there are.
+    """
+    by = list(by)
     payload = [c for c in left.columns if c not in by]
-    known = F.struct(F.col(right_on), *[F.col(v) for v in values])
-    l = left.select(*by, F.col(left_on).cast("timestamp").alias("_t"), F.lit(0 if strict else 1).alias("_side"),
-                    F.struct(*payload).alias("_row"))
-    r = right.filter(F.col(right_on).isNotNull()).select(
-        *by, F.col(right_on).cast("timestamp").alias("_t"), F.lit(1 if strict else 0).alias("_side"), known.alias("_known"))
-    line = l.unionByName(r, allowMissingColumns=True).withColumn("_slice", F.date_trunc(slice_unit, "_t"))
-    ends = line.groupBy(*by, "_slice").agg(F.max("_known").alias("_end"))
+    line = left.select(*by, F.col(left_on).cast("timestamp").alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*payload).alias("_row"))
+    for name, (right, right_on, values) in series.items():
+        known = F.struct(F.col(right_on), *[F.col(v) for v in values])
+        line = line.unionByName(right.filter(F.col(right_on).isNotNull()).select(
+            *by, F.col(right_on).cast("timestamp").alias("_t"), F.lit(1 if strict else 0).alias("_side"), known.alias(name)), allowMissingColumns=True)
+    line = line.withColumn("_slice", F.date_trunc(slice_unit, "_t"))
+    ends = line.groupBy(*by, "_slice").agg(*[F.max(n).alias(n) for n in series])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*by, "_slice", F.max("_end").over(before).alias("_carry"))
+    carry = ends.select(*by, "_slice", *[F.max(n).over(before).alias(f"_carry_{n}") for n in series])
     inside = Window.partitionBy(*by, "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = line.withColumn("_known", F.max("_known").over(inside)).filter(F.col("_row").isNotNull())
-    return seen.join(carry, [*by, "_slice"], "left").withColumn("_known", F.coalesce("_known", "_carry")).select(
-        *by, "_row.*", F.col(f"_known.{right_on}").alias(right_on), *[F.col(f"_known.{v}").alias(v) for v in values])
+    seen = line.withColumns({n: F.max(n).over(inside) for n in series}).filter(F.col("_row").isNotNull())
+    return seen.join(carry, [*by, "_slice"], "left").select(*by, "_row.*", *[F.coalesce(n, f"_carry_{n}").alias(n) for n in series])
 
 
 def next_at_or_after(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, out: str,

@@ -36,11 +36,19 @@ cte("shortv", """select l_suppkey as asset, cast(date_trunc('week', l_shipdate)
 cte("funda", """select asset, "end", cast("end" + cast(20 + asset % 40 + case when quarter("end") = 2 and asset % 3 = 0 then 120 else 0 end as int) as date) as filed, val from (
   select o_custkey as asset, cast(date_trunc('quarter', o_orderdate) + interval 3 months - interval 1 day as date) as "end",
   sum(o_totalprice) as val from orders group by 1, 2)""")
+QEND = "cast({q} + interval 3 months - interval 1 day as date)"
+cte("qsum", """select asset, item, q, sum(v) as v from (select l_suppkey as asset, cast(date_trunc('quarter', l_shipdate) as date) as q, 'rev' as item, l_extendedprice as v from lineitem union all
+  select l_suppkey, cast(date_trunc('quarter', l_shipdate) as date), case when l_returnflag = 'R' then 'ni' else 'cfo' end, l_extendedprice from lineitem) group by 1, 2, 3""")
+cte("ytd", f"""select asset, item, cast(date_trunc('year', q) as date) as start, {QEND.format(q='q')} as "end", sum(v) over (partition by asset, item, year(q) order by q) as val,
+  {QEND.format(q='q')} + cast(20 + asset % 40 as int) as filed from qsum""")
+cte("facts", 'select * from ytd union all select asset, item, start, "end", val * 1.01e0, filed + 365 from ytd where asset % 5 = 0 and month("end") = 3')
+cte("points", f"""select asset, {QEND.format(q='q')} as "end", {QEND.format(q='q')} + cast(20 + asset % 40 as int) as filed, assets, equity, shares from (
+  select l_suppkey as asset, cast(date_trunc('quarter', l_shipdate) as date) as q, sum(l_quantity) * 1000 as assets, sum(case when l_returnflag = 'N' then l_quantity end) * 1000 as equity, count(*) * 100e0 as shares from lineitem group by 1, 2)""")
 cte("snaps", """select distinct l_suppkey as asset, cast(date_trunc('month', o_orderdate) as date) as month from lineitem
   join orders on l_orderkey = o_orderkey where l_returnflag = 'R' and o_orderpriority = '1-URGENT'""")
 cte("arts", """select doc_id as id, ts as created_at, text, user_id as asset, [lang, source] as symbols from documents
   join events on doc_id = event_id""")
-cte("chain", """select p_partkey as contract, p_brand as underlying, round(p_retailprice) as strike, 5 + p_size * 2 as dte,
+cte("chain", """select p_partkey as contract, p_brand as underlying, round(p_retailprice / 100) * 100 as strike, 5 + p_size * 2 as dte,
   0.2 + (p_partkey % 17) / 100 as iv, case when p_partkey % 2 = 0 then 'C' else 'P' end as type,
   (case when p_partkey % 2 = 0 then 1 else -1 end) * (0.05 + (p_partkey % 90) / 100) as delta,
   1 + p_size / 10 as bid, (1 + p_size / 10) * 1.05e0 as ask, cast(p_partkey % 50 as double) as volume from part""")

@@ -6,7 +6,7 @@ their orders. The damped price `100 + sqrt(l_extendedprice) / 30` keeps returns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import calendar
@@ -118,6 +118,32 @@ def fundamentals(spark, sf_dir) -> DataFrame:
         "asset", "end", F.expr("date_add(end, int(20 + asset % 40 + if(quarter(end) = 2 and asset % 3 = 0, 120, 0)))").alias("filed"), "val")
 
 
+def facts(spark, sf_dir) -> DataFrame:
+    """Reported durations per supplier and item: year-to-date sums of each quarter, every fifth supplier's first
+    quarter restated a year later."""
+    l = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("asset"), F.trunc("l_shipdate", "quarter").alias("q"), "l_extendedprice", "l_returnflag")
+    items = F.array(F.struct(F.lit("rev").alias("item"), F.col("l_extendedprice").alias("v")),
+                    F.struct(F.when(F.col("l_returnflag") == "R", "ni").otherwise("cfo").alias("item"), F.col("l_extendedprice").alias("v")))
+    quarter = l.select("asset", "q", F.explode(items).alias("e")).groupBy("asset", F.col("e.item").alias("item"), "q").agg(F.sum("e.v").alias("v"))
+    year = Window.partitionBy("asset", "item", F.year("q")).orderBy("q").rowsBetween(Window.unboundedPreceding, 0)  # four rows
+    end = F.date_sub(F.add_months("q", 3), 1)
+    ytd = quarter.select("asset", "item", F.trunc("q", "year").alias("start"), end.alias("end"), F.sum("v").over(year).alias("val"),
+                         F.expr("int(20 + asset % 40)").alias("lag"))
+    ytd = ytd.select("asset", "item", "start", "end", "val", F.date_add("end", F.col("lag")).alias("filed"))
+    again = ytd.filter("asset % 5 = 0 and month(end) = 3").select("asset", "item", "start", "end", (F.col("val") * 1.01).alias("val"), F.date_add("filed", 365).alias("filed"))
+    return ytd.unionByName(again)
+
+
+def points(spark, sf_dir) -> DataFrame:
+    """Reported balances per supplier and quarter: assets, equity, shares."""
+    l = table(spark, sf_dir, "lineitem")
+    q = l.groupBy(F.col("l_suppkey").alias("asset"), F.trunc("l_shipdate", "quarter").alias("q")).agg(
+        (F.sum("l_quantity") * 1000).alias("assets"), (F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity"))) * 1000).alias("equity"), (F.count("*") * 100.0).alias("shares"))
+    end = F.date_sub(F.add_months("q", 3), 1)
+    return q.select("asset", end.alias("end"), F.date_add(end, F.expr("int(20 + asset % 40)")).alias("filed"), "assets", "equity", "shares")
+
+
 def snapshots(spark, sf_dir) -> DataFrame:
     """Monthly membership lists: suppliers with an urgent returned line ordered in that month."""
     l = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_suppkey")
@@ -137,11 +163,11 @@ def articles(spark, sf_dir) -> DataFrame:
 
 
 def chain(spark, sf_dir) -> DataFrame:
-    """Two expiries of one option contract per part."""
+    """One option contract per part."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     flat = p.select(
-        k.alias("contract"), F.col("p_brand").alias("underlying"), F.round("p_retailprice").alias("strike"),
+        k.alias("contract"), F.col("p_brand").alias("underlying"), (F.round(F.col("p_retailprice") / 100) * 100).alias("strike"),
         (5 + F.col("p_size") * 2).cast("int").alias("dte"), (0.2 + (k % 17) / 100).alias("iv"),
         F.when(k % 2 == 0, "C").otherwise("P").alias("type"),
         (F.when(k % 2 == 0, 1).otherwise(-1) * (0.05 + (k % 90) / 100)).alias("delta"),
