@@ -15,4 +15,5 @@ def load():
         except ModuleNotFoundError as e:
             if e.name != f"{__name__}.{m}":
                 raise
+    catalog.finish()
     return catalog

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 CTES: dict[str, str] = {}
+_STATEMENTS: dict[str, tuple[str, dict[str, str]]] = {}
 
 
 def cte(name: str, body: str) -> str:
@@ -41,7 +42,13 @@ def query(name: str, sql: str | None = None, **local: str):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = compose(sql, local)
+            _STATEMENTS[name] = (sql, local)
         return fn
 
     return register
+
+
+def finish() -> None:
+    """Compose the statements once every module has named its sub-queries."""
+    for name, (sql, local) in _STATEMENTS.items():
+        SQL.setdefault(name, compose(sql, local))
