@@ -1,0 +1,183 @@
+"""Walk-forward learning: distributed features and folds, linear fits from sums, trees from pyspark.ml.
+
+A linear fit needs only sums of products, so all folds are fitted by one aggregation; what reaches the driver is one
+p x p matrix per fold.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.ranks import group_quantiles, pct_rank
+from ..functions.windows import own
+from .outcomes import _recent_mean
+
+
+def rank_columns(df: DataFrame, by: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """Percentile ranks of many columns per date in one pass: columns become rows, are ranked per (date, column), and
+    return as columns. Missing values keep no rank."""
+    rows = df.select(by, key, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e")).select(by, key, "e.name", "e.value").filter("value is not null")
+    ranked = pct_rank(rows, [by, "name"], "value", "p")
+    wide = ranked.groupBy(by, key).agg(*[F.max(F.when(F.col("name") == c, F.col("p"))).alias(c) for c in columns])
+    return df.drop(*columns).join(wide, [by, key], "left").select(*df.columns)
+
+
+def ranker_dataset(panel: DataFrame, features: dict, horizon: int) -> DataFrame:
+    """One row per (session, asset): ranked features and the return from the next open to `horizon` bars later, minus the
+    mean of its session, with its rank."""
+    df = panel.withColumns(features)
+    target = F.lead("close", horizon).over(own()) / F.lead("open", 1).over(own()) - 1
+    df = df.withColumn("_t", target).select("ts", "sno", "asset", *features, "_t")
+    mean = df.groupBy("ts").agg(F.avg("_t").alias("_m"))
+    df = df.join(mean, "ts").withColumn("target", F.col("_t") - F.col("_m")).withColumn("target_rank", F.col("target")).drop("_t", "_m")
+    return rank_columns(df, "ts", "asset", [*features, "target_rank"])
+
+
+def with_test_fold(rows: DataFrame, first: int, step: int) -> DataFrame:
+    """Number of the fold that scores a row: sessions from `first` on, in blocks of `step`."""
+    return rows.withColumn("fold", F.when(F.col("sno") >= first, F.floor((F.col("sno") - first) / step)))
+
+
+def train_rows(rows: DataFrame, first: int, step: int, embargo: int) -> DataFrame:
+    """Each row once per fold that may learn from it: every fold whose refit is at least `embargo` sessions later.
+
+    The number of folds is bounded by the calendar; a row's folds start at a number that follows from its session.
+    """
+    last = rows.agg(F.max("sno").alias("m")).select("m").scalar()
+    start = F.greatest(F.lit(0), F.ceil((F.col("sno") + embargo - first) / step))
+    end = F.floor((last - first) / step)
+    return rows.filter("target is not null").withColumn("fold", F.explode(F.when(start <= end, F.sequence(start, end)).otherwise(F.expr("cast(array() as array<bigint>)"))))
+
+
+def normal_equations(train: DataFrame, features: Sequence[str], target: str, fold: str = "fold") -> dict:
+    """Per fold the sums a linear fit needs, from one aggregation that combines map-side."""
+    x = [F.coalesce(F.col(f), F.lit(0.5)) for f in features]
+    p = len(features)
+    sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
+    sums += [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(c * F.col(target)).alias(f"b{i}") for i, c in enumerate(x)]
+    rows = train.groupBy(fold).agg(*sums, F.sum(target).alias("y"), F.count("*").alias("n")).collect()
+    return {r[fold]: r for r in rows}
+
+
+def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0, least: int = 1, fold: str = "fold") -> DataFrame:
+    """Ridge coefficients of every fold with `least` rows: an intercept, and one slope per feature."""
+    out = []
+    p = len(features)
+    for k, r in normal_equations(train, features, target, fold).items():
+        n = r["n"]
+        if n < least:
+            continue
+        g = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+        s = np.array([r[f"s{i}"] for i in range(p)])
+        b = np.array([r[f"b{i}"] for i in range(p)])
+        w = np.linalg.solve(g - np.outer(s, s) / n + alpha * np.eye(p), b - s * r["y"] / n)
+        out.append((int(k), float(r["y"] / n - w @ s / n), [float(v) for v in w]))
+    return train.sparkSession.createDataFrame(out, f"{fold} long, intercept double, weights array<double>")
+
+
+def linear_scores(rows: DataFrame, coefficients: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
+    x = F.array(*[F.coalesce(F.col(f), F.lit(0.5)) for f in features])
+    dot = F.aggregate(F.zip_with(x, F.col("weights"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.join(coefficients, fold).withColumn("score", F.col("intercept") + dot).drop("intercept", "weights")
+
+
+def walkforward_scores(rows: DataFrame, features: Sequence[str], first: int, step: int, embargo: int, least: int, target: str = "target_rank") -> DataFrame:
+    """Every row scored by a fit that saw only rows whose target was known `embargo` sessions before the refit."""
+    fits = ridge_fit(train_rows(rows, first, step, embargo), features, target, least=least)
+    return linear_scores(with_test_fold(rows, first, step).filter("fold is not null"), fits, features)
+
+
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    filled = df.select("*", *[F.coalesce(F.col(f), F.lit(0.5)).alias(f"_f_{f}") for f in features])
+    return VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="features").transform(filled).drop(*[f"_f_{f}" for f in features])
+
+
+def gbt_scores(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, trees: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
+    """Gradient-boosted regression trees; statistically, not bit by bit, what other boosting libraries give."""
+    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, seed=seed).fit(assembled(train, features))
+    return model.transform(assembled(test, features)).withColumn("score", F.col("prediction")).drop("features", "prediction")
+
+
+def cluster_rows(signals: DataFrame, panel: DataFrame, features: dict, horizon: int) -> DataFrame:
+    """One row per cluster with its features and the return of `horizon` sessions in excess of the session's mean."""
+    df = panel.withColumns(features).withColumn("_t", F.lead("close", horizon).over(own()) / F.col("close") - 1)
+    mean = df.groupBy("ts").agg(F.avg("_t").alias("_m"))
+    df = df.join(mean, "ts").withColumn("target", F.col("_t") - F.col("_m")).drop("_m")
+    return df.join(signals.select("asset", "ts"), ["asset", "ts"], "left_semi").select("asset", "ts", *features, "target")
+
+
+def cluster_walkforward(rows: DataFrame, features: Sequence[str], first_year: int, gap_days: int, least: int, keep: float) -> DataFrame:
+    """Yearly: learn from clusters over before the year (target winsorised at 2/98%), keep the best-scored share."""
+    years = rows.select(F.year("ts").alias("y")).distinct().filter(F.col("y") >= first_year)
+    last = years.agg(F.max("y").alias("m")).select("m").scalar()
+    start = F.greatest(F.lit(first_year), F.year(F.date_add("ts", gap_days)) + 1)
+    train = rows.filter("target is not null").withColumn("fold", F.explode(F.when(start <= last, F.sequence(start, last)).otherwise(F.expr("cast(array() as array<int>)"))))
+    bounds = group_quantiles(train, ["fold"], "target", {"_lo": 0.02, "_hi": 0.98}).select("fold", "_lo", "_hi")
+    train = train.join(bounds, "fold").withColumn("target", F.least(F.greatest("target", "_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    fits = ridge_fit(train, features, "target", least=least)
+    bar = group_quantiles(linear_scores(train, fits, features), ["fold"], "score", {"_bar": 1 - keep}).select("fold", "_bar")
+    test = linear_scores(rows.withColumn("fold", F.year("ts")), fits, features)
+    return test.join(bar, "fold").withColumn("keep", F.col("score") >= F.col("_bar")).drop("_bar")
+
+
+def pool_recent(pool: DataFrame, last: int = 20, strategy_last: int = 50) -> DataFrame:
+    """Mean R of the last results closed before each entry: of the (asset, strategy), and of the strategy."""
+    df = _recent_mean(pool, ["strategy", "asset"], "entry_ts", "exit_ts", "r", last).withColumnsRenamed({"n_recent": "n_own", "mean_recent": "mean_own"})
+    return _recent_mean(df, ["strategy"], "entry_ts", "exit_ts", "r", strategy_last).withColumnsRenamed({"n_recent": "n_strategy", "mean_recent": "mean_strategy"})
+
+
+def meta_features(df: DataFrame) -> DataFrame:
+    """Direction-aware columns: what helps the trade is positive, distances to events are capped at 30 days."""
+    s = F.col("side")
+    capped = lambda c: F.least(F.coalesce(F.col(c), F.lit(30)), F.lit(30))
+    return df.withColumns({
+        "d_dist_long": s * F.col("dist_long"), "d_ret5": s * F.col("ret5"), "d_ret20": s * F.col("ret20"), "d_rsi": s * (F.col("rsi14") - 50), "d_trend": s * F.coalesce("trend", F.lit(0)),
+        "is_long": (s > 0).cast("double"), "earnings_in": capped("to_earnings"), "weekday": F.weekday("signal_ts"), "month": F.month("signal_ts")})
+
+
+def meta_label_walkforward(pool: DataFrame, features: Sequence[str], refit_days: int, memory: int, least: int, trees: int = 10) -> DataFrame:
+    """Probability of a win from trees refitted every `refit_days` on the newest outcomes closed before, the expected value
+    from each strategy's usual win and loss, and the size it earns."""
+    first, end = (r := pool.agg(F.min("entry_ts"), F.max("entry_ts")).first())[0], r[1]
+    out, at = None, first
+    import datetime as dt
+    while at <= end:
+        upto = at + dt.timedelta(days=refit_days)
+        known = pool.filter(F.col("exit_ts") < F.lit(at)).orderBy(F.desc("exit_ts"), "asset", "signal_ts").limit(memory)
+        test = pool.filter((F.col("entry_ts") >= F.lit(at)) & (F.col("entry_ts") < F.lit(upto)))
+        if known.count() >= least:
+            known = known.withColumn("label", (F.col("r") > 0).cast("double"))
+            model = GBTClassifier(maxIter=trees, maxDepth=3, seed=7).fit(assembled(known, features))
+            pay = known.groupBy("strategy").agg(F.avg(F.when(F.col("r") > 0, F.col("r"))).alias("_win"), (-F.avg(F.when(F.col("r") <= 0, F.col("r")))).alias("_loss"))
+            scored = model.transform(assembled(test, features)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction").join(pay, "strategy", "left")
+            ev = F.col("p") * F.coalesce("_win", F.lit(1.0)) - (1 - F.col("p")) * F.coalesce("_loss", F.lit(1.0))
+            scored = scored.withColumn("ev", ev).drop("_win", "_loss").withColumn("take", F.col("ev") >= 0).withColumn("size", F.least(F.greatest(1 + F.col("ev") / 0.25, F.lit(0.5)), F.lit(2.0)))
+            out = scored if out is None else out.unionByName(scored)
+        at = upto
+    return out
+
+
+def permutation_importance(test: DataFrame, score_of, features: Sequence[str], judge, repeats: int = 2) -> DataFrame:
+    """Drop of a quality measure when one feature's values are shuffled among the rows: values are dealt out again by the
+    order of a row hash, so no row keeps its own."""
+    base = judge(score_of(test))
+    rows = []
+    numbered = test.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
+    for f in features:
+        drops = []
+        for k in range(repeats):
+            dealt = test.select("_part", F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64("_key", F.lit(k)), "_key")).alias("_i"), F.col(f).alias("_v"))
+            drops.append(base - judge(score_of(numbered.drop(f).join(dealt, ["_part", "_i"]).withColumnRenamed("_v", f))))
+        rows.append((f, float(np.mean(drops))))
+    return test.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
