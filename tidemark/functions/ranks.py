@@ -13,13 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 SLICES = 16
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
     """Distinct values of each group: `n` rows with it, `below` rows with a smaller one, `total` rows of the group."""
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    # written once: bounds, slice sizes and ranks all read the counts
+    present = F.col(value).isNotNull()
+    for c in by:
+        present = present & F.col(c).isNotNull()
+    counts = materialise(df.filter(present).groupBy(*by, value).agg(F.count("*").alias("n")), "counts")
     cuts = [i / slices for i in range(1, slices)]
     bounds = counts.groupBy(*by).agg(F.percentile_approx(value, cuts, 1000).alias("_bounds"))
     sliced = counts.join(bounds, by).withColumn(

@@ -11,9 +11,9 @@ from ..operators import pit as D
 from ..sources import bindings as S
 from .asset_signals import full
 from .catalog import cte, query
-from .panel_signals import one, pct
+from .panel_signals import PAN, one, pct
 
-BUYS, BARS, PAN = S.purchases, S.weekly_bars, S.sector_panel
+BUYS, BARS = S.purchases, S.weekly_bars
 
 
 # --- SQL building blocks -------------------------------------------------------------------------------------------

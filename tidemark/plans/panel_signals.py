@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import panel_signals as P
+from ..session import materialise
 from ..sources import bindings as S
 from .catalog import cte, query
 from .features import ago, ses
@@ -40,7 +41,11 @@ cte("calm_w", f"select *, {pct('vol')} as calm from fv_w")
 cte("secmed_w", "select ts, sector, max(sno) as sno, count(*) as n, median(rw) as mw, median(rb) as mb from fx_w group by 1, 2")
 cte("turn_w", enter("mw <= -0.004 and mb > 0", "secmed_w", "sector", "ts, sector"))
 cte("wash_w", "select f.* from calm_w f join turn_w t using (ts, sector)")
-PAN = S.sector_panel
+
+
+def PAN(spark, sf):
+    """The panel, written once: ranks and medians read it several times."""
+    return materialise(S.sector_panel(spark, sf), "panel")
 
 
 @query("f1_xs_momentum", one(enter("rank <= 8", f"(select *, {avg_rank('rw', desc=True)} as rank from fx_w)")))
