@@ -250,3 +250,32 @@ def period_table(bars: DataFrame, years: Sequence[int]) -> DataFrame:
     """Named windows ending at the last date."""
     last = bars.agg(F.max("ts").alias("end"))
     return last.select(F.explode(F.array(*[F.struct(F.lit(f"last {y}y").alias("window"), F.add_months("end", -12 * y).alias("start"), F.col("end")) for y in years])).alias("w")).select("w.*")
+
+
+def luck_scores(stats: DataFrame, max_t: DataFrame, events: DataFrame, least: int = 100) -> DataFrame:
+    """Verdict of each try against the mean of the replayed maxima; tries without `least` signals are not judged."""
+    bar = max_t.agg(F.avg("max_t").alias("b")).select("b").scalar()
+    df = stats.join(events, "try_id", "left").withColumn("bar", bar)
+    return df.select("try_id", "t", "bar", F.when(F.coalesce("events", F.lit(0)) >= least, F.col("t") > F.col("bar")).alias("beats_luck"))
+
+
+def vault_verdict(scores: DataFrame) -> DataFrame:
+    """Sealed window: makes money, beats the random twin, positive IC, at least half of the search ICIR."""
+    ok = (F.col("ret") > 0) & (F.col("avg_r") > F.col("rand_avg_r")) & (F.col("ic") > 0) & (F.col("icir") >= 0.5 * F.col("s_icir"))
+    return scores.withColumn("verdict", F.coalesce(ok, F.lit(False)))
+
+
+def study_table(trades: DataFrame, windows: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per window, each strategy and all of them: trades, sum and mean of R, win share, fees over gross moves, bars held."""
+    name = F.lit(None).cast("string")
+    for w, (a, b) in windows.items():
+        name = F.when(F.col("entry_ts").between(F.lit(a).cast("date"), F.lit(b).cast("date")), w).otherwise(name)
+    df = trades.withColumn("window", name).filter("window is not null")
+    return df.groupingSets([[F.col("window"), F.col("strategy")], [F.col("window")]], "window", "strategy").agg(
+        F.count("*").alias("trades"), F.sum("r").alias("sum_r"), F.avg("r").alias("avg_r"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"),
+        (F.sum("fees_r") / F.sum(F.abs("gross_r"))).alias("fee_share"), F.avg(F.col("exit_no") - F.col("fill_no") + 1).alias("bars_held"))
+
+
+def exit_rule_grid(stats: DataFrame, least: int = 10) -> DataFrame:
+    """Best rule per strategy by mean over deviation of R among rules with `least` trades. `stats(strategy, rule, trades, quality)`."""
+    return stats.filter(F.col("trades") >= least).groupBy("strategy").agg(F.max_by("rule", F.struct("quality", "rule")).alias("best_rule"), F.max("quality").alias("quality"))

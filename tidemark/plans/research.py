@@ -217,3 +217,35 @@ def n26(spark, sf):
     return N.period_table(cal_d(spark, sf), [1, 3, 5])
 
 
+
+
+@query("n10_luck_scores", """select try_id, round(t, 6) as t, round((select avg(max_t) from nmax), 6) as bar, case when coalesce(n, 0) >= 30 then t > (select avg(max_t) from nmax) end as beats_luck from (select try_id, avg(r) / stddev_samp(r) * sqrt(count(*)) as t from hw group by 1) s left join (select asset, count(*) as n from e16_w group by 1) e on e.asset = s.try_id""",
+       nmax="""select c.replay, max(s) / sqrt((select count(distinct week) from hw)) as max_t from (select c.replay, z.try_id, sum(z.z * c.times) as s from (select h.try_id, h.week, (h.r - m) / s as z from hw h join (select try_id, avg(r) as m, stddev_samp(r) as s from hw group by 1) using (try_id) where s > 1e-9) z join (select replay, w.week, count(*) as times from bsrc b join bcal w on w.i = b.src group by 1, 2) c using (week) group by 1, 2) c group by 1""",
+       bcal="select week, row_number() over (order by week) - 1 as i from (select distinct week from hw)",
+       bg=f"select replay, i, n, case when i = 0 or {uniform_sql(1, 'replay', 'i')} < 0.25 then floor({uniform_sql(2, 'replay', 'i')} * n) end as s, case when i = 0 or {uniform_sql(1, 'replay', 'i')} < 0.25 then i end as at_i from bcal, (select unnest(range(1, 51)) as replay), (select count(*) as n from bcal)",
+       bsrc="select replay, (last_value(s ignore nulls) over w + i - last_value(at_i ignore nulls) over w) % n as src from bg window w as (partition by replay order by i)")
+def n10(spark, sf):
+    from .asset_signals import sweeps
+    w = materialise(weekly(spark, sf), "weekly")
+    events = sweeps(spark, sf).groupBy(F.col("asset").alias("try_id")).agg(F.count("*").alias("events"))
+    return rounded(N.luck_scores(N.try_stats(w), N.null_max(w, 50), events, 30))
+
+
+@query("n18_vault_verdict", "select candidate, coalesce(v_ic > 0 and v_icir >= 0.5 * s_icir and e > 0 and e > 0.01, false) as verdict from wscore join (select candidate, avg(edge) as e from cedges where ts >= date '1999-01-01' group by 1) using (candidate)")
+def n18(spark, sf):
+    ev = materialise(candidate_edges(spark, sf), "edges")
+    late = ev.filter("ts >= date'1999-01-01'").groupBy("candidate").agg(F.avg("edge").alias("avg_r"))
+    s = N.windows_score(ev, WINDOWS).join(late, "candidate").select("candidate", F.col("avg_r").alias("ret"), "avg_r", F.lit(0.01).alias("rand_avg_r"), F.col("v_ic").alias("ic"), F.col("v_icir").alias("icir"), "s_icir")
+    return N.vault_verdict(s).select("candidate", "verdict")
+
+
+@query("n19_exit_rule_grid", "select strategy, arg_max(reason, (q, reason)) as best_rule, round(max(q), 6) as quality from (select strategy, reason, avg(r) / stddev_samp(r) as q, count(*) as n from trades group by 1, 2) where n >= 10 group by 1")
+def n19(spark, sf):
+    s = trades(spark, sf).groupBy("strategy", F.col("reason").alias("rule")).agg(F.count("*").alias("trades"), (F.avg("r") / F.stddev_samp("r")).alias("quality"))
+    return rounded(N.exit_rule_grid(s))
+
+
+@query("n22_study_table", """select w as "window", strategy, count(*) as trades, round(sum(r), 6) as sum_r, round(avg(r), 6) as avg_r, round(avg(cast(r > 0 as int)), 6) as win_rate, round(sum(fees_r) / sum(abs(gross_r)), 6) as fee_share, round(avg(exit_no - fill_no + 1), 6) as bars_held
+  from (select *, case when entry_ts between date '1990-01-01' and date '1998-12-31' then 's' when entry_ts between date '1999-01-01' and date '2010-12-31' then 'v' end as w from trades) where w is not null group by grouping sets ((w, strategy), (w))""")
+def n22(spark, sf):
+    return rounded(N.study_table(trades(spark, sf), WINDOWS))
