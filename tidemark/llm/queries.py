@@ -1,0 +1,69 @@
+"""The registered queries of this package, with their SQL twins where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import quality_rules, urls
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST_SQL = _LOWER.format(r"regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1)")
+_KEY_SQL = (
+    "CASE WHEN contains({0}, '://') THEN " + _LOWER.format(r"regexp_extract({0}, '^((?s:.*?)://)', 1)") + " || " + _HOST_SQL
+    + r""" || CASE WHEN starts_with(regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END"""
+)
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+    for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])))
+_RULE_VERDICT = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in urls.RULES) + " END"
+
+OP2_SQL = rf"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '{urls._LINK}'), lambda t: regexp_matches(t, '{urls._CANONICAL.replace("'", "''")}')), lambda t: regexp_extract(t, '{urls._HREF.replace("'", "''")}', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '{urls._META}'), lambda t: regexp_matches(t, '{urls._REFRESH.replace("'", "''")}')), lambda t: regexp_extract(t, '{urls._TARGET.replace("'", "''")}', 1)))) AS raw
+  FROM pages WHERE html IS NOT NULL AND url IS NOT NULL),
+targets AS (SELECT url, replace(raw, '&amp;', '&') AS t, regexp_extract(url, '^(?s:.*?)://[^/?#]*(/(?:[^?#]*/)?)', 1) AS folder, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) AS origin FROM tags WHERE raw <> ''),
+resolved AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^((?s:.*?):)//', 1) || t
+  WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN origin || regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) || t
+  WHEN starts_with(t, '#') THEN url ELSE origin || CASE folder WHEN '' THEN '/' ELSE folder END || t END AS target FROM targets),
+links AS (SELECT DISTINCT {_KEY_SQL.format('url')} AS a, {_KEY_SQL.format('target')} AS b FROM resolved),
+both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach AS (SELECT DISTINCT a AS key, a AS other FROM both_ways UNION SELECT reach.key, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+judged AS (SELECT key, {_HOST_SQL.format('other')} AS host, regexp_extract(other, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, other FROM reach),
+ruled AS (SELECT key, other, CASE {_FITS} END AS rule FROM judged),
+fate AS (SELECT key, min(other) AS component, CASE WHEN bool_or(coalesce({_RULE_VERDICT}, '') = 'block') AND NOT bool_or(coalesce({_RULE_VERDICT}, '') = 'allow') THEN 'block' ELSE 'allow' END AS inherited FROM ruled GROUP BY key),
+base AS (SELECT page_id, coalesce({_HOST_SQL.format('url')}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, {_KEY_SQL.format('url')} AS key FROM pages),
+own AS (SELECT *, CASE {_FITS} END AS rule FROM base)
+SELECT page_id, host, path, rule, coalesce({_RULE_VERDICT}, inherited, 'allow') AS verdict, component
+FROM own LEFT JOIN fate USING (key)"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2_url_filter(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
