@@ -15,13 +15,14 @@ _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
 
 
-def split_words(text: Column) -> Column:
-    """The runs of characters that are digits, letters or beyond ASCII. Splitting leaves an empty string before a
-    leading and after a trailing break; those are cut off."""
-    parts = F.split(text, _BREAK)
+def with_words(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, _w: the runs of characters that are digits, letters or beyond ASCII. Splitting leaves an empty string
+    before a leading and after a trailing break; those are cut off."""
+    parts = F.col("_p")
     front = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
     back = F.when(F.get(parts, F.size(parts) - 1) == "", 1).otherwise(0)
-    return F.slice(parts, front + 1, F.greatest(F.size(parts) - front - back, F.lit(0)))
+    split = rows.select(key, F.split(text, _BREAK).alias("_p"))
+    return split.select(key, F.slice(parts, front + 1, F.greatest(F.size(parts) - front - back, F.lit(0))).alias("_w"))
 
 
 def grams(words: Column, k: int) -> Column:
@@ -44,14 +45,14 @@ def fingerprints(rows: DataFrame, key: str, span: int, gram: int) -> DataFrame:
     consecutive words. Letters are compared without case here, which only finds more; the sigma whose lower case
     depends on its neighbours is replaced first."""
     folded = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("Σ"), F.lit("σ")))
-    worded = rows.select(key, folded.alias("_t")).select(key, split_words(F.col("_t")).alias("_w"))
+    worded = with_words(rows, key, folded)
     hashed = worded.select(key, F.size("_w").cast("long").alias("n_words"), grams(F.col("_w"), gram).alias("_g"))
     return hashed.select(key, "n_words", F.array_distinct(least_of(F.col("_g"), span - gram + 1)).alias("prints"))
 
 
 def windows(rows: DataFrame, key: str, span: int, gram: int) -> DataFrame:
     """key, start, length, print, window: every run of `span` words of each text, exactly as compared."""
-    worded = rows.select(key, lower_ascii(F.coalesce("text", F.lit(""))).alias("_t")).select(key, split_words(F.col("_t")).alias("_w"))
+    worded = with_words(rows, key, lower_ascii(F.coalesce("text", F.lit(""))))
     hashed = worded.select(key, "_w", grams(F.col("_w"), gram).alias("_g")).select(key, "_w", least_of(F.col("_g"), span - gram + 1).alias("_m"))
     each = F.transform("_m", lambda m, s: F.struct(s.alias("start"), F.lit(span).alias("length"), m.alias("print"), F.array_join(F.slice("_w", s + 1, span), " ").alias("window")))
     return hashed.select(key, F.explode(each).alias("x")).select(key, "x.*")
@@ -74,7 +75,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     Null and empty texts have no words: such a document is clean, such an item never occurs. Rows of one doc_id are
     taken as one document (n_words of the longest, hits of all), repeated items count once per item_id; without items
     every document is clean; an empty table gives no rows; other columns are ignored."""
-    items = materialise(benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", F.size(split_words(lower_ascii(F.coalesce("text", F.lit(""))))).alias("n")).where("n > 0"), "items")
+    named = benchmark.where("item_id is not null").select(F.struct(F.col("item_id").cast("string").alias("item_id"), "text").alias("item"), "text")
+    items = with_words(named, "item", lower_ascii(F.coalesce("text", F.lit("")))).select("item.*", F.size("_w").alias("n")).where("n > 0")
+    items = materialise(items, "items")
     lengths = sorted(r.n for r in items.select(F.least("n", F.lit(span)).alias("n")).distinct().collect())  # at most `span` numbers
     if not lengths:
         counted = fingerprints(docs, "doc_id", span, gram).groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
