@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, quality_rules, secrets, urls
+from tidemark.llm import chat, decontaminate, mixing, near_dups, quality_rules, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 @query("op6_secret_scan", OP6_SQL)
 def op6_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
