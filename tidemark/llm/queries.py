@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, near_dups, quality_rules, secrets, urls
+from tidemark.llm import chat, decontaminate, mixing, near_dups, quality_rules, secrets, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,3 +166,8 @@ def op6_secret_scan(spark, sf_dir):
 @query("op5_near_duplicates")
 def op5_near_duplicates(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), span=35, keep_text=False).drop("kept_text")
