@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, near_dups, quality_rules, secrets, substrings, urls
+from tidemark.llm import chat, decontaminate, language, mixing, near_dups, quality_net, quality_rules, secrets, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,3 +171,19 @@ def op5_near_duplicates(spark, sf_dir):
 @query("op7_repeated_passages")
 def op7_repeated_passages(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), span=35, keep_text=False).drop("kept_text")
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality_net.train(docs, labels.where(~quality_net.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", quality_net.held_out(F.col("doc_id")).alias("held_out"))
+    return quality_net.score_quality(rows, net).select("doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
