@@ -83,7 +83,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
         counted = fingerprints(docs, "doc_id", span, gram).groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
         return _result(counted, None)
     gram = min(gram, lengths[0])
-    prints = materialise(fingerprints(items, "item_id", lengths[0], gram).select(F.explode("prints").alias("print")).distinct(), "prints")
+    # explode_outer: for a plain explode the planner repeats the whole expression in a filter on its size; null meets nothing
+    prints = materialise(fingerprints(items, "item_id", lengths[0], gram).select(F.explode_outer("prints").alias("print")).distinct(), "prints")
     own = fingerprints(docs, "doc_id", lengths[0], gram).select("doc_id", "n_words", F.explode_outer("prints").alias("print"))
     met = own.join(_small(prints.withColumn("met", F.lit(1))), "print", "left")
     counted = materialise(met.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("met").alias("met")), "counted")

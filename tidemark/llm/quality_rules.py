@@ -86,16 +86,14 @@ def _distance(twice_squared: Column) -> Column:
     return F.sqrt(F.least(F.greatest(twice_squared / 2, F.lit(0.0)), F.lit(1.0)))
 
 
-def char_distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of counts by class from shares by class; null without counts."""
-    n = _total(counts)
+def char_distance(counts: Column, n: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of counts by class, n in all, from shares by class; null without any."""
     both = F.zip_with(counts, F.array(*map(F.lit, reference)), lambda c, q: _term(c / n, q) + _term(q, c / n))
     return F.when(n > 0, _distance(F.aggregate(both, F.lit(0.0), lambda a, x: a + x)))
 
 
-def word_distance(counts: Column, reference: list[float]) -> Column:
+def word_distance(counts: Column, n: Column, reference: list[float]) -> Column:
     """The same for sparse counts; a word that the text lacks adds its whole share. Null without common words."""
-    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     shares = F.array(*map(F.lit, reference))
     added = lambda p, q: _term(p, q) + _term(q, p) - q
     return F.when(n > 0, _distance(F.aggregate(counts, F.lit(float(sum(reference))), lambda a, x: a + added(x["n"] / n, F.get(shares, x["w"] - 1)))))
@@ -113,14 +111,15 @@ def quality_rules(docs: DataFrame, max_char: float = 0.3, max_word: float = 0.6,
 
     Null and empty texts have zero counts and fail the base rule; without any known language the distances are null and
     the base rule decides. Repeated rows are judged alike; other columns are ignored."""
-    measured = materialise(measures(docs.select("doc_id", "text", "lang")), "measures")
+    n_common = F.aggregate("word_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    measured = measures(docs.select("doc_id", "text", "lang")).withColumns({"n_char": _total(F.col("char_counts")), "n_word": n_common})
+    measured = materialise(measured, "measures")
     # the references are a few numbers per language of COMMON_WORDS, whatever the corpus holds
     known = (references(measured) if refs is None else refs).select("char_ref", "word_ref").collect()
-    n_common = F.aggregate("word_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    enough = {"char": F.col("n_words") >= least_words, "word": (F.col("n_words") >= least_words) & (n_common >= least_common)}
+    enough = {"char": F.col("n_words") >= least_words, "word": (F.col("n_words") >= least_words) & (F.col("n_word") >= least_common)}
     nearest = {}
     for k, distance in (("char", char_distance), ("word", word_distance)):
-        far = [distance(F.col(f"{k}_counts"), list(row[f"{k}_ref"])) for row in known]
+        far = [distance(F.col(f"{k}_counts"), F.col(f"n_{k}"), list(row[f"{k}_ref"])) for row in known]
         nearest[k] = F.when(enough[k], F.least(*far) if len(far) > 1 else far[0] if far else F.lit(None).cast("double"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), nearest["char"].alias("char_distance"), nearest["word"].alias("word_distance"))
