@@ -1,0 +1,48 @@
+"""The stages of the pipeline one by one against plain versions, and the whole."""
+
+import re
+
+import brute
+import corpus_pipeline
+from tidemark.session import materialise
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialise(stage(spark, docs, DATA), name)
+        old, new = {r.doc_id: r for r in before.collect()}, docs.collect()
+        if name != "source_mix":
+            assert docs.columns == columns and len({r.doc_id for r in new}) == len(new)
+        kept = {r.doc_id for r in new}
+        if name == "language_id":
+            assert kept >= {i for i, r in old.items() if len(r.text or "") > 20}
+        if name == "near_duplicates":
+            assert kept == {i for i, (_, c) in brute.near_duplicates([(i, r.text) for i, r in old.items()], 5, 80).items() if i == c}
+        if name == "decontamination":
+            split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            spans = set()
+            for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+                w = split(r.text)
+                spans |= {tuple(w[k : k + 10]) for k in range(len(w) - 9)} if len(w) >= 10 else {tuple(w)}
+            clean = {i for i, r in old.items() if not any(tuple(w[k : k + n]) in spans for w in [split(r.text)] for n in {len(s) for s in spans} for k in range(len(w) - n + 1))}
+            assert kept == clean
+        if name == "secret_scan":
+            assert kept == set(old)
+            assert all(r.n_chars == len(r.text) for r in new if r.text != old[r.doc_id].text)
+        if name == "source_mix":
+            assert kept <= set(old) and len(new) > 0.7 * len(old)
+
+
+def test_odd_rows_pass_every_stage(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words of a text", "en", "a", 20), (3, "some words of a text", "en", "a", 20), (3, "other words", "en", "a", 11), (None, "no id at all here", "fr", None, 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, DATA), name)
+    assert {r.doc_id for r in docs.collect()} <= {3, None}
+    empty = docs.limit(0).select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).isEmpty()
