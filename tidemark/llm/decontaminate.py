@@ -89,7 +89,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     met = own.join(_small(prints.withColumn("met", F.lit(1))), "print", "left")
     counted = materialise(met.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("met").alias("met")), "counted")
     suspects = counted.where("met = 1").select(F.col("doc_id").alias("_id"))
-    again = docs.select("doc_id", "text").join(suspects, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # by merging at every size: the ids grow with the documents, so a plan that sends them to all would not last
+    again = docs.select("doc_id", "text").join(suspects.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     union = None
     for n in lengths:
         held = items.where(F.col("n") == n) if n < span else items.where(F.col("n") >= span)
