@@ -14,6 +14,8 @@ from tidemark.session import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language is accepted from this score on.
 LEAST_SCORE = 0.3
+# Ids that grow with the documents join their texts by merging at every size (`hint("merge")`): a plan that sends them to
+# all executors while they are few would not last.
 #: Share of each source in the mix: its own share to this power, made to add up to 1.
 MIX_POWER, MIX_SEED = 0.5, 42
 
@@ -29,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, the one with the smallest id, of each group of near duplicates (5-word shingles, 0.8). Rows that
     repeat an id come down to one, that with the smallest hash of its text."""
     kept = near_dups.near_duplicates(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = docs.select(*COLUMNS).join(kept.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64(*COLUMNS)).alias("h")).where("n > 1"), "repeated_ids")
     if repeated.isEmpty():
         return rows
@@ -42,13 +44,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a benchmark passage."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.select(*COLUMNS).join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with live-looking secrets replaced by a mark; widely copied examples stay as they are."""
     spans = secrets.scan_secrets(docs).where("n_live > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("span_list").alias("_spans"))
-    rows = docs.select(*COLUMNS).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = docs.select(*COLUMNS).join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     live = F.filter("_spans", lambda s: s["verdict"] == "live")
     text = F.when(F.col("_spans").isNotNull(), secrets.mask_spans(F.col("text"), live)).otherwise(F.col("text"))
     n_chars = F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))

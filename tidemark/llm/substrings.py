@@ -227,5 +227,5 @@ def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> D
     ranges = materialise(repeated_ranges(docs, span).where("doc_id is not null"), "ranges")
     # as many ranges as the windows of one text
     per = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per.hint("merge"), "doc_id", "left")
     return rows.mapInArrow(_cutter(span, keep_text), RESULT)
