@@ -1,6 +1,7 @@
 """Hand tables and properties: publication bounds, greedy gaps, exact ranks under skew, no look-ahead."""
 
 import datetime as dt
+import math
 import random
 
 import pandas as pd
@@ -12,9 +13,13 @@ from tidemark.operators import asset_signals as E
 from tidemark.operators import event_signals as G
 from tidemark.operators import features as C
 from tidemark.operators import fundamentals as J
+from tidemark.operators import learning as O
+from tidemark.operators import metrics as M
 from tidemark.operators import outcomes as L
 from tidemark.operators import pit as D
 from tidemark.operators import research as N
+from tidemark.sources import readers
+from tidemark.streaming import jobs
 
 D0 = dt.date(2024, 1, 1)
 
@@ -177,3 +182,65 @@ def test_filing_readers_and_upsert(spark, tmp_path):
     (tmp_path / "REPORTINGOWNER" / "x.tsv").write_text("ACCESSION_NUMBER\tOWNER_NO\tRPTOWNERNAME\tRPTOWNER_RELATIONSHIP\tRPTOWNER_TITLE\n1\t2\tSecond\tDirector\t\n1\t1\tFirst\tOfficer\tCEO\n")
     rows = R.read_filings(spark, str(tmp_path)).collect()
     assert [(r.ticker, r.filed, r.owner, r.shares, r.price) for r in rows] == [("BRK-B", dt.date(2024, 1, 2), "First", 10.0, None)]
+
+
+def test_lineage_of_a_long_chain_and_a_cycle(spark):
+    chain = spark.range(300).selectExpr("id", "case when id > 0 then id - 1 end as parent")
+    rows = N.lineage(chain).collect()
+    assert {(r.root, r.depth - r.id) for r in rows} == {(0, 0)}
+    for parents in ({0: 1, 1: 0}, {0: 1, 1: 2, 2: 0, 3: 2}):
+        with pytest.raises(ValueError, match="cycle"):
+            N.lineage(spark.createDataFrame(list(parents.items()), "id long, parent long"))
+
+
+def test_ledger_books_the_exit_of_a_long_trade(spark):
+    bars = spark.createDataFrame([(1, day(i), 100.0 + i) for i in range(40)], "asset long, ts date, close double")
+    trade = spark.createDataFrame([("s", 1, 1, day(0), day(35), 100.0, 135.0, 10.0, 0.1)], "strategy string, asset long, side int, entry_ts date, exit_ts date, entry double, exit double, risk double, fees_r double")
+    rows = M.ledger_equity(trade, bars, 1000.0, 0.01).orderBy("ts").collect()
+    assert len(rows) == 36
+    steps = [0.1] * 35  # one per close, the last with the fees
+    expected = 1000.0
+    for s in [0.0, *steps[:-1], 0.1 - 0.1]:
+        expected *= 1 + 0.01 * s
+    assert rows[-1].equity == pytest.approx(expected)
+
+
+def test_rows_before_the_first_fit_stay(spark):
+    pool = spark.createDataFrame([("s", 1, day(i), day(i), day(i + 2), 0.5 - i % 2, float(i)) for i in range(12)], "strategy string, asset long, signal_ts date, entry_ts date, exit_ts date, r double, x double")
+    rows = O.meta_label_walkforward(pool, ["x"], 5, 100, 500).collect()
+    assert len(rows) == 12 and all(r.p is None and r.take and r.size == 1.0 for r in rows)
+    assert O.meta_label_walkforward(pool.limit(0), ["x"], 5, 100, 500).isEmpty()
+
+
+def test_normal_distribution_function(spark):
+    xs = [-9.0, -3.0, -0.5, 0.0, 1e-9, 0.7, 2.5, 7.5]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").select(N.normal_cdf(F.col("x")).alias("p")).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], rel=1e-9)
+
+
+def test_long_lists_of_gaps(spark):
+    days_ = sorted(random.Random(4).sample(range(20000), 6000))
+    df = spark.createDataFrame([(1, day(d)) for d in days_], "asset long, ts date")
+    kept, last = [], None
+    for d in days_:
+        if last is None or d - last > 3:
+            kept.append(day(d))
+            last = d
+    assert sorted(r.ts for r in temporal.gap_filter(df, ["asset"], "ts", 3).collect()) == kept
+
+
+def test_sink_rerun_replaces(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2020), (2, 2021)], "x long, year int")
+    for _ in range(2):
+        readers.write_table(df, str(tmp_path / "t"), by=["year"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_cluster_signal_of_late_days(spark, tmp_path):
+    """Three files, one at a time: the second brings owners of an earlier day, the third moves the watermark."""
+    files = [[(9, o, 10) for o in range(7)], [(9, 7, 9), (9, 8, 9)], [(9, 1, 20), (8, 1, 20)], [(8, 1, 30)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(a, o, dt.datetime(2024, 1, d)) for a, o, d in rows], "asset long, owner long, day timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("asset long, owner long, day timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fired = [(r.asset, r.day) for r in jobs.run(jobs.cluster_signals(stream, 8, 3)).collect()]
+    assert fired == [(9, dt.date(2024, 1, 10))]

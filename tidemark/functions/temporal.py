@@ -82,19 +82,37 @@ def on_session(events: DataFrame, bars: DataFrame, day: str = "day", by: str = "
 def gap_filter(df: DataFrame, by: Sequence[str], at: str, gap: int) -> DataFrame:
     """Keep a moment only when it is more than `gap` units after the last kept one (dates: days; integers: steps).
 
-    One array per key, of distinct days: never longer than the calendar.
+    One array per key, of distinct days: never longer than the calendar. Only the last kept day is carried.
     """
     by = list(by)
     is_date = dict(df.dtypes)[at] == "date"
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        far = F.datediff(x, last) > gap if is_date else x - last > gap
-        return F.when((F.size(kept) == 0) | far, F.concat(kept, F.array(x))).otherwise(kept)
-
     kind = dict(df.dtypes)[at]
-    return (df.groupBy(*by).agg(F.sort_array(F.collect_set(at)).alias("_all"))
-            .select(*by, F.explode(F.aggregate("_all", F.expr(f"cast(array() as array<{kind}>)"), step)).alias(at)))
+
+    def far(last: Column, x: Column) -> Column:
+        return last.isNull() | (F.datediff(x, last) > gap if is_date else x - last > gap)
+
+    kept = pick(F.col("_all"), F.lit(None).cast(kind), far, lambda x: x, lambda x: x, kind)
+    return df.groupBy(*by).agg(F.sort_array(F.collect_set(at)).alias("_all")).select(*by, F.explode(kept).alias(at))
+
+
+def pick(items: Column, start: Column, takes, after, value, kind: str) -> Column:
+    """Walk an array and keep `value(x)` of each x that `takes(state, x)`, the state then being `after(x)`.
+
+    Appending copies an array, so what is kept is gathered in blocks of the square root of the length: k^1.5 copied
+    elements instead of k^2. The array must not be empty, as lists of a group never are.
+    """
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    size = F.ceil(F.sqrt(F.size(items))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(items), size), lambda i: F.slice(items, i, size))
+    one = lambda acc, x: F.when(takes(acc["state"], x), F.struct(after(x).alias("state"), F.concat(acc["kept"], F.array(value(x))).alias("kept"))).otherwise(acc)
+    walk = lambda block, state: F.aggregate(block, F.struct(state.alias("state"), empty.alias("kept")), one)
+
+    def join(acc: Column, block: Column) -> Column:
+        done = walk(block, acc["state"])
+        return F.struct(done["state"].alias("state"), F.concat(acc["kept"], done["kept"]).alias("kept"))
+
+    return F.aggregate(blocks, F.struct(start.alias("state"), empty.alias("kept")), join)["kept"]
 
 
 def trailing_distinct(events: DataFrame, by: Sequence[str], who: str, day: str, days: int,

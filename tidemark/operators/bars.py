@@ -111,7 +111,7 @@ def closing_bars(bars: DataFrame, data_end: DataFrame, n: int, back_short: int =
     failed = (F.col("close") < 1) | ((F.col("close") <= 0.6 * F.col("_short")) & (F.col("close") <= 0.3 * F.col("_long")))
     price = F.when(failed, floor).otherwise(F.col("close"))
     days = F.slice(F.filter(F.sequence(F.date_add("ts", 1), F.date_add("ts", 2 * n + 4)), lambda d: F.weekday(d) < 5), 1, n)
-    return (last.select("asset", price.alias("price"), F.explode(days).alias("ts")).join(data_end, F.col("ts") <= F.col("data_end"))
+    return (last.select("asset", price.alias("price"), F.explode(days).alias("ts")).filter(F.col("ts") <= data_end.select("data_end").scalar())
             .select("asset", "ts", *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], F.lit(0.0).alias("volume")))
 
 
@@ -119,9 +119,10 @@ def retired(bars: DataFrame, cal: DataFrame, quiet: int = 5) -> DataFrame:
     """Assets without a bar on the last `quiet` shared sessions: one blocked flat bar for each of those sessions."""
     recent = cal.orderBy(F.desc("ts")).limit(quiet)
     last = bars.groupBy("asset").agg(F.max("ts").alias("last_ts"), F.max_by("close", "ts").alias("price"))
-    since = recent.agg(F.min("ts").alias("since"))
-    gone = last.join(since, F.col("last_ts") < F.col("since"))
-    return gone.join(recent.select("ts"), F.col("ts") > F.col("last_ts")).select("asset", "ts", "price", F.lit(True).alias("blocked"))
+    days = recent.agg(F.sort_array(F.collect_list("ts")).alias("d")).select("d")  # `quiet` dates
+    gone = last.filter(F.col("last_ts") < recent.agg(F.min("ts").alias("since")).select("since").scalar())
+    open_days = F.filter("_days", lambda d: d > F.col("last_ts"))
+    return gone.withColumn("_days", days.scalar()).withColumn("ts", F.explode(open_days)).select("asset", "ts", "price", F.lit(True).alias("blocked"))
 
 
 def next_bar(last: DataFrame, sessions: DataFrame, bar_minutes: int = 60) -> DataFrame:
@@ -175,9 +176,12 @@ def year_end_holidays(days: DataFrame) -> DataFrame:
 
 
 def align_to_calendar(bars: DataFrame, cal: DataFrame) -> DataFrame:
-    """Each asset's close on every session of the calendar from its first bar on, carried forward."""
-    first = bars.groupBy("asset").agg(F.min("ts").alias("_first"))
-    grid = first.join(cal.select("ts"), F.col("ts") >= F.col("_first")).select("asset", "ts")
+    """Each asset's close on every session of the calendar from its first bar on one of them, carried forward. Sessions
+    are numbered (a row per session) and met by number."""
+    days = cal.select("ts").distinct().withColumn("sno", F.row_number().over(Window.orderBy("ts")))
+    first = bars.join(days, "ts").groupBy("asset").agg(F.min("sno").alias("_first"))
+    last = days.agg(F.max("sno").alias("n")).select("n").scalar()
+    grid = first.withColumn("sno", F.explode(F.sequence("_first", last))).join(days, "sno").select("asset", "ts")
     w = own().rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(bars.select("asset", "ts", "close"), ["asset", "ts"], "left").withColumn(
         "close", F.last("close", ignorenulls=True).over(w))

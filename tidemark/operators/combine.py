@@ -61,19 +61,24 @@ def union_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def candidate_id(fields: list[str]) -> Column:
-    """Stable id: the start of the SHA-1 of the canonical JSON of the deciding fields."""
-    return F.substring(F.sha1(F.to_json(F.struct(*sorted(fields)))), 1, 10)
+    """Stable id: the SHA-1 of the canonical JSON of the deciding fields. Joins use the whole of it; show `short_id`."""
+    return F.sha1(F.to_json(F.struct(*sorted(fields))))
+
+
+def short_id(column: str = "id") -> Column:
+    return F.substring(column, 1, 10)
 
 
 def parameter_grid(families: DataFrame, rules: DataFrame, segments: DataFrame) -> DataFrame:
     """Every family version with every rule and segment of its kind, with a stable id.
 
-    `families(family, kind, params array<map<string,double>>)`, `rules(kind, rule)`, `segments(kind, segment)`: equi-joins
-    on the kind, so the product is formed per kind without a cross join.
+    `families(family, kind, params array<map<string,double>>)`, `rules(kind, rule)`, `segments(kind, segment)`: the rules
+    and segments of a kind are one row with two short arrays, which the families meet by kind and spread locally.
     """
     versions = families.select("family", "kind", F.explode("params").alias("params"))
     ordered = versions.withColumn("params", F.map_from_entries(F.array_sort(F.map_entries("params"))))
-    df = ordered.join(rules, "kind").join(segments, "kind")
+    choices = rules.groupBy("kind").agg(F.collect_set("rule").alias("_rules")).join(segments.groupBy("kind").agg(F.collect_set("segment").alias("_segments")), "kind")
+    df = ordered.join(choices, "kind").withColumn("rule", F.explode("_rules")).withColumn("segment", F.explode("_segments"))
     return df.select(candidate_id(["family", "params", "rule", "segment"]).alias("id"), "family", "params", "rule", "segment")
 
 

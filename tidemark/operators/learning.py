@@ -6,6 +6,7 @@ p x p matrix per fold.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 import numpy as np
@@ -148,10 +149,15 @@ def meta_features(df: DataFrame) -> DataFrame:
 
 def meta_label_walkforward(pool: DataFrame, features: Sequence[str], refit_days: int, memory: int, least: int, trees: int = 10) -> DataFrame:
     """Probability of a win from trees refitted every `refit_days` on the newest outcomes closed before, the expected value
-    from each strategy's usual win and loss, and the size it earns."""
+    from each strategy's usual win and loss, and the size it earns.
+
+    Each fit learns from the newest `memory` outcomes, a bound on labelled rows. Where fewer than `least` outcomes are
+    known there is no model: the row stays with null p and ev, is taken, and has size 1."""
+    plain = lambda df: df.withColumns({"p": F.lit(None).cast("double"), "ev": F.lit(None).cast("double"), "take": F.lit(True), "size": F.lit(1.0)})
     first, end = (r := pool.agg(F.min("entry_ts"), F.max("entry_ts")).first())[0], r[1]
+    if first is None:
+        return plain(pool)
     out, at = None, first
-    import datetime as dt
     while at <= end:
         upto = at + dt.timedelta(days=refit_days)
         known = pool.filter(F.col("exit_ts") < F.lit(at)).orderBy(F.desc("exit_ts"), "asset", "signal_ts").limit(memory)
@@ -163,7 +169,9 @@ def meta_label_walkforward(pool: DataFrame, features: Sequence[str], refit_days:
             scored = model.transform(assembled(test, features)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction").join(pay, "strategy", "left")
             ev = F.col("p") * F.coalesce("_win", F.lit(1.0)) - (1 - F.col("p")) * F.coalesce("_loss", F.lit(1.0))
             scored = scored.withColumn("ev", ev).drop("_win", "_loss").withColumn("take", F.col("ev") >= 0).withColumn("size", F.least(F.greatest(1 + F.col("ev") / 0.25, F.lit(0.5)), F.lit(2.0)))
-            out = scored if out is None else out.unionByName(scored)
+        else:
+            scored = plain(test)
+        out = scored if out is None else out.unionByName(scored)
         at = upto
     return out
 

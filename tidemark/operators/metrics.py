@@ -80,12 +80,14 @@ def trading_stats(equity: DataFrame, ppy: int = 365) -> DataFrame:
     return base.join(m, "account").select("account", "return", "sharpe", "max_dd", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s")).otherwise(0.0).alias("sr_daily"), "n_days", skew.alias("skew"), kurt.alias("kurt"))
 
 
-def ledger_equity(trades: DataFrame, bars: DataFrame, capital: float, risk: float, max_bars: int, by: str = "strategy") -> DataFrame:
-    """Equity of a ledger: each trade risks a fixed fraction, its R is marked at every close it is held, sums compound."""
+def ledger_equity(trades: DataFrame, bars: DataFrame, capital: float, risk: float, by: str = "strategy") -> DataFrame:
+    """Equity of a ledger: each trade risks a fixed fraction, its R is marked at every close from entry to
+    exit, sums compound."""
     t = trades.select(by, "asset", "side", "entry_ts", "exit_ts", "entry", "exit", "risk", "fees_r")
     b = bars.select("asset", "ts", "close", (F.row_number().over(own()) - 1).alias("bn"))
     at = t.join(b.select("asset", F.col("ts").alias("entry_ts"), F.col("bn").alias("_p")), ["asset", "entry_ts"])
-    held = at.withColumn("bn", F.explode(F.sequence(F.col("_p"), F.col("_p") + max_bars))).join(b, ["asset", "bn"]).filter(F.col("ts") <= F.col("exit_ts"))
+    at = at.join(b.select("asset", F.col("ts").alias("exit_ts"), F.col("bn").alias("_e")), ["asset", "exit_ts"])
+    held = at.withColumn("bn", F.explode(F.sequence("_p", "_e"))).join(b, ["asset", "bn"])
     mark = F.when(F.col("ts") == F.col("exit_ts"), F.col("exit")).otherwise(F.col("close"))
     now = F.col("side") * (mark - F.col("entry")) / F.col("risk") - F.when(F.col("ts") == F.col("exit_ts"), F.col("fees_r")).otherwise(0.0)
     w = Window.partitionBy(by, "asset", "entry_ts").orderBy("bn")

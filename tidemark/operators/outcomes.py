@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank
+from ..functions.temporal import pick
 from ..functions.windows import own
 
 
@@ -119,12 +120,8 @@ def non_overlapping(trades: DataFrame, by: Sequence[str] = ("asset",)) -> DataFr
     free = F.col("exit_no") + F.when(F.col("at_open"), 0).otherwise(1)
     lists = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("fill_no", free.alias("free")))).alias("_t"))
 
-    def step(state: Column, t: Column) -> Column:
-        take = t["fill_no"] >= state["free"]
-        return F.when(take, F.struct(F.concat(state["kept"], F.array(t["fill_no"])).alias("kept"), t["free"].alias("free"))).otherwise(state)
-
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("kept"), F.lit(0).alias("free"))
-    kept = lists.select(*keys, F.explode(F.aggregate("_t", start, step)["kept"]).alias("fill_no"))
+    kept = pick(F.col("_t"), F.lit(0), lambda free, t: t["fill_no"] >= free, lambda t: t["free"], lambda t: t["fill_no"], "int")
+    kept = lists.select(*keys, F.explode(kept).alias("fill_no"))
     return trades.join(kept, [*keys, "fill_no"], "left_semi")
 
 

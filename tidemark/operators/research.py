@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ranks import average_rank, group_quantiles
 from ..functions.temporal import islands
@@ -152,13 +152,18 @@ def effective_n(bar: float) -> float:
     return math.sqrt(low * high)
 
 
+#: Hart's rational approximation of the normal tail, highest power first (double precision below 7.07).
+TAIL_TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+TAIL_BELOW = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+
+
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function, batched through Arrow."""
-    @F.pandas_udf(T.DoubleType())
-    def phi(v):
-        import math as m
-        return v.map(lambda q: 0.5 * m.erfc(-q / m.sqrt(2)) if q == q else None)
-    return phi(x)
+    """Standard normal distribution function from built-in functions."""
+    a = F.abs(x)
+    horner = lambda cs: reduce(lambda acc, c: acc * a + c, cs[1:], F.lit(cs[0]))
+    far = reduce(lambda acc, k: a + k / acc, (4, 3, 2, 1), a + 0.65) * math.sqrt(2 * math.pi)
+    tail = F.exp(-a * a / 2) * F.when(a < 7.07106781186547, horner(TAIL_TOP) / horner(TAIL_BELOW)).otherwise(1 / far)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def deflated(stats: DataFrame, bar: float) -> DataFrame:
@@ -186,14 +191,20 @@ def trade_bootstrap(trades: DataFrame, draws: int, seed: int = 1) -> DataFrame:
     return means.agg(F.percentile("mean_r", F.lit(0.05)).alias("p05"), F.percentile("mean_r", F.lit(0.95)).alias("p95"), F.avg((F.col("mean_r") <= 0).cast("double")).alias("p_loss"))
 
 
-def lineage(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def lineage(nodes: DataFrame) -> DataFrame:
     """Root and depth of every node by pointer doubling: each round doubles the distance covered, written once per round
-    so that the plan does not grow. `nodes(id, parent)`; roots have no parent."""
-    df = nodes.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, math.ceil(math.log2(max_depth)))):
-        df = materialise(df, "lineage")
+    so that the plan does not grow, until a round moves nothing. `nodes(id, parent)`; roots have no parent, a parent that
+    is no node is a root. Raises when parents form a cycle."""
+    df = materialise(nodes.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "lineage")
+    rounds = math.ceil(math.log2(max(2, df.count()))) + 2
+    for _ in range(rounds):
         above = df.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        df = df.join(above, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"))
+        df = df.join(above, "up", "left").select("id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("_up") != F.col("up")).alias("moved"))
+        df = materialise(df, "lineage")
+        if df.filter("moved").isEmpty():
+            break
+    if not df.filter("moved or (id = up and depth > 0)").isEmpty():
+        raise ValueError("the parents form a cycle")
     return df.select("id", F.col("up").alias("root"), "depth")
 
 

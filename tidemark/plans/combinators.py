@@ -6,6 +6,7 @@ from ..functions.windows import enters, rolling
 from ..operators import combine as H
 from ..operators import event_signals as G
 from ..operators import panel_signals as P
+from ..session import materialise
 from ..sources import bindings as S
 from .asset_signals import donchian, full, sweeps
 from .catalog import cte, query
@@ -110,7 +111,7 @@ def h8(spark, sf):
 
 
 GRID_JSON = """'{"family":"' || family || '","params":{"n":' || cast(n as varchar) || ',"share":' || cast(share as varchar) || '},"rule":"' || rule || '","segment":"' || segment || '"}'"""
-cte("grid_c", f"""select substr(sha1({GRID_JSON}), 1, 10) as id, family, n, share, rule, segment from (select distinct p_brand as family, cast(p_size as double) as n, 0.05 + (p_partkey % 8) / 10 as share from part),
+cte("grid_c", f"""select sha1({GRID_JSON}) as id, family, n, share, rule, segment from (select distinct p_brand as family, cast(p_size as double) as n, 0.05 + (p_partkey % 8) / 10 as share from part),
   (select distinct c_mktsegment as rule from customer), (select r_name as segment from region)""")
 
 
@@ -120,12 +121,14 @@ def grid(spark, sf):
     fam = p.withColumn("e", F.map_entries("m")).groupBy("family", "kind", "e").agg(F.first("m").alias("m"))
     rules = S.table(spark, sf, "customer").select(F.lit("all").alias("kind"), F.col("c_mktsegment").alias("rule")).distinct()
     segments = S.table(spark, sf, "region").select(F.lit("all").alias("kind"), F.col("r_name").alias("segment"))
-    return H.parameter_grid(fam.select("family", "kind", F.array("m").alias("params")), rules, segments)
+    # written first: a kind that the planner knows to be constant would make the join by kind a cross join
+    fam, rules, segments = (materialise(df, "grid-part") for df in (fam.select("family", "kind", F.array("m").alias("params")), rules, segments))
+    return H.parameter_grid(fam, rules, segments)
 
 
-@query("h9_parameter_grid", "select * from grid_c")
+@query("h9_parameter_grid", "select *, substr(id, 1, 10) as shown from grid_c")
 def h9(spark, sf):
-    return grid(spark, sf).select("id", "family", F.col("params")["n"].alias("n"), F.col("params")["share"].alias("share"), "rule", "segment")
+    return grid(spark, sf).select("id", H.short_id().alias("shown"), "family", F.col("params")["n"].alias("n"), F.col("params")["share"].alias("share"), "rule", "segment")
 
 
 @query("h10_param_neighbours", """select id, 'n' as name, nn as n, share from (select id, n, share, greatest(1, floor(n * f + 0.5)) as nn from grid_c, (values (0.7e0), (1.4e0)) v(f)) where nn <> n

@@ -98,7 +98,7 @@ cte("ledeq", "select account, ts, ret, 10000 * exp(sum(ln(1 + ret)) over (partit
 
 
 def ledger(spark, sf):
-    return M.ledger_equity(trades(spark, sf), BARS(spark, sf), 10000.0, 0.001, 9)
+    return M.ledger_equity(trades(spark, sf), BARS(spark, sf), 10000.0, 0.001)
 
 
 @query("m7_ledger_equity", "select account, ts, round(equity, 6) as equity from ledeq")

@@ -1,5 +1,7 @@
 """N: research statistics of four candidate strategies and of the suppliers' weekly returns as tries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import asset_signals as E
@@ -138,9 +140,21 @@ def n8(spark, sf):
     return rounded(N.null_max(materialise(weekly(spark, sf), "weekly"), 50))
 
 
-@query("n9_deflated")
+def horner_sql(coefficients) -> str:
+    text = str(coefficients[0])
+    for c in coefficients[1:]:
+        text = f"({text} * a + {c})"
+    return text
+
+
+cte("tstat", "select try_id, any_value(n) as weeks, any_value(m / s) as sharpe, any_value(m / s * sqrt(n)) as t, avg(pow((r - m) / p, 3)) as skew, avg(pow((r - m) / p, 4)) as kurt from (select *, count(*) over w as n, avg(r) over w as m, stddev_samp(r) over w as s, stddev_pop(r) over w as p from hw window w as (partition by try_id)) group by 1")
+cte("tz", f"select *, (sharpe - {N.expected_max(100)!r} / sqrt(weeks)) * sqrt(greatest(weeks - 1, 1)) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)) as z from tstat")
+cte("ttail", f"""select *, exp(-a * a / 2) * case when a < 7.07106781186547e0 then {horner_sql([f'{c!r}::double' for c in N.TAIL_TOP])} / {horner_sql([f'{c!r}::double' for c in N.TAIL_BELOW])}
+  else 1 / ((a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65e0))))) * {(2 * math.pi) ** 0.5!r}) end as tail from (select *, abs(z) as a from tz)""")
+
+
+@query("n9_deflated", "select try_id, weeks, round(sharpe, 6) as sharpe, round(t, 6) as t, round(skew, 6) as skew, round(kurt, 6) as kurt, round(case when z > 0 then 1 - tail else tail end, 6) as deflated from ttail")
 def n9(spark, sf):
-    """Without a SQL twin: the normal distribution function is not in standard SQL."""
     w = materialise(weekly(spark, sf), "weekly")
     bar = N.expected_max(100)
     return rounded(N.deflated(N.try_stats(w), bar))
@@ -156,7 +170,7 @@ def n11(spark, sf):
 def n12(spark, sf):
     k = F.col("c_custkey")
     nodes = S.table(spark, sf, "customer").select(k.alias("id"), F.expr("case when c_custkey % 50 <> 0 then c_custkey - 1 - c_custkey % 3 % (c_custkey % 50) end").alias("parent"))
-    return N.lineage(nodes, 64)
+    return N.lineage(nodes)
 
 
 CAMP = "select c_custkey as id, c_custkey - c_custkey % 50 as root, c_custkey % 50 // 5 as depth, cast(round(c_acctbal) as int) % 15 as passed, case when c_custkey % 7 > 0 then c_acctbal / 1000 end as icir from customer"

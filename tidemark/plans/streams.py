@@ -41,7 +41,7 @@ def q4(spark, sf):
 
 @query("q5_stream_cluster_signal", "select asset, date '1970-01-01' + cast(dn as int) as day from sgr",
        sbuys="select user_id % 10 as asset, user_id as owner, cast(ts as date) as day from events where event_type = 'purchase'",
-       sn="select a.asset, a.day, count(distinct b.owner) as n from (select distinct asset, day from sbuys) a join sbuys b on b.asset = a.asset and b.day between a.day - 2 and a.day group by 1, 2 having count(distinct b.owner) >= 8",
+       sn="select a.asset, a.day, count(distinct b.owner) as n from (select distinct asset, day from sbuys) a join sbuys b on b.asset = a.asset and b.day between a.day - 2 and a.day group by 1, 2 having count(distinct b.owner) >= 8 and a.day < (select max(day) from sbuys) - 1",
        sx="select asset, dn, min(dn) over (partition by asset order by dn range between 4 following and unbounded following) as nxt from (select asset, cast(date_diff('day', date '1970-01-01', day) as bigint) as dn from sn)",
        sgr="select asset, min(dn) as dn from sx group by asset union all select x.asset, x.nxt from sgr g join sx x on x.asset = g.asset and x.dn = g.dn where x.nxt is not null")
 def q5(spark, sf):

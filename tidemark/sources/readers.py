@@ -188,9 +188,11 @@ def universe_lookup(today: DataFrame, past: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ()) -> None:
-    """Sink in parquet, compressed CSV or JSON lines."""
-    w = df.write.mode("append")
+    """Sink in parquet, compressed CSV or JSON lines. A rerun replaces what it wrote: the whole table, or with `by` the
+    partitions it has rows for."""
+    w = df.write.mode("overwrite")
     if by:
+        w = w.option("partitionOverwriteMode", "dynamic")
         w = w.partitionBy(*by)
     if fmt == "csv":
         w.option("header", True).option("compression", "gzip").csv(path)

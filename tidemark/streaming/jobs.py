@@ -80,30 +80,40 @@ def bursts(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
 
 
 def cluster_signals(filings: DataFrame, buyers: int, days: int, delay: str = "1 day") -> DataFrame:
-    """The day the number of different buyers within `days` reaches `buyers`, at most one per `days`; exact across batches.
+    """The day the number of different buyers in (day - days, day] reaches `buyers`, at most one per `days`.
 
-    State per asset: the (day, owner) pairs of the trailing window and the last signal day. Copies collapse before the
-    state; `filings(asset, owner, day timestamp)`.
+    A day is judged once the watermark has passed it, so days that come late, out of order or in several batches give
+    what one batch over all of them would. State per asset: the different (day, owner) pairs that a day to come can still
+    count, and the last signal day; a timer judges days that no new row follows and drops idle assets. Copies collapse
+    before the state; `filings(asset, owner, day timestamp)`.
     """
+    day_ms = 86_400_000
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last = state.get if state.exists else ([], -10**6)
-        recent = {tuple(x) for x in seen}
-        new = pd.concat(list(batches))
-        days_ = (pd.to_datetime(new["day"]).astype("datetime64[s]").astype("int64") // 86400).to_numpy()
-        by_day: dict[int, set] = {}
-        for d, o in zip(days_, new["owner"]):
-            by_day.setdefault(int(d), set()).add(int(o))
+        seen, last, done = state.get if state.exists else ([], -10**6, -10**6)
+        pairs = {tuple(x) for x in seen}
+        for batch in batches:
+            numbers = pd.to_datetime(batch["day"]).astype("datetime64[s]").astype("int64") // 86400
+            pairs.update(zip(numbers.astype(int).tolist(), batch["owner"].astype(int).tolist()))
+        mark = state.getCurrentWatermarkMs()
+        final = -(-mark // day_ms) - 1  # the newest day that begins before the watermark
         fired = []
-        for d in sorted(by_day):
-            recent = {(x, o) for x, o in recent if x > d - days} | {(d, o) for o in by_day[d]}
-            if len({o for _, o in recent}) >= buyers and d - last > days:
+        for d in sorted({d for d, _ in pairs if done < d <= final}):
+            if d - last > days and len({o for x, o in pairs if d - days < x <= d}) >= buyers:
                 fired.append(d)
                 last = d
-        state.update(([list(x) for x in sorted(recent)], last))
+        done = max(done, final)
+        pairs = {(x, o) for x, o in pairs if x > done - days}
+        if pairs:
+            state.update(([list(x) for x in sorted(pairs)], last, done))
+            waiting = [x for x, _ in pairs if x > done]
+            state.setTimeoutTimestamp(max(mark, min(waiting) * day_ms if waiting else max(x for x, _ in pairs) * day_ms + days * day_ms) + 1)
+        else:
+            state.remove()
         yield pd.DataFrame({"asset": [key[0]] * len(fired), "day": pd.to_datetime(fired, unit="D").date})
 
     slim = filings.withWatermark("day", delay).dropDuplicatesWithinWatermark(["asset", "owner", "day"])
-    return slim.groupBy("asset").applyInPandasWithState(step, "asset long, day date", "recent array<array<long>>, last long", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("asset").applyInPandasWithState(step, "asset long, day date", "recent array<array<long>>, last long, done long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def touch_alerts(prices: DataFrame, plan: DataFrame, delay: str = "10 minutes") -> DataFrame:
