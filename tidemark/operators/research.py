@@ -290,3 +290,19 @@ def study_table(trades: DataFrame, windows: dict[str, tuple[str, str]]) -> DataF
 def exit_rule_grid(stats: DataFrame, least: int = 10) -> DataFrame:
     """Best rule per strategy by mean over deviation of R among rules with `least` trades. `stats(strategy, rule, trades, quality)`."""
     return stats.filter(F.col("trades") >= least).groupBy("strategy").agg(F.max_by("rule", F.struct("quality", "rule")).alias("best_rule"), F.max("quality").alias("quality"))
+
+
+def forward_report(graduates: DataFrame, edges: DataFrame, twins: DataFrame, end: Column, least_weeks: float = 6) -> DataFrame:
+    """What each graduate has done since its own start, beside its random twin: weeks, signals, total and mean edge, and
+    a status. `graduates(strategy, since)`, `edges` and `twins(strategy, ts, edge)`; a graduate without a new signal says so."""
+    def since(df: DataFrame, **aggs: Column) -> DataFrame:
+        return df.join(graduates, "strategy").filter(F.col("ts") >= F.col("since")).groupBy("strategy").agg(*[v.alias(k) for k, v in aggs.items()])
+
+    own_ = since(edges, signals=F.count("edge"), total=F.sum("edge"), avg_edge=F.avg("edge"))
+    rnd = since(twins, rand_avg_edge=F.avg("edge"))
+    df = graduates.join(own_, "strategy", "left").join(rnd, "strategy", "left").withColumn("signals", F.coalesce("signals", F.lit(0).cast("long")))
+    df = df.withColumn("weeks", F.round(F.datediff(end, "since") / 7, 1))
+    good = (F.col("total") > 0) & (F.col("avg_edge") > F.col("rand_avg_edge"))
+    early = F.when(F.col("weeks") < least_weeks, " (too early to judge)").otherwise("")
+    status = F.when(F.col("signals") == 0, "no new bars yet").otherwise(F.concat(F.when(good, "holding up").otherwise("behind"), early))
+    return df.select("strategy", "since", "weeks", "signals", "total", "avg_edge", "rand_avg_edge", status.alias("status"))

@@ -11,13 +11,13 @@ from ..operators import panel_signals as P
 from ..operators import research as N
 from ..session import materialise
 from ..sources import bindings as S
-from .asset_signals import donchian_sql, fired, full, two, uniform_sql
+from .asset_signals import DAYNO, donchian_sql, fired, full, two, uniform_sql
 from .bars import cal_d
 from .catalog import cte, query
 from .combinators import grid
 from .event_signals import BARS, PAN
 from .metrics import pairs
-from .outcomes import edge_cte, rounded, trades
+from .outcomes import edge_cte, rounded, signals, trades
 
 SETS = {"sweep-4": ("sweep", 4), "sweep-8": ("sweep", 8), "donchian-10": ("donchian", 10), "donchian-16": ("donchian", 16)}
 
@@ -214,6 +214,27 @@ def n21(spark, sf):
     return N.time_split(S.hourly_bars(spark, sf))
 
 
+cte("twin2", " union all ".join(f"""select '{k}' as strategy, asset, ts, case when {uniform_sql(8, 'asset', DAYNO)} < 0.5 then 1 else -1 end as side from (
+  select b.asset, b.ts, count(s.side) over (partition by b.asset) / count(*) over (partition by b.asset) as rate from bars_w b left join {t} s using (asset, ts)) where {uniform_sql(7, 'asset', DAYNO)} < rate""" for k, t in (("sweep", "e16_w"), ("donchian", "e1_w"))))
+edge_cte("tedges", "twin2", ["strategy", "asset"], [5])
+edge_cte("oedges", "sig2", ["strategy", "asset"], [5])
+
+
+@query("n23_forward_report", """select strategy, since, round(date_diff('day', since, last) / 7, 1) as weeks, coalesce(n, 0) as signals, round(total, 6) as total, round(m, 6) as avg_edge, round(r, 6) as rand_avg_edge,
+  case when coalesce(n, 0) = 0 then 'no new bars yet' else (case when coalesce(total > 0 and m > r, false) then 'holding up' else 'behind' end) || (case when date_diff('day', since, last) / 7 < 5.95 then ' (too early to judge)' else '' end) end as status
+  from grads left join (select strategy, count(edge) as n, sum(edge) as total, avg(edge) as m from oedges join grads using (strategy) where ts >= since group by 1) using (strategy)
+  left join (select strategy, avg(edge) as r from tedges join grads using (strategy) where ts >= since group by 1) using (strategy)""",
+       grads="select strategy, cast(last - back as date) as since, last from (values ('sweep', 1500), ('donchian', 30)) v(strategy, back), (select max(ts) as last from bars_w)")
+def n23(spark, sf):
+    bars = BARS(spark, sf)
+    own_ = signals(spark, sf)
+    twins = [E.random_twin(own_.filter(F.col("strategy") == k).drop("strategy"), bars, 7).select(F.lit(k).alias("strategy"), "asset", "ts", "side") for k in ("sweep", "donchian")]
+    edge = lambda s: L.edge_events(s, C.with_atr(bars), [5], ["strategy", "asset"])
+    last = bars.agg(F.max("ts").alias("last")).select("last")
+    grads = spark.createDataFrame([("sweep", 1500), ("donchian", 30)], "strategy string, back int").withColumn("last", last.scalar()).select("strategy", F.date_sub("last", F.col("back")).alias("since"))
+    return rounded(N.forward_report(grads, edge(own_), edge(twins[0].unionByName(twins[1])), last.scalar()))
+
+
 @query("n24_coverage_counts", "select rule, segment, count(*) as tries from grid_c group by 1, 2")
 def n24(spark, sf):
     return grid(spark, sf).groupBy("rule", "segment").agg(F.count("*").alias("tries"))
