@@ -244,3 +244,27 @@ def test_cluster_signal_of_late_days(spark, tmp_path):
     stream = spark.readStream.schema("asset long, owner long, day timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     fired = [(r.asset, r.day) for r in jobs.run(jobs.cluster_signals(stream, 8, 3)).collect()]
     assert fired == [(9, dt.date(2024, 1, 10))]
+
+
+def _files(spark, folder, files, schema):
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_decisions_survive_a_restart(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / k) for k in ("in", "out", "checkpoint"))
+    schema = "asset long, day date, decision string"
+    once = lambda: jobs.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), merge=jobs.first_write_wins(["asset", "day"]), out=out, checkpoint=checkpoint, prune="day")
+    _files(spark, source, [[(1, day(0), "a"), (2, day(0), "b")], [(1, day(1), "c")]], schema)
+    assert once().count() == 3
+    _files(spark, source, [[(1, day(0), "later"), (3, day(0), "d")]], schema)
+    assert sorted((r.asset, r.day, r.decision) for r in once().collect()) == [(1, day(0), "a"), (1, day(1), "c"), (2, day(0), "b"), (3, day(0), "d")]
+
+
+def test_late_alerts_are_told(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    files = [[(1, at(10))], [(1, at(9.9)), (1, at(12))], [(1, at(16.5))], [(2, at(40))], [(2, at(41))]]
+    _files(spark, str(tmp_path / "in"), files, "asset long, ts timestamp")
+    stream = spark.readStream.schema("asset long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r.asset, r.ts, r.kind) for r in jobs.run(jobs.alert_throttle(stream, 6, "1 hour")).collect())
+    assert got == [(1, at(9.9), "alert"), (1, at(16.5), "alert"), (1, at(22.5), "over")]

@@ -57,7 +57,7 @@ def q6(spark, sf):
     return Q.run(Q.touch_alerts(p, plan))
 
 
-@query("q7_stream_alert_throttle", "select asset, ts from thr", thr0="select user_id as asset, ts, row_number() over (partition by user_id order by ts) as k from events where event_type = 'error'",
+@query("q7_stream_alert_throttle", f"select asset, ts, 'alert' as kind from thr where ts < {DONE.format('10 minutes').replace('events', 'thr0')} union all select asset, ts + interval 6 hours, 'over' from (select asset, ts, lead(ts) over (partition by asset order by k) as n from thr0) where (n is null or n - ts >= interval 6 hours) and ts + interval 6 hours <= {DONE.format('10 minutes').replace('events', 'thr0')}", thr0="select user_id as asset, ts, row_number() over (partition by user_id order by ts) as k from events where event_type = 'error'",
        thrx="select a.asset, a.k, a.ts, min(b.k) as nxt from thr0 a left join thr0 b on b.asset = a.asset and b.ts >= a.ts + interval 6 hours group by 1, 2, 3", thr="select asset, k, ts, nxt from thrx where k = 1 union all select x.asset, x.k, x.ts, x.nxt from thr t join thrx x on x.asset = t.asset and x.k = t.nxt")
 def q7(spark, sf):
     return Q.run(Q.alert_throttle(events(spark, sf).filter("event_type = 'error'").select(F.col("user_id").alias("asset"), "ts"), 6))
@@ -66,7 +66,7 @@ def q7(spark, sf):
 @query("q8_stream_frozen_decisions", "select user_id as asset, cast(ts as date) as day, first(event_type order by ts, event_id) as decision from events group by 1, 2")
 def q8(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("asset"), F.col("ts").cast("date").alias("day"), "ts", "event_id", F.col("event_type").alias("decision"))
-    return Q.run(e, merge=Q.first_write_wins(["asset", "day"])).select("asset", "day", "decision")
+    return Q.run(e, merge=Q.first_write_wins(["asset", "day"]), prune="day").select("asset", "day", "decision")
 
 
 @query("q9_stream_late_data", "select user_id as asset, cast(ts as date) as day, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
@@ -92,5 +92,5 @@ def q11(spark, sf):
 @query("q12_stream_running_equity", "select user_id as account, round(last(value order by ts, event_id), 4) as equity, round(max(value), 4) as best, round(last(value order by ts, event_id) / max(value) - 1, 6) as drawdown from events group by 1")
 def q12(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("account"), F.col("value").alias("equity"), F.struct("ts", "event_id").alias("seq"))
-    df = Q.run(Q.running_equity(e), "complete")
+    df = Q.run(Q.running_equity(e), "update", ["account"])
     return df.select("account", F.round("equity", 4).alias("equity"), F.round("best", 4).alias("best"), F.round("drawdown", 6).alias("drawdown"))

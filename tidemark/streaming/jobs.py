@@ -17,37 +17,38 @@ from ..operators.bars import build_bars
 from ..session import scratch_path
 
 
-def run(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), merge: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None) -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+        out: str | None = None, checkpoint: str | None = None, prune: str | None = None) -> DataFrame:
     """Process everything available and return the resulting table.
 
     append: all emitted rows; update: the last version of each key; complete: the last result. `merge(batch, stored)` may
-    reduce a batch against what is stored (first write wins, additive counts) before it is written under its batch id.
+    reduce a batch against what other batches stored before it is written under its batch id. With the same `out` and
+    `checkpoint` a later run goes on where the last one stopped, and knows what that one stored. `prune` names a column
+    by whose range in the batch the stored rows are cut when read.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream")
-    written: list[int] = []
+    out, checkpoint = out or scratch_path(spark, "stream"), checkpoint or scratch_path(spark, "checkpoint")
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
+    table = lambda: spark.read.schema(stream.schema).parquet(out)  # noqa: E731  with the column `batch` of the folders
 
     def write(batch: DataFrame, epoch: int) -> None:
-        stored = spark.read.schema(stream.schema).parquet(*[f"{out}/batch={e}" for e in written if e != epoch]) if [e for e in written if e != epoch] else None
-        result = merge(batch, stored) if merge else batch
-        result.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-        if epoch not in written:
-            written.append(epoch)
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).foreachBatch(write).start()
+        if merge:
+            stored = table().filter(F.col("batch") != epoch)
+            if prune:
+                low, high = batch.agg(F.min(prune), F.max(prune)).first()
+                stored = stored.filter(F.col(prune).between(F.lit(low), F.lit(high)))
+            batch = merge(batch, stored.drop("batch"))
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    if not written:
-        return spark.createDataFrame([], stream.schema)
+    df = table()
     if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(written)}")
-    df = None
-    for e in written:
-        part = spark.read.schema(stream.schema).parquet(f"{out}/batch={e}").withColumn("_epoch", F.lit(e))
-        df = part if df is None else df.unionByName(part)
+        return df.filter(F.col("batch") == df.agg(F.max("batch").alias("b")).select("b").scalar()).drop("batch")
     if mode == "update":
         rest = [c for c in stream.columns if c not in keys]
-        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, "_r.*")
-    return df.drop("_epoch")
+        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return df.drop("batch")
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,28 +126,49 @@ def touch_alerts(prices: DataFrame, plan: DataFrame, delay: str = "10 minutes")
     return df.select("trade", F.coalesce(stop, target).alias("level")).filter("level is not null").dropDuplicates(["trade", "level"])
 
 
-def alert_throttle(problems: DataFrame, quiet_hours: int = 6) -> DataFrame:
-    """The first alert of each problem and again every `quiet_hours` while it lasts; `problems(asset, ts)`."""
+def alert_throttle(problems: DataFrame, quiet_hours: int = 6, delay: str = "10 minutes") -> DataFrame:
+    """The first alert of each problem, again every `quiet_hours` while it lasts, and `over` once it has not been seen for
+    that long; `problems(asset, ts)`, result (asset, ts, kind).
+
+    Moments are taken in order once the watermark has passed them, so alerts that arrive late are told like others. State
+    per asset: the last alert, the last moment, and the moments that still wait.
+    """
+    quiet = quiet_hours * 3_600_000_000
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        sent = []
-        for t in sorted(pd.concat(list(batches))["ts"]):
-            at = int(pd.Timestamp(t).value // 1000)
-            if last is None or at - last >= quiet_hours * 3_600_000_000:
-                sent.append(t)
-                last = at
-        state.update((last,))
-        yield pd.DataFrame({"asset": [key[0]] * len(sent), "ts": sent})
+        last, seen, waiting = state.get if state.exists else (None, None, [])
+        waiting = list(waiting)
+        for batch in batches:
+            waiting.extend(batch["ts"].astype("datetime64[us]").astype("int64").tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        told = []
+        for t in sorted(x for x in waiting if x < mark):
+            if seen is not None and t - seen >= quiet:
+                told.append((seen + quiet, "over"))
+            if last is None or t - last >= quiet:
+                told.append((t, "alert"))
+                last = t
+            seen = t
+        waiting = sorted(x for x in waiting if x >= mark)
+        if seen is not None and seen + quiet <= mark:
+            told.append((seen + quiet, "over"))
+            seen = last = None
+        if seen is None and not waiting:
+            state.remove()
+        else:
+            state.update((last, seen, waiting))
+            state.setTimeoutTimestamp(max(mark // 1000, (waiting[0] if waiting else seen + quiet) // 1000) + 1)
+        yield pd.DataFrame({"asset": [key[0]] * len(told), "ts": pd.to_datetime([t for t, _ in told], unit="us"), "kind": [k for _, k in told]})
 
-    return problems.groupBy("asset").applyInPandasWithState(step, "asset long, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return problems.withWatermark("ts", delay).groupBy("asset").applyInPandasWithState(step, "asset long, ts timestamp, kind string", "last long, seen long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_write_wins(key: Sequence[str]) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
+def first_write_wins(key: Sequence[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Decisions are made once: a batch keeps only keys not decided before (and one row per key)."""
-    def merge(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    def merge(batch: DataFrame, stored: DataFrame) -> DataFrame:
         rest = [c for c in batch.columns if c not in key]
         one = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(*batch.columns)
-        return one if stored is None else one.join(stored.select(*key), list(key), "left_anti")
+        return one.join(stored.select(*key), list(key), "left_anti")
     return merge
 
 
