@@ -19,8 +19,6 @@ from tidemark.session import materialise
 SKETCH, LEAST_SHARED = 64, 32
 #: An estimate from the union sketch may be this much too low: five standard deviations.
 SLACK = 0.25
-#: Members up to which all pairs of an inverted list are written out in one row.
-SHORT_LIST = 16
 
 SKETCHES = "doc_id long, n long, digest string, sketch array<long>"
 SETS = "doc_id long, items array<long>"
@@ -73,15 +71,16 @@ def _prefix(n: Column, percent: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """value, doc, n: each document under the rarest of its retained values. Frequent passages are thus looked up only
-    in documents that hold hardly anything else."""
+    """value, doc, n, alone: each document under the rarest of its retained values, and how many of them it shares with
+    nobody. Frequent passages are thus looked up only in documents that hold hardly anything else."""
     held = classes.select("doc", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     counts = materialise(held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     shared = held.join(counts, "value")
     # values that no other document holds are the rarest of all and find nobody
     per = shared.groupBy("doc", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("rare"))
-    left = F.greatest(_prefix(F.col("n"), percent) - (F.col("k") - F.size("rare")), F.lit(0))
-    return per.select("doc", "n", F.explode(F.slice("rare", 1, left)).alias("x")).select("doc", "n", "x.value")
+    alone = F.col("k") - F.size("rare")
+    left = F.greatest(_prefix(F.col("n"), percent) - alone, F.lit(0))
+    return per.select("doc", "n", alone.alias("alone"), F.explode(F.slice("rare", 1, left)).alias("x")).select("doc", "n", "alone", "x.value")
 
 
 def _close_sizes(a: str, b: str, percent: int) -> Column:
@@ -89,27 +88,40 @@ def _close_sizes(a: str, b: str, percent: int) -> Column:
 
 
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b, shared: each member of a list with one member drawn by hash; as many pairs as rows."""
-    drawn = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("value", "doc").alias("h"), F.col("doc"), F.col("n"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    """a, b: each member of a list with its most central one, that with the fewest values of its own; as many pairs as
+    rows."""
+    central = F.min(F.struct("alone", F.xxhash64("doc").alias("h"), F.col("doc"), F.col("n")))
+    drawn = lists.groupBy("value").agg(central.alias("hub"), F.count("*").alias("size")).where("size > 1")
     drawn = materialise(drawn.select("value", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     rows = lists.join(drawn, "value").where(F.col("doc") != F.col("hub")).where(_close_sizes("n", "hub_n", percent))
-    return rows.groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(F.count("*").alias("shared"))
+    return rows.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """a, b of lists whose members are not all in one group: pairs of members of different groups. Members of one group
-    are connected already, so a list of copies gives no pair, however long it is."""
-    rows = lists.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("g", F.coalesce("component", "doc")).drop("component")
+def cross_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of different groups that may still be similar, among the members of lists that hold several groups.
+
+    These members are looked up once more, by the rarest items of their full sets: of a similarity of percent / 100, an
+    overlap of percent of the larger set follows, so two similar sets meet in one of the first n - overlap + 1 items of
+    either. Items that a member shares with no other cannot lie in an overlap, which bounds the similarity of a pair
+    before it is written: in a large group of copies, those with many edits of their own drop out."""
+    rows = lists.select("value", "doc").join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("g", F.coalesce("component", "doc")).drop("component")
     rows = materialise(rows, "grouped")
-    mixed = materialise(rows.groupBy("value").agg(F.count("*").alias("size"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("value", "size"), "mixed")
-    open_rows = rows.join(mixed, "value")
-    members = open_rows.where(F.col("size") <= SHORT_LIST).groupBy("value").agg(F.collect_list(F.struct("doc", "n", "g")).alias("m"))
-    short = members.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc < y.doc and x.g <> y.g")
-    short = short.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
-    long_rows = materialise(open_rows.where(F.col("size") > SHORT_LIST).select("value", "doc", "n", "g"), "long_lists")
-    x, y = (long_rows.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "n", "g")]) for p in "xy")
-    long = x.join(y, "value").where("x_doc < y_doc and x_g <> y_g").select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"), F.col("x_n").alias("an"), F.col("y_n").alias("bn"))
-    return short.unionByName(long).where(_close_sizes("an", "bn", percent)).select("a", "b").distinct()
+    mixed = materialise(rows.groupBy("value").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("value"), "mixed")
+    open_docs = materialise(rows.join(mixed, "value").select("doc", "g").distinct(), "open")
+    items = sets.join(open_docs, F.col("doc_id") == F.col("doc")).select("doc", "g", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items = materialise(items, "items")
+    counts = materialise(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "item_counts")
+    # as many items as one document has
+    per = items.join(counts, "item").groupBy("doc", "g", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
+    can = F.size("rare")
+    left = F.greatest((F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - can)).cast("int"), F.lit(0))
+    keyed = materialise(per.select("doc", "g", "n", can.alias("can"), F.explode(F.slice("rare", 1, left)).alias("x")).select("doc", "g", "n", "can", "x.item"), "keyed")
+    held = materialise(keyed.groupBy("item").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("item"), "held")
+    keyed = materialise(keyed.join(held, "item"), "keyed")
+    x, y = (keyed.select("item", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "g", "n", "can")]) for p in "xy")
+    most = F.least("x_can", "y_can")
+    may = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
+    return x.join(y, "item").where("x_doc < y_doc and x_g <> y_g").where(may).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -118,9 +130,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     two = classes.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
     # hashes are unsigned in numpy and signed here: the order of the sketch is the unsigned one
     rank = lambda v: F.struct((v < 0).alias("s"), v.alias("v"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("u", F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), rank)), 1, SKETCH)).withColumn("u", F.transform("u", lambda x: x["v"]))
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("u", F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), rank)), 1, SKETCH)).withColumn("u", F.transform("u", lambda x: x["v"]))
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-    return joined.where(both >= (percent / 100 - SLACK) * F.size("u")).select("a", "b")
+    return joined.select("a", "b", (both / F.size("u")).alias("estimate")).where(F.col("estimate") >= percent / 100 - SLACK)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,10 +150,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     are 64-bit hashes of their words.
 
     Equal sets are one class from the start. Classes meet in the inverted lists of their rarest retained values. First
-    each member of a list is held against one member only, and the best such pair of each class is confirmed on full
-    sets; what still lies in different components is then held against each other, filtered by the union sketch and
-    confirmed. Components therefore come out as if all pairs had been compared, without writing out the pairs of a
-    large group of copies.
+    each member of a list is held against its most central member only, and the pair of each class that the union sketch
+    rates highest is confirmed on full sets. Members of lists that still hold several components are then looked up by
+    the rarest items of their full sets; pairs of different components that can be similar are filtered by the union
+    sketch and confirmed. Components therefore come out as if all pairs had been compared, without writing out the
+    pairs of a large group of copies.
 
     A null, empty or blank text has an empty set: its own component, kept. A null doc_id is returned with a null
     component and not kept. Rows of one doc_id are all returned, with the component of that id (all its texts count as
@@ -150,15 +163,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sketched = materialise(rows.mapInArrow(_sketcher(n), SKETCHES), "sketches")
     classes = materialise(sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = materialise(inverted_lists(classes, percent), "lists")
-    stars = materialise(star_pairs(lists, percent), "stars")
+    stars = materialise(likely(star_pairs(lists, percent), classes, percent), "stars")
     # lists of two are stars already, so every class that may be asked for is an end of a list
     asked = lists.select("doc").distinct()
     sets = materialise(rows.join(asked, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_setter(n), SETS), "sets")
-    ends = stars.select(F.col("a").alias("doc"), "a", "b", "shared").unionByName(stars.select(F.col("b").alias("doc"), "a", "b", "shared"))
-    best = ends.groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("shared", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
-    first = materialise(confirmed(likely(best, classes, percent), sets, percent), "links")
+    ends = stars.select(F.col("a").alias("doc"), "a", "b", "estimate").unionByName(stars.select(F.col("b").alias("doc"), "a", "b", "estimate"))
+    best = ends.groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
+    first = materialise(confirmed(best, sets, percent), "links")
     groups = materialise(components(first), "groups")
-    split = cross_pairs(lists, groups, percent)
+    split = materialise(cross_pairs(lists, groups, sets, percent), "cross")
     second = materialise(confirmed(likely(split, classes, percent), sets, percent), "links")
     # ids of one class, and texts of one id, are links as well
     same = sketched.where("doc_id is not null").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
