@@ -17,8 +17,9 @@ from tidemark.session import materialise
 GRAM = 5
 #: Windows of one packed string at most.
 LONGEST = 256
-#: A minimiser with more packed strings than this, or than a 50,000th of all, is counted window by window.
-HOT = 1000
+#: A minimiser with more packed strings than this (about 16 MB of text, a small task), or than a 50,000th of all, is counted
+#: window by window.
+HOT = 50_000
 
 LIGHT = "minimiser long, n long"
 PACKED = "minimiser long, doc_id long, start long, packed binary"
