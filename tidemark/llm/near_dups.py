@@ -97,31 +97,54 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of different groups that may still be similar, among the members of lists that hold several groups.
-
-    These members are looked up once more, by the rarest items of their full sets: of a similarity of percent / 100, an
-    overlap of percent of the larger set follows, so two similar sets meet in one of the first n - overlap + 1 items of
-    either. Items that a member shares with no other cannot lie in an overlap, which bounds the similarity of a pair
-    before it is written: in a large group of copies, those with many edits of their own drop out."""
-    rows = lists.select("value", "doc").join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("g", F.coalesce("component", "doc")).drop("component")
-    rows = materialise(rows, "grouped")
+def open_lists(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """item, doc, n, alone: the members of lists that hold several groups, under the rarest items of their full sets, and
+    how many items each shares with no other member. Of a similarity of percent / 100 an overlap of percent of the
+    larger set follows, so two similar sets meet in one of the first n - overlap + 1 items of either."""
+    rows = materialise(_grouped(lists.select("value", "doc"), groups), "grouped")
     mixed = materialise(rows.groupBy("value").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("value"), "mixed")
-    open_docs = materialise(rows.join(mixed, "value").select("doc", "g").distinct(), "open")
-    items = sets.join(open_docs, F.col("doc_id") == F.col("doc")).select("doc", "g", F.size("items").alias("n"), F.explode("items").alias("item"))
+    open_docs = rows.join(mixed, "value").select("doc").distinct()
+    items = sets.join(open_docs, F.col("doc_id") == F.col("doc")).select("doc", F.size("items").alias("n"), F.explode("items").alias("item"))
     items = materialise(items, "items")
     counts = materialise(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "item_counts")
     # as many items as one document has
-    per = items.join(counts, "item").groupBy("doc", "g", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
-    can = F.size("rare")
-    left = F.greatest((F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - can)).cast("int"), F.lit(0))
-    keyed = materialise(per.select("doc", "g", "n", can.alias("can"), F.explode(F.slice("rare", 1, left)).alias("x")).select("doc", "g", "n", "can", "x.item"), "keyed")
-    held = materialise(keyed.groupBy("item").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("item"), "held")
-    keyed = materialise(keyed.join(held, "item"), "keyed")
-    x, y = (keyed.select("item", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "g", "n", "can")]) for p in "xy")
-    most = F.least("x_can", "y_can")
-    may = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
-    return x.join(y, "item").where("x_doc < y_doc and x_g <> y_g").where(may).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+    per = items.join(counts, "item").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
+    alone = F.col("n") - F.size("rare")
+    left = F.greatest((F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - alone).cast("int"), F.lit(0))
+    return per.select("doc", "n", alone.alias("alone"), F.explode(F.slice("rare", 1, left)).alias("x")).select("doc", "n", "alone", "x.item")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("g", F.coalesce("component", "doc")).drop("component")
+
+
+def with_hubs(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """item, doc, n, alone, hub, hub_n, common: each member with the most central one of its list and the exact size of
+    their overlap. A member has the same hub in most of its lists, and each pair is compared once."""
+    central = F.min(F.struct("alone", F.xxhash64("doc").alias("h"), F.col("doc"), F.col("n")))
+    drawn = materialise(keyed.groupBy("item").agg(central.alias("hub"), F.count("*").alias("size")).where("size > 1").select("item", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    rows = materialise(keyed.join(drawn, "item"), "keyed")
+    one, two = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"{k}_items")) for k in ("doc", "hub"))
+    met = rows.select("doc", "hub").distinct().join(one, "doc").join(two, "hub").groupBy("doc", "hub").agg(F.max(F.size(F.array_intersect("doc_items", "hub_items"))).alias("common"))
+    return rows.join(materialise(met, "met"), ["doc", "hub"])
+
+
+def cross_pairs(hubbed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """a, b of different groups that may still be similar. What two members do not share is at least what each shares
+    with nobody, and the difference of what they lack of their list's hub; a pair is written only if that leaves the
+    similarity possible. In a large group of copies those with many edits of their own thus drop out."""
+    rows = materialise(_grouped(hubbed, groups), "grouped")
+    mixed = materialise(rows.groupBy("item").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("item"), "mixed")
+    rows = rows.join(mixed, "item").withColumns({"lack": F.col("hub_n") - F.col("common"), "extra": F.col("n") - F.col("common")})
+    # few items each, and only of mixed lists: the smallest that two members share is where their pair is written
+    keys = rows.groupBy("doc").agg(F.collect_set("item").alias("keys"))
+    rows = materialise(rows.join(keys, "doc"), "mixed_lists")
+    x, y = (rows.select("item", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "g", "n", "alone", "lack", "extra", "keys")]) for p in "xy")
+    apart = F.greatest(F.col("x_alone") + F.col("y_alone"), F.abs(F.col("x_extra") - F.col("y_extra"))) + F.abs(F.col("x_lack") - F.col("y_lack"))
+    both, most = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_alone"), F.col("y_n") - F.col("y_alone"))
+    may = (100 * (both - apart) >= percent * (both + apart)) & (100 * most >= percent * (both - most))
+    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("item")
+    return x.join(y, "item").where("x_doc < y_doc and x_g <> y_g").where(may).where(once).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -152,8 +175,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Equal sets are one class from the start. Classes meet in the inverted lists of their rarest retained values. First
     each member of a list is held against its most central member only, and the pair of each class that the union sketch
     rates highest is confirmed on full sets. Members of lists that still hold several components are then looked up by
-    the rarest items of their full sets; pairs of different components that can be similar are filtered by the union
-    sketch and confirmed. Components therefore come out as if all pairs had been compared, without writing out the
+    the rarest items of their full sets and again held against the most central one; pairs of different components that
+    can still be similar are filtered by the union sketch and confirmed. Components therefore come out as if all pairs had been compared, without writing out the
     pairs of a large group of copies.
 
     A null, empty or blank text has an empty set: its own component, kept. A null doc_id is returned with a null
@@ -171,11 +194,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     best = ends.groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
     first = materialise(confirmed(best, sets, percent), "links")
     groups = materialise(components(first), "groups")
-    split = materialise(cross_pairs(lists, groups, sets, percent), "cross")
-    second = materialise(confirmed(likely(split, classes, percent), sets, percent), "links")
+    hubbed = materialise(with_hubs(open_lists(lists, groups, sets, percent), sets), "hubbed")
+    near = 100 * F.col("common") >= percent * (F.col("n") + F.col("hub_n") - F.col("common"))
+    second = hubbed.where(near & (F.col("doc") != F.col("hub"))).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+    first = materialise(first.unionByName(second), "links")
+    groups = materialise(components(first), "groups")
+    split = materialise(cross_pairs(hubbed, groups, percent), "cross")
+    third = materialise(confirmed(likely(split, classes, percent), sets, percent), "links")
     # ids of one class, and texts of one id, are links as well
     same = sketched.where("doc_id is not null").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    links = first.unionByName(second)
+    links = first.unionByName(third)
     whole = materialise(components(links.unionByName(same)), "groups")
     # a doc_id may repeat, so rows with many copies are joined by id, which copies do not share
     placed = sketched.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
