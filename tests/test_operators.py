@@ -268,3 +268,12 @@ def test_late_alerts_are_told(spark, tmp_path):
     stream = spark.readStream.schema("asset long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.asset, r.ts, r.kind) for r in jobs.run(jobs.alert_throttle(stream, 6, "1 hour")).collect())
     assert got == [(1, at(9.9), "alert"), (1, at(16.5), "alert"), (1, at(22.5), "over")]
+
+
+def test_averages_with_little_memory(spark):
+    """n = 1 remembers nothing; a large alpha needs short blocks."""
+    xs = [random.Random(i).random() for i in range(900)]
+    df = spark.createDataFrame([(1, day(i), x) for i, x in enumerate(xs)], "asset long, ts date, x double")
+    got = C.ewm_means(df, {"one": ("x", 1.0, 1), "fast": ("x", 0.9, 1)}).orderBy("ts").collect()
+    assert [r.one for r in got] == xs
+    assert [r.fast for r in got] == pytest.approx(pd.Series(xs).ewm(alpha=0.9, adjust=False).mean().tolist())

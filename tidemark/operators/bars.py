@@ -88,11 +88,6 @@ def month_ends(cal: DataFrame) -> DataFrame:
     return cal.select("ts", nxt.alias("_n")).filter(F.trunc("ts", "month") != F.trunc("_n", "month")).select("ts")
 
 
-def is_month_end() -> Column:
-    """Flag on a panel with `month_last`, see `mark_month_ends`."""
-    return F.col("month_end")
-
-
 def mark_month_ends(panel: DataFrame) -> DataFrame:
     """Flag each bar whose session is the last of its month in the shared calendar (the final session counts)."""
     last = panel.groupBy(F.trunc("ts", "month").alias("_m")).agg(F.max("ts").alias("_last"))

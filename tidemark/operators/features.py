@@ -32,11 +32,13 @@ def ewm_means(df: DataFrame, means: dict[str, tuple[str, float, int]], by="asset
     on one shuffle, nothing leaves the JVM. Missing values may only lead (a first difference, a warm-up)
     and columns averaged together must be missing on the same rows.
     """
-    names = list(means)
-    some = means[names[0]][0]
+    names = [n for n in means if means[n][1] < 1]
+    # a block is short enough for the inverse decay of its last place to stay far below the largest number
+    block = min([BLOCK, *(max(1, int(600 / -math.log(1 - means[n][1]))) for n in names)])
+    some = means[next(iter(means))][0]
     running = own(by, order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_i", F.count(some).over(running) - 1)
-    df = df.withColumns({"_k": F.floor(F.col("_i") / BLOCK), "_j": F.pmod("_i", F.lit(BLOCK))})
+    df = df.withColumns({"_k": F.floor(F.col("_i") / block), "_j": F.pmod("_i", F.lit(block))})
     inside = Window.partitionBy(by, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local, full = {}, {}
     for n in names:
@@ -47,14 +49,17 @@ def ewm_means(df: DataFrame, means: dict[str, tuple[str, float, int]], by="asset
     for n in names:
         c, alpha, least = means[n]
         decay = 1 - alpha
-        end = F.when(F.col("_j") == BLOCK - 1, F.col(f"_l_{n}"))
+        end = F.when(F.col("_j") == block - 1, F.col(f"_l_{n}"))
         state = F.lit(0.0)
-        for m in range(1, max(1, math.ceil(40 / (BLOCK * -math.log(decay)))) + 1):
+        for m in range(1, max(1, math.ceil(40 / (block * -math.log(decay)))) + 1):
             earlier = F.max(end).over(Window.partitionBy(by).orderBy("_k").rangeBetween(-m, -m))
-            state = state + F.coalesce(earlier, F.lit(0.0)) * decay ** (BLOCK * (m - 1))
+            state = state + F.coalesce(earlier, F.lit(0.0)) * decay ** (block * (m - 1))
         y = F.col(f"_l_{n}") + F.pow(F.lit(decay), F.col("_j") + 1) * state
         full[n] = F.when(F.col(c).isNotNull() & (F.col("_i") + 1 >= least), y)
-    return df.withColumns(full).drop("_i", "_k", "_j", *local)
+    for n, (c, alpha, least) in means.items():
+        if alpha >= 1:  # nothing is remembered
+            full[n] = F.when(F.col("_i") + 1 >= least, F.col(c))
+    return df.withColumns({n: full[n] for n in means}).drop("_i", "_k", "_j", *local)
 
 
 def with_atr(bars: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:

@@ -171,13 +171,3 @@ def combine_legs(equity: DataFrame) -> DataFrame:
     step = sparse.withColumn("_d", F.col("equity") - F.coalesce(F.lag("equity").over(curve()), F.lit(0.0)))
     line = step.groupBy("ts").agg(F.sum("_d").alias("_d"))
     return line.select("ts", F.sum("_d").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)).alias("equity"))  # a row per session
-
-
-def mix(a: DataFrame, b: DataFrame, capital: float) -> DataFrame:
-    """Half of each of two return streams `(ts, ret)`."""
-    both = a.select("ts", F.col("ret").alias("_a")).join(b.select("ts", F.col("ret").alias("_b")), "ts").withColumn("_r", (F.col("_a") + F.col("_b")) / 2)
-    return compounded(both, "_r", capital).select("ts", "equity")
-
-
-def col_or_zero(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0.0))
