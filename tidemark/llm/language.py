@@ -20,6 +20,8 @@ FAMILIES = {
     "romance": "fr es it pt ro ca gl oc".split(),
     "slavic": "ru uk be pl cs sk bg sr hr sl mk".split(),
 }
+#: A model holds no more languages; what training sends to all executors is a row for each.
+MOST_LANGUAGES = 2000
 #: Buckets of hashed byte trigrams.
 BUCKETS = 4096
 UNKNOWN = "und"
@@ -119,9 +121,19 @@ class LanguageModel:
 
 def train(docs: DataFrame, sample: int = 800) -> LanguageModel | None:
     """Learn from at most `sample` documents of each language of `docs` (text, lang), those with the smallest hashes of
-    their texts. Only trigram counts of the sample reach the driver. None without any labelled text."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    chosen = docs.where("lang is not null and text is not null").select("lang", "text").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r")
+    their rows. Rows are thinned to a few times the sample by the same hash before any are brought together, so the
+    sampling tasks do not grow with the corpus. Only trigram counts of the sample reach the driver. None without any
+    labelled text."""
+    known = docs.where("lang is not null and text is not null")
+    known = known.select("lang", "text", F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]).alias("_h"))
+    counts = known.groupBy("lang").agg((F.lit(4.0 * sample) / F.count("*")).alias("_share")).limit(MOST_LANGUAGES + 1).collect()
+    if not counts:
+        return None
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    thin = known.join(F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, _share double")), "lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("_h")
+    chosen = thin.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("lang", "text")
     rows = chosen.mapInArrow(_count_batches, "lang string, keys binary, counts binary").collect()
     rows = sorted((r for r in rows if len(r["keys"])), key=lambda r: (r.lang, bytes(r["keys"]), bytes(r["counts"])))
     if not rows:

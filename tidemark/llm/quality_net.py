@@ -126,8 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 600, most_chunks: in
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
+    # thinned by hash to a few times the sample before any are brought together
+    share = F.when(F.col("quality") == 1, 4.0 * sample / counts[1]).otherwise(4.0 * sample / counts[0])
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
