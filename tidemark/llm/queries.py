@@ -65,9 +65,41 @@ def op2_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
-@query("op10_quality_rules")
+def _quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _class_sql(chars: str) -> str:
+    return "length(regexp_replace(t, '[^" + chars.replace("'", "''") + "]+', '', 'g'))"
+
+
+_TERM = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+OP10_SQL = rf"""
+WITH doc AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{quality_rules.SPACE}]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{quality_rules.SPACE}]')) AS lines FROM documents),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i+2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM grams WHERE n > 1) GROUP BY doc_id),
+known AS (SELECT doc_id, lang, length(t) AS size, ['lower', {", ".join(f"'{k}'" for k in quality_rules.CHAR_CLASSES)}] AS names, [{_class_sql("a-z")}, {", ".join(_class_sql(c) for c in quality_rules.CHAR_CLASSES.values())}] AS counts FROM doc),
+chars AS (SELECT doc_id, lang, unnest(list_append(names, 'other')) AS class, unnest(list_append(counts, size - list_sum(counts)))::DOUBLE AS n FROM known),
+words AS (SELECT doc_id, lang, list_position({_quoted(quality_rules.VOCABULARY)}, lower(rtrim(x, ',.'))) AS v, count(*)::DOUBLE AS n
+  FROM (SELECT doc_id, lang, unnest(w) AS x FROM doc) WHERE list_contains({_quoted(quality_rules.SPELLINGS)}, x) GROUP BY 1, 2, 3),
+langs AS (SELECT DISTINCT lang FROM doc WHERE lang IN ({", ".join(f"'{k}'" for k in quality_rules.COMMON_WORDS)})),
+char_ref AS (SELECT lang, class, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM chars JOIN langs USING (lang) GROUP BY lang, class),
+word_ref AS (SELECT lang, v, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM words JOIN langs USING (lang) GROUP BY lang, v),
+cp AS (SELECT doc_id, class, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM chars WHERE doc_id IN (SELECT doc_id FROM doc WHERE t <> '')),
+char_far AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, r.lang, sqrt(least(greatest(sum({_TERM.format('p', 'q')} + {_TERM.format('q', 'p')}) / 2, 0), 1)) AS d FROM cp JOIN char_ref r USING (class) GROUP BY 1, 2) GROUP BY 1),
+wp AS (SELECT doc_id, v, n / sum(n) OVER (PARTITION BY doc_id) AS p, sum(n) OVER (PARTITION BY doc_id) AS total FROM words),
+word_far AS (SELECT doc_id, any_value(total) AS total, min(d) AS d FROM (SELECT doc_id, lang, any_value(total) AS total, sqrt(least(greatest((sum({_TERM.format('p', 'q')} + {_TERM.format('q', 'p')} - q) + any_value(whole)) / 2, 0), 1)) AS d
+  FROM (SELECT doc_id, l.lang, p, total, coalesce(q, 0) AS q, coalesce(whole, 0) AS whole FROM wp CROSS JOIN langs l LEFT JOIN word_ref r ON r.lang = l.lang AND r.v = wp.v LEFT JOIN (SELECT lang, sum(q) AS whole FROM word_ref GROUP BY lang) k ON k.lang = l.lang) GROUP BY 1, 2) GROUP BY 1),
+counted AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_class_sql(quality_rules.CHAR_CLASSES["symbol"])} AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM doc),
+judged AS (SELECT c.*, coalesce(a.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(a.n, 0) > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 THEN cf.d END AS cd, CASE WHEN n_words >= 50 AND wf.total >= 20 THEN wf.d END AS wd
+  FROM counted c LEFT JOIN again a USING (doc_id) LEFT JOIN char_far cf USING (doc_id) LEFT JOIN word_far wf USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, NOT base_failed AND NOT coalesce(cd > 0.3, false) AND NOT coalesce(wd > 0.6, false) AS kept FROM judged"""
+
+
+@query("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 OP1_POWER, OP1_SEED = 0.5, 42
