@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
+#: Rows of rates up to which they are sent to all executors: 100,000 names of sources, some megabytes.
+BROADCAST_ROWS = 100_000
+
 
 def unit_hash(*parts: Column) -> Column:
     """A number in (0, 1) from the md5 of the parts joined by `:`; the same in any engine."""
@@ -52,8 +57,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame, seed: int = 42, source: str
     more than 0 disappears. Null sources are one source; null and empty texts are documents like others; an empty table
     gives no rows. Columns named `replica`, `rate` or `order_key` are replaced.
 
-    The rates are one row per source; no join hint is given, and a source with a third of all rows is no group here."""
-    rates = repetition_rates(docs, weights, source, total).withColumnRenamed("source", "_source")
+    The rates are one row per source. Up to BROADCAST_ROWS they are sent to all executors, so the texts are shuffled once
+    only; beyond that both sides are shuffled by source and adaptive execution splits those with very many rows."""
+    rates = materialise(repetition_rates(docs, weights, source, total).withColumnRenamed("source", "_source"), "rates")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
     rest = docs.drop("replica", "rate", "order_key")
     rated = rest.join(rates, rest[source].eqNullSafe(rates["_source"])).drop("_source")
     count = poisson_count(unit_hash(F.lit(seed), F.col(key)), F.col("rate"))
