@@ -29,15 +29,17 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates (5-word shingles, 0.8). Rows that
-    repeat an id come down to one, that with the smallest hash of its text."""
+    repeat an id come down to one, that with the smallest hash of its columns; rows without an id cannot be named as
+    anybody's duplicate and stay."""
     kept = near_dups.near_duplicates(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(*COLUMNS).join(kept.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64(*COLUMNS)).alias("h")).where("n > 1"), "repeated_ids")
+    nameless = docs.select(*COLUMNS).where("doc_id is null")
     if repeated.isEmpty():
-        return rows
+        return rows.unionByName(nameless)
     marked = rows.join(repeated, "doc_id", "left")
     once = marked.where("n is not null").where(F.xxhash64(*COLUMNS) == F.col("h")).dropDuplicates(["doc_id"])
-    return marked.where("n is null").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    return marked.where("n is null").select(*COLUMNS).unionByName(once.select(*COLUMNS)).unionByName(nameless)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

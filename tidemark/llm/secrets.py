@@ -38,7 +38,7 @@ def spans_of(text: Column, pattern: str) -> Column:
 
 
 def _live(value: Column) -> Column:
-    """Letters and digits mixed, and no character over a third of the whole: what a generated key looks like."""
+    """Letters and digits mixed, of ten different characters at least: what a generated key looks like."""
     kinds = F.size(F.array_distinct(F.split(value, "")))
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (kinds >= 10)
 
