@@ -68,8 +68,20 @@ def normal_equations(train: DataFrame, features: Sequence[str], target: str, fol
     return {r[fold]: r for r in rows}
 
 
-def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0, least: int = 1, fold: str = "fold") -> DataFrame:
-    """Ridge coefficients of every fold with `least` rows: an intercept, and one slope per feature."""
+def fold_medians(train: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Median of each feature per fold, for `imputed`: of raw values (returns, ratios), for which the 0.5 of percentile
+    ranks would be no neutral value."""
+    return train.groupBy(fold).agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f"_m_{f}") for f in features])
+
+
+def imputed(rows: DataFrame, medians: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
+    df = rows.join(medians, fold)
+    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}").cast("double"), F.lit(0.0)) for f in features}).drop(*[f"_m_{f}" for f in features])
+
+
+def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0, least: int = 1, fold: str = "fold", scaled: bool = False) -> DataFrame:
+    """Ridge coefficients of every fold with `least` rows: an intercept, and one slope per feature. `scaled` penalises the
+    slopes that features divided by their deviation would have."""
     out = []
     p = len(features)
     for k, r in normal_equations(train, features, target, fold).items():
@@ -82,7 +94,9 @@ def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: flo
                 g[i, j] = g[j, i] = r[f"g{i}_{j}"]
         s = np.array([r[f"s{i}"] for i in range(p)])
         b = np.array([r[f"b{i}"] for i in range(p)])
-        w = np.linalg.solve(g - np.outer(s, s) / n + alpha * np.eye(p), b - s * r["y"] / n)
+        centred = g - np.outer(s, s) / n
+        penalty = np.diag(np.maximum(np.diag(centred) / n, 1e-12)) if scaled else np.eye(p)
+        w = np.linalg.solve(centred + alpha * penalty, b - s * r["y"] / n)
         out.append((int(k), float(r["y"] / n - w @ s / n), [float(v) for v in w]))
     return train.sparkSession.createDataFrame(out, f"{fold} long, intercept double, weights array<double>")
 
@@ -99,9 +113,14 @@ def walkforward_scores(rows: DataFrame, features: Sequence[str], first: int, ste
     return linear_scores(with_test_fold(rows, first, step).filter("fold is not null"), fits, features)
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    filled = df.select("*", *[F.coalesce(F.col(f), F.lit(0.5)).alias(f"_f_{f}") for f in features])
-    return VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="features").transform(filled).drop(*[f"_f_{f}" for f in features])
+def assembled(df: DataFrame, features: Sequence[str], fill: dict | None = None) -> DataFrame:
+    """The feature vector. Missing percentile ranks are 0.5; with `fill`, missing raw values take the value given for
+    their feature, and a flag per feature says so."""
+    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.5 if fill is None else fill[f]))
+    columns = {f"_f_{f}": value(f) for f in features}
+    if fill is not None:
+        columns |= {f"_g_{f}": F.col(f).isNull().cast("double") for f in features}
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.withColumns(columns)).drop(*columns)
 
 
 def gbt_scores(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, trees: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
@@ -119,16 +138,19 @@ def cluster_rows(signals: DataFrame, panel: DataFrame, features: dict, horizon:
 
 
 def cluster_walkforward(rows: DataFrame, features: Sequence[str], first_year: int, gap_days: int, least: int, keep: float) -> DataFrame:
-    """Yearly: learn from clusters over before the year (target winsorised at 2/98%), keep the best-scored share."""
+    """Yearly: learn from clusters over before the year (target winsorised at 2/98%, missing features at the training
+    median, scaled ridge with a penalty of 30), keep the best-scored share."""
     years = rows.select(F.year("ts").alias("y")).distinct().filter(F.col("y") >= first_year)
     last = years.agg(F.max("y").alias("m")).select("m").scalar()
     start = F.greatest(F.lit(first_year), F.year(F.date_add("ts", gap_days)) + 1)
     train = rows.filter("target is not null").withColumn("fold", F.explode(F.when(start <= last, F.sequence(start, last)).otherwise(F.expr("cast(array() as array<int>)"))))
     bounds = group_quantiles(train, ["fold"], "target", {"_lo": 0.02, "_hi": 0.98}).select("fold", "_lo", "_hi")
     train = train.join(bounds, "fold").withColumn("target", F.least(F.greatest("target", "_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    fits = ridge_fit(train, features, "target", least=least)
+    medians = fold_medians(train, features)
+    train = imputed(train, medians, features)
+    fits = ridge_fit(train, features, "target", 30.0, least, scaled=True)
     bar = group_quantiles(linear_scores(train, fits, features), ["fold"], "score", {"_bar": 1 - keep}).select("fold", "_bar")
-    test = linear_scores(rows.withColumn("fold", F.year("ts")), fits, features)
+    test = linear_scores(imputed(rows.withColumn("fold", F.year("ts")), medians, features), fits, features)
     return test.join(bar, "fold").withColumn("keep", F.col("score") >= F.col("_bar")).drop("_bar")
 
 
@@ -164,9 +186,11 @@ def meta_label_walkforward(pool: DataFrame, features: Sequence[str], refit_days:
         test = pool.filter((F.col("entry_ts") >= F.lit(at)) & (F.col("entry_ts") < F.lit(upto)))
         if known.count() >= least:
             known = known.withColumn("label", (F.col("r") > 0).cast("double"))
-            model = GBTClassifier(maxIter=trees, maxDepth=3, seed=7).fit(assembled(known, features))
+            middle = known.agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features]).first()
+            fill = {f: float(middle[f] or 0.0) for f in features}
+            model = GBTClassifier(maxIter=trees, maxDepth=3, seed=7).fit(assembled(known, features, fill))
             pay = known.groupBy("strategy").agg(F.avg(F.when(F.col("r") > 0, F.col("r"))).alias("_win"), (-F.avg(F.when(F.col("r") <= 0, F.col("r")))).alias("_loss"))
-            scored = model.transform(assembled(test, features)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction").join(pay, "strategy", "left")
+            scored = model.transform(assembled(test, features, fill)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction").join(pay, "strategy", "left")
             ev = F.col("p") * F.coalesce("_win", F.lit(1.0)) - (1 - F.col("p")) * F.coalesce("_loss", F.lit(1.0))
             scored = scored.withColumn("ev", ev).drop("_win", "_loss").withColumn("take", F.col("ev") >= 0).withColumn("size", F.least(F.greatest(1 + F.col("ev") / 0.25, F.lit(0.5)), F.lit(2.0)))
         else:

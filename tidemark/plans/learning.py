@@ -169,6 +169,8 @@ def o12(spark, sf):
     p = materialise(p, "holdout")
     cut = p.agg(F.percentile(F.unix_date("exit_ts"), F.lit(0.8)).alias("c")).select("c").scalar()
     train, test = p.filter(F.unix_date("exit_ts") <= cut), p.filter(F.unix_date("exit_ts") > cut)
+    medians = O.fold_medians(train, fs)
+    train, test = O.imputed(train, medians, fs), O.imputed(test, medians, fs)
     fits = O.ridge_fit(train, fs, "label")
     imp = O.permutation_importance(test, lambda d: O.linear_scores(d, fits, fs), fs, lambda d: L.auc(d, "score", "won").first()["auc"], 1)
     return imp.select("feature", F.round("auc_drop", 6).alias("auc_drop"))
