@@ -133,18 +133,18 @@ def cross_pairs(hubbed: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     """a, b of different groups that may still be similar. What two members do not share is at least what each shares
     with nobody, and the difference of what they lack of their list's hub; a pair is written only if that leaves the
     similarity possible. In a large group of copies those with many edits of their own thus drop out."""
-    rows = materialise(_grouped(hubbed, groups), "grouped")
-    mixed = materialise(rows.groupBy("item").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("item"), "mixed")
-    rows = rows.join(mixed, "item").withColumns({"lack": F.col("hub_n") - F.col("common"), "extra": F.col("n") - F.col("common")})
-    # few items each, and only of mixed lists: the smallest that two members share is where their pair is written
-    keys = rows.groupBy("doc").agg(F.collect_set("item").alias("keys"))
-    rows = materialise(rows.join(keys, "doc"), "mixed_lists")
-    x, y = (rows.select("item", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "g", "n", "alone", "lack", "extra", "keys")]) for p in "xy")
+    # members of one list have its hub in common, and few hubs each: a pair is weighed once for each, not for each list
+    rows = _grouped(hubbed.select("hub", "hub_n", "doc", "n", "alone", "common").distinct(), groups)
+    rows = materialise(rows.withColumns({"lack": F.col("hub_n") - F.col("common"), "extra": F.col("n") - F.col("common")}), "grouped")
+    mixed = materialise(rows.groupBy("hub").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("hub"), "mixed")
+    hubs = rows.groupBy("doc").agg(F.collect_set("hub").alias("hubs"))
+    rows = materialise(rows.join(mixed, "hub").join(hubs, "doc"), "mixed_lists")
+    x, y = (rows.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "g", "n", "alone", "lack", "extra", "hubs")]) for p in "xy")
     apart = F.greatest(F.col("x_alone") + F.col("y_alone"), F.abs(F.col("x_extra") - F.col("y_extra"))) + F.abs(F.col("x_lack") - F.col("y_lack"))
     both, most = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_alone"), F.col("y_n") - F.col("y_alone"))
     may = (100 * (both - apart) >= percent * (both + apart)) & (100 * most >= percent * (both - most))
-    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("item")
-    return x.join(y, "item").where("x_doc < y_doc and x_g <> y_g").where(may).where(once).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"))
+    once = F.array_min(F.array_intersect("x_hubs", "y_hubs")) == F.col("hub")
+    return x.join(y, "hub").where("x_doc < y_doc and x_g <> y_g").where(may).where(once).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
