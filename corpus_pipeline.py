@@ -51,8 +51,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with live-looking secrets replaced by a mark; widely copied examples stay as they are."""
-    spans = secrets.scan_secrets(docs).where("n_live > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("span_list").alias("_spans"))
-    rows = docs.select(*COLUMNS).join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    spans = secrets.scan_secrets(docs).where("n_live > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of")).agg(F.first("span_list").alias("_spans"))
+    rows = docs.select(*COLUMNS, secrets.text_key(F.col("text")).alias("_key"))
+    rows = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
     live = F.filter("_spans", lambda s: s["verdict"] == "live")
     text = F.when(F.col("_spans").isNotNull(), secrets.mask_spans(F.col("text"), live)).otherwise(F.col("text"))
     n_chars = F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))

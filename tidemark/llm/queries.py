@@ -192,7 +192,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 @query("op6_secret_scan", OP6_SQL)
 def op6_secret_scan(spark, sf_dir):
-    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list", "text_key")
 
 
 @query("op5_near_duplicates")

@@ -77,34 +77,40 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, text), ",")
 
 
+def text_key(text: Column) -> Column:
+    """What tells apart the texts of rows that share an id, or have none."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def scan_secrets(docs: DataFrame, max_owners: int = 1, example_owners: int = 3) -> DataFrame:
     """One row per document of `docs` (doc_id, text, source): n_assign, n_access, n_hex, base_sha256, spans, and
-    n_live and n_examples, the spans by what the corpus says of their value; `span_list` has kind, start, end, verdict.
+    n_live and n_examples, the spans by what the corpus says of their value; `span_list` has kind, start, end, verdict,
+    and `text_key` goes with doc_id to name the text they belong to.
 
     The repository is the `source`, its owner the part before the first `/` (a null source is a repository and an owner
     of its own). Every base match stays. Besides, each long mixed run of key characters that no base span covers is a
     candidate: it is added as `owned` when at most `max_owners` owners hold its value. A value that `example_owners`
     or more hold is a copied example, fewer: live.
 
-    Null and empty texts have no spans. Rows of one doc_id are one document if their texts are equal (returned once per
-    row); an empty table gives no rows; other columns are ignored."""
+    Null and empty texts have no spans. Rows of one doc_id, or without one, are one document if their texts are equal
+    (returned once per row), else documents of their own; an empty table gives no rows; other columns are ignored."""
     repository = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    found = materialise(candidates(docs.select("doc_id", "text", repository.alias("repository"))).drop("text"), "candidates")
+    found = materialise(candidates(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"), repository.alias("repository"))).drop("text"), "candidates")
     owners = materialise(ownership(found, F.split(F.col("repository"), "/")[0], F.col("repository")), "owners")
-    spread = (found.where("size(base) + size(wide) > 0").select("doc_id", F.explode(F.concat("base", "wide")).alias("c"))
-              .select("doc_id", F.sha2("c.value", 256).alias("hash"), "c.kind", "c.start", "c.end").distinct())
+    spread = (found.where("size(base) + size(wide) > 0").select("doc_id", "text_key", F.explode(F.concat("base", "wide")).alias("c"))
+              .select("doc_id", "text_key", F.sha2("c.value", 256).alias("hash"), "c.kind", "c.start", "c.end").distinct())
     judged = spread.join(owners, "hash").where((F.col("kind") < len(KINDS)) | (F.col("n_owners") <= max_owners))
     verdict = F.when(F.col("n_owners") >= example_owners, "example").otherwise("live")
     # all spans of one document: as many as its own text holds
-    spans = judged.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict")))).alias("all"))
-    rows = found.select("doc_id", "base").join(spans, "doc_id", "left")
+    spans = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict")))).alias("all"))
+    rows = found.select("doc_id", "text_key", "base").join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     base = F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     every = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,verdict:string>>"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     judged_as = lambda v: F.size(F.filter(every, lambda s: s["verdict"] == v)).cast("long")
     return rows.select(
         "doc_id", *[count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(KINDS)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        judged_as("live").alias("n_live"), judged_as("example").alias("n_examples"), every.alias("span_list"))
+        judged_as("live").alias("n_live"), judged_as("example").alias("n_examples"), every.alias("span_list"), "text_key")
 
 
 def mask_spans(text: Column, spans: Column, mark: str = "<secret>") -> Column:
