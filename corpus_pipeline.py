@@ -43,10 +43,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.select(*COLUMNS).join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents without a benchmark passage, judged by their own text also where ids repeat or lack; passages of items
+    without an id count."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True, unnamed_items=True)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_bad"))
+    rows = docs.select(*COLUMNS, secrets.text_key(F.col("text")).alias("_key"))
+    return rows.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad")), "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,10 @@ def test_secrets_without_an_id_are_masked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     masked = {(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.mask_secrets(spark, docs, DATA).collect()}
     assert masked == {(None, "key <secret> end", 16), (None, "clean", 5), (1, "<secret>", 8), (1, "x", 1)}
+
+
+def test_clean_rows_without_an_id_stay(spark):
+    passage = max((r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()), key=len)
+    rows = [(None, f"before {passage}"), (None, "a clean text"), (1, passage), (1, "another clean text"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, DATA).collect()} == {rows[1], rows[3], rows[4]}

@@ -85,6 +85,12 @@ def test_mix_of_odd_tables(odd, none):
     assert mixing.mix_sources(none, mixing.tempered_weights(none)).isEmpty()
 
 
+def test_mix_of_rows_without_a_key(spark):
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    out = mixing.mix_sources(rows, mixing.tempered_weights(rows)).collect()
+    assert len({r.order_key for r in out}) == len(out) and abs(len(out) - 400) < 100 and 200 < len({r.text for r in out}) < 300
+
+
 # urls (2)
 
 def test_blocks_reach_aliases(spark):
@@ -150,6 +156,15 @@ def test_decontamination_of_odd_tables(spark, odd):
     assert {r.doc_id for r in got if r.contaminated} == {5} and len(got) == 8
 
 
+def test_rows_without_an_id_are_judged_alone(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, f"a {item}"), (None, "a clean text"), (None, "a clean text"), (1, f"{item} b"), (1, "also clean"), (2, "only the unnamed passage")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (None, "unnamed passage")], "item_id long, text string")
+    rows = lambda **how: sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items) for r in decontaminate.find_contamination(docs, bench, **how).collect()))
+    assert rows() == [(0, 3, 0, 0, []), (0, 11, 10, 1, ["7"]), (1, 11, 10, 1, ["7"]), (2, 4, 0, 0, [])]
+    assert rows(by_text=True, unnamed_items=True) == [(0, 3, 0, 0, []), (0, 11, 10, 1, ["7"]), (1, 2, 0, 0, []), (1, 11, 10, 1, ["7"]), (2, 4, 2, 1, [])]
+
+
 # near duplicates (5)
 
 @pytest.mark.parametrize("percent, n", [(85, 3), (80, 5)])

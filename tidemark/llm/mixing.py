@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, seed: int = 42, source: str
     Returns the columns of `docs` with `replica` (from 0), `rate` and `order_key`.
 
     The count is the Poisson quantile of a hash of seed and key, so it needs no state and a lost task repeats it; rows
-    with equal keys get equal counts. The rows are dealt out by a hash of seed, key and replica and sorted by it
+    with equal keys get equal counts. A row without a key is keyed by the hash of its columns. The rows are dealt out by a hash of seed, key and replica and sorted by it
     within each part: the order in a part is random, and so is the part. A source that `weights` lacks or gives no
     more than 0 disappears. Null sources are one source; null and empty texts are documents like others; an empty table
     gives no rows. Columns named `replica`, `rate` or `order_key` are replaced.
@@ -62,10 +62,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame, seed: int = 42, source: str
     rates = materialise(repetition_rates(docs, weights, source, total).withColumnRenamed("source", "_source"), "rates")
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
     rest = docs.drop("replica", "rate", "order_key")
-    rated = rest.join(rates, rest[source].eqNullSafe(rates["_source"])).drop("_source")
-    count = poisson_count(unit_hash(F.lit(seed), F.col(key)), F.col("rate"))
+    own = F.coalesce(F.col(key).cast("string"), F.md5(F.to_json(F.struct(*rest.columns)).cast("binary")))
+    rated = rest.withColumn("_key", own).join(rates, rest[source].eqNullSafe(rates["_source"])).drop("_source")
+    count = poisson_count(unit_hash(F.lit(seed), F.col("_key")), F.col("rate"))
     spread = rated.withColumn("_n", count).where("_n > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    keyed = spread.withColumn("order_key", unit_hash(F.lit(seed), F.col(key), F.col("replica")))
+    keyed = spread.withColumn("order_key", unit_hash(F.lit(seed), F.col("_key"), F.col("replica"))).drop("_key")
     return keyed.repartition("order_key").sortWithinPartitions("order_key", key, "replica")
 
 

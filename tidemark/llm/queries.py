@@ -155,7 +155,7 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
 @query("op4_decontaminate", OP4_SQL)
 def op4_decontaminate(spark, sf_dir):
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed_items=True)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
