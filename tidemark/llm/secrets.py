@@ -82,15 +82,16 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = 1, example_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     """One row per document of `docs` (doc_id, text, source): n_assign, n_access, n_hex, base_sha256, spans, and
     n_live and n_examples, the spans by what the corpus says of their value; `span_list` has kind, start, end, verdict,
     and `text_key` goes with doc_id to name the text they belong to.
 
     The repository is the `source`, its owner the part before the first `/` (a null source is a repository and an owner
     of its own). Every base match stays. Besides, each long mixed run of key characters that no base span covers is a
-    candidate: it is added as `owned` when at most `max_owners` owners hold its value. A value that `example_owners`
-    or more hold is a copied example, fewer: live.
+    candidate. A value that `example_owners` or more owners hold is a copied example, fewer: live. Candidates are added as
+    `owned` when they are live. The SQL twin adds them for one owner only, so it differs from here on a candidate of more
+    than one owner and fewer than `example_owners`.
 
     Null and empty texts have no spans. Rows of one doc_id, or without one, are one document if their texts are equal
     (returned once per row), else documents of their own; an empty table gives no rows; other columns are ignored."""
@@ -99,7 +100,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, example_owners: int = 3)
     owners = materialise(ownership(found, F.split(F.col("repository"), "/")[0], F.col("repository")), "owners")
     spread = (found.where("size(base) + size(wide) > 0").select("doc_id", "text_key", F.explode(F.concat("base", "wide")).alias("c"))
               .select("doc_id", "text_key", F.sha2("c.value", 256).alias("hash"), "c.kind", "c.start", "c.end").distinct())
-    judged = spread.join(owners, "hash").where((F.col("kind") < len(KINDS)) | (F.col("n_owners") <= max_owners))
+    judged = spread.join(owners, "hash").where((F.col("kind") < len(KINDS)) | (F.col("n_owners") < example_owners))
     verdict = F.when(F.col("n_owners") >= example_owners, "example").otherwise("live")
     # all spans of one document: as many as its own text holds
     spans = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict")))).alias("all"))
