@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, mixing, near_dups, quality_net, quality_rules, secrets, substrings, urls
+from tidemark.llm import chat, decontaminate, language, mixing, near_dups, quality_net, quality_rules, ranked_search, secrets, simhash, substrings, token_align, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,3 +219,30 @@ def op9_quality_classifier(spark, sf_dir):
     net = quality_net.train(docs, labels.where(~quality_net.held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", "text", quality_net.held_out(F.col("doc_id")).alias("held_out"))
     return quality_net.score_quality(rows, net).select("doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+_TERMS = _LOWER.format("coalesce(text, '')")
+OP11_SQL = rf"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_TERMS}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_TERMS}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+whole AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM doc),
+held AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM doc) GROUP BY ALL),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, whole GROUP BY t),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM item JOIN held USING (t) JOIN weight USING (t), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0) WHERE place <= 10"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    return token_align.align_tokenizers(table(spark, sf_dir, "documents"), keep_groups=False).drop("groups")
+
+
+@query("op13_simhash_duplicates")
+def op13_simhash_duplicates(spark, sf_dir):
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"), n=3, distance=3)

@@ -56,7 +56,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of the bytes of each word: differences of running sums of byte times power."""
-        data = _LOWER[self.data] if lower else self.data
+        data = lowered(self.data) if lower else self.data
         up, down = _POWERS.upto(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -71,15 +71,20 @@ class Words:
 _ODD = frozenset(b"\t\n\x0b\x0c\r")
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Words are runs of bytes other than space and \\t to \\r; null is an empty text. Blank bytes never occur inside a
-    UTF-8 character, so bytes give the same words as characters."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def words_of(texts: pa.Array, blank: np.ndarray = _BLANK) -> Words:
+    """Words are runs of bytes that `blank` does not mark, by default those other than space and \\t to \\r; null is an empty
+    text. Marked bytes are below 0x80 and so never occur inside a UTF-8 character: bytes give the same words as characters."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     bounds = offsets - offsets[0]
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = bounds[(bounds > 0) & (bounds < len(data))]
