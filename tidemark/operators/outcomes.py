@@ -15,11 +15,23 @@ from ..functions.windows import own
 
 @dataclass(frozen=True)
 class ExitRule:
+    """`rr_strong` replaces `rr` in strong trends (ADX of 25 or more at the signal); an `adaptive` rule does so also where
+    it is None, which then means no target, as a None `rr` does."""
+
     stop_atr: float = 2.0
     rr: float | None = 2.0
     rr_strong: float | None = None
     max_bars: int = 20
     trail_atr: float | None = None
+    adaptive: bool = False
+
+
+RULES = "rule_no int, rule string, stop_atr double, rr double, rr_strong double, max_bars int, trail_atr double, strong boolean"
+
+
+def rule_rows(rules: dict[str, ExitRule]) -> list[tuple]:
+    """Named rules as rows of a RULES table, numbered in their order."""
+    return [(i, n, r.stop_atr, r.rr, r.rr_strong, r.max_bars, r.trail_atr, r.adaptive or r.rr_strong is not None) for i, (n, r) in enumerate(rules.items())]
 
 
 @dataclass(frozen=True)
@@ -35,16 +47,27 @@ def numbered(bars: DataFrame) -> DataFrame:
 
 def edge_events(signals: DataFrame, bars: DataFrame, horizons: Sequence[int], by: Sequence[str] = ("asset",)) -> DataFrame:
     """Move from the next open to `horizon` bars later in ATRs, minus the asset's ordinary move between its first and
-    last signal, in the signal's direction, clipped at 10. Bars carry `atr`; all horizons in one pass."""
+    last signal, in the signal's direction, clipped at 10. Bars carry `atr`; all horizons in one pass.
+
+    Running sums of the moves ride on the bars, so an ordinary move is the difference of two signals' sums: bars are
+    joined with signals only, never with spans of bars."""
     keys = list(dict.fromkeys([*by, "asset"]))
     b = numbered(bars).withColumn("_n", F.count("*").over(Window.partitionBy("asset")))
     lead = lambda c, k: F.lead(c, k).over(own())
-    moves = F.array(*[F.struct(F.lit(h).alias("h"), ((lead("close", h) - lead("open", 1)) / F.when(F.col("atr") > 0, F.col("atr"))).alias("move")) for h in horizons])
-    b = b.withColumn("_moves", moves).select("asset", "ts", "bn", "_n", "atr", F.explode("_moves").alias("m")).select("asset", "ts", "bn", "_n", "atr", "m.h", "m.move")
-    at = signals.select(*keys, "ts", "side").join(b, ["asset", "ts"])
-    span = at.groupBy(*keys, "h").agg(F.greatest(F.min("bn"), F.lit(1)).alias("_lo"), F.least(F.max("bn"), F.max("_n") - F.col("h") - 1).alias("_hi"))
-    inside = span.join(b.select("asset", "h", "bn", "move"), ["asset", "h"]).filter("bn between _lo and _hi")
-    drift = inside.groupBy(*keys, "h").agg(F.avg("move").alias("_drift"))
+    b = b.withColumns({f"_m{h}": (lead("close", h) - lead("open", 1)) / F.when(F.col("atr") > 0, F.col("atr")) for h in horizons})
+    # the drift between two bars is a difference of running sums; the first bar of an asset is in no drift
+    upto = own().rowsBetween(Window.unboundedPreceding, 0)
+    later = F.when(F.col("bn") > 0, 1)
+    b = b.withColumns({f"_s{h}": F.sum(later * F.col(f"_m{h}")).over(upto) for h in horizons} | {f"_c{h}": F.count(later * F.col(f"_m{h}")).over(upto) for h in horizons})
+    moves = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_m{h}").alias("move"), F.coalesce(f"_s{h}", F.lit(0.0)).alias("s"), F.col(f"_c{h}").alias("c")) for h in horizons])
+    at = signals.select(*keys, "ts", "side").join(b.select("asset", "ts", "bn", "_n", "atr", moves.alias("_moves")), ["asset", "ts"])
+    at = at.select(*keys, "ts", "side", "bn", "_n", "atr", F.explode("_moves").alias("m")).select(*keys, "ts", "side", "bn", "_n", "atr", "m.*")
+    # what has run up before the first signal; a move past the last bar is null and adds nothing
+    own_move = F.when((F.col("bn") > 0) & F.col("move").isNotNull(), F.col("move"))
+    first = F.min_by(F.struct((F.col("s") - F.coalesce(own_move, F.lit(0.0))).alias("s"), (F.col("c") - F.when(own_move.isNotNull(), 1).otherwise(0)).alias("c")), "bn")
+    drift = at.groupBy(*keys, "h").agg(first.alias("_a"), F.max_by(F.struct("s", "c"), "bn").alias("_z"))
+    n = F.col("_z.c") - F.col("_a.c")
+    drift = drift.select(*keys, "h", F.when(n > 0, (F.col("_z.s") - F.col("_a.s")) / n).alias("_drift"))
     df = at.filter((F.col("bn") + F.col("h") < F.col("_n")) & (F.col("atr") > 0)).join(drift, [*keys, "h"], "left")
     edge = F.col("side") * (F.col("move") - F.coalesce("_drift", F.lit(0.0)))
     return df.select(*keys, "ts", "side", F.col("h").alias("horizon"), F.least(F.greatest(edge, F.lit(-10.0)), F.lit(10.0)).alias("edge"))
@@ -58,14 +81,19 @@ def edge_curve(events: DataFrame, own_horizon: int, by: Sequence[str] = ()) -> D
         (F.max(F.when(F.col("horizon") == own_horizon, F.col("edge"))) / F.when(F.max("edge") > 0, F.max("edge"))).alias("exit_vs_peak"))
 
 
-def barrier_outcomes(signals: DataFrame, bars: DataFrame, rule: ExitRule, costs: Costs, by: Sequence[str] = ("asset",)) -> DataFrame:
+def barrier_outcomes(signals: DataFrame, bars: DataFrame, rule: ExitRule | dict[str, ExitRule], costs: Costs, by: Sequence[str] = ("asset",)) -> DataFrame:
     """The trade each signal would have made: filled at the next open, closed by the first of event, reversal, gap, stop,
     target or time. Bars carry `atr`, and optionally `adx` and `blocked`.
 
     Each signal is spread over its at most `max_bars` following bars and joined to them by bar number, so the cost is
     signals x max_bars whatever the assets' sizes; all ordering happens inside one signal's bars.
+
+    Several named rules give a trade of each signal under each (`rule`, `rule_no`): bars are joined and shuffled once for
+    the longest rule, and spread over the rules where they lie.
     """
     keys = list(dict.fromkeys([*by, "asset"]))
+    grid = isinstance(rule, dict)
+    longest = max(r.max_bars for r in rule.values()) if grid else rule.max_bars
     b = numbered(bars)
     adx = F.col("adx") if "adx" in bars.columns else F.lit(None).cast("double")
     blocked = F.coalesce(F.col("blocked"), F.lit(False)) if "blocked" in bars.columns else F.lit(False)
@@ -73,17 +101,27 @@ def barrier_outcomes(signals: DataFrame, bars: DataFrame, rule: ExitRule, costs:
     sig = signals.select(*keys, F.col("ts").alias("signal_ts"), "side")
     at = sig.join(b.select("asset", F.col("ts").alias("signal_ts"), F.col("bn").alias("p"), F.col("atr").alias("_a"), F.col("adx").alias("_x")), ["asset", "signal_ts"]).filter("_a > 0")
     opposite = sig.select(*keys, F.col("signal_ts").alias("_pt"), F.col("side").alias("_want"))
-    path = at.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(rule.max_bars)))).withColumn("bn", F.col("p") + F.col("k")).join(b, ["asset", "bn"])
+    path = at.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(longest)))).withColumn("bn", F.col("p") + F.col("k")).join(b, ["asset", "bn"])
     path = path.join(opposite, [*keys, "_pt"], "left")
+    if grid:
+        fields = [f.split() for f in RULES.split(", ")]
+        table = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"_{n}") for v, (n, t) in zip(row, fields)]) for row in rule_rows(rule)])
+        path = path.repartition(*keys, "p").withColumn("_u", F.explode(table)).select(*path.columns, "_u.*").filter("k <= _max_bars")
+        path = path.withColumnsRenamed({"_rule": "rule", "_rule_no": "rule_no"})
+        keys = [*keys, "rule", "rule_no"]
+        stop_atr, trail_atr, last = F.col("_stop_atr"), F.col("_trail_atr"), F.col("_max_bars")
+        ratio = F.when(F.col("_strong") & (F.col("_x") >= 25), F.col("_rr_strong")).otherwise(F.col("_rr"))
+    else:
+        stop_atr, trail_atr, last = F.lit(rule.stop_atr), rule.trail_atr, F.lit(rule.max_bars)
+        ratio = F.lit(rule.rr) if rule.rr_strong is None and not rule.adaptive else F.when(F.col("_x") >= 25, rule.rr_strong).otherwise(rule.rr)
     w = Window.partitionBy(*keys, "p").orderBy("k")
     s = F.col("side")
     path = path.withColumn("entry", F.first("open").over(w) * (1 + s * costs.slippage))
-    risk = rule.stop_atr * F.col("_a")
-    ratio = F.lit(rule.rr) if rule.rr_strong is None else F.when(F.col("_x") >= 25, rule.rr_strong).otherwise(rule.rr)
+    risk = stop_atr * F.col("_a")
     path = path.withColumns({"risk": risk, "_init": s * F.col("entry") - risk, "_target": s * F.col("entry") + ratio * risk})
-    if rule.trail_atr is not None:
+    if trail_atr is not None:
         best = F.greatest(s * F.col("entry"), F.max(s * F.col("close")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        path = path.withColumn("_level", best - rule.trail_atr * F.col("atr"))
+        path = path.withColumn("_level", best - trail_atr * F.col("atr"))
         path = path.withColumn("_stop", F.greatest("_init", F.max("_level").over(w.rowsBetween(Window.unboundedPreceding, -1))))
     else:
         path = path.withColumn("_stop", F.col("_init"))
@@ -94,7 +132,7 @@ def barrier_outcomes(signals: DataFrame, bars: DataFrame, rule: ExitRule, costs:
     outcome = (F.when(held & F.col("blocked"), hit(o, F.lit("event"), True)).when(held & (F.col("_want") == -s), hit(o, F.lit("reverse"), True))
                .when(held & (o <= F.col("_stop")), hit(o, stop_name, True)).when(held & (o >= F.col("_target")), hit(o, F.lit("target"), True))
                .when(adverse <= F.col("_stop"), hit(F.col("_stop"), stop_name, False)).when(good >= F.col("_target"), hit(F.col("_target"), F.lit("target"), False))
-               .when(F.col("k") >= rule.max_bars, hit(s * F.col("close"), F.lit("time"), False)))
+               .when(F.col("k") >= last, hit(s * F.col("close"), F.lit("time"), False)))
     lent = F.when((s < 0) & held, F.col("_pc") * costs.borrow_apr * F.datediff("ts", "_pt") / 365).otherwise(0.0)
     path = path.withColumns({"_out": outcome, "_lent": lent, "_good": good, "_adv": adverse})
     run = w.rowsBetween(Window.unboundedPreceding, 0)
