@@ -144,6 +144,28 @@ def hash_uniform(seed: int, *parts: Column) -> Column:
     return F.pmod(total * 48271 + 11, F.lit(1000003)) / 1000003
 
 
+#: A prime below 2**31 at which cubing is a permutation, so that products of two residues fit a long.
+MIX_PRIME = 2147483399
+
+
+def cubed(x: Column) -> Column:
+    return x * x % MIX_PRIME * x % MIX_PRIME
+
+
+def mixed(seed: int, *parts: Column) -> Column:
+    """A residue of MIX_PRIME from integer columns, cubed after each of them: unlike `hash_uniform`, neighbours share no
+    pattern, which resampling needs. The same in every engine."""
+    x = F.lit(seed * 1299709)
+    for p, m in zip(parts, (7919, 104729, 15485863)):
+        x = cubed((x + F.pmod(p.cast("long"), F.lit(MIX_PRIME)) * m) % MIX_PRIME)
+    return x
+
+
+def mixed_uniform(x: Column) -> Column:
+    """A uniform number from a residue."""
+    return cubed((x * 48271 + 11) % MIX_PRIME) / MIX_PRIME
+
+
 def random_twin(signals: DataFrame, bars: DataFrame, seed: int, both_sides: bool = True) -> DataFrame:
     """Signals at random times with each asset's own firing rate."""
     flagged = bars.select("asset", "ts").join(signals.select("asset", "ts", "side"), ["asset", "ts"], "left")

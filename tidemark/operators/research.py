@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank, group_quantiles
 from ..functions.temporal import islands
 from ..session import materialise
-from .asset_signals import hash_uniform
+from .asset_signals import MIX_PRIME, mixed, mixed_uniform
 
 EULER = 0.5772156649015329
+#: Replays of a world without skill, draws of trades and of days, and the fewest trades a range is given for.
+REPLAYS, TRADE_DRAWS, DAY_DRAWS, LEAST_TRADES = 1000, 10_000, 2000, 10
 
 
 def monthly_ic(events: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
@@ -112,27 +116,51 @@ def resample_counts(weeks: DataFrame, replays: int, block: int = 4, seed: int =
     cal = weeks.select("week").distinct().withColumn("i", F.row_number().over(Window.orderBy("week")) - 1)  # a row per week
     n = cal.agg(F.count("*").alias("n"))
     grid = cal.select("i").withColumn("replay", F.explode(F.sequence(F.lit(1), F.lit(replays)))).withColumn("n", n.select("n").scalar())
-    fresh = (F.col("i") == 0) | (hash_uniform(seed, F.col("replay"), F.col("i")) < 1 / block)
-    start = F.floor(hash_uniform(seed + 1, F.col("replay"), F.col("i")) * F.col("n"))
+    draw = lambda k: mixed_uniform(mixed(seed + k, F.col("replay"), F.col("i")))
+    fresh = (F.col("i") == 0) | (draw(0) < 1 / block)
+    start = F.floor(draw(1) * F.col("n"))
     grid = grid.withColumns({"_s": F.when(fresh, start), "_at": F.when(fresh, F.col("i"))})
     w = Window.partitionBy("replay").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     src = F.pmod(F.last("_s", ignorenulls=True).over(w) + F.col("i") - F.last("_at", ignorenulls=True).over(w), F.col("n"))
     used = grid.select("replay", src.cast("int").alias("i")).groupBy("replay", "i").agg(F.count("*").alias("times"))
-    return used.join(cal, "i").select("replay", "week", "times")
+    return used.join(cal, "i").select("replay", "i", "week", "times")
 
 
-def null_max(weekly: DataFrame, replays: int, block: int = 4, seed: int = 1) -> DataFrame:
+def _best_sums(counts: np.ndarray):
+    """Largest sum over the tries of a task in each replay. `counts` is weeks x replays; tries come as (i, z) lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full(counts.shape[1], -np.inf)
+        for batch in batches:
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                column = part.column("z")
+                points = column.flatten()
+                z = np.zeros((part.num_rows, counts.shape[0]))
+                z[np.repeat(np.arange(part.num_rows), np.diff(column.offsets.to_numpy())), points.field("i").to_numpy()] = points.field("z").to_numpy()
+                best = np.maximum(best, (z @ counts).max(axis=0))
+        held = np.flatnonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(held + 1, pa.int32()), pa.array(best[held])], names=["replay", "s"])
+
+    return run
+
+
+def null_max(weekly: DataFrame, replays: int = REPLAYS, block: int = 4, seed: int = 1) -> DataFrame:
     """Largest t over all tries in each replay of a world without skill: tries demeaned and scaled by their own history.
 
-    Only the number of times a replay uses a week matters, so the join is (replay, week, times) with the tries' weeks and
-    the sum per (replay, try) combines map-side.
+    Only how often a replay uses a week matters. A try is one vector of weeks and the replays are one matrix of counts, no
+    larger than replays x calendar weeks, which goes to every task: tries are multiplied block by block there and leave
+    one maximum a replay and task, so (replay, week, try) rows never exist.
     """
+    weekly = weekly.select("try_id", "week", "r")
+    counts = resample_counts(weekly, replays, block, seed).select("replay", "i", "times").toArrow()
+    cal = weekly.select("week").distinct().withColumn("i", F.row_number().over(Window.orderBy("week")) - 1)  # a row per week
     stats = weekly.groupBy("try_id").agg(F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s")).filter("_s > 1e-9")
-    z = weekly.join(stats, "try_id").select("try_id", "week", ((F.col("r") - F.col("_m")) / F.col("_s")).alias("z"))
-    n = weekly.select("week").distinct().agg(F.count("*").alias("n"))
-    counts = resample_counts(weekly, replays, block, seed)
-    each = z.join(counts, "week").groupBy("replay", "try_id").agg(F.sum(F.col("z") * F.col("times")).alias("_sum"))
-    return each.groupBy("replay").agg(F.max("_sum").alias("_m")).select("replay", (F.col("_m") / F.sqrt(n.select("n").scalar())).alias("max_t"))
+    z = weekly.join(cal, "week").join(stats, "try_id").groupBy("try_id").agg(F.collect_list(F.struct("i", ((F.col("r") - F.col("_m")) / F.col("_s")).alias("z"))).alias("z"))
+    replay, i, times = (counts.column(c).to_numpy() for c in ("replay", "i", "times"))
+    n_weeks = cal.count()
+    matrix = np.zeros((n_weeks, replays))
+    matrix[i, replay - 1] = times
+    best = z.select("z").mapInArrow(_best_sums(matrix), "replay int, s double").groupBy("replay").agg(F.max("s").alias("_s"))
+    return best.select("replay", (F.col("_s") / math.sqrt(max(n_weeks, 1))).alias("max_t"))
 
 
 def expected_max(n: float) -> float:
@@ -173,22 +201,71 @@ def deflated(stats: DataFrame, bar: float) -> DataFrame:
     return stats.withColumn("deflated", normal_cdf((sr - bar / F.sqrt(n)) * F.sqrt(F.greatest(n - 1, F.lit(1))) / spread))
 
 
-def trade_bootstrap(trades: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """5 and 95 percent points of the resampled mean R, and the share of draws at or below zero.
+def poisson_steps(most: int = 13) -> list[float]:
+    """The Poisson(1) distribution function; what lies above is rarer than a residue can tell."""
+    return [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(most)]
+
+
+def _poisson(u: Column) -> Column:
+    """The Poisson(1) count at a uniform number."""
+    steps = poisson_steps()
+    count = F.lit(len(steps))
+    for k in reversed(range(len(steps))):
+        count = F.when(u < steps[k], k).otherwise(count)
+    return count
+
 
-    Each draw picks row numbers by hash; rows are numbered per (strategy, asset) block and offset by the block sizes, so
-    numbering is not one sorted task.
+def trade_bootstrap(trades: DataFrame, draws: int = TRADE_DRAWS, seed: int = 1, keys: Sequence[str] = ("asset", "fill_no"), name: str = "strategy") -> DataFrame:
+    """trades, avg_r, and over resampled ledgers the 5 and 95 percent points of the mean R and the share at or below zero;
+    only `trades` below LEAST_TRADES trades. Rows without a finite r are left out.
+
+    Each draw takes a trade a Poisson(1) number of times, read from a hash of the draw and the trade's own name and integer
+    `keys`. A trade so needs no number and no draw needs the ledger's size: every task adds up its rows per draw, and only
+    one sum a draw and task is shuffled.
     """
-    sizes = trades.groupBy("strategy", "asset").agg(F.count("*").alias("_c"))
-    offsets = sizes.withColumn("_off", F.sum("_c").over(Window.orderBy("strategy", "asset")) - F.col("_c"))  # a row per block
-    rows = trades.join(offsets.select("strategy", "asset", "_off"), ["strategy", "asset"])
-    rows = rows.select((F.col("_off") + F.row_number().over(Window.partitionBy("strategy", "asset").orderBy("fill_no")) - 1).alias("i"), "r")
-    n = trades.agg(F.count("*").alias("n")).select("n").scalar()
-    picks = rows.select("i").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = picks.select("draw", F.floor(hash_uniform(seed, F.col("draw"), F.col("i")) * n).alias("i"))
-    used = picks.groupBy("draw", "i").agg(F.count("*").alias("times"))
-    means = used.join(rows, "i").groupBy("draw").agg((F.sum(F.col("r") * F.col("times")) / F.sum("times")).alias("mean_r"))
-    return means.agg(F.percentile("mean_r", F.lit(0.05)).alias("p05"), F.percentile("mean_r", F.lit(0.95)).alias("p95"), F.avg((F.col("mean_r") <= 0).cast("double")).alias("p_loss"))
+    rows = trades.filter(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") < float("inf")))
+    rows = rows.select("r", mixed(seed, F.ascii(name), *keys_of(keys)).alias("_row"))
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_at", (F.col("_row") + mixed(seed + 1, F.col("draw"))) % MIX_PRIME)
+    w = _poisson(F.col("_u"))
+    sums = each.select("draw", "r", mixed_uniform(F.col("_at")).alias("_u")).select("draw", "r", w.alias("_w")).groupBy("draw").agg(F.sum(F.col("r") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"))
+    means = sums.filter("_n > 0").select((F.col("_s") / F.col("_n")).alias("m"))
+    ranges = means.agg(F.percentile("m", F.lit(0.05)).alias("p05"), F.percentile("m", F.lit(0.95)).alias("p95"), F.avg((F.col("m") <= 0).cast("double")).alias("p_loss"))
+    whole = rows.agg(F.count("*").alias("trades"), F.avg("r").alias("avg_r"))
+    whole = whole.withColumn("_r", ranges.select(F.struct("*").alias("_r")).scalar())
+    return whole.select("trades", *[F.when(F.col("trades") >= LEAST_TRADES, F.col(c)).alias(c.split(".")[-1]) for c in ("avg_r", "_r.p05", "_r.p95", "_r.p_loss")])
+
+
+def keys_of(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k) for k in keys]
+
+
+def day_bootstrap(equity: DataFrame, draws: int = DAY_DRAWS, block: int = 10, seed: int = 1) -> DataFrame:
+    """Per account: days, yearly growth, and its 5 and 95 percent points and share at or below zero when blocks of `block`
+    consecutive days are drawn; only `days` below three blocks. `equity(account, ts, equity)`, `ts` a date; changes below
+    -100 % count as such.
+
+    A block's growth is summed once for each day it may start at, so a draw of n days is n / block look-ups.
+    """
+    daily = equity.groupBy("account", "ts").agg(F.max("equity").alias("equity"))
+    w = Window.partitionBy("account").orderBy("ts")  # a row per day
+    change = F.col("equity") / F.lag("equity").over(w) - 1
+    d = daily.withColumn("_d", change).filter("_d is not null").withColumn("i", F.row_number().over(w) - 1)
+    d = d.withColumns({"n": F.count("*").over(Window.partitionBy("account")), "_g": F.log1p(F.greatest("_d", F.lit(-1 + 1e-15)))})
+    n = F.col("n")
+    k = F.ceil(n / block).cast("int")
+    d = d.withColumn("_tail", (n - (k - 1) * block).cast("int"))
+    ahead = lambda last: F.sum("_g").over(w.rowsBetween(0, last))
+    tail = F.coalesce(*[F.when(F.col("_tail") == t, ahead(t - 1)) for t in range(1, block + 1)])
+    d = materialise(d.select("account", "i", "n", "_g", ahead(block - 1).alias("_whole"), tail.alias("_last")), "blocks")
+    years = n / 365.25
+    yearly = lambda growth: F.exp(growth / years) - 1
+    whole = d.groupBy("account", "n").agg(F.sum("_g").alias("_g")).select("account", "n", yearly(F.col("_g")).alias("cagr"))
+    drawn = whole.filter(n >= 3 * block).select("account", "n", k.alias("k")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    drawn = drawn.withColumn("i", F.floor(mixed_uniform(mixed(seed, F.col("draw"), F.col("j"))) * (n - block + 1)).cast("int"))
+    growth = F.sum(F.when(F.col("j") == F.col("k") - 1, F.col("_last")).otherwise(F.col("_whole")))
+    sums = drawn.join(d.select("account", "i", "_whole", "_last"), ["account", "i"]).groupBy("account", "n", "draw").agg(growth.alias("_g")).withColumn("c", yearly(F.col("_g")))
+    ranges = sums.groupBy("account").agg(F.percentile("c", F.lit(0.05)).alias("p05"), F.percentile("c", F.lit(0.95)).alias("p95"), F.avg((F.col("c") <= 0).cast("double")).alias("p_loss"))
+    return whole.join(ranges, "account", "left").select("account", n.alias("days"), F.when(n >= 3 * block, F.col("cagr")).alias("cagr"), "p05", "p95", "p_loss")
 
 
 def lineage(nodes: DataFrame) -> DataFrame:
@@ -263,11 +340,23 @@ def period_table(bars: DataFrame, years: Sequence[int]) -> DataFrame:
     return last.select(F.explode(F.array(*[F.struct(F.lit(f"last {y}y").alias("window"), F.add_months("end", -12 * y).alias("start"), F.col("end")) for y in years])).alias("w")).select("w.*")
 
 
-def luck_scores(stats: DataFrame, max_t: DataFrame, events: DataFrame, least: int = 100) -> DataFrame:
-    """Verdict of each try against the mean of the replayed maxima; tries without `least` signals are not judged."""
-    bar = max_t.agg(F.avg("max_t").alias("b")).select("b").scalar()
-    df = stats.join(events, "try_id", "left").withColumn("bar", bar)
-    return df.select("try_id", "t", "bar", F.when(F.coalesce("events", F.lit(0)) >= least, F.col("t") > F.col("bar")).alias("beats_luck"))
+def luck_bar(weekly: DataFrame, events: DataFrame, replays: int = REPLAYS, least: int = 100) -> tuple[float, int]:
+    """(bar, missing): what luck alone hands the luckiest of the tries that could pass at all, those with `least` signals
+    and stored returns. Tries with the signals but without returns each count as one more independent draw."""
+    could = events.filter(F.col("events") >= least).select("try_id").distinct()
+    found = null_max(weekly.join(could, "try_id", "left_semi"), replays).agg(F.avg("max_t").alias("b")).first().b or 0.0
+    missing = could.join(weekly.select("try_id").distinct(), "try_id", "left_anti").count()
+    return (expected_max(effective_n(found) + missing) if missing else found), missing
+
+
+def luck_scores(weekly: DataFrame, events: DataFrame, replays: int = REPLAYS, least: int = 100, sure: float = 0.9) -> DataFrame:
+    """Per try of `events(try_id, events)`: t, the bar, the deflated Sharpe ratio, and whether it beats luck; a try without
+    `least` signals or without returns is not judged."""
+    weekly = materialise(weekly, "weekly")
+    bar, _ = luck_bar(weekly, events, replays, least)
+    df = events.join(deflated(try_stats(weekly), bar), "try_id", "left").withColumn("bar", F.lit(bar))
+    enough = (F.coalesce("events", F.lit(0)) >= least) & F.col("deflated").isNotNull()
+    return df.select("try_id", "events", "t", "bar", "deflated", F.when(enough, F.col("deflated") >= sure).alias("beats_luck"))
 
 
 def vault_verdict(scores: DataFrame) -> DataFrame:
@@ -287,9 +376,43 @@ def study_table(trades: DataFrame, windows: dict[str, tuple[str, str]]) -> DataF
         (F.sum("fees_r") / F.sum(F.abs("gross_r"))).alias("fee_share"), F.avg(F.col("exit_no") - F.col("fill_no") + 1).alias("bars_held"))
 
 
-def exit_rule_grid(stats: DataFrame, least: int = 10) -> DataFrame:
-    """Best rule per strategy by mean over deviation of R among rules with `least` trades. `stats(strategy, rule, trades, quality)`."""
-    return stats.filter(F.col("trades") >= least).groupBy("strategy").agg(F.max_by("rule", F.struct("quality", "rule")).alias("best_rule"), F.max("quality").alias("quality"))
+def exit_rule_grid(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Trades, mean R and quality (mean over deviation of R) of every rule that made a trade. `ledger(*by, rule_no, rule, r)`."""
+    return ledger.groupBy(*by, "rule_no", "rule").agg(F.count("*").alias("trades"), F.avg("r").alias("avg_r"), (F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("quality"))
+
+
+def pick_best(grid: DataFrame, by: Sequence[str], groups: DataFrame, first: DataFrame, least: int = LEAST_TRADES) -> DataFrame:
+    """The rule of each group with the best quality among those with `least` trades, the lower number where nine digits agree; the first
+    rule where there is none. `groups` has every group; `first` has the first rule (`rule_no`, `rule`) for each value of the
+    group columns it shares."""
+    ok = grid.filter((F.col("trades") >= least) & F.col("quality").isNotNull())
+    best = ok.groupBy(*by).agg(F.max_by(F.struct("rule_no", "rule", "quality"), F.struct(F.round("quality", 9), -F.col("rule_no"))).alias("_b"))
+    named = first.withColumnsRenamed({"rule_no": "_no", "rule": "_rule"})
+    df = groups.join(best, list(by), "left").join(named, [c for c in first.columns if c in by])
+    return df.select(*by, F.coalesce("_b.rule_no", "_no").alias("rule_no"), F.coalesce("_b.rule", "_rule").alias("rule"), F.col("_b.quality").alias("quality"))
+
+
+def walk_forward_tuning(ledger: DataFrame, modes: DataFrame, by: Sequence[str], bars: DataFrame, risk: float = 0.01, train_years: int = 4, least: int = LEAST_TRADES, warm_days: int = 250) -> DataFrame:
+    """Each calendar year trades the rule that was best on the years before it: rule, its quality, trades, sum of R, return
+    and the equity chained over the years, from 1.
+
+    `ledger(*by, mode, rule_no, rule, entry_ts, exit_ts, r)` holds the trades of every rule, `modes(mode, rule_no, rule)`
+    the first rule of each family. A trade trains the years whose window holds it from entry to exit, so at most
+    `train_years` of them; a year is tuned once its window starts `warm_days` after the first bar.
+    """
+    keys = [*by, "mode"]
+    warm = F.date_add(F.min("ts"), warm_days)
+    low = F.year(warm) + train_years + F.when(F.dayofyear(warm) > 1, 1).otherwise(0)
+    years = bars.agg(F.when(low <= F.year(F.max("ts")), F.sequence(low, F.year(F.max("ts")))).alias("y"))  # a year per element
+    groups = ledger.select(*keys).distinct().withColumn("year", F.explode(years.scalar()))
+    e, x = F.year("entry_ts"), F.year("exit_ts")
+    train = ledger.filter(x + 1 <= e + train_years).withColumn("year", F.explode(F.sequence(x + 1, e + train_years)))
+    picked = pick_best(exit_rule_grid(train, [*keys, "year"]), [*keys, "year"], groups, modes, least)
+    test = ledger.groupBy(*keys, "rule_no", e.alias("year")).agg(F.count("*").alias("trades"), F.sum("r").alias("sum_r"), F.sum(F.log1p(F.greatest(risk * F.col("r"), F.lit(-0.999999)))).alias("_g"))
+    df = picked.join(test, [*keys, "rule_no", "year"], "left")
+    run = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, 0)  # a row per year
+    g = F.coalesce("_g", F.lit(0.0))
+    return df.select(*keys, "year", "rule", "quality", F.coalesce("trades", F.lit(0).cast("long")).alias("trades"), F.coalesce("sum_r", F.lit(0.0)).alias("sum_r"), (F.exp(g) - 1).alias("ret"), F.exp(F.sum(g).over(run)).alias("equity"))
 
 
 def forward_report(graduates: DataFrame, edges: DataFrame, twins: DataFrame, end: Column, least_weeks: float = 6) -> DataFrame:

@@ -193,6 +193,21 @@ def uniform_sql(seed, *parts):
     return f"((({total}) * 48271 + 11) % 1000003 / 1000003)"
 
 
+def cubed_sql(x):
+    return f"(({x}) * ({x}) % {E.MIX_PRIME} * ({x}) % {E.MIX_PRIME})"
+
+
+def mixed_sql(seed, *parts):
+    x = str(seed * 1299709)
+    for p, m in zip(parts, (7919, 104729, 15485863)):
+        x = cubed_sql(f"({x} + cast({p} as bigint) * {m}) % {E.MIX_PRIME}")
+    return x
+
+
+def mixed_uniform_sql(x):
+    return "(" + cubed_sql(f"({x} * 48271 + 11) % {E.MIX_PRIME}") + f" / {E.MIX_PRIME})"
+
+
 DAYNO = "date_diff('day', date '1970-01-01', ts)"
 
 

@@ -90,6 +90,25 @@ def l3(spark, sf):
     return rounded(all_trades(spark, sf)).select(*TCOLS)
 
 
+def ledger_ctes(p, sig, by, rules):
+    """Trades of a signal cte under each row of a cte of rules (`{p}_all`), and one position at a time (`{p}`)."""
+    key = f"{by}, asset, rule_no"
+    upto = lambda end: f"(partition by {key}, bn order by k rows between unbounded preceding and {end})"
+    cte(f"{p}_p0", f"""select s.{by}, s.asset, s.ts as signal_ts, s.side, u.*, a.bn, b.bn - a.bn as k, a.atr as a0, a.adx as x0, b.ts, b.pt, b.pc, b.open, b.high, b.low, b.close, b.atr, b.blocked, o.side as want
+      from {sig} s join atr_b a on a.asset = s.asset and a.ts = s.ts and a.atr > 0 join atr_b b on b.asset = a.asset and b.bn between a.bn + 1 and a.bn + 8 join {rules} u on b.bn <= a.bn + u.max_bars left join {sig} o on o.{by} = s.{by} and o.asset = s.asset and o.ts = b.pt""")
+    cte(f"{p}_p1", f"select *, first(open) over {upto('current row')} * (1 + side * 0.0005) as entry, stop_atr * a0 as risk, first(ts) over {upto('current row')} as entry_ts, first(blocked) over {upto('current row')} as eb, case when side > 0 then low else -high end as adv, case when side > 0 then high else -low end as good from {p}_p0")
+    cte(f"{p}_p2", f"select *, side * entry - risk as ini, side * entry + (case when strong and x0 >= 25 then rr_strong else rr end) * risk as tgt, greatest(side * entry, max(side * close) over {upto('current row')}) - trail_atr * atr as lvl from {p}_p1")
+    cte(f"{p}_p3", f"select *, greatest(ini, max(lvl) over {upto('1 preceding')}) as stp, sum(case when side < 0 and k > 1 then pc * 0.02 * date_diff('day', pt, ts) / 365 else 0 end) over {upto('current row')} as lent from {p}_p2")
+    cte(f"{p}_p4", f"select *, case when k > 1 and blocked then 1 when k > 1 and want = -side then 2 when k > 1 and side * open <= stp then 3 when k > 1 and side * open >= tgt then 4 when adv <= stp then 5 when good >= tgt then 6 when k >= max_bars then 7 end as ph from {p}_p3")
+    cte(f"{p}_p5", f"""select *, ph <= 4 as at_open, side * (case when ph <= 4 then side * open when ph = 5 then stp when ph = 6 then tgt else side * close end) * (1 - side * 0.0005) as exit
+      from (select *, row_number() over (partition by {key}, bn order by k) as rn from {p}_p4 where ph is not null and not eb) where rn = 1""")
+    cte(f"{p}_all", f"select {by}, asset, rule_no, rule, signal_ts, side, bn as fill_no, entry_ts, ts as exit_ts, at_open, bn - 1 + k as exit_no, entry, exit, risk, (0.0005 * (entry + exit) + lent) / risk as fees_r, side * (exit - entry) / risk as gross_r, side * (exit - entry) / risk - (0.0005 * (entry + exit) + lent) / risk as r from {p}_p5")
+    same = lambda a, b: f"{a}.{by} = {b}.{by} and {a}.asset = {b}.asset and {a}.rule_no = {b}.rule_no"
+    cte(f"{p}_next", f"select t.{by}, t.asset, t.rule_no, t.fill_no, min(n.fill_no) as nxt from {p}_all t left join {p}_all n on {same('n', 't')} and n.fill_no >= t.exit_no + case when t.at_open then 0 else 1 end and n.fill_no > t.fill_no group by 1, 2, 3, 4")
+    cte(f"{p}_walk", f"select {key}, min(fill_no) as fill_no from {p}_all group by {key} union all select x.{by}, x.asset, x.rule_no, x.nxt from {p}_walk g join {p}_next x on {same('x', 'g')} and x.fill_no = g.fill_no where x.nxt is not null")
+    return cte(p, f"select t.* from {p}_all t join {p}_walk using ({key}, fill_no)")
+
+
 cte("tx", "select t.strategy, t.asset, t.fill_no, min(n.fill_no) as nxt from trades_all t left join trades_all n on n.strategy = t.strategy and n.asset = t.asset and n.fill_no >= t.exit_no + case when t.at_open then 0 else 1 end and n.fill_no > t.fill_no group by 1, 2, 3")
 cte("tg", "select strategy, asset, min(fill_no) as fill_no from trades_all group by 1, 2 union all select x.strategy, x.asset, x.nxt from tg g join tx x on x.strategy = g.strategy and x.asset = g.asset and x.fill_no = g.fill_no where x.nxt is not null")
 cte("trades", "select t.* from trades_all t join tg using (strategy, asset, fill_no)")

@@ -11,13 +11,13 @@ from ..operators import panel_signals as P
 from ..operators import research as N
 from ..session import materialise
 from ..sources import bindings as S
-from .asset_signals import DAYNO, donchian_sql, fired, full, two, uniform_sql
+from .asset_signals import DAYNO, donchian_sql, fired, full, mixed_sql, mixed_uniform_sql, two, uniform_sql
 from .bars import cal_d
 from .catalog import cte, query
 from .combinators import grid
 from .event_signals import BARS, PAN
-from .metrics import pairs
-from .outcomes import edge_cte, rounded, signals, trades
+from .metrics import ledger, pairs
+from .outcomes import COSTS, RULE, edge_cte, ledger_ctes, rounded, signals, trade_bars, trades
 
 SETS = {"sweep-4": ("sweep", 4), "sweep-8": ("sweep", 8), "donchian-10": ("donchian", 10), "donchian-16": ("donchian", 16)}
 
@@ -131,13 +131,22 @@ def n7(spark, sf):
     return rounded(N.try_stats(weekly(spark, sf)))
 
 
-@query("n8_null_max", f"""select replay, round(max(s) / sqrt((select count(distinct week) from hw)), 6) as max_t from (select c.replay, z.try_id, sum(z.z * c.times) as s from (select h.try_id, h.week, (h.r - m) / s as z from hw h join (select try_id, avg(r) as m, stddev_samp(r) as s from hw group by 1) using (try_id) where s > 1e-9) z
-  join (select replay, w.week, count(*) as times from bsrc b join bcal w on w.i = b.src group by 1, 2) c using (week) group by 1, 2) group by 1""",
-       bcal="select week, row_number() over (order by week) - 1 as i from (select distinct week from hw)",
-       bg=f"select replay, i, n, case when i = 0 or {uniform_sql(1, 'replay', 'i')} < 0.25 then floor({uniform_sql(2, 'replay', 'i')} * n) end as s, case when i = 0 or {uniform_sql(1, 'replay', 'i')} < 0.25 then i end as at_i from bcal, (select unnest(range(1, 51)) as replay), (select count(*) as n from bcal)",
-       bsrc="select replay, (last_value(s ignore nulls) over w + i - last_value(at_i ignore nulls) over w) % n as src from bg window w as (partition by replay order by i)")
+def null_ctes(p, weekly, replays=N.REPLAYS):
+    """The largest t of each replay of a weekly cte, `{p}`."""
+    cte(f"{p}_cal", f"select week, row_number() over (order by week) - 1 as i from (select distinct week from {weekly})")
+    cte(f"{p}_u", f"select replay, i, n, {mixed_uniform_sql(mixed_sql(1, 'replay', 'i'))} as u, {mixed_uniform_sql(mixed_sql(2, 'replay', 'i'))} as v from {p}_cal, (select unnest(range(1, {replays + 1})) as replay), (select count(*) as n from {p}_cal)")
+    cte(f"{p}_g", f"select replay, i, n, case when i = 0 or u < 0.25 then floor(v * n) end as s, case when i = 0 or u < 0.25 then i end as at_i from {p}_u")
+    cte(f"{p}_src", f"select replay, (last_value(s ignore nulls) over w + i - last_value(at_i ignore nulls) over w) % n as src from {p}_g window w as (partition by replay order by i)")
+    return cte(p, f"""select replay, max(s) / sqrt((select count(*) from {p}_cal)) as max_t from (select c.replay, z.try_id, sum(z.z * c.times) as s from (select h.try_id, h.week, (h.r - m) / s as z from {weekly} h join (select try_id, avg(r) as m, stddev_samp(r) as s from {weekly} group by 1) using (try_id) where s > 1e-9) z
+      join (select replay, w.week, count(*) as times from {p}_src b join {p}_cal w on w.i = b.src group by 1, 2) c using (week) group by 1, 2) group by 1""")
+
+
+null_ctes("nmax", "hw")
+
+
+@query("n8_null_max", "select replay, round(max_t, 6) as max_t from nmax")
 def n8(spark, sf):
-    return rounded(N.null_max(materialise(weekly(spark, sf), "weekly"), 50))
+    return rounded(N.null_max(materialise(weekly(spark, sf), "weekly")))
 
 
 def horner_sql(coefficients) -> str:
@@ -148,22 +157,48 @@ def horner_sql(coefficients) -> str:
 
 
 cte("tstat", "select try_id, any_value(n) as weeks, any_value(m / s) as sharpe, any_value(m / s * sqrt(n)) as t, avg(pow((r - m) / p, 3)) as skew, avg(pow((r - m) / p, 4)) as kurt from (select *, count(*) over w as n, avg(r) over w as m, stddev_samp(r) over w as s, stddev_pop(r) over w as p from hw window w as (partition by try_id)) group by 1")
-cte("tz", f"select *, (sharpe - {N.expected_max(100)!r} / sqrt(weeks)) * sqrt(greatest(weeks - 1, 1)) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)) as z from tstat")
-cte("ttail", f"""select *, exp(-a * a / 2) * case when a < 7.07106781186547e0 then {horner_sql([f'{c!r}::double' for c in N.TAIL_TOP])} / {horner_sql([f'{c!r}::double' for c in N.TAIL_BELOW])}
-  else 1 / ((a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65e0))))) * {(2 * math.pi) ** 0.5!r}) end as tail from (select *, abs(z) as a from tz)""")
+def deflated_ctes(p, stats, bar):
+    """`{p}`: the rows of a cte of try statistics with `deflated` against the bar, a scalar."""
+    cte(f"{p}_z", f"select *, (sharpe - {bar} / sqrt(weeks)) * sqrt(greatest(weeks - 1, 1)) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)) as z from {stats}")
+    cte(f"{p}_tail", f"""select *, exp(-a * a / 2) * case when a < 7.07106781186547e0 then {horner_sql([f'{c!r}::double' for c in N.TAIL_TOP])} / {horner_sql([f'{c!r}::double' for c in N.TAIL_BELOW])}
+      else 1 / ((a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65e0))))) * {(2 * math.pi) ** 0.5!r}) end as tail from (select *, abs(z) as a from {p}_z)""")
+    return cte(p, f"select *, case when z > 0 then 1 - tail else tail end as deflated from {p}_tail")
 
 
-@query("n9_deflated", "select try_id, weeks, round(sharpe, 6) as sharpe, round(t, 6) as t, round(skew, 6) as skew, round(kurt, 6) as kurt, round(case when z > 0 then 1 - tail else tail end, 6) as deflated from ttail")
+deflated_ctes("tdef", "tstat", "(select avg(max_t) from nmax)")
+
+
+@query("n9_deflated", "select try_id, weeks, round(sharpe, 6) as sharpe, round(t, 6) as t, round(skew, 6) as skew, round(kurt, 6) as kurt, round((select avg(max_t) from nmax), 6) as bar, round(deflated, 6) as deflated from tdef")
 def n9(spark, sf):
     w = materialise(weekly(spark, sf), "weekly")
-    bar = N.expected_max(100)
-    return rounded(N.deflated(N.try_stats(w), bar))
+    bar = N.null_max(w).agg(F.avg("max_t").alias("b")).first().b
+    return rounded(N.deflated(N.try_stats(w), bar).withColumn("bar", F.lit(bar)).select("try_id", "weeks", "sharpe", "t", "skew", "kurt", "bar", "deflated"))
+
 
+@query("n9_effective_n")
+def n9b(spark, sf):
+    """The measured bar of all tries, and how many independent ones would put it there."""
+    bars = N.null_max(materialise(weekly(spark, sf), "weekly")).agg(F.count("*").alias("replays"), F.avg("max_t").alias("bar"))
+    bar = bars.first().bar
+    return rounded(bars.withColumn("independent_tries", F.lit(N.effective_n(bar))), 4)
 
-@query("n11_trade_bootstrap", f"""select round(quantile_cont(m, 0.05), 6) as p05, round(quantile_cont(m, 0.95), 6) as p95, round(avg(cast(m <= 0 as int)), 6) as p_loss from (select draw, avg(r) as m from (select draw, cast(floor({uniform_sql(1, 'draw', 'i')} * n) as bigint) as i from brow, (select unnest(range(1, 41)) as draw), (select count(*) as n from brow)) join brow using (i) group by 1)""",
-       brow="select row_number() over (order by strategy, asset, fill_no) - 1 as i, r from trades")
+
+STEPS = " ".join(f"when u < {x!r} then {k}" for k, x in enumerate(N.poisson_steps()))
+
+
+@query("n11_trade_bootstrap", f"""select n as trades, round(a, 6) as avg_r, round(quantile_cont(m, 0.05), 6) as p05, round(quantile_cont(m, 0.95), 6) as p95, round(avg(cast(m <= 0 as int)), 6) as p_loss from (select draw, sum(r * w) / sum(w) as m from (select draw, r, case {STEPS} else {len(N.poisson_steps())} end as w from bdraw) group by 1 having sum(w) > 0), (select count(*) as n, avg(r) as a from trades) group by n, a""",
+       bdraw=f"select draw, r, {mixed_uniform_sql(f'((x + y) % {E.MIX_PRIME})')} as u from (select r, {mixed_sql(1, 'ascii(strategy)', 'asset', 'fill_no')} as x from trades), (select draw, {mixed_sql(2, 'draw')} as y from (select unnest(range(1, {N.TRADE_DRAWS + 1})) as draw))")
 def n11(spark, sf):
-    return rounded(N.trade_bootstrap(materialise(trades(spark, sf), "ledger"), 40))
+    return rounded(N.trade_bootstrap(materialise(trades(spark, sf), "ledger")))
+
+
+@query("n11_day_bootstrap", f"""select w.account, n as days, round(exp(g / (n / 365.25)) - 1, 6) as cagr, round(p05, 6) as p05, round(p95, 6) as p95, round(p_loss, 6) as p_loss from (select account, n, sum(g) as g from dday group by 1, 2) w join (select account, quantile_cont(c, 0.05) as p05, quantile_cont(c, 0.95) as p95, avg(cast(c <= 0 as int)) as p_loss
+  from (select account, draw, exp(sum(b.g) / (any_value(d.n) / 365.25)) - 1 as c from ddraw d join dblock b using (account, i) where b.last = (d.j = d.k - 1) group by 1, 2) group by 1) using (account) where n >= 30""",
+       dday="select account, d, ln(1 + d) as g, row_number() over (partition by account order by ts) - 1 as i, count(*) over (partition by account) as n from (select account, ts, equity / lag(equity) over (partition by account order by ts) - 1 as d from ledeq) where d is not null",
+       dblock="select a.account, a.i, t.last, sum(b.g) as g from dday a, (select unnest([true, false]) as last) t join dday b on b.account = a.account and b.i between a.i and a.i + case when t.last then a.n - (cast(ceil(a.n / 10) as bigint) - 1) * 10 else 10 end - 1 group by 1, 2, 3",
+       ddraw=f"select account, n, k, draw, j, cast(floor({mixed_uniform_sql(mixed_sql(1, 'draw', 'j'))} * (n - 9)) as bigint) as i from (select account, n, k, draw, unnest(range(0, k)) as j from (select distinct account, n, cast(ceil(n / 10) as bigint) as k from dday), (select unnest(range(1, {N.DAY_DRAWS + 1})) as draw))")
+def n11b(spark, sf):
+    return rounded(N.day_bootstrap(ledger(spark, sf)))
 
 
 @query("n12_lineage", "select id, root, depth from lin", lin="select c_custkey as id, c_custkey as root, 0 as depth from customer where c_custkey % 50 = 0 union all select c.c_custkey, l.root, l.depth + 1 from lin l join customer c on c.c_custkey - 1 - c.c_custkey % 3 % (c.c_custkey % 50) = l.id where c.c_custkey % 50 <> 0")
@@ -254,16 +289,18 @@ def n26(spark, sf):
 
 
 
-@query("n10_luck_scores", """select try_id, round(t, 6) as t, round((select avg(max_t) from nmax), 6) as bar, case when coalesce(n, 0) >= 30 then t > (select avg(max_t) from nmax) end as beats_luck from (select try_id, avg(r) / stddev_samp(r) * sqrt(count(*)) as t from hw group by 1) s left join (select asset, count(*) as n from e16_w group by 1) e on e.asset = s.try_id""",
-       nmax="""select c.replay, max(s) / sqrt((select count(distinct week) from hw)) as max_t from (select c.replay, z.try_id, sum(z.z * c.times) as s from (select h.try_id, h.week, (h.r - m) / s as z from hw h join (select try_id, avg(r) as m, stddev_samp(r) as s from hw group by 1) using (try_id) where s > 1e-9) z join (select replay, w.week, count(*) as times from bsrc b join bcal w on w.i = b.src group by 1, 2) c using (week) group by 1, 2) c group by 1""",
-       bcal="select week, row_number() over (order by week) - 1 as i from (select distinct week from hw)",
-       bg=f"select replay, i, n, case when i = 0 or {uniform_sql(1, 'replay', 'i')} < 0.25 then floor({uniform_sql(2, 'replay', 'i')} * n) end as s, case when i = 0 or {uniform_sql(1, 'replay', 'i')} < 0.25 then i end as at_i from bcal, (select unnest(range(1, 51)) as replay), (select count(*) as n from bcal)",
-       bsrc="select replay, (last_value(s ignore nulls) over w + i - last_value(at_i ignore nulls) over w) % n as src from bg window w as (partition by replay order by i)")
+null_ctes("lmax", "lhw")
+cte("lev", "select s_suppkey as try_id, coalesce(n, 0) as events from supplier left join (select asset, count(*) as n from e16_w group by 1) on asset = s_suppkey")
+cte("lhw", "select hw.* from hw join lev using (try_id) where events >= 30")
+deflated_ctes("ldef", "tstat", "(select avg(max_t) from lmax)")
+
+
+@query("n10_luck_scores", "select try_id, events, round(t, 6) as t, round((select avg(max_t) from lmax), 6) as bar, round(deflated, 6) as deflated, case when events >= 30 and deflated is not null then deflated >= 0.9 end as beats_luck from lev left join ldef using (try_id)")
 def n10(spark, sf):
     from .asset_signals import sweeps
-    w = materialise(weekly(spark, sf), "weekly")
-    events = sweeps(spark, sf).groupBy(F.col("asset").alias("try_id")).agg(F.count("*").alias("events"))
-    return rounded(N.luck_scores(N.try_stats(w), N.null_max(w, 50), events, 30))
+    fired_ = sweeps(spark, sf).groupBy(F.col("asset").alias("try_id")).agg(F.count("*").alias("_n"))
+    events = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("try_id")).join(fired_, "try_id", "left").select("try_id", F.coalesce("_n", F.lit(0)).alias("events"))
+    return rounded(N.luck_scores(weekly(spark, sf), materialise(events, "events"), least=30))
 
 
 @query("n18_vault_verdict", "select candidate, coalesce(v_ic > 0 and v_icir >= 0.5 * s_icir and e > 0 and e > 0.01, false) as verdict from wscore join (select candidate, avg(edge) as e from cedges where ts >= date '1999-01-01' group by 1) using (candidate)")
@@ -274,10 +311,45 @@ def n18(spark, sf):
     return N.vault_verdict(s).select("candidate", "verdict")
 
 
-@query("n19_exit_rule_grid", "select strategy, arg_max(reason, (q, reason)) as best_rule, round(max(q), 6) as quality from (select strategy, reason, avg(r) / stddev_samp(r) as q, count(*) as n from trades group by 1, 2) where n >= 10 group by 1")
+#: Exit families of the study, each tuned by itself: one reward for every trade, a trailing stop, a reward by trend.
+MODES = {
+    "fixed": {f"{s}/{r}": L.ExitRule(s, r, max_bars=8) for s in (1.5, 2.0, 2.5, 3.0) for r in (1.5, 2.0, 3.0, 4.0)},
+    "trailing": {f"{s}/run/{t}": L.ExitRule(s, None, max_bars=8, trail_atr=t) for s in (2.0, 3.0) for t in (2.0, 3.0, 4.0, 5.0)},
+    "adaptive": {f"{s}/{a}-{b or 'run'}": L.ExitRule(s, a, b, 8, t, adaptive=True) for s in (1.5, 2.0, 2.5, 3.0) for a, b, t in ((2.0, 3.0, None), (2.0, 4.0, None), (1.5, 3.0, None), (2.0, None, 3.0))},
+}
+MODE_ROWS = [(m, no, n) for no, (m, n) in enumerate((m, n) for m, rules in MODES.items() for n in rules)]
+EVERY_RULE = {f"{m} {n}": r for m, rules in MODES.items() for n, r in rules.items()}
+
+
+def _sql_value(v):
+    return "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+
+cte("xrules", "select rule_no, rule, string_split(rule, ' ')[1] as mode, cast(stop_atr as double) as stop_atr, cast(rr as double) as rr, cast(rr_strong as double) as rr_strong, max_bars, cast(trail_atr as double) as trail_atr, strong from (values " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in L.rule_rows(EVERY_RULE)) + ") v(rule_no, rule, stop_atr, rr, rr_strong, max_bars, trail_atr, strong)")
+ledger_ctes("xled", "sig2", "strategy", "xrules")
+cte("xtrain", "select l.*, string_split(rule, ' ')[1] as mode, unnest(range(year(exit_ts) + 1, year(entry_ts) + 5)) as year from xled l")
+cte("xgrid", "select strategy, mode, year, rule_no, rule, count(*) as trades, avg(r) / nullif(stddev_samp(r), 0) as quality from xtrain group by all")
+cte("xyears", "select unnest(range(year(d) + 4 + case when dayofyear(d) > 1 then 1 else 0 end, year(l) + 1)) as year from (select cast(min(ts) + interval 250 day as date) as d, max(ts) as l from bars_w)")
+cte("xbest", "select g.strategy, g.mode, g.year, coalesce(b.rule_no, f.rule_no) as rule_no, coalesce(b.rule, f.rule) as rule, b.quality from (select distinct strategy, string_split(rule, ' ')[1] as mode, year from xled, xyears) g left join (select * from (select *, row_number() over (partition by strategy, mode, year order by round(quality, 9) desc, rule_no) as k from xgrid where trades >= 10 and quality is not null) where k = 1) b using (strategy, mode, year) join (select mode, min(rule_no) as rule_no, arg_min(rule, rule_no) as rule from xrules group by 1) f on f.mode = g.mode")
+cte("xtest", "select strategy, rule_no, year(entry_ts) as year, count(*) as trades, sum(r) as sum_r, sum(ln(1 + greatest(0.01 * r, -0.999999))) as g from xled group by 1, 2, 3")
+
+
+def rule_ledger(spark, sf):
+    """Every signal under every exit rule, one position at a time for each rule."""
+    every = materialise(L.barrier_outcomes(signals(spark, sf), trade_bars(spark, sf), EVERY_RULE, COSTS, ["strategy", "asset"]), "outcomes")
+    kept = L.non_overlapping(every, ["strategy", "asset", "rule_no"])
+    return kept.withColumn("mode", F.split("rule", " ")[0])
+
+
+@query("n19_exit_rule_grid", "select strategy, string_split(rule, ' ')[1] as mode, rule, count(*) as trades, round(avg(r), 6) as avg_r, round(avg(r) / nullif(stddev_samp(r), 0), 6) as quality from xled group by 1, 2, 3")
 def n19(spark, sf):
-    s = trades(spark, sf).groupBy("strategy", F.col("reason").alias("rule")).agg(F.count("*").alias("trades"), (F.avg("r") / F.stddev_samp("r")).alias("quality"))
-    return rounded(N.exit_rule_grid(s))
+    return rounded(N.exit_rule_grid(rule_ledger(spark, sf), ["strategy", "mode"]).drop("rule_no"))
+
+
+@query("n19_walk_forward_tuning", "select strategy, mode, year, b.rule, round(b.quality, 6) as quality, coalesce(t.trades, 0) as trades, round(coalesce(sum_r, 0), 6) as sum_r, round(exp(coalesce(g, 0)) - 1, 6) as ret, round(exp(sum(coalesce(g, 0)) over (partition by strategy, mode order by year)), 6) as equity from xbest b left join xtest t using (strategy, rule_no, year)")
+def n19b(spark, sf):
+    first = spark.createDataFrame([(m, no, f"{m} {n}") for m, no, n in MODE_ROWS if n == next(iter(MODES[m]))], "mode string, rule_no int, rule string")
+    return rounded(N.walk_forward_tuning(materialise(rule_ledger(spark, sf), "ledger"), first, ["strategy"], BARS(spark, sf)))
 
 
 @query("n22_study_table", """select w as "window", strategy, count(*) as trades, round(sum(r), 6) as sum_r, round(avg(r), 6) as avg_r, round(avg(cast(r > 0 as int)), 6) as win_rate, round(sum(fees_r) / sum(abs(gross_r)), 6) as fee_share, round(avg(exit_no - fill_no + 1), 6) as bars_held
