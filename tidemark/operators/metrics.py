@@ -80,9 +80,8 @@ def trading_stats(equity: DataFrame, ppy: int = 365) -> DataFrame:
     return base.join(m, "account").select("account", "return", "sharpe", "max_dd", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s")).otherwise(0.0).alias("sr_daily"), "n_days", skew.alias("skew"), kurt.alias("kurt"))
 
 
-def ledger_equity(trades: DataFrame, bars: DataFrame, capital: float, risk: float, by: str = "strategy") -> DataFrame:
-    """Equity of a ledger: each trade risks a fixed fraction, its R is marked at every close from entry to
-    exit, sums compound."""
+def ledger_returns(trades: DataFrame, bars: DataFrame, risk: float, by: str = "strategy") -> DataFrame:
+    """Return of a ledger per bar: each trade risks a fixed fraction, its R is marked at every close from entry to exit."""
     t = trades.select(by, "asset", "side", "entry_ts", "exit_ts", "entry", "exit", "risk", "fees_r")
     b = bars.select("asset", "ts", "close", (F.row_number().over(own()) - 1).alias("bn"))
     at = t.join(b.select("asset", F.col("ts").alias("entry_ts"), F.col("bn").alias("_p")), ["asset", "entry_ts"])
@@ -92,7 +91,12 @@ def ledger_equity(trades: DataFrame, bars: DataFrame, capital: float, risk: floa
     now = F.col("side") * (mark - F.col("entry")) / F.col("risk") - F.when(F.col("ts") == F.col("exit_ts"), F.col("fees_r")).otherwise(0.0)
     w = Window.partitionBy(by, "asset", "entry_ts").orderBy("bn")
     step = held.withColumn("_now", now).withColumn("_step", F.col("_now") - F.coalesce(F.lag("_now").over(w), F.lit(0.0)))
-    return compounded(step.groupBy(by, "ts").agg((risk * F.sum("_step")).alias("ret")), "ret", capital, [by]).select(F.col(by).alias("account"), "ts", "equity")
+    return step.groupBy(by, "ts").agg((risk * F.sum("_step")).alias("ret"))
+
+
+def ledger_equity(trades: DataFrame, bars: DataFrame, capital: float, risk: float, by: str = "strategy") -> DataFrame:
+    """Equity of a ledger: the returns of `ledger_returns`, compounded."""
+    return compounded(ledger_returns(trades, bars, risk, by), "ret", capital, [by]).select(F.col(by).alias("account"), "ts", "equity")
 
 
 def with_idle_cash(book: DataFrame, index: DataFrame, capital: float, cost: float = 0.0001) -> DataFrame:

@@ -41,8 +41,24 @@ def market_regimes(bars: DataFrame, cut: float = 0.02) -> DataFrame:
     return move.select("month", F.when(F.col("move").isNull(), None).when(F.col("move") <= -cut, "down").when(F.col("move") <= cut, "flat").otherwise("up").alias("regime"))
 
 
-def shelf_life(events: DataFrame, regimes: DataFrame, groups: DataFrame, least: int = 6) -> DataFrame:
-    """Share of positive months, longest losing run, first against second half, regimes and groups with a positive edge.
+def breadth(events: DataFrame, groups: DataFrame | None = None, few: int = 3, least: int = 5) -> DataFrame:
+    """Per candidate: the share of groups with a positive edge, and `by_group`, their mean edges in hundredths of a percent
+    of an ATR and numbers of events, as `group:edge:events` in the order of the groups. `groups(asset, sector)`; without it
+    an asset is a group, and where a candidate has `least` assets with `few` events or more, only those count."""
+    if groups is None:
+        each = events.groupBy("candidate", F.col("asset").alias("sector")).agg(F.avg("edge").alias("_e"), F.count("*").alias("_n"))
+        some = each.groupBy("candidate").agg(F.count(F.when(F.col("_n") >= few, 1)).alias("_some"))
+        each = each.join(some, "candidate").filter((F.col("_some") < least) | (F.col("_n") >= few))
+    else:
+        each = events.join(groups, "asset").groupBy("candidate", "sector").agg(F.avg("edge").alias("_e"), F.count("*").alias("_n"))
+    line = F.concat_ws(":", "sector", F.round(F.col("_e") * 10_000).cast("long"), "_n")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sector", line.alias("x")))), lambda g: g["x"]), ";")  # as many as groups
+    return each.groupBy("candidate").agg(F.avg((F.col("_e") > 0).cast("double")).alias("breadth"), listed.alias("by_group"))
+
+
+def shelf_life(events: DataFrame, regimes: DataFrame, groups: DataFrame | None, least: int = 6) -> DataFrame:
+    """Share of positive months, longest losing run, first against second half, regimes and groups with a positive edge
+    (see `breadth`); only the number of months below `least`.
 
     Months are one short list per candidate; events are aggregated before anything is ordered.
     """
@@ -55,7 +71,7 @@ def shelf_life(events: DataFrame, regimes: DataFrame, groups: DataFrame, least:
     base = m.groupBy("candidate").agg(F.count("*").alias("months"), F.avg((~F.col("_bad")).cast("double")).alias("pos_months"), F.avg(F.when(first, F.col("ic"))).alias("ic_first_half"), F.avg(F.when(~first, F.col("ic"))).alias("ic_second_half"))
     reg = ic.join(regimes, "month").filter("regime is not null").groupBy("candidate", "regime").agg(F.avg("ic").alias("_e")).groupBy("candidate").agg(
         F.count(F.when(F.col("_e") > 0, 1)).alias("regimes_positive"), F.count("*").alias("regimes_seen"))
-    wide = events.join(groups, "asset").groupBy("candidate", "sector").agg(F.avg("edge").alias("_e")).groupBy("candidate").agg(F.avg((F.col("_e") > 0).cast("double")).alias("breadth"))
+    wide = breadth(events, groups)
     df = base.join(bad, "candidate", "left").join(reg, "candidate", "left").join(wide, "candidate", "left").withColumn("longest_bad_run", F.coalesce("longest_bad_run", F.lit(0)))
     enough = F.col("months") >= least
     return df.select("candidate", "months", *[F.when(enough, F.col(c)).alias(c) for c in df.columns if c not in ("candidate", "months")])
@@ -71,6 +87,28 @@ def windows_score(events: DataFrame, windows: dict[str, tuple[str, str]]) -> Dat
     return s.groupBy("candidate").pivot("window", list(windows)).agg(F.max("events").alias("events"), F.max("mean_ic").alias("ic"), F.max("icir").alias("icir"), F.max("months").alias("months"))
 
 
+def window_trades(ledger: DataFrame, windows: dict[str, tuple[str, str]], risk: float, twin: str = "~") -> DataFrame:
+    """Per candidate, in each named window of the entry: trades, mean R, return at `risk` a trade, and the mean R of its
+    random twin. `ledger(candidate, entry_ts, r)`; the twin of `x` is the candidate `x` with `twin` behind it."""
+    of, is_twin = F.split("candidate", twin)[0], F.col("candidate").endswith(twin)
+    aggs = []
+    for w, (a, b) in windows.items():
+        inside = F.col("entry_ts").between(F.lit(a).cast("date"), F.lit(b).cast("date"))
+        own_ = inside & ~is_twin
+        growth = F.sum(F.when(own_, F.log1p(F.greatest(risk * F.col("r"), F.lit(-0.999999)))))
+        aggs += [F.count(F.when(own_, 1)).alias(f"{w}_trades"), F.avg(F.when(own_, F.col("r"))).alias(f"{w}_avg_r"), (F.exp(growth) - 1).alias(f"{w}_ret"), F.avg(F.when(inside & is_twin, F.col("r"))).alias(f"{w}_rand_avg_r")]
+    return ledger.groupBy(of.alias("candidate")).agg(*aggs)
+
+
+#: What a candidate must pass to be offered to the sealed window: `s_` is the search window, `v_` validation.
+GATES = [
+    ("enough signals", "s_events >= 100"), ("positive edge", "s_ic > 0"), ("steady", "s_icir >= 0.2"), ("beats random", "s_avg_r > s_rand_avg_r"), ("more than luck", "s_dsr >= 0.9"),
+    ("validated", "v_ic > 0"), ("validated beats random", "v_avg_r > v_rand_avg_r"), ("validated makes money", "v_ret > 0"),
+    ("months", "pos_months >= 0.55"), ("no decay", "ic_second_half >= 0.5 * ic_first_half"), ("regimes", "regimes_positive = regimes_seen"), ("breadth", "breadth >= 0.55"),
+    ("holds to the exit", "exit_vs_peak >= 0.5 and peak_h > 1"), ("neighbours", "plateau >= 0.5"),
+]
+
+
 def apply_gates(scores: DataFrame, gates: Sequence[tuple[str, Column]]) -> DataFrame:
     """Count of passed gates and the failed ones by name; a missing value fails."""
     checks = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(p, F.lit(False)).alias("ok")) for n, p in gates])
@@ -321,6 +359,13 @@ def failure_reasons(scores: DataFrame) -> DataFrame:
     return scores.filter("failed <> ''").select(F.explode(F.split("failed", "; ")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def best_of_family(scores: DataFrame) -> DataFrame:
+    """The member of each family with the most gates passed, then the highest search ICIR, then the name, and how many
+    members it stands for. `scores(candidate, family, passed, s_icir)`."""
+    best = F.max_by(F.struct("candidate", "passed", "s_icir"), F.struct("passed", F.coalesce("s_icir", F.lit(-1e9)), "candidate"))
+    return scores.groupBy("family").agg(best.alias("_b"), F.count("*").alias("members")).select("family", "_b.*", "members")
+
+
 def time_split(bars: DataFrame, share: float = 0.6) -> DataFrame:
     """Distinct bar times marked train or test, the first `share` of them train."""
     t = bars.select("ts").distinct()
@@ -359,9 +404,10 @@ def luck_scores(weekly: DataFrame, events: DataFrame, replays: int = REPLAYS, le
     return df.select("try_id", "events", "t", "bar", "deflated", F.when(enough, F.col("deflated") >= sure).alias("beats_luck"))
 
 
-def vault_verdict(scores: DataFrame) -> DataFrame:
+def vault_verdict(scores: DataFrame, window: str = "v") -> DataFrame:
     """Sealed window: makes money, beats the random twin, positive IC, at least half of the search ICIR."""
-    ok = (F.col("ret") > 0) & (F.col("avg_r") > F.col("rand_avg_r")) & (F.col("ic") > 0) & (F.col("icir") >= 0.5 * F.col("s_icir"))
+    c = lambda n: F.col(f"{window}_{n}")
+    ok = (c("ret") > 0) & (c("avg_r") > c("rand_avg_r")) & (c("ic") > 0) & (c("icir") >= 0.5 * F.col("s_icir"))
     return scores.withColumn("verdict", F.coalesce(ok, F.lit(False)))
 
 

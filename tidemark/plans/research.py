@@ -1,11 +1,13 @@
 """N: research statistics of four candidate strategies and of the suppliers' weekly returns as tries."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from ..operators import asset_signals as E
 from ..operators import features as C
+from ..operators import metrics as M
 from ..operators import outcomes as L
 from ..operators import panel_signals as P
 from ..operators import research as N
@@ -13,7 +15,7 @@ from ..session import materialise
 from ..sources import bindings as S
 from .asset_signals import DAYNO, donchian_sql, fired, full, mixed_sql, mixed_uniform_sql, two, uniform_sql
 from .bars import cal_d
-from .catalog import cte, query
+from .catalog import CTES, cte, query
 from .combinators import grid
 from .event_signals import BARS, PAN
 from .metrics import ledger, pairs
@@ -55,22 +57,36 @@ def n1b(spark, sf):
 
 
 cte("regm", "select month, case when mv is null then null when mv <= -0.001 then 'down' when mv <= 0.001 then 'flat' else 'up' end as regime from (select month, avg(c / case when pm = month - interval 1 month then pc end - 1) as mv from (select *, lag(c) over w as pc, lag(month) over w as pm from (select asset, cast(date_trunc('month', ts) as date) as month, last(close order by ts) as c from bars_w group by 1, 2) window w as (partition by asset order by month)) group by 1)")
-cte("shelf", """select b.*, coalesce(x.longest, 0) as longest_bad_run, r.rp as regimes_positive, r.rs as regimes_seen, g.breadth from (select candidate, count(*) as months, avg(cast(ic > 0 as int)) as pos_months, avg(ic) filter (where k <= n // 2) as ic_first_half, avg(ic) filter (where k > n // 2) as ic_second_half from (select candidate, ic, row_number() over (partition by candidate order by month) as k, count(*) over (partition by candidate) as n from mic) group by 1) b
+WIDE = "select candidate, avg(cast(e > 0 as int)) as breadth, string_agg(sector || ':' || cast(round(e * 10000) as bigint) || ':' || n, ';' order by sector) as by_group from ({}) group by 1"
+cte("wide", WIDE.format("select candidate, sector, avg(edge) as e, count(*) as n from cedges join sect using (asset) group by 1, 2"))
+cte("wide_a", WIDE.format("select candidate, asset as sector, e, n from (select *, count(*) filter (where n >= 3) over (partition by candidate) as many from (select candidate, asset, avg(edge) as e, count(*) as n from cedges group by 1, 2)) where many < 5 or n >= 3"))
+cte("shelf", """select b.*, coalesce(x.longest, 0) as longest_bad_run, r.rp as regimes_positive, r.rs as regimes_seen, g.breadth, g.by_group from (select candidate, count(*) as months, avg(cast(ic > 0 as int)) as pos_months, avg(ic) filter (where k <= n // 2) as ic_first_half, avg(ic) filter (where k > n // 2) as ic_second_half from (select candidate, ic, row_number() over (partition by candidate order by month) as k, count(*) over (partition by candidate) as n from mic) group by 1) b
   left join (select candidate, max(len) as longest from (select candidate, grp, count(*) as len from (select *, row_number() over (partition by candidate order by month) - row_number() over (partition by candidate, ic <= 0 order by month) as grp from mic) where ic <= 0 group by 1, 2) group by 1) x using (candidate)
   left join (select candidate, count(*) filter (where e > 0) as rp, count(*) as rs from (select candidate, regime, avg(ic) as e from mic join regm using (month) where regime is not null group by 1, 2) group by 1) r using (candidate)
-  left join (select candidate, avg(cast(e > 0 as int)) as breadth from (select candidate, sector, avg(edge) as e from cedges join sect using (asset) group by 1, 2) group by 1) g using (candidate)""")
+  left join wide g using (candidate)""")
 SHELF = ["pos_months", "ic_first_half", "ic_second_half", "breadth"]
 
 
-def shelf(spark, sf, events):
-    return N.shelf_life(events, N.market_regimes(BARS(spark, sf), 0.001), S.sectors(spark, sf).select("asset", "sector"))
+def shelf(spark, sf, events, by_sector=True):
+    return N.shelf_life(events, N.market_regimes(BARS(spark, sf), 0.001), S.sectors(spark, sf).select("asset", "sector") if by_sector else None)
 
 
-@query("n2_shelf_life", f"select candidate, months, {', '.join(f'round({c}, 6) as {c}' for c in SHELF)}, longest_bad_run, regimes_positive, regimes_seen from shelf")
+SHELF_SQL = f"select candidate, months, {', '.join(f'round({c}, 6) as {c}' for c in SHELF)}, by_group, longest_bad_run, regimes_positive, regimes_seen from "
+
+
+@query("n2_shelf_life", SHELF_SQL + "shelf")
 def n2(spark, sf):
     return rounded(shelf(spark, sf, materialise(candidate_edges(spark, sf), "edges")))
 
 
+cte("shelf_a", CTES["shelf"].replace("left join wide g", "left join wide_a g"))
+
+
+@query("n2_shelf_life_assets", SHELF_SQL + "shelf_a")
+def n2b(spark, sf):
+    return rounded(shelf(spark, sf, materialise(candidate_edges(spark, sf), "edges"), by_sector=False))
+
+
 WINDOWS = {"s": ("1990-01-01", "1998-12-31"), "v": ("1999-01-01", "2010-12-31")}
 
 
@@ -88,20 +104,6 @@ def n3(spark, sf):
     return rounded(N.windows_score(candidate_edges(spark, sf), WINDOWS))
 
 
-GATES = [("enough signals", "s_events >= 100"), ("positive edge", "s_ic > 0"), ("steady", "s_icir >= 0.2"), ("validated", "v_ic > 0"), ("months", "pos_months >= 0.55"), ("no decay", "ic_second_half >= 0.5 * ic_first_half"), ("regimes", "regimes_positive = regimes_seen"), ("breadth", "breadth >= 0.55")]
-cte("gated", "select candidate, " + " + ".join(f"cast(coalesce({g}, false) as int)" for _, g in GATES) + " as passed, concat_ws('; ', " + ", ".join(f"case when not coalesce({g}, false) then '{n}' end" for n, g in GATES) + ") as failed, s_icir from wscore join shelf using (candidate)")
-
-
-def gated_scores(spark, sf):
-    ev = materialise(candidate_edges(spark, sf), "edges")
-    return N.apply_gates(N.windows_score(ev, WINDOWS).join(shelf(spark, sf, ev), "candidate"), [(n, F.expr(g)) for n, g in GATES])
-
-
-@query("n4_gates", "select candidate, passed, failed from gated")
-def n4(spark, sf):
-    return gated_scores(spark, sf).select("candidate", "passed", "failed")
-
-
 IC = "sin(n) + share"
 
 
@@ -201,6 +203,79 @@ def n11b(spark, sf):
     return rounded(N.day_bootstrap(ledger(spark, sf)))
 
 
+#: The scored candidates: two families, each parameter with two neighbours, and each candidate with a random twin.
+SCORED = {f"{f}-{n}": (f, n) for f, ns in (("sweep", (4, 5, 6, 8)), ("donchian", (10, 12, 16))) for n in ns}
+SCORE_RISK = 0.005
+cte("fsig", " union all ".join(f"select '{k}' as candidate, asset, ts, side from ({sweep_sql(n) if f == 'sweep' else donchian_sql(n, 40)})" for k, (f, n) in SCORED.items()))
+cte("ftwin", f"""select candidate || '~' as candidate, asset, ts, case when {uniform_sql(8, 'asset', DAYNO)} < 0.5 then 1 else -1 end as side from (select c.candidate, b.asset, b.ts, count(s.side) over (partition by c.candidate, b.asset) / count(*) over (partition by c.candidate, b.asset) as rate
+  from bars_w b cross join (select distinct candidate from fsig) c left join fsig s on s.candidate = c.candidate and s.asset = b.asset and s.ts = b.ts) where {uniform_sql(7, 'asset', DAYNO)} < rate""")
+cte("fboth", "select * from fsig union all select * from ftwin")
+edge_cte("fedges4", "fsig", ["candidate", "asset"], [1, 2, 5, 10])
+cte("fedges", "select * from fedges4 where horizon = 5")
+for _name in ("mic", "wide", "shelf"):
+    cte(f"f{_name}", re.sub(r"\b(cedges|mic|wide)\b", lambda m: {"cedges": "fedges"}.get(m[0], f"f{m[0]}"), CTES[_name]))
+cte("fwscore", CTES["wscore"].replace("cedges", "fedges"))
+cte("rule1", "select 0 as rule_no, 'rule' as rule, 1.0e0 as stop_atr, 1.5e0 as rr, 2.0e0 as rr_strong, 8 as max_bars, 1.5e0 as trail_atr, true as strong")
+ledger_ctes("fled", "fboth", "candidate", "rule1")
+cte("fwin", "select replace(candidate, '~', '') as candidate, " + ", ".join(
+    f"avg(r) filter ({{i}} and {{o}}) as {w}_avg_r, exp(sum(ln(1 + greatest({SCORE_RISK} * r, -0.999999))) filter ({{i}} and {{o}})) - 1 as {w}_ret, avg(r) filter ({{i}} and not {{o}}) as {w}_rand_avg_r".format(i=f"entry_ts between date '{a}' and date '{b}'", o="not contains(candidate, '~')")
+    for w, (a, b) in WINDOWS.items()) + " from fled group by 1")
+cte("fheld", f"select t.candidate, t.asset, t.entry_ts, b.ts, b.bn, t.side * ((case when b.ts = t.exit_ts then t.exit else b.close end) - t.entry) / t.risk - case when b.ts = t.exit_ts then t.fees_r else 0 end as now_r from fled t join atr_w b on b.asset = t.asset and b.ts between t.entry_ts and t.exit_ts where not contains(candidate, '~') and t.entry_ts between date '{WINDOWS['s'][0]}' and date '{WINDOWS['s'][1]}'")
+cte("fret", f"select candidate as try_id, ts, {SCORE_RISK} * sum(step) as ret from (select *, now_r - coalesce(lag(now_r) over (partition by candidate, asset, entry_ts order by bn), 0) as step from fheld) group by 1, 2")
+cte("fhw", CTES["hw"].replace("asset as try_id", "try_id").replace("select asset, case", "select try_id, case").replace("using (asset)", "using (try_id)").replace("ret_w", "fret"))
+cte("fstat", CTES["tstat"].replace("from hw", "from fhw"))
+cte("fcould", "select fhw.* from fhw join fwscore on candidate = try_id where s_events >= 100")
+null_ctes("fmax", "fcould")
+deflated_ctes("fdef", "fstat", "(select coalesce(avg(max_t), 0) from fmax)")
+cte("fcurve", f"""select candidate, arg_max(horizon, (edge, -horizon)) as peak_h, max(case when horizon = 5 then edge end) / nullif(greatest(max(edge), 0), 0) as exit_vs_peak from (select candidate, horizon, avg(edge) as edge from fedges4 where ts between date '{WINDOWS['s'][0]}' and date '{WINDOWS['s'][1]}' group by 1, 2) group by 1""")
+cte("fids", "select candidate, string_split(candidate, '-')[1] as family, cast(string_split(candidate, '-')[2] as int) as n, s_ic from fwscore")
+cte("fplat", "select a.candidate, case when count(b.candidate) >= 2 and a.s_ic > 0 then avg(b.s_ic) / a.s_ic end as plateau from fids a left join fids b on a.family = b.family and a.n <> b.n and b.n / a.n between 0.6e0 and 1.67e0 group by a.candidate, a.s_ic")
+cte("scored", "select w.*, f.* exclude candidate, s.* exclude candidate, c.* exclude candidate, p.plateau, d.deflated as s_dsr, string_split(w.candidate, '-')[1] as family from fwscore w left join fwin f using (candidate) left join fshelf s using (candidate) left join fcurve c using (candidate) left join fplat p using (candidate) left join fdef d on d.try_id = w.candidate")
+cte("gated", "select *, " + " + ".join(f"cast(coalesce({g}, false) as int)" for _, g in N.GATES) + " as passed, concat_ws('; ', " + ", ".join(f"case when not coalesce({g}, false) then '{n}' end" for n, g in N.GATES) + ") as failed from scored")
+
+
+def scorecard(spark, sf):
+    """Every number the gates and the verdict ask for: edges, trades of the candidates and of their random twins, luck."""
+    bars = materialise(trade_bars(spark, sf), "bars")
+    plain = bars.drop("atr", "adx", "blocked")
+    own_, twins = None, None
+    for k, (f, n) in SCORED.items():
+        s = (E.liquidity_sweep(plain, n, 0.1) if f == "sweep" else E.donchian_breakout(plain, n, 40)).select("asset", "ts", "side")
+        twin = E.random_twin(s, plain, 7).withColumn("candidate", F.lit(f"{k}~"))
+        s = s.withColumn("candidate", F.lit(k))
+        own_, twins = (s, twin) if own_ is None else (own_.unionByName(s), twins.unionByName(twin))
+    own_ = materialise(own_, "signals")
+    curve = materialise(L.edge_events(own_, bars, [1, 2, 5, 10], ["candidate", "asset"]), "edges")
+    events = curve.filter("horizon = 5")
+    both = own_.unionByName(twins)
+    led = materialise(L.non_overlapping(materialise(L.barrier_outcomes(both, bars, RULE, COSTS, ["candidate", "asset"]), "outcomes"), ["candidate", "asset"]), "ledger")
+    a, b = WINDOWS["s"]
+    scores = materialise(N.windows_score(events, WINDOWS), "windows")
+    search = led.filter(~F.col("candidate").endswith("~") & F.col("entry_ts").between(F.lit(a).cast("date"), F.lit(b).cast("date")))
+    bench = M.with_returns(plain.select(F.col("asset").alias("account"), "ts", F.col("close").alias("equity"))).groupBy("ts").agg(F.avg("ret").alias("bench"))
+    hedged = N.hedged_weekly(M.ledger_returns(search, plain, SCORE_RISK, "candidate").withColumnRenamed("candidate", "try_id").join(bench, "ts"))
+    luck = N.luck_scores(hedged, scores.select(F.col("candidate").alias("try_id"), F.col("s_events").alias("events"))).select(F.col("try_id").alias("candidate"), F.col("deflated").alias("s_dsr"))
+    peaks = L.edge_curve(curve.filter(F.col("ts").between(F.lit(a).cast("date"), F.lit(b).cast("date"))), 5, ["candidate"]).drop("peak")
+    registry = scores.select(F.col("candidate").alias("id"), F.split("candidate", "-")[0].alias("family"), F.create_map(F.lit("n"), F.split("candidate", "-")[1].cast("double")).alias("params"), "s_ic")
+    near = N.plateau(registry, ["family"], "s_ic").select(F.col("id").alias("candidate"), "plateau")
+    df = scores.withColumn("family", F.split("candidate", "-")[0])
+    for part in (N.window_trades(led, WINDOWS, SCORE_RISK), shelf(spark, sf, events), luck, peaks, near):
+        df = df.join(part, "candidate", "left")
+    return df
+
+
+def gated_scores(spark, sf):
+    return N.apply_gates(scorecard(spark, sf), [(n, F.expr(g)) for n, g in N.GATES])
+
+
+CARD = ["s_avg_r", "s_rand_avg_r", "v_avg_r", "v_rand_avg_r", "v_ret", "s_dsr", "exit_vs_peak", "plateau"]
+
+
+@query("n4_gates", f"select candidate, {', '.join(f'round({c}, 6) as {c}' for c in CARD)}, peak_h, passed, failed from gated")
+def n4(spark, sf):
+    return rounded(gated_scores(spark, sf).select("candidate", *CARD, "peak_h", "passed", "failed"))
+
+
 @query("n12_lineage", "select id, root, depth from lin", lin="select c_custkey as id, c_custkey as root, 0 as depth from customer where c_custkey % 50 = 0 union all select c.c_custkey, l.root, l.depth + 1 from lin l join customer c on c.c_custkey - 1 - c.c_custkey % 3 % (c.c_custkey % 50) = l.id where c.c_custkey % 50 <> 0")
 def n12(spark, sf):
     k = F.col("c_custkey")
@@ -230,6 +305,11 @@ def n15(spark, sf):
     return N.failure_reasons(gated_scores(spark, sf))
 
 
+@query("n15_best_of_family", "select family, candidate, passed, round(s_icir, 6) as s_icir, members from (select *, row_number() over (partition by family order by passed desc, coalesce(s_icir, -1e9) desc, candidate desc) as k, count(*) over (partition by family) as members from gated) where k = 1")
+def n15b(spark, sf):
+    return rounded(N.best_of_family(gated_scores(spark, sf)))
+
+
 @query("n16_registry_topk", "select candidate, passed from gated order by passed desc, s_icir desc limit 3")
 def n16(spark, sf):
     return gated_scores(spark, sf).orderBy(F.desc("passed"), F.desc("s_icir")).limit(3).select("candidate", "passed")
@@ -303,12 +383,9 @@ def n10(spark, sf):
     return rounded(N.luck_scores(weekly(spark, sf), materialise(events, "events"), least=30))
 
 
-@query("n18_vault_verdict", "select candidate, coalesce(v_ic > 0 and v_icir >= 0.5 * s_icir and e > 0 and e > 0.01, false) as verdict from wscore join (select candidate, avg(edge) as e from cedges where ts >= date '1999-01-01' group by 1) using (candidate)")
+@query("n18_vault_verdict", "select candidate, round(v_ret, 6) as v_ret, round(v_avg_r, 6) as v_avg_r, round(v_rand_avg_r, 6) as v_rand_avg_r, round(v_ic, 6) as v_ic, round(v_icir, 6) as v_icir, coalesce(v_ret > 0 and v_avg_r > v_rand_avg_r and v_ic > 0 and v_icir >= 0.5 * s_icir, false) as verdict from scored")
 def n18(spark, sf):
-    ev = materialise(candidate_edges(spark, sf), "edges")
-    late = ev.filter("ts >= date'1999-01-01'").groupBy("candidate").agg(F.avg("edge").alias("avg_r"))
-    s = N.windows_score(ev, WINDOWS).join(late, "candidate").select("candidate", F.col("avg_r").alias("ret"), "avg_r", F.lit(0.01).alias("rand_avg_r"), F.col("v_ic").alias("ic"), F.col("v_icir").alias("icir"), "s_icir")
-    return N.vault_verdict(s).select("candidate", "verdict")
+    return rounded(N.vault_verdict(scorecard(spark, sf)).select("candidate", "v_ret", "v_avg_r", "v_rand_avg_r", "v_ic", "v_icir", "verdict"))
 
 
 #: Exit families of the study, each tuned by itself: one reward for every trade, a trailing stop, a reward by trend.
