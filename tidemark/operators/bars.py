@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -211,3 +213,73 @@ def event_blackout(bars: DataFrame, events: DataFrame, max_back_days: int = 4) -
     flags = flags.select("asset", "day", "_last", F.coalesce("_is", F.lit(False)).alias("_is"), F.coalesce(before, F.lit(False)).alias("_before"))
     return day.join(flags, ["asset", "day"]).select(
         *bars.columns, (F.col("_is") | (F.col("_before") & (F.col("ts") == F.col("_last")))).alias("blocked"))
+
+
+def market_holidays(first: int, last: int) -> list[dt.date]:
+    """Weekday closings of the New York exchange in these years: fixed days moved off a weekend, Mondays and Thursdays of
+    their months, and Good Friday."""
+    def nth(year: int, month: int, weekday: int, n: int) -> dt.date:
+        day = dt.date(year, month, 1)
+        return day + dt.timedelta((weekday - day.weekday()) % 7 + 7 * (n - 1))
+
+    def observed(day: dt.date) -> dt.date:
+        return day + dt.timedelta({5: -1, 6: 1}.get(day.weekday(), 0))
+
+    def easter(year: int) -> dt.date:
+        golden, century = year % 19, year // 100
+        epact = (century - century // 4 - (8 * century + 13) // 25 + 19 * golden + 15) % 30
+        moon = epact - (epact // 28) * (1 - (29 // (epact + 1)) * ((21 - golden) // 11))
+        back = moon - (year + year // 4 + moon + 2 - century + century // 4) % 7
+        return dt.date(year, 3, 28) + dt.timedelta(back)
+
+    days = []
+    for y in range(first, last + 1):
+        may31 = dt.date(y, 5, 31)
+        days += [observed(dt.date(y, 1, 1)), nth(y, 1, 0, 3), nth(y, 2, 0, 3), easter(y) - dt.timedelta(2), may31 - dt.timedelta(may31.weekday()), observed(dt.date(y, 7, 4)), nth(y, 9, 0, 1), nth(y, 11, 3, 4), observed(dt.date(y, 12, 25))]
+        days += [observed(dt.date(y, 6, 19))] if y >= 2021 else []
+    return sorted(days)
+
+
+def _trading_days_between(first: Column, last: Column, holidays: Sequence[dt.date]) -> Column:
+    """Weekdays strictly between two days, a few days apart, that are no holidays."""
+    days = F.filter(F.sequence(F.date_add(first, 1), last), lambda d: (d < last) & (F.weekday(d) < 5))
+    return F.size(F.array_except(days, F.array(*[F.lit(h) for h in holidays]).cast("array<date>")))
+
+
+def blackout(bars: DataFrame, classes: DataFrame, earnings: DataFrame, fed: DataFrame, jobs: DataFrame, holidays: Sequence[dt.date] = (), back: int = 4) -> DataFrame:
+    """(asset, ts, blocked): intraday bars to be flat through, as a scheduled event can gap the price through a stop.
+
+    Reports (stocks): the whole New York day, and the last bar of the session before. Fed decisions (all): from 13 to 16
+    o'clock. Jobs reports: of stocks the last bar of the session before, of others the bar of 8 o'clock. The session before
+    is the asset's last one within `back` days; its newest session counts only if no trading day lies between, and as it
+    may still be going on, its last bar is that of 15 o'clock.
+
+    `bars(asset, ts)` in UTC, `classes(asset, stock)`, `earnings(asset, day)`, `fed(day)`, `jobs(day)`. All calendars meet
+    in one table with a row per asset and session, which bars join by asset and day.
+    """
+    at = bars.select("asset", "ts", new_york().cast("date").alias("day"), F.hour(new_york()).alias("_hour"))
+    sess = at.groupBy("asset", "day").agg(F.max("ts").alias("_last")).join(classes.select("asset", "stock"), "asset", "left")
+    sess = sess.withColumns({"_next": F.lead("day").over(Window.partitionBy("asset").orderBy("day")), "stock": F.coalesce("stock", F.lit(False))})
+    reports = earnings.select("asset", "day").distinct().withColumn("_report", F.lit(True))
+    days = fed.select("day", F.lit(True).alias("_fed")).unionByName(jobs.select("day", F.lit(True).alias("_jobs")), allowMissingColumns=True)
+    days = days.groupBy("day").agg(F.bool_or("_fed").alias("_fed"), F.bool_or("_jobs").alias("_jobs"))
+    today = sess.join(reports, ["asset", "day"], "left").join(days, "day", "left")
+    # the days after a session up to the asset's next one, each of which it may be the session before of
+    ahead = sess.filter("stock").withColumn("_event", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", back)))).filter(F.coalesce(F.col("_event") <= F.col("_next"), _trading_days_between(F.col("day"), F.col("_event"), holidays) == 0))
+    ahead = ahead.join(reports.withColumnRenamed("day", "_event"), ["asset", "_event"], "left").join(days.select(F.col("day").alias("_event"), "_jobs"), "_event", "left")
+    ahead = ahead.filter("_report or _jobs").select("asset", "day", F.lit(True).alias("_before")).distinct()
+    flags = today.join(ahead, ["asset", "day"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    last_bar = F.when(F.col("_next").isNotNull(), F.col("ts") == F.col("_last")).otherwise(F.col("_hour") == 15)
+    blocked = (F.col("stock") & yes("_report")) | (yes("_fed") & F.col("_hour").between(13, 15)) | (yes("_before") & last_bar) | (~F.col("stock") & yes("_jobs") & (F.col("_hour") == 8))
+    return at.join(flags, ["asset", "day"]).select("asset", "ts", blocked.alias("blocked"))
+
+
+def next_bar_blocked(bars: DataFrame, classes: DataFrame, earnings: DataFrame, fed: DataFrame, jobs: DataFrame, holidays: Sequence[dt.date] = ()) -> DataFrame:
+    """(asset, ts, blocked): whether the hour after each asset's newest bar is an event bar, so that a live account is flat
+    before it begins. For stocks only within the session; the first bar of the next one is the rule of the last bar before."""
+    newest = bars.groupBy("asset").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 hour")).alias("ts"))
+    both = bars.select("asset", F.col("ts").cast("timestamp").alias("ts")).unionByName(newest)
+    df = blackout(both, classes, earnings, fed, jobs, holidays).join(newest, ["asset", "ts"]).join(classes.select("asset", "stock"), "asset", "left")
+    over = F.coalesce("stock", F.lit(False)) & (F.hour(new_york()) > 15)
+    return df.select("asset", "ts", (F.col("blocked") & ~over).alias("blocked"))

@@ -323,15 +323,19 @@ def lineage(nodes: DataFrame) -> DataFrame:
     return df.select("id", F.col("up").alias("root"), "depth")
 
 
-def campaigns(scored: DataFrame) -> DataFrame:
-    """Per root: the best member, rounds, tries, and whether the last rounds still improved. `scored(root, id, depth, passed, icir)`."""
+def campaigns(scored: DataFrame, gates: int = len(GATES), most_rounds: int = 5, alive: float = 0.2) -> DataFrame:
+    """Per root: its best member by (gates passed, ICIR), rounds, tries, the round that last improved, `path` (the most
+    gates passed up to each round, comma-joined) and status: done with all gates, stopped when the best one's ICIR is below
+    `alive`, finished after `most_rounds`, else improving. `scored(root, id, depth, passed, icir)`."""
     best = F.struct("passed", F.coalesce("icir", F.lit(-1e9)).alias("icir"), (-F.col("depth")).alias("_d"), "id")
     rounds = scored.groupBy("root", "depth").agg(F.max(best).alias("_b"), F.count("*").alias("_n"))
     w = Window.partitionBy("root").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)  # a row per round
     rounds = rounds.withColumn("_before", F.max("_b").over(w)).withColumn("_better", F.col("_before").isNull() | (F.struct("_b.passed", "_b.icir") > F.struct("_before.passed", "_before.icir")))
-    df = rounds.groupBy("root").agg(F.max("_b").alias("b"), F.max("depth").alias("rounds"), F.sum("_n").alias("tried"), F.max(F.when(F.col("_better"), F.col("depth"))).alias("last_gain"))
-    status = F.when(F.col("rounds") - F.col("last_gain") >= 2, "stuck").when(F.col("rounds") == 0, "new").otherwise("improving")
-    return df.select("root", F.col("b.id").alias("best_id"), F.col("b.passed").alias("best_passed"), "rounds", "tried", "last_gain", status.alias("status"))
+    df = rounds.groupBy("root").agg(F.max("_b").alias("b"), F.max("depth").alias("rounds"), F.sum("_n").alias("tried"), F.max(F.when(F.col("_better"), F.col("depth"))).alias("last_gain"), F.collect_list(F.struct("depth", F.col("_b.passed").alias("passed"))).alias("_r"))
+    upto = lambda k: F.array_max(F.transform(F.filter("_r", lambda r: r["depth"] <= k), lambda r: r["passed"]))
+    path = F.array_join(F.transform(F.sequence(F.lit(0), F.col("rounds").cast("int")), lambda k: F.coalesce(upto(k), F.lit(0)).cast("string")), ",")
+    status = F.when(F.col("b.passed") >= gates, "done").when(F.col("b.icir") < alive, "stopped").when(F.col("rounds") >= most_rounds, "finished").otherwise("improving")
+    return df.select("root", F.col("b.id").alias("best_id"), F.col("b.passed").alias("best_passed"), "rounds", "tried", "last_gain", path.alias("path"), status.alias("status"))
 
 
 def same_idea(tested: DataFrame, candidates: DataFrame, weekly: DataFrame, limit: float) -> DataFrame:
@@ -355,6 +359,13 @@ def ic_report(scores: DataFrame) -> DataFrame:
     return ic.join(top, "ts", "left")
 
 
+def ic_by_year(report: DataFrame) -> DataFrame:
+    """Mean, deviation and ratio of the weekly rank correlations of each year, the mean of the best tenth, and the weeks.
+    `report` as `ic_report` gives it."""
+    sd = F.stddev_samp("ic")
+    return report.groupBy(F.year("ts").alias("year")).agg(F.avg("ic").alias("ic"), sd.alias("ic_sd"), F.avg("top").alias("top"), F.count("*").alias("weeks"), (F.avg("ic") / F.nullif(sd, F.lit(0.0))).alias("icir"))
+
+
 def failure_reasons(scores: DataFrame) -> DataFrame:
     return scores.filter("failed <> ''").select(F.explode(F.split("failed", "; ")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -411,15 +422,18 @@ def vault_verdict(scores: DataFrame, window: str = "v") -> DataFrame:
     return scores.withColumn("verdict", F.coalesce(ok, F.lit(False)))
 
 
-def study_table(trades: DataFrame, windows: dict[str, tuple[str, str]]) -> DataFrame:
-    """Per window, each strategy and all of them: trades, sum and mean of R, win share, fees over gross moves, bars held."""
+def study_table(trades: DataFrame, windows: dict[str, tuple[str, str]], twin: str = "~") -> DataFrame:
+    """Per window and market, each strategy and all of them: trades, sum and mean of R, win share, fees over gross moves,
+    bars held, and the mean R of the random twins. `trades` carry `market`; the twin of the strategy `x` is `x~`."""
     name = F.lit(None).cast("string")
     for w, (a, b) in windows.items():
         name = F.when(F.col("entry_ts").between(F.lit(a).cast("date"), F.lit(b).cast("date")), w).otherwise(name)
-    df = trades.withColumn("window", name).filter("window is not null")
-    return df.groupingSets([[F.col("window"), F.col("strategy")], [F.col("window")]], "window", "strategy").agg(
-        F.count("*").alias("trades"), F.sum("r").alias("sum_r"), F.avg("r").alias("avg_r"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"),
-        (F.sum("fees_r") / F.sum(F.abs("gross_r"))).alias("fee_share"), F.avg(F.col("exit_no") - F.col("fill_no") + 1).alias("bars_held"))
+    df = trades.withColumns({"window": name, "_own": ~F.col("strategy").endswith(twin), "strategy": F.split("strategy", twin)[0]}).filter("window is not null")
+    own_ = lambda v: F.when(F.col("_own"), v)
+    keys = [F.col(c) for c in ("window", "market", "strategy")]
+    return df.groupingSets([keys, keys[:2]], "window", "market", "strategy").agg(
+        F.count(own_(F.lit(1))).alias("trades"), F.sum(own_(F.col("r"))).alias("sum_r"), F.avg(own_(F.col("r"))).alias("avg_r"), F.avg(own_((F.col("r") > 0).cast("double"))).alias("win_rate"),
+        (F.sum(own_(F.col("fees_r"))) / F.sum(own_(F.abs("gross_r")))).alias("fee_share"), F.avg(own_(F.col("exit_no") - F.col("fill_no") + 1)).alias("bars_held"), F.avg(F.when(~F.col("_own"), F.col("r"))).alias("rand_avg_r"))
 
 
 def exit_rule_grid(ledger: DataFrame, by: Sequence[str]) -> DataFrame:

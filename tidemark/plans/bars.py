@@ -203,6 +203,40 @@ def b14(spark, sf):
     return blackout(spark, sf)
 
 
+HOLIDAYS = B.market_holidays(2023, 2025)
+cte("cls", "select distinct user_id as asset, user_id % 3 > 0 as stock from events")
+cte("fed_d", "select distinct cast(ts as date) as day from events where day(ts) % 10 = 1")
+cte("job_d", "select distinct cast(ts as date) as day from events where isodow(ts) = 5")
+
+
+def blackout_sql(bars):
+    """The rules over a cte of bars (asset, ts)."""
+    free = "[" + ", ".join(f"date '{h}'" for h in HOLIDAYS) + "]"
+    pre = "exists (select 1 from (select asset, day from blk_ev union all select s.asset, j.day from job_d j) x where x.asset = s.asset and x.day > s.day and date_diff('day', s.day, x.day) <= 4 and case when nextday is not null then nextday >= x.day else len(list_filter(range(s.day + interval 1 day, cast(x.day as timestamp), interval 1 day), lambda d: isodow(d) < 6 and not list_contains(" + free + ", cast(d as date)))) = 0 end)"
+    return f"""select h.asset, h.ts, (h.stock and e.day is not null) or (f.day is not null and h.hour between 13 and 15) or (h.stock and h.pre and case when h.nextday is not null then h.ts = h.last_ts else h.hour = 15 end) or (not h.stock and j.day is not null and h.hour = 8) as blocked
+      from (select b.*, c.stock, s.last_ts, s.nextday, {pre} as pre from (select asset, ts, cast(ts {NY} as date) as day, hour(ts {NY}) as hour from {bars}) b join cls c using (asset)
+      join (select asset, cast(ts {NY} as date) as day, max(ts) as last_ts, lead(cast(ts {NY} as date)) over (partition by asset order by cast(ts {NY} as date)) as nextday from {bars} group by 1, 2) s on s.asset = b.asset and s.day = b.day) h
+      left join blk_ev e on e.asset = h.asset and e.day = h.day left join fed_d f on f.day = h.day left join job_d j on j.day = h.day"""
+
+
+def calendars(spark, sf):
+    e = S.table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"))
+    classes = e.select(F.col("user_id").alias("asset"), (F.col("user_id") % 3 > 0).alias("stock")).distinct()
+    reports = e.filter("event_type = 'signup' and day(day) % 3 = 0").select(F.col("user_id").alias("asset"), "day")
+    days = lambda c: e.filter(c).select("day").distinct()
+    return classes, reports, days("day(day) % 10 = 1"), days("weekday(day) = 4"), HOLIDAYS
+
+
+@query("b14_blackout_rules", "select * from blk_all", blk_all=blackout_sql("bars_h"))
+def b14b(spark, sf):
+    return B.blackout(S.hourly_bars(spark, sf), *calendars(spark, sf))
+
+
+@query("b14_next_bar_blocked", f"select asset, b.ts, blocked and not (stock and hour(b.ts {NY}) > 15) as blocked from blk_nx b join cls using (asset) join nx_only n using (asset) where n.ts = b.ts", nx_only="select asset, max(ts) + interval 1 hour as ts from bars_h group by 1", nx_bars="select asset, ts from bars_h union all select * from nx_only", blk_nx=blackout_sql("nx_bars"))
+def b14c(spark, sf):
+    return B.next_bar_blocked(S.hourly_bars(spark, sf), *calendars(spark, sf))
+
+
 @query("b15_bars_per_year", "select asset, round(count(*) / nullif((epoch(max(ts)) - epoch(min(ts))) / (365.25 * 86400), 0), 6) as bars_per_year from bars_h group by 1")
 def b15(spark, sf):
     return B.bars_per_year(S.hourly_bars(spark, sf)).select("asset", *r6("bars_per_year"))

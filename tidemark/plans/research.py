@@ -286,8 +286,9 @@ def n12(spark, sf):
 CAMP = "select c_custkey as id, c_custkey - c_custkey % 50 as root, c_custkey % 50 // 5 as depth, cast(round(c_acctbal) as int) % 15 as passed, case when c_custkey % 7 > 0 then c_acctbal / 1000 end as icir from customer"
 
 
-@query("n13_campaigns", """select root, id as best_id, passed as best_passed, rounds, tried, last_gain, case when rounds - last_gain >= 2 then 'stuck' when rounds = 0 then 'new' else 'improving' end as status from (select *, row_number() over (partition by root order by passed desc, ic desc, depth, id desc) as rn, max(depth) over (partition by root) as rounds, count(*) over (partition by root) as tried from cm)
-  join (select root, max(depth) as last_gain from (select root, depth, b, max(b) over (partition by root order by depth rows between unbounded preceding and 1 preceding) as pb from (select root, depth, max(row(passed, ic)) as b from cm group by 1, 2)) where pb is null or b > pb group by 1) using (root) where rn = 1""", cm=f"select *, coalesce(icir, -1e9) as ic from ({CAMP})")
+@query("n13_campaigns", f"""select root, id as best_id, passed as best_passed, rounds, tried, last_gain, path, case when passed >= {len(N.GATES)} then 'done' when ic < 0.2 then 'stopped' when rounds >= 5 then 'finished' else 'improving' end as status from (select *, row_number() over (partition by root order by passed desc, ic desc, depth, id desc) as rn, max(depth) over (partition by root) as rounds, count(*) over (partition by root) as tried from cm)
+  join (select root, max(depth) as last_gain from (select root, depth, b, max(b) over (partition by root order by depth rows between unbounded preceding and 1 preceding) as pb from (select root, depth, max(row(passed, ic)) as b from cm group by 1, 2)) where pb is null or b > pb group by 1) using (root)
+  join (select root, string_agg(best, ',' order by k) as path from (select r.root, k, coalesce(max(passed) filter (depth <= k), 0) as best from (select root, unnest(range(0, max(depth) + 1)) as k from cm group by root) r join cm using (root) group by 1, 2) group by 1) using (root) where rn = 1""", cm=f"select *, coalesce(icir, -1e9) as ic from ({CAMP})")
 def n13(spark, sf):
     c = S.table(spark, sf, "customer").selectExpr("c_custkey as id", "c_custkey - c_custkey % 50 as root", "cast(c_custkey % 50 div 5 as bigint) as depth", "cast(round(c_acctbal) as int) % 15 as passed", "case when c_custkey % 7 > 0 then c_acctbal / 1000 end as icir")
     return N.campaigns(c)
@@ -315,13 +316,25 @@ def n16(spark, sf):
     return gated_scores(spark, sf).orderBy(F.desc("passed"), F.desc("s_icir")).limit(3).select("candidate", "passed")
 
 
-@query("n17_ic_report", """select i.ts, round(i.ic, 6) as ic, i.n, round(t.top, 8) as top from (select ts, corr(a, b) as ic, count(*) as n from (select ts, rank() over (partition by ts order by score) + (count(*) over (partition by ts, score) - 1) / 2 as a, rank() over (partition by ts order by target) + (count(*) over (partition by ts, target) - 1) / 2 as b from sc) group by 1) i
-  left join (select ts, avg(target) as top from sc join (select ts, quantile_cont(score, 0.9) as q from sc group by 1) using (ts) where score >= q group by 1) t using (ts)""", sc="select * from (select ts, mom as score, lead(close) over (partition by asset order by ts) / close - 1 as target from fx_w) where score is not null and target is not null")
-def n17(spark, sf):
+cte("sc", "select * from (select ts, mom as score, lead(close) over (partition by asset order by ts) / close - 1 as target from fx_w) where score is not null and target is not null")
+cte("icrep", """select i.ts, i.ic, i.n, t.top from (select ts, corr(a, b) as ic, count(*) as n from (select ts, rank() over (partition by ts order by score) + (count(*) over (partition by ts, score) - 1) / 2 as a, rank() over (partition by ts order by target) + (count(*) over (partition by ts, target) - 1) / 2 as b from sc) group by 1) i
+  left join (select ts, avg(target) as top from sc join (select ts, quantile_cont(score, 0.9) as q from sc group by 1) using (ts) where score >= q group by 1) t using (ts)""")
+
+
+def ic_weeks(spark, sf):
     from ..functions.windows import own
     p = PAN(spark, sf).withColumns({"score": P.momentum(52, 4), "target": F.lead("close").over(own()) / F.col("close") - 1}).select("ts", "score", "target")
-    df = N.ic_report(materialise(p, "scores"))
-    return df.select("ts", F.round("ic", 6).alias("ic"), "n", F.round("top", 8).alias("top"))
+    return N.ic_report(materialise(p, "scores"))
+
+
+@query("n17_ic_report", "select ts, round(ic, 6) as ic, n, round(top, 8) as top from icrep")
+def n17(spark, sf):
+    return ic_weeks(spark, sf).select("ts", F.round("ic", 6).alias("ic"), "n", F.round("top", 8).alias("top"))
+
+
+@query("n17_ic_by_year", "select year(ts) as year, round(avg(ic), 6) as ic, round(stddev_samp(ic), 6) as ic_sd, round(avg(top), 6) as top, count(*) as weeks, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) as icir from icrep group by 1")
+def n17b(spark, sf):
+    return rounded(N.ic_by_year(ic_weeks(spark, sf)))
 
 
 @query("n21_time_split", "select ts, case when row_number() over (order by ts) <= floor(0.6 * count(*) over ()) then 'train' else 'test' end as part from (select distinct ts from bars_h)")
@@ -429,7 +442,17 @@ def n19b(spark, sf):
     return rounded(N.walk_forward_tuning(materialise(rule_ledger(spark, sf), "ledger"), first, ["strategy"], BARS(spark, sf)))
 
 
-@query("n22_study_table", """select w as "window", strategy, count(*) as trades, round(sum(r), 6) as sum_r, round(avg(r), 6) as avg_r, round(avg(cast(r > 0 as int)), 6) as win_rate, round(sum(fees_r) / sum(abs(gross_r)), 6) as fee_share, round(avg(exit_no - fill_no + 1), 6) as bars_held
-  from (select *, case when entry_ts between date '1990-01-01' and date '1998-12-31' then 's' when entry_ts between date '1999-01-01' and date '2010-12-31' then 'v' end as w from trades) where w is not null group by grouping sets ((w, strategy), (w))""")
+cte("stwin", "select * from sig2 union all select strategy || '~', asset, ts, side from twin2")
+ledger_ctes("sled", "stwin", "strategy", "rule1")
+
+
+@query("n22_study_table", f"""select w as "window", sector as market, replace(strategy, '~', '') as strategy, count(*) filter (o) as trades, round(sum(r) filter (o), 6) as sum_r, round(avg(r) filter (o), 6) as avg_r, round(avg(cast(r > 0 as int)) filter (o), 6) as win_rate, round(sum(fees_r) filter (o) / sum(abs(gross_r)) filter (o), 6) as fee_share, round(avg(exit_no - fill_no + 1) filter (o), 6) as bars_held, round(avg(r) filter (not o), 6) as rand_avg_r
+  from (select * replace (replace(strategy, '~', '') as strategy), not contains(strategy, '~') as o, case when entry_ts between date '{WINDOWS['s'][0]}' and date '{WINDOWS['s'][1]}' then 's' when entry_ts between date '{WINDOWS['v'][0]}' and date '{WINDOWS['v'][1]}' then 'v' end as w from sled join sect using (asset)) where w is not null group by grouping sets ((w, sector, strategy), (w, sector))""")
 def n22(spark, sf):
-    return rounded(N.study_table(trades(spark, sf), WINDOWS))
+    bars = materialise(trade_bars(spark, sf), "bars")
+    both = own_ = materialise(signals(spark, sf), "signals")
+    for k in ("sweep", "donchian"):
+        twin = E.random_twin(own_.filter(F.col("strategy") == k).drop("strategy"), bars, 7).withColumn("strategy", F.lit(f"{k}~"))
+        both = both.unionByName(twin.select(*both.columns))
+    led = L.non_overlapping(materialise(L.barrier_outcomes(both, bars, RULE, COSTS, ["strategy", "asset"]), "outcomes"), ["strategy", "asset"])
+    return rounded(N.study_table(led.join(S.sectors(spark, sf).select("asset", F.col("sector").alias("market")), "asset"), WINDOWS))

@@ -108,26 +108,35 @@ def a8(spark, sf):
     return rounded(R.refresh_overlap(old, new))
 
 
-@query("a9_read_company_facts", """select asset as ticker, case item when 'rev' then 'revenue' else item end as item, start, "end", filed, round(val, 2) as val from ytd where "end" >= date '1996-01-01'""")
+@query("a9_read_company_facts", """select asset as ticker, case item when 'rev' then 'revenue' else item end as item, start, "end", filed, round(val, 2) as val from ytd where "end" >= date '1996-01-01'
+  union all select asset, k, null, "end", filed, round(case k when 'assets' then assets when 'equity' then equity else shares end, 2) from points, (select unnest(['assets', 'equity', 'shares']) as k) where "end" >= date '1996-01-01'""")
 def a9(spark, sf):
-    f = S.facts(spark, sf)
-    row = F.struct(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "val", F.col("filed").cast("string").alias("filed"), F.lit("10-Q").alias("form"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    row = lambda start, val: F.struct(start.alias("start"), text("end"), val.alias("val"), text("filed"), F.lit("10-Q").alias("form"))
     tag = F.when(F.col("item") == "rev", "Revenues").when(F.col("item") == "ni", "NetIncomeLoss").otherwise("NetCashProvidedByOperatingActivities")
-    per = f.groupBy("asset", tag.alias("tag")).agg(F.collect_list(row).alias("rows"))
-    body = F.map_from_entries(F.collect_list(F.struct("tag", F.struct(F.create_map(F.lit("USD"), F.col("rows")).alias("units")))))
-    docs = per.groupBy("asset").agg(F.to_json(body).alias("json")).select(F.col("asset").alias("ticker"), "json")
-    tags = {"revenue": ["RevenueFromContractWithCustomer", "Revenues"], "ni": ["NetIncomeLoss"], "cfo": ["NetCashProvidedByOperatingActivities"]}
-    return rounded(R.company_facts(docs, tags, "1996-01-01"), 2)
-
-
-@query("a10_read_form4_xml", """select o_orderkey as accession, 'C' || o_custkey as owner, case l_returnflag when 'R' then 'S' else 'P' end as code, l_quantity as shares, l_extendedprice as price, round(l_quantity * l_extendedprice, 2) as value, o_orderpriority = '5-LOW' as plan from lineitem join orders on o_orderkey = l_orderkey where l_returnflag <> 'N'""")
+    timed = S.facts(spark, sf).select("asset", F.lit("us-gaap").alias("space"), tag.alias("tag"), F.lit("USD").alias("unit"), row(F.col("start").cast("string"), F.col("val")).alias("r"))
+    at = [("us-gaap", "Assets", "USD", "assets"), ("us-gaap", "StockholdersEquity", "USD", "equity"), ("dei", "EntityCommonStockSharesOutstanding", "shares", "shares")]
+    kinds = F.array(*[F.struct(F.lit(a).alias("space"), F.lit(b).alias("tag"), F.lit(u).alias("unit"), row(F.lit(None).cast("string"), F.col(c).cast("double")).alias("r")) for a, b, u, c in at])
+    rows = timed.unionByName(S.points(spark, sf).select("asset", F.explode(kinds).alias("x")).select("asset", "x.*"))
+    per = rows.groupBy("asset", "space", "tag", "unit").agg(F.collect_list("r").alias("rows"))  # a row per quarter
+    per = per.groupBy("asset", "space").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct(F.map_from_entries(F.array(F.struct("unit", "rows"))).alias("units"))))).alias("tags"))
+    docs = per.groupBy("asset").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("space", "tags"))).alias("facts"))).alias("json")).select(F.col("asset").alias("ticker"), "json")
+    durations = {"revenue": ["RevenueFromContractWithCustomer", "Revenues"], "ni": ["NetIncomeLoss"], "cfo": ["NetCashProvidedByOperatingActivities"]}
+    return rounded(R.company_facts(docs, durations, "1996-01-01", {"assets": ["Assets"], "equity": ["StockholdersEquity"]}), 2)
+
+
+@query("a10_read_form4_xml", """select o_orderkey as accession, 'C' || o_custkey as owner, case l_returnflag when 'R' then 'S' else 'P' end as code, l_quantity as shares, l_extendedprice as price, round(l_quantity * l_extendedprice, 2) as value, o_orderpriority = '5-LOW' or l_linenumber = 3 as plan from lineitem join orders on o_orderkey = l_orderkey where l_returnflag <> 'N'""")
 def a10(spark, sf):
     l, o = S.table(spark, sf, "lineitem"), S.table(spark, sf, "orders")
+    tag = lambda name, *x: F.concat(F.lit(f"<{name}>"), *x, F.lit(f"</{name}>"))
     code = F.when(F.col("l_returnflag") == "R", "S").when(F.col("l_returnflag") == "A", "P").otherwise("M")
-    t = F.concat(F.lit("<nonDerivativeTransaction><code>"), code, F.lit("</code><shares>"), F.col("l_quantity"), F.lit("</shares><price>"), F.col("l_extendedprice"), F.lit("</price></nonDerivativeTransaction>"))
-    lines = l.groupBy("l_orderkey").agg(F.array_join(F.collect_list(t), "").alias("t"))
-    note = F.when(F.col("o_orderpriority") == "5-LOW", "<footnote>under a Rule 10b5-1 plan</footnote>").otherwise("")
-    docs = lines.join(o, lines.l_orderkey == o.o_orderkey).select(F.col("o_orderkey").alias("accession"), F.concat(F.lit("<ownershipDocument><reportingOwner>C"), F.col("o_custkey"), F.lit("</reportingOwner>"), note, F.col("t"), F.lit("</ownershipDocument>")).alias("xml"))
+    note = F.when(F.col("l_linenumber") == 3, "<footnote>under a Rule 10b5-1 plan</footnote>").otherwise("")
+    amounts = tag("transactionAmounts", tag("transactionShares", tag("value", F.col("l_quantity"))), tag("transactionPricePerShare", tag("value", F.col("l_extendedprice"))))
+    t = tag("nonDerivativeTransaction", tag("transactionCoding", tag("transactionCode", code)), note, amounts)
+    lines = l.groupBy("l_orderkey").agg(F.array_join(F.collect_list(t), "").alias("t"))  # the lines of an order
+    owner = tag("reportingOwner", tag("reportingOwnerId", tag("rptOwnerCik", F.lit("C"), F.col("o_custkey"))))
+    plan = tag("aff10b5One", F.when(F.col("o_orderpriority") == "5-LOW", "1").otherwise("0"))
+    docs = lines.join(o, lines.l_orderkey == o.o_orderkey).select(F.col("o_orderkey").alias("accession"), tag("ownershipDocument", owner, plan, tag("nonDerivativeTable", F.col("t"))).alias("xml"))
     return R.form4_transactions(docs).withColumn("value", F.round("value", 2))
 
 
@@ -143,14 +152,26 @@ def a11(spark, sf):
     return df.select("underlying", F.regexp_extract("symbol", r"(\d{8})$", 1).cast("long").alias("contract"), "dte", *[F.round(x, 4).alias(x) for x in ("bid", "ask", "iv", "delta")], "volume")
 
 
-@query("a12_json_views", "select cast(ts as date) as day, user_id as asset, cast(floor(value) as int) % 7 - 3 as bias, least(greatest(cast(event_id % 40 as int), 1), 30) as horizon from events where abs(cast(floor(value) as int) % 7 - 3) <= 2 and event_id % 9 < 8")
-def a12(spark, sf):
+VIEWS = "select cast(ts as date) as day, user_id as asset, cast(floor(value) as int) % 7 - 3 as bias, case when event_id % 9 < 8 then 0.5e0 else 1.5e0 end as confidence, cast(event_id % 40 as int) as horizon from events"
+
+
+def views(spark, sf):
+    """(valid, rejected) views of files of one day each, every file one JSON array."""
     folder = scratch_path(spark, "views")
-    e = S.table(spark, sf, "events")
-    v = e.select(F.date_format("ts", "yyyy-MM-dd").alias("d"), F.col("user_id").cast("string").alias("asset"), (F.floor("value") % 7 - 3).cast("int").alias("bias"), F.when(F.col("event_id") % 9 < 8, 0.5).otherwise(1.5).alias("confidence"), (F.col("event_id") % 40).cast("int").alias("horizon_days"))
-    v.write.partitionBy("d").json(folder)
-    good, _ = R.checked_views(spark.read.schema(R.VIEW_SCHEMA).option("basePath", folder).json(folder).withColumn("day", F.to_date(F.regexp_extract(F.input_file_name(), r"d=(\d{4}-\d{2}-\d{2})", 1))))
-    return good.select("day", F.col("asset").cast("long").alias("asset"), "bias", F.col("horizon_days").alias("horizon"))
+    view = F.struct(F.col("user_id").cast("string").alias("asset"), (F.floor("value") % 7 - 3).cast("int").alias("bias"), F.when(F.col("event_id") % 9 < 8, 0.5).otherwise(1.5).alias("confidence"), (F.col("event_id") % 40).cast("int").alias("horizon_days"))
+    days = S.table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d")).agg(F.to_json(F.collect_list(view)).alias("value"))  # a day's file
+    days.write.partitionBy("d").text(folder)
+    return R.checked_views(R.read_views(spark, folder))
+
+
+@query("a12_json_views", f"select day, asset, bias, least(greatest(horizon, 1), 30) as horizon from ({VIEWS}) where abs(bias) <= 2 and confidence <= 1")
+def a12(spark, sf):
+    return views(spark, sf)[0].select("day", F.col("asset").cast("long").alias("asset"), "bias", F.col("horizon_days").alias("horizon"))
+
+
+@query("a12_rejected_views", f"select day, asset, bias, confidence, horizon from ({VIEWS}) where not (abs(bias) <= 2 and confidence <= 1)")
+def a12b(spark, sf):
+    return views(spark, sf)[1].select("day", F.col("asset").cast("long").alias("asset"), "bias", "confidence", F.col("horizon_days").alias("horizon"))
 
 
 def registry(spark, sf):

@@ -81,6 +81,34 @@ def q10(spark, sf):
     return rounded(Q.run(Q.trailing_stops(p, 0.5), "update", ["asset"]))
 
 
+@query("q9_stream_late_counts", "select cast(0 as bigint) as batch, count(*) as kept, cast(0 as bigint) as dropped from events")
+def q9b(spark, sf):
+    e = events(spark, sf).select(F.col("user_id").alias("asset"), "ts", "value")
+    return Q.run_late(e)[1].select("batch", "kept", "dropped")
+
+
+@query("q9_stream_on_time_totals", "select user_id as asset, cast(ts as date) as day, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+def q9c(spark, sf):
+    return rounded(Q.run_late(events(spark, sf).select(F.col("user_id").alias("asset"), "ts", "value"))[0], 2)
+
+
+TICK = "100 + sqrt(value) / 3"
+
+
+@query("q10_stream_trade_stops", f"""select trade, ts, kind, round(stop, 6) as stop from (select trade, ts, k, 'out' as kind, side * held as stop from sq2 where k = ended union all select trade, ts, k, 'move', side * now from sq2 where (ended is null or k < ended) and now > held)""",
+       sq0="select user_id as trade, user_id as asset, case when user_id % 2 = 0 then 1 else -1 end as side, p as entry, p - case when user_id % 2 = 0 then 1 else -1 end * (0.5 + user_id % 4) as stop, 0.5 + user_id % 3 as trail, since from (select user_id, arg_min(100 + sqrt(value) / 3, (ts, event_id)) as p, min(ts) as since from events group by 1)",
+       sq1=f"select t.*, e.ts, {TICK} as price, row_number() over (partition by trade order by e.ts, event_id) as k from sq0 t join events e on e.user_id = t.asset and e.ts >= t.since where e.ts < {DONE.format('10 minutes')}",
+       sqr="select *, greatest(side * stop, side * entry - trail, max(side * price) over (partition by trade order by k) - trail) as now, greatest(side * stop, case when k > 1 then greatest(side * entry, max(side * price) over (partition by trade order by k rows between unbounded preceding and 1 preceding)) - trail end) as held from sq1",
+       sq2="select *, min(case when side * price <= held then k end) over (partition by trade) as ended from sqr")
+def q10b(spark, sf):
+    e = S.table(spark, sf, "events")
+    first = e.groupBy("user_id").agg(F.min_by((100 + F.sqrt("value") / 3), F.struct("ts", "event_id")).alias("p"), F.min("ts").cast("timestamp").alias("since"))
+    side = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
+    trades = first.select(F.col("user_id").alias("trade"), F.col("user_id").alias("asset"), side.alias("side"), F.col("p").alias("entry"), (F.col("p") - side * (0.5 + F.col("user_id") % 4)).alias("stop"), (0.5 + F.col("user_id") % 3).alias("trail"), "since")
+    p = events(spark, sf).select(F.col("user_id").alias("asset"), "ts", F.col("event_id").alias("seq"), (100 + F.sqrt("value") / 3).alias("price"))
+    return rounded(Q.run(Q.trade_stops(p, trades)))
+
+
 @query("q11_stream_fill_match", "select f.user_id as asset, f.event_id as fill_id, f.ts as fill_ts, o.event_id as order_id, o.ts as order_ts from events f join events o on o.user_id = f.user_id and f.event_type = 'purchase' and o.event_type = 'click' and o.ts <= f.ts and o.ts >= f.ts - interval 3 hours")
 def q11(spark, sf):
     e = events(spark, sf)

@@ -14,9 +14,11 @@ OWNER_SCHEMA = "ACCESSION_NUMBER STRING, OWNER_NO INT, RPTOWNERNAME STRING, RPTO
 SHORT_SCHEMA = "Date STRING, Symbol STRING, ShortVolume DOUBLE, ShortExemptVolume DOUBLE, TotalVolume DOUBLE, Market STRING"
 VIEW_SCHEMA = "asset STRING, bias INT, confidence DOUBLE, horizon_days INT, key_events ARRAY<STRING>, reasoning STRING"
 CHAIN_SCHEMA = "MAP<STRING, STRUCT<latestQuote: STRUCT<bp: DOUBLE, ap: DOUBLE>, latestTrade: STRUCT<p: DOUBLE>, dailyBar: STRUCT<v: DOUBLE>, greeks: STRUCT<delta: DOUBLE>, impliedVolatility: DOUBLE>>"
-FACTS_SCHEMA = "MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<start: STRING, `end`: STRING, val: DOUBLE, filed: STRING, form: STRING>>>>>"
-FORM4_SCHEMA = ("STRUCT<reportingOwner: STRING, footnote: STRING, nonDerivativeTransaction: ARRAY<STRUCT<code: STRING, shares: DOUBLE, price: DOUBLE>>>")
-
+_FACT = "MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<start: STRING, `end`: STRING, val: DOUBLE, filed: STRING, form: STRING>>>>>"
+FACTS_SCHEMA = f"STRUCT<facts: STRUCT<`us-gaap`: {_FACT}, dei: {_FACT}>>"
+#: Transactions stay text: a value stands in its element or in a `value` below it, and a plan is told anywhere inside.
+FORM4_SCHEMA = ("STRUCT<aff10b5One: STRING, reportingOwner: ARRAY<STRUCT<reportingOwnerId: STRUCT<rptOwnerCik: STRING>>>, "
+                "nonDerivativeTable: STRUCT<nonDerivativeTransaction: ARRAY<STRING>>>")
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
@@ -89,21 +91,45 @@ def refresh_overlap(old: DataFrame, new: DataFrame, tolerance: float = 1e-3) ->
     return kept.unionByName(new)
 
 
-def company_facts(documents: DataFrame, tags: dict[str, Sequence[str]], earliest: str = "2013-01-01") -> DataFrame:
-    """(ticker, item, start, end, filed, val) from nested fact documents `(ticker, json)`: annual and quarterly reports,
-    the first filed version of each duration, tags in order of preference on the same day."""
-    prefer = F.create_map(*[x for item, names in tags.items() for i, n in enumerate(names) for x in (F.lit(n), F.struct(F.lit(item).alias("item"), F.lit(i).alias("pref")))])
-    df = documents.select("ticker", F.explode(F.from_json("json", FACTS_SCHEMA)).alias("tag", "body")).withColumn("_p", prefer[F.col("tag")]).filter("_p is not null")
-    df = df.select("ticker", "_p.item", "_p.pref", F.explode("body.units").alias("unit", "rows")).select("ticker", "item", "pref", F.explode("rows").alias("r"))
-    df = df.filter(F.col("r.form").startswith("10-")).select("ticker", "item", "pref", F.to_date("r.start").alias("start"), F.to_date("r.end").alias("end"), F.to_date("r.filed").alias("filed"), F.col("r.val").alias("val"))
-    df = df.filter(F.col("end") >= F.lit(earliest).cast("date"))
+def company_facts(documents: DataFrame, durations: dict[str, Sequence[str]], earliest: str = "2013-01-01", instants: dict[str, Sequence[str]] | None = None,
+                  shares: Sequence[str] = ("EntityCommonStockSharesOutstanding",)) -> DataFrame:
+    """(ticker, item, start, end, filed, val) from company fact documents `(ticker, json)`: values of annual and quarterly
+    reports under `facts.us-gaap`, and share counts under `facts.dei` as the item `shares`.
+
+    The first filed version of each period stays, tags in order of preference on the same day. `durations` name items over
+    a period; `instants` items at its end, which have no start and are one a day, as share counts are."""
+    body = documents.select("ticker", F.from_json("json", FACTS_SCHEMA).alias("d"))
+    named = [(item, tag, i, timed) for items, timed in ((durations, True), (instants or {}, False)) for item, tags in items.items() for i, tag in enumerate(tags)]
+    entry = lambda item, i, timed: F.struct(F.lit(item).alias("item"), F.lit(i).alias("pref"), F.lit(timed).alias("timed"))
+
+    def rows(facts: str, wanted: list[tuple]) -> DataFrame:
+        known = F.create_map(*[x for item, tag, i, timed in wanted for x in (F.lit(tag), entry(item, i, timed))])
+        df = body.select("ticker", F.explode(f"d.facts.{facts}").alias("tag", "body")).withColumn("_p", known[F.col("tag")]).filter("_p is not null")
+        return df.select("ticker", "_p.*", F.explode("body.units").alias("unit", "rows")).select("ticker", "item", "pref", "timed", F.explode("rows").alias("r"))
+
+    df = rows("`us-gaap`", named).unionByName(rows("dei", [("shares", tag, i, False) for i, tag in enumerate(shares)]))
+    start = F.when(F.col("timed"), F.to_date("r.start"))
+    df = df.filter(F.col("r.form").startswith("10-")).select("ticker", "item", "pref", "timed", start.alias("start"), F.to_date("r.end").alias("end"), F.to_date("r.filed").alias("filed"), F.col("r.val").alias("val"))
+    df = df.filter((F.col("end") >= F.lit(earliest).cast("date")) & (~F.col("timed") | F.col("start").isNotNull()))
     return df.groupBy("ticker", "item", "start", "end").agg(F.min(F.struct("filed", "pref", "val")).alias("f")).select("ticker", "item", "start", "end", "f.filed", "f.val")
 
 
+def _inside(block: str, name: str) -> Column:
+    """Text of an element of a block of XML, its own or that of a `value` in it; null where there is none."""
+    found = F.regexp_extract(block, rf"(?s)<{name}>\s*(?:<value>)?\s*([^<\s](?:[^<]*[^<\s])?)\s*<", 1)
+    return F.when(found != "", found)
+
+
 def form4_transactions(documents: DataFrame) -> DataFrame:
-    """Open-market transactions of ownership documents `(accession, xml)`, flagged when made under a trading plan."""
-    d = documents.select("accession", F.from_xml("xml", FORM4_SCHEMA).alias("d")).select("accession", F.col("d.reportingOwner").alias("owner"), F.coalesce(F.col("d.footnote").ilike("%10b5-1%"), F.lit(False)).alias("plan"), F.explode("d.nonDerivativeTransaction").alias("t"))
-    return d.filter(F.col("t.code").isin("P", "S")).select("accession", "owner", F.col("t.code").alias("code"), F.col("t.shares").alias("shares"), F.col("t.price").alias("price"), (F.col("t.shares") * F.col("t.price")).alias("value"), "plan")
+    """Open-market purchases and sales of ownership documents `(accession, xml)`: owner, code, shares, price, value, and
+    whether they were made under a trading plan, as the document or the transaction says. A number that is lacking is 0,
+    a transaction with one that cannot be read is left out, and so is a document that is no XML."""
+    d = documents.select("accession", F.from_xml("xml", FORM4_SCHEMA).alias("d"))
+    t = d.select("accession", F.col("d.reportingOwner")[0]["reportingOwnerId"]["rptOwnerCik"].alias("owner"), F.coalesce(F.trim("d.aff10b5One").isin("1", "true"), F.lit(False)).alias("_all"), F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("_t"))
+    raw = {"shares": _inside("_t", "transactionShares"), "price": _inside("_t", "transactionPricePerShare")}
+    t = t.select("accession", "owner", _inside("_t", "transactionCode").alias("code"), *[F.coalesce(v, F.lit("0")).try_cast("double").alias(k) for k, v in raw.items()], (F.col("_all") | F.contains("_t", F.lit("10b5-1"))).alias("plan"))
+    t = t.filter(F.col("code").isin("P", "S") & F.col("shares").isNotNull() & F.col("price").isNotNull())
+    return t.select("accession", "owner", "code", "shares", "price", (F.col("shares") * F.col("price")).alias("value"), "plan")
 
 
 def option_rows(snapshots: DataFrame, today: Column) -> DataFrame:

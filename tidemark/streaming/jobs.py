@@ -177,11 +177,85 @@ def daily_totals(events: DataFrame, delay: str = "3 days") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy("asset", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("asset", F.col("w.start").cast("date").alias("day"), "n", "total")
 
 
+def run_late(events: DataFrame, out: str | None = None, checkpoint: str | None = None, delay_days: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(totals, counts) of everything available: totals per asset and day of rows at most `delay_days` late, and per batch
+    the rows kept and dropped and the moment from which they were judged. `events(asset, ts, value)`.
+
+    A batch is judged by the newest moment of the batches before it, less the delay: a row is late once its whole day is
+    behind that, as in a windowed aggregation, but it is counted instead of vanishing. Each batch writes its own partial
+    sums and its own counts under its id, so a batch that is run again replaces both and a restart goes on.
+    """
+    spark = events.sparkSession
+    out, checkpoint = out or scratch_path(spark, "late"), checkpoint or scratch_path(spark, "checkpoint")
+    sums, told = "asset long, day date, n long, total double", "kept long, dropped long, mark timestamp, newest timestamp"
+    for name, schema in (("totals", sums), ("counts", told)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/{name}/batch=-1")
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{out}/{name}")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        before = table("counts", told).filter(F.col("batch") < epoch).agg(F.max("newest").alias("m")).first().m
+        mark = F.lit(before).cast("timestamp") - F.expr(f"interval {delay_days} days")
+        ends = F.date_trunc("day", "ts") + F.expr("interval 1 day")
+        on_time = F.coalesce(ends > mark, F.lit(True))
+        judged = batch.groupBy(F.col("asset"), F.to_date("ts").alias("day"), on_time.alias("kept")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("ts").alias("newest"))
+        judged = judged.persist()
+        judged.filter("kept").select("asset", "day", "n", "total").write.mode("overwrite").parquet(f"{out}/totals/batch={epoch}")
+        counts = judged.agg(F.coalesce(F.sum(F.when(F.col("kept"), F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("n"))), F.lit(0)).alias("dropped"), mark.alias("mark"), F.max("newest").alias("newest"))
+        counts.write.mode("overwrite").parquet(f"{out}/counts/batch={epoch}")
+        judged.unpersist()
+
+    events.select("asset", "ts", "value").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    totals = table("totals", sums).groupBy("asset", "day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return totals, table("counts", told).filter("batch >= 0").select(F.col("batch").cast("long").alias("batch"), "kept", "dropped", "mark")
+
+
 def trailing_stops(prices: DataFrame, trail: float) -> DataFrame:
-    """Best price and ratcheting stop per trade so far: one number of state per trade, combined before the shuffle."""
+    """Best price and ratcheting stop per asset so far: one number of state per asset, combined before the shuffle."""
     return prices.groupBy("asset").agg(F.max("price").alias("best")).withColumn("stop", F.col("best") - trail)
 
 
+def trade_stops(prices: DataFrame, trades: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(trade, ts, kind, stop): the stop of every open trade each time it tightens (`move`), and its end once the price has
+    reached it (`out`). `prices(asset, ts, seq, price)` is a stream, `trades(trade, asset, side, entry, stop, trail, since)`
+    static: the stop follows `trail` behind the best price since the entry and never loosens.
+
+    Prices of a trade are taken in order of (ts, seq) once the watermark has passed them, so what comes late, out of order
+    or in several batches gives what one batch over all of it would. State per trade: the best price, the stop, whether it
+    is over, and the prices that still wait.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, stop, over, waiting = state.get if state.exists else (None, None, False, [])
+        waiting = [tuple(w) for w in waiting]
+        for batch in batches:
+            times = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            waiting.extend(zip(times, *(batch[c].tolist() for c in ("seq", "price", "side", "entry", "stop", "trail"))))
+        mark = state.getCurrentWatermarkMs() * 1000
+        told = []
+        for t, _, price, side, entry, first, trail in sorted(w for w in waiting if w[0] < mark):
+            if over:
+                break
+            if stop is None:
+                best, stop = side * entry, side * first
+            if side * price <= stop:
+                told.append((t, "out", side * stop))
+                over = True
+                break
+            best = max(best, side * price)
+            if best - trail > stop:
+                stop = best - trail
+                told.append((t, "move", side * stop))
+        waiting = [] if over else sorted(w for w in waiting if w[0] >= mark)
+        state.update((best, stop, over, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(mark // 1000, waiting[0][0] // 1000) + 1)
+        yield pd.DataFrame({"trade": [key[0]] * len(told), "ts": pd.to_datetime([t for t, _, _ in told], unit="us"), "kind": [k for _, k, _ in told], "stop": [float(x) for _, _, x in told]})
+
+    open_ = prices.withWatermark("ts", delay).join(trades, "asset").filter(F.col("ts") >= F.col("since"))
+    slim = open_.select("trade", "ts", "seq", *[F.col(c).cast("double").alias(c) for c in ("price", "side", "entry", "stop", "trail")])
+    held = "best double, stop double, over boolean, waiting array<struct<t: long, seq: long, price: double, side: double, entry: double, stop: double, trail: double>>"
+    return slim.groupBy("trade").applyInPandasWithState(step, "trade long, ts timestamp, kind string, stop double", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def match_fills(fills: DataFrame, orders: DataFrame, within: str, delay: str = "2 hours") -> DataFrame:
     """Fills with the orders of their asset made at most `within` before; both sides are streams."""
     f = fills.withWatermark("fill_ts", delay)
