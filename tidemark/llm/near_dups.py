@@ -20,6 +20,9 @@ SKETCH, LEAST_SHARED = 64, 32
 #: An estimate from the union sketch may be this much too low: five standard deviations.
 SLACK = 0.25
 
+#: Columns of the parity of a set.
+PARITY = ["s0", "s1", "s2", "s3"]
+
 SKETCHES = "doc_id long, n long, digest string, sketch array<long>"
 SETS = "doc_id long, items array<long>"
 
@@ -129,22 +132,51 @@ def with_hubs(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(materialise(met, "met"), ["doc", "hub"])
 
 
-def cross_pairs(hubbed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """a, b of different groups that may still be similar. What two members do not share is at least what each shares
-    with nobody, and the difference of what they lack of their list's hub; a pair is written only if that leaves the
-    similarity possible. In a large group of copies those with many edits of their own thus drop out."""
-    # members of one list have its hub in common, and few hubs each: a pair is weighed once for each, not for each list
-    rows = _grouped(hubbed.select("hub", "hub_n", "doc", "n", "alone", "common").distinct(), groups)
-    rows = materialise(rows.withColumns({"lack": F.col("hub_n") - F.col("common"), "extra": F.col("n") - F.col("common")}), "grouped")
+def difference_lists(hubbed: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, item, doc, n, g, dn, small, s0 to s3: the members of hubs that hold several groups, under the rarest items of D,
+    in which they differ from their hub; dn counts D, `small` tells the items looked up as the smaller of a pair, and s0
+    to s3 are the parity of D's items in 256 places.
+
+    Two sets of n and m items are similar when they differ in at most c * (n + m) items, c = (100 - percent) / (100 +
+    percent), and what they differ in is D(x) and D(y) less twice what both D share. So a similar pair shares at least
+    (dx + dy - c * (n + m)) / 2 items of D, and as two members that are similar to the hub are one group already, dx or dy
+    is above c * (own + hub items): at least one item is shared. The rarest items of D, as many as may be unshared and one
+    more, meet one of the other's. What a copy lacks of the hub is frequent and comes last; what it adds is rare."""
+    rows = materialise(_grouped(hubbed.select("hub", "hub_n", "doc", "n", "common").distinct(), groups), "grouped")
     mixed = materialise(rows.groupBy("hub").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("hub"), "mixed")
-    hubs = rows.groupBy("doc").agg(F.collect_set("hub").alias("hubs"))
-    rows = materialise(rows.join(mixed, "hub").join(hubs, "doc"), "mixed_lists")
-    x, y = (rows.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "g", "n", "alone", "lack", "extra", "hubs")]) for p in "xy")
-    apart = F.greatest(F.col("x_alone") + F.col("y_alone"), F.abs(F.col("x_extra") - F.col("y_extra"))) + F.abs(F.col("x_lack") - F.col("y_lack"))
-    both, most = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_alone"), F.col("y_n") - F.col("y_alone"))
-    may = (100 * (both - apart) >= percent * (both + apart)) & (100 * most >= percent * (both - most))
-    once = F.array_min(F.array_intersect("x_hubs", "y_hubs")) == F.col("hub")
-    return x.join(y, "hub").where("x_doc < y_doc and x_g <> y_g").where(may).where(once).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"))
+    one, two = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"{k}_items")) for k in ("doc", "hub"))
+    open_ = rows.join(mixed, "hub").where("doc <> hub").join(one, "doc").join(two, "hub")
+    lacks, adds = F.array_except("hub_items", "doc_items"), F.array_except("doc_items", "hub_items")
+    dn = F.col("n") + F.col("hub_n") - 2 * F.col("common")
+    near = 100 * F.col("common") >= percent * (F.col("n") + F.col("hub_n") - F.col("common"))
+    items = materialise(open_.select("hub", "hub_n", "doc", "n", "g", dn.alias("dn"), near.alias("near"), F.explode(F.concat(lacks, adds)).alias("item")), "differences")
+    counts = materialise(items.groupBy("hub", "item").agg(F.count("*").alias("df")).where("df > 1"), "difference_counts")
+    place = lambda k: F.expr(f"bit_xor(case when (shiftright(item, 6) & 3) = {k} then shiftleft(1L, cast(item & 63 as int)) else 0L end)").alias(f"s{k}")
+    rare = F.sort_array(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "item")))).alias("rare")
+    per = items.join(counts, ["hub", "item"], "left").groupBy("hub", "hub_n", "doc", "n", "g", "dn", "near").agg(rare, *[place(k) for k in range(4)])
+    # whole numbers, so that no rounding loses a pair: all bounds are times two and times 100 + percent
+    c, whole = 100 - percent, 100 + percent
+    n, h, d = F.col("n").cast("long"), F.col("hub_n"), F.col("dn")
+    most = c * (n + F.floor(100 * n / percent))  # of the differences, whatever the size of the partner
+    half = lambda x: F.ceil(x / (2 * whole))
+    by_hub = F.when(F.col("near"), F.floor((whole * d + c * (h - n)) / (2 * whole)) + 1).otherwise(1)
+    as_large = F.greatest(F.lit(1), by_hub, half(2 * whole * d - 2 * most))
+    as_small = F.greatest(F.lit(1), by_hub, half(2 * whole * d - most))
+    alone = d - F.size("rare")
+    left = lambda shared: F.greatest(d - shared + 1 - alone, F.lit(0)).cast("int")
+    first = per.withColumns({"_large": left(as_large), "_small": left(as_small)}).select("hub", "doc", "n", "g", "dn", *PARITY, "_small", F.posexplode(F.expr("slice(rare, 1, _large)")).alias("at", "x"))
+    return first.select("hub", "x.item", "doc", "n", "g", "dn", *PARITY, (F.col("at") < F.col("_small")).alias("small"))
+
+
+def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b of different groups that share one of the rare items in which they differ from a common hub, and whose parities
+    differ in no more places than two similar sets may differ in items: an item that one lacks changes one place."""
+    x, y = (lists.select("hub", "item", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "n", "g", "dn", "small", *PARITY)]) for p in "xy")
+    apart = sum((F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in PARITY), F.lit(0))
+    may = (100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
+    ordered = F.struct("x_dn", "x_doc") < F.struct("y_dn", "y_doc")
+    met = x.where("x_small").join(y, ["hub", "item"]).where(ordered & (F.col("x_g") != F.col("y_g"))).where(_close_sizes("x_n", "y_n", percent)).where(may)
+    return met.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -175,9 +207,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Equal sets are one class from the start. Classes meet in the inverted lists of their rarest retained values. First
     each member of a list is held against its most central member only, and the pair of each class that the union sketch
     rates highest is confirmed on full sets. Members of lists that still hold several components are then looked up by
-    the rarest items of their full sets and again held against the most central one; pairs of different components that
-    can still be similar are filtered by the union sketch and confirmed. Components therefore come out as if all pairs had been compared, without writing out the
-    pairs of a large group of copies.
+    the rarest items of their full sets and again held against the most central one; what still differs meets by the rare
+    items in which it differs from that one (see `difference_lists`), is filtered by the union sketch and confirmed.
+    Components therefore come out as if all pairs had been compared, without writing out or trying the pairs of a large
+    group of copies.
 
     A null, empty or blank text has an empty set: its own component, kept. A null doc_id is returned with a null
     component and not kept. Rows of one doc_id are all returned, with the component of that id (all its texts count as
@@ -199,7 +232,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     second = hubbed.where(near & (F.col("doc") != F.col("hub"))).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     first = materialise(first.unionByName(second), "links")
     groups = materialise(components(first), "groups")
-    split = materialise(cross_pairs(hubbed, groups, percent), "cross")
+    split = materialise(cross_pairs(materialise(difference_lists(hubbed, groups, sets, percent), "difference_lists"), percent), "cross")
     third = materialise(confirmed(likely(split, classes, percent), sets, percent), "links")
     # ids of one class, and texts of one id, are links as well
     same = sketched.where("doc_id is not null").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
