@@ -64,11 +64,11 @@ def edge_events(signals: DataFrame, bars: DataFrame, horizons: Sequence[int], by
     at = at.select(*keys, "ts", "side", "bn", "_n", "atr", F.explode("_moves").alias("m")).select(*keys, "ts", "side", "bn", "_n", "atr", "m.*")
     # what has run up before the first signal; a move past the last bar is null and adds nothing
     own_move = F.when((F.col("bn") > 0) & F.col("move").isNotNull(), F.col("move"))
-    first = F.min_by(F.struct((F.col("s") - F.coalesce(own_move, F.lit(0.0))).alias("s"), (F.col("c") - F.when(own_move.isNotNull(), 1).otherwise(0)).alias("c")), "bn")
-    drift = at.groupBy(*keys, "h").agg(first.alias("_a"), F.max_by(F.struct("s", "c"), "bn").alias("_z"))
+    start = F.struct((F.col("s") - F.coalesce(own_move, F.lit(0.0))).alias("s"), (F.col("c") - F.when(own_move.isNotNull(), 1).otherwise(0)).alias("c"))
+    span = Window.partitionBy(*keys, "h")  # an asset's signals
+    df = at.withColumns({"_a": F.min_by(start, "bn").over(span), "_z": F.max_by(F.struct("s", "c"), "bn").over(span)})
     n = F.col("_z.c") - F.col("_a.c")
-    drift = drift.select(*keys, "h", F.when(n > 0, (F.col("_z.s") - F.col("_a.s")) / n).alias("_drift"))
-    df = at.filter((F.col("bn") + F.col("h") < F.col("_n")) & (F.col("atr") > 0)).join(drift, [*keys, "h"], "left")
+    df = df.withColumn("_drift", F.when(n > 0, (F.col("_z.s") - F.col("_a.s")) / n)).filter((F.col("bn") + F.col("h") < F.col("_n")) & (F.col("atr") > 0))
     edge = F.col("side") * (F.col("move") - F.coalesce("_drift", F.lit(0.0)))
     return df.select(*keys, "ts", "side", F.col("h").alias("horizon"), F.least(F.greatest(edge, F.lit(-10.0)), F.lit(10.0)).alias("edge"))
 
