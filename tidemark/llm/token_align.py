@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -71,46 +72,63 @@ def load(path: str):
     return Pieces(path) if path.endswith(".model") else ByteLevel(path)
 
 
+def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the tokens of both lists that end at a byte offset where both have an end: the ends of one, in order, are
+    looked up in the end-to-index dictionary of the other, so the shared keys come sorted. Every token has a byte, so no
+    two of a list end together."""
+    at_b = dict(zip(ends_b.tolist(), range(len(ends_b))))
+    found = np.fromiter(map(at_b.get, ends_a.tolist(), repeat(-1)), np.int64, len(ends_a))
+    cut_a = np.flatnonzero(found >= 0)
+    return cut_a, found[cut_a]
+
+
 def align(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two id lists over the same bytes. The ends that both lists have, found as the keys that two
-    end-to-index dictionaries share, cut both into groups; in each the tokens whose ranges end together are linked."""
-    at_a, at_b = _ends(size_a[a]), _ends(size_b[b])
-    groups, links = [], []
-    from_a = from_b = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        to_a, to_b = at_a[end] + 1, at_b[end] + 1
+    """(groups, links) of two id lists over the same bytes: the common cuts slice both into groups, and in each the tokens
+    that end together are linked."""
+    cut_a, cut_b = common_cuts(np.cumsum(size_a[a]), np.cumsum(size_b[b]))
+    groups, from_a, from_b = [], 0, 0
+    for to_a, to_b in zip((cut_a + 1).tolist(), (cut_b + 1).tolist()):
         groups.append((a[from_a:to_a], b[from_b:to_b]))
-        links.append((a[to_a - 1], b[to_b - 1]))
         from_a, from_b = to_a, to_b
-    return groups, links
+    return groups, [(x[-1], y[-1]) for x, y in groups]
 
 
-def _ends(sizes: np.ndarray) -> dict[int, int]:
-    """Index of the token that ends at each byte offset. Every token has a byte, so no two end together."""
-    return dict(zip(np.cumsum(sizes).tolist(), range(len(sizes))))
+class GroupWriter:
+    """Writes groups as `a1,a2|b1;a3|b2,b3`: every token is a string with the mark that follows it."""
 
+    def __init__(self, n_a: int, n_b: int) -> None:
+        self.a, self.b = (np.array([[f"{i}{m}" for i in range(n)] for m in marks], object) for n, marks in ((n_a, ",|"), (n_b, ",;")))
 
-def groups_text(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+    def write(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+        out = np.empty(len(a) + len(b), object)
+        for ids, own, other, table, first in ((a, cut_a, cut_b, self.a, 0), (b, cut_b, cut_a, self.b, 1)):
+            group = np.searchsorted(own, np.arange(len(ids)))
+            last = np.zeros(len(ids), np.int64)
+            last[own] = 1
+            # what the other list has put before: its groups up to this one, this one included for the second list
+            before = np.concatenate([[0], other + 1])[group + first]
+            out[np.arange(len(ids)) + before] = table[last, ids]
+        return "".join(out.tolist())[:-1]
 
 
 def _aligner(path_a: str, path_b: str, keep_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = load(path_a), load(path_b)
         size_a, size_b = (np.array([len(x) for x in t.bytes]) for t in (one, two))
+        writer = GroupWriter(len(one.bytes), len(two.bytes))
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for text, a, b in zip(texts, one.encode(texts), two.encode(texts)):
                 whole = (" " + text).encode()
-                if not text or b"".join([one.bytes[i] for i in a]) != whole or b"".join([two.bytes[i] for i in b]) != whole:
+                if not text or any(b"".join(map(t.bytes.__getitem__, ids)) != whole for t, ids in ((one, a), (two, b))):
                     rows.append((0, 0, 0, 0, "", "", [], []))
                     continue
-                groups, links = align(a, b, size_a, size_b)
-                ends = np.array(links, np.int64)
-                pairs, times = np.unique(ends[:, 0] * len(two.bytes) + ends[:, 1], return_counts=True)
-                written = groups_text(groups)
-                rows.append((len(a), len(b), len(groups), len(links), written if keep_groups else None, hashlib.sha256(written.encode()).hexdigest(), pairs, times))
+                a, b = np.array(a), np.array(b)
+                cut_a, cut_b = common_cuts(np.cumsum(size_a[a]), np.cumsum(size_b[b]))
+                pairs, times = np.unique(a[cut_a] * len(two.bytes) + b[cut_b], return_counts=True)
+                written = writer.write(a, b, cut_a, cut_b)
+                rows.append((len(a), len(b), len(cut_a), len(cut_a), written if keep_groups else None, hashlib.sha256(written.encode()).hexdigest(), pairs, times))
             n_a, n_b, n_groups, n_links, groups, digests, pairs, times = zip(*rows)
             longs = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
             yield pa.RecordBatch.from_arrays(
