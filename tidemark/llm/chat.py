@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ _CONTROL = re.compile(r"<(\\*)(\|im_(?:start|end)\|>)")
 _ESCAPED = re.compile(r"<\\(\\*\|im_(?:start|end)\|>)")
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + r"\n", re.DOTALL)
 SCHEMA = "conv_id long, formatted string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long, loss_spans array<struct<start:long,end:long>>"
+_LONG, _TEXT = pa.int64(), pa.string()
+_ARROW = pa.schema([("conv_id", _LONG), ("formatted", _TEXT), ("n_turns", _LONG), ("turns_sha256", _TEXT), ("loss_chars", _LONG), ("loss_sha256", _TEXT), ("formatted_chars", _LONG), ("escaped_turns", _LONG), ("loss_spans", pa.list_(pa.struct([("start", _LONG), ("end", _LONG)])))])
 
 
 def escape(content: str) -> str:
@@ -88,12 +90,12 @@ def _describe(conv_id, turns) -> tuple:
     return conv_id, formatted, len(read), every.hexdigest(), loss_chars, loss.hexdigest(), len(formatted), escaped, spans
 
 
-def _format_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in re.split(r", (?=\w+ \w+)", SCHEMA)]
+def _format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_describe(None if pd.isna(c) else int(c), t) for c, t in zip(batch["conv_id"], batch["turns"])]
-        out = pd.DataFrame(rows, columns=columns)
-        yield out.assign(conv_id=out["conv_id"].astype("Int64"))
+        # ids stay Arrow columns: as pandas numbers, those beside a null would be doubles
+        rows = [_describe(c, t) for c, t in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -101,8 +103,11 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     assistant texts in it (the loss mask, code points), and digests read back from the formatted text.
 
     Turns go by `turn` (null first), equal turns by role, then text; a repeated row is a turn of its own. Null role and
-    null text are empty, rows of a null conv_id are one conversation; an empty table gives no rows; other columns are
-    ignored. A conversation is one string in the result, so its turns meet in one task; conversations do not."""
+    null text are empty. A row of a null conv_id belongs to no other row: it is a conversation of one turn, so rows without
+    an id, however many, do not meet. An empty table gives no rows; other columns are ignored. A conversation is one
+    string in the result, so its turns, very long ones as well, meet in one task; conversations do not."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return whole.mapInPandas(_format_batches, SCHEMA)
+    conv_id = F.col("conv_id").cast("long")
+    apart = F.when(conv_id.isNull(), F.monotonically_increasing_id())
+    whole = conversations.select(conv_id.alias("conv_id"), apart.alias("_apart"), turn.alias("_turn")).groupBy("conv_id", "_apart").agg(F.sort_array(F.collect_list("_turn")).alias("turns"))
+    return whole.select("conv_id", "turns").mapInArrow(_format_batches, SCHEMA)
