@@ -17,14 +17,15 @@ from tidemark.session import materialise
 GRAM = 5
 #: Windows of one packed string at most.
 LONGEST = 256
-#: A minimiser with more packed strings than this (about 16 MB of text, a small task), or than a 50,000th of all, is counted
-#: window by window.
-HOT = 50_000
-
-LIGHT = "minimiser long, n long"
-PACKED = "minimiser long, doc_id long, start long, packed binary"
-SINGLE = "high long, low long, doc_id long, start long"
-RANGES = "doc_id long, start long, n long"
+#: Minimisers fall into 2**CELL_BITS cells by their leading bits; those of a cell with more packed strings than HOT (about
+#: 16 MB of text, a small task) are counted window by window. Both are fixed, and so are a bucket's size and the table of
+#: cells, however large the corpus is.
+HOT, CELL_BITS = 50_000, 26
+
+CELLS = "cell int, n long"
+PACKED = "minimiser long, doc_id long, text_key int, start int, packed binary"
+SINGLE = "high long, low long, doc_id long, text_key int, start int"
+RANGES = "doc_id long, text_key int, start int, n int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -54,20 +55,33 @@ def _super_kmers(words: Words, hashes: np.ndarray, span: int) -> tuple[np.ndarra
     return value[begins], at[begins], np.diff(np.append(begins, len(at)))
 
 
+def _cells(minimisers: np.ndarray) -> np.ndarray:
+    return (minimisers >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _counter(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"))
-            minimisers, n = np.unique(_super_kmers(words, words.hashes(), span)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), pa.array(n.astype(np.int64))], names=["minimiser", "n"])
+            cells, n = np.unique(_cells(_super_kmers(words, words.hashes(), span)[0]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     return run
 
 
-def _places(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The doc_id of each word number, and its place within the text."""
+def _is_hot(minimisers: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether a minimiser's cell is marked in the bits of `hot`."""
+    if not len(hot):
+        return np.zeros(len(minimisers), bool)
+    cells = _cells(minimisers)
+    return (hot[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _places(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> list[pa.Array]:
+    """The doc_id and text_key of each word number, and its place within the text."""
     row = np.searchsorted(words.first, at, "right") - 1
-    return batch.column("doc_id").cast(pa.int64()).take(pa.array(row)), at - words.first[row]
+    rows = pa.array(row)
+    return [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array((at - words.first[row]).astype(np.int32))]
 
 
 def _packer(span: int, hot: np.ndarray):
@@ -75,16 +89,15 @@ def _packer(span: int, hot: np.ndarray):
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"))
             minimisers, at, n = _super_kmers(words, words.hashes(), span)
-            cold = ~np.isin(minimisers, hot)
+            cold = ~_is_hot(minimisers, hot)
             minimisers, at, n = minimisers[cold], at[cold], n[cold]
-            doc, start = _places(batch, words, at)
             uneven = np.zeros(len(words.starts) + 1, np.int64)
             if len(words.starts) > 1:
                 np.cumsum((words.starts[1:] - words.ends[:-1] != 1) | (words.data[words.ends[:-1]] != 0x20), out=uneven[1 : len(words.starts)])
             raw, ends = words.data.tobytes(), at + n + span - 1
             odd = uneven[ends - 1] > uneven[at]
             pieces = [raw[a:b] if not o else b" ".join(raw[a:b].split()) for a, b, o in zip(words.starts[at].tolist(), words.ends[ends - 1].tolist(), odd.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), doc, pa.array(start.astype(np.int64)), pa.array(pieces, pa.binary())], names=["minimiser", "doc_id", "start", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), *_places(batch, words, at), pa.array(pieces, pa.binary())], names=["minimiser", "doc_id", "text_key", "start", "packed"])
 
     return run
 
@@ -105,12 +118,11 @@ def _single(span: int, hot: np.ndarray):
             words = words_of(batch.column("text"))
             hashes = words.hashes()
             minimisers, at, n = _super_kmers(words, hashes, span)
-            chosen = np.isin(minimisers, hot)
+            chosen = _is_hot(minimisers, hot)
             at, n = at[chosen], n[chosen]
             at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc, start = _places(batch, words, at)
             high, low = (_window_hash(h, span, base)[at] if len(at) else hashes[:0] for h, base in ((hashes, 0x9E3779B97F4A7C15), (mix(hashes + np.uint64(1)), 0xD1B54A32D192ED03)))
-            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), doc, pa.array(start.astype(np.int64))], names=["high", "low", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), *_places(batch, words, at)], names=["high", "low", "doc_id", "text_key", "start"])
 
     return run
 
@@ -165,7 +177,8 @@ def _ranges(table: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
     new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(offset) != 1)))
     first = row[new]
     start = one.column("start").to_numpy()[first] + offset[new]
-    yield pa.RecordBatch.from_arrays([one.column("doc_id").take(pa.array(first)), pa.array(start.astype(np.int64)), pa.array(np.diff(np.append(new, len(row))).astype(np.int64))], names=["doc_id", "start", "n"])
+    of = [one.column(c).take(pa.array(first)) for c in ("doc_id", "text_key")]
+    yield pa.RecordBatch.from_arrays([*of, pa.array(start.astype(np.int32)), pa.array(np.diff(np.append(new, len(row))).astype(np.int32))], names=["doc_id", "text_key", "start", "n"])
 
 
 def _cutter(span: int, keep_text: bool):
@@ -181,9 +194,8 @@ def _cutter(span: int, keep_text: bool):
                     cover = np.zeros(n + 1, np.int64)
                     starts = np.fromiter((r["start"] for r in ranges), np.int64)
                     ends = starts + np.fromiter((r["n"] for r in ranges), np.int64) + span - 1
-                    inside = (starts < n) & (ends <= n)  # of another text under the same id
-                    np.add.at(cover, starts[inside], 1)
-                    np.add.at(cover, ends[inside], -1)
+                    np.add.at(cover, starts, 1)
+                    np.add.at(cover, ends, -1)
                     kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
                     parts = [parts[i] for i in kept.tolist()]
                 text = b" ".join(parts)
@@ -194,21 +206,37 @@ def _cutter(span: int, keep_text: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, span: int) -> DataFrame:
-    """doc_id, start, n: runs of n windows, each of which also starts elsewhere."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    light = materialise(rows.mapInArrow(_counter(span), LIGHT).groupBy("minimiser").agg(F.sum("n").alias("n")).where(f"n > {HOT}"), "minimisers")
-    total = light.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bound = max(HOT, total.n // 50_000)
-    # at most total / bound <= 50,000 numbers, whatever the input
-    hot = np.array([r.minimiser for r in light.where(F.col("n") > bound).collect()], np.int64).view(np.uint64)
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text, given_id: what tells a row from every other text. A row without an id goes by two hashes of
+    its text, one with an id by the id and a hash of its text."""
+    text = F.coalesce("text", F.lit(""))
+    given = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(given, F.xxhash64(text)).alias("doc_id"), F.hash(text).alias("text_key"), "text", given.alias("given_id"))
+
+
+def hot_cells(rows: DataFrame, span: int) -> np.ndarray:
+    """The cells of more than HOT packed strings as bits of 64-bit words; empty if there are none. At most
+    2**(CELL_BITS - 6) words reach the driver."""
+    counts = rows.mapInArrow(_counter(span), CELLS).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    bits = counts.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cell & 63))").alias("bits")).collect()
+    if not bits:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(1 << (CELL_BITS - 6), np.int64)
+    out[[r["at"] for r in bits]] = [r["bits"] for r in bits]
+    return out.view(np.uint64)
+
+
+def repeated_ranges(rows: DataFrame, span: int) -> DataFrame:
+    """doc_id, text_key, start, n: runs of n windows, each of which also starts elsewhere. `rows` as `named` gives them."""
+    rows = rows.select("doc_id", "text_key", "text")
+    hot = hot_cells(rows, span)
     packed = rows.mapInArrow(_packer(span, hot), PACKED)
     cold = packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_bucket(span), RANGES)
     if not len(hot):
         return cold
     single = rows.mapInArrow(_single(span, hot), SINGLE)
     twice = materialise(single.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "twice")
-    return cold.unionByName(single.join(twice, ["high", "low"]).select("doc_id", "start", F.lit(1).cast("long").alias("n")))
+    return cold.unionByName(single.join(twice, ["high", "low"]).select("doc_id", "text_key", "start", F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> DataFrame:
@@ -222,11 +250,12 @@ def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> D
     would all meet in one task: such minimisers are counted first, and their windows (by 128-bit hashes, summed before
     the shuffle) go to as many tasks as there are.
 
-    Null, empty and short texts have no window and keep all words. Rows of one doc_id are occurrences of their own (so
-    equal rows remove each other) and have the ranges found for any of them applied where they fit; a null doc_id keeps
-    its words, but its windows count for others. An empty table gives no rows; other columns are ignored."""
-    ranges = materialise(repeated_ranges(docs, span).where("doc_id is not null"), "ranges")
-    # as many ranges as the windows of one text
-    per = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per.hint("merge"), "doc_id", "left")
-    return rows.mapInArrow(_cutter(span, keep_text), RESULT)
+    Null, empty and short texts have no window and keep all words; a very long text is cut in one task. Every row is an
+    occurrence of its own, so equal rows remove each other; rows that share an id, or have none, are told apart by their
+    texts. An empty table gives no rows; other columns are ignored."""
+    rows = named(docs)
+    ranges = materialise(repeated_ranges(rows, span), "ranges")
+    # as many ranges as the windows of one text; copies of one row find the same ones
+    per = ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    marked = rows.join(per.hint("merge"), ["doc_id", "text_key"], "left")
+    return marked.select(F.col("given_id").alias("doc_id"), "text", "ranges").mapInArrow(_cutter(span, keep_text), RESULT)
