@@ -117,11 +117,12 @@ def fit(chunks: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 600, most_chunks: int = 24) -> QualityNet | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 600, most_bytes: int = 16 << 20) -> QualityNet | None:
     """Learn `quality` (0 or 1) from at most `sample` labelled documents of each class, those with the smallest hashes of
-    their ids; of a longer one at most `most_chunks` evenly spaced chunks take part. The sample bounds what is sent to
-    all executors (2 x `sample` ids) and to the driver. Afterwards the bias is moved to the frequency of the classes
-    among all labels. None if a class has no label."""
+    their ids, and of them as many as `most_bytes` of text hold, the first one at any length. All chunks of a chosen
+    document take part, as all do when it is scored. Both bounds are on labelled rows and limit what is sent to all
+    executors (2 x `sample` ids) and to the driver. Afterwards the bias is moved to the frequency of the classes among all
+    labels. None if a class has no label."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -131,13 +132,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 600, most_chunks: in
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sizes = rows.groupBy("quality", "doc_id").agg(F.sum(F.octet_length("text")).alias("n"))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = sizes.withColumn("_before", before).where(F.col("_before") + F.when(F.col("_before") > 0, F.col("n")).otherwise(0) <= most_bytes // 2)
+    rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")  # at most 2 x sample ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             chunks, first = chunks_of(batch.column("text"))
             ends = np.append(first[1:], len(chunks))
-            picked = [chunks[np.unique(np.linspace(a, b - 1, min(b - a, most_chunks)).astype(int))] for a, b in zip(first, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([p.tobytes() for p in picked], pa.binary())], names=["doc_id", "quality", "chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([chunks[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["doc_id", "quality", "chunks"])
 
     found = rows.mapInArrow(cut, "doc_id long, quality int, chunks binary").collect()
     found = sorted(found, key=lambda r: (r.doc_id, bytes(r.chunks)))
