@@ -83,16 +83,17 @@ known AS (SELECT doc_id, lang, length(t) AS size, ['lower', {", ".join(f"'{k}'"
 chars AS (SELECT doc_id, lang, unnest(list_append(names, 'other')) AS class, unnest(list_append(counts, size - list_sum(counts)))::DOUBLE AS n FROM known),
 words AS (SELECT doc_id, lang, list_position({_quoted(quality_rules.VOCABULARY)}, lower(rtrim(x, ',.'))) AS v, count(*)::DOUBLE AS n
   FROM (SELECT doc_id, lang, unnest(w) AS x FROM doc) WHERE list_contains({_quoted(quality_rules.SPELLINGS)}, x) GROUP BY 1, 2, 3),
-langs AS (SELECT DISTINCT lang FROM doc WHERE lang IN ({", ".join(f"'{k}'" for k in quality_rules.COMMON_WORDS)})),
-char_ref AS (SELECT lang, class, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM chars JOIN langs USING (lang) GROUP BY lang, class),
+named AS (SELECT lang FROM doc WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality_rules.LEAST_DOCS}),
+langs AS (SELECT lang FROM named WHERE lang IN ({", ".join(f"'{k}'" for k in quality_rules.COMMON_WORDS)})),
+char_ref AS (SELECT lang, class, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM chars JOIN named USING (lang) GROUP BY lang, class),
 word_ref AS (SELECT lang, v, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM words JOIN langs USING (lang) GROUP BY lang, v),
 cp AS (SELECT doc_id, class, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM chars WHERE doc_id IN (SELECT doc_id FROM doc WHERE t <> '')),
 char_far AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, r.lang, sqrt(least(greatest(sum({_TERM.format('p', 'q')} + {_TERM.format('q', 'p')}) / 2, 0), 1)) AS d FROM cp JOIN char_ref r USING (class) GROUP BY 1, 2) GROUP BY 1),
 wp AS (SELECT doc_id, v, n / sum(n) OVER (PARTITION BY doc_id) AS p, sum(n) OVER (PARTITION BY doc_id) AS total FROM words),
 word_far AS (SELECT doc_id, any_value(total) AS total, min(d) AS d FROM (SELECT doc_id, lang, any_value(total) AS total, sqrt(least(greatest((sum({_TERM.format('p', 'q')} + {_TERM.format('q', 'p')} - q) + any_value(whole)) / 2, 0), 1)) AS d
   FROM (SELECT doc_id, l.lang, p, total, coalesce(q, 0) AS q, coalesce(whole, 0) AS whole FROM wp CROSS JOIN langs l LEFT JOIN word_ref r ON r.lang = l.lang AND r.v = wp.v LEFT JOIN (SELECT lang, sum(q) AS whole FROM word_ref GROUP BY lang) k ON k.lang = l.lang) GROUP BY 1, 2) GROUP BY 1),
-counted AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_class_sql(quality_rules.CHAR_CLASSES["symbol"])} AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM doc),
-judged AS (SELECT c.*, coalesce(a.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(a.n, 0) > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 THEN cf.d END AS cd, CASE WHEN n_words >= 50 AND wf.total >= 20 THEN wf.d END AS wd
+counted AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_class_sql(quality_rules.CHAR_CLASSES["symbol"])} AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM doc),
+judged AS (SELECT c.*, coalesce(a.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(a.n, 0) > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 AND c.lang IN (SELECT lang FROM named) THEN cf.d END AS cd, CASE WHEN n_words >= 50 AND wf.total >= 20 AND c.lang IN (SELECT lang FROM langs) THEN wf.d END AS wd
   FROM counted c LEFT JOIN again a USING (doc_id) LEFT JOIN char_far cf USING (doc_id) LEFT JOIN word_far wf USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, NOT base_failed AND NOT coalesce(cd > 0.3, false) AND NOT coalesce(wd > 0.6, false) AS kept FROM judged"""
 
@@ -181,13 +182,13 @@ added AS (SELECT doc_id, {len(secrets.KINDS)} AS kind, start, start + length(mat
   WHERE regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]') AND len(list_distinct(string_split(match, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.start + length(w.match) AND w.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM added),
-owners AS (SELECT value, count(DISTINCT string_split(repository, '/')[1]) AS n_owners FROM every JOIN doc USING (doc_id) GROUP BY value),
-kept AS (SELECT doc_id, kind, start, stop, n_owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM every JOIN owners USING (value) WHERE kind < {len(secrets.KINDS)} OR n_owners <= 1),
+owners AS (SELECT value, count(DISTINCT string_split(repository, '/')[1]) AS n_owners, count(DISTINCT repository) AS n_repositories FROM every JOIN doc USING (doc_id) GROUP BY value),
+kept AS (SELECT doc_id, kind, start, stop, n_owners, n_repositories, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM every JOIN owners USING (value) WHERE kind < {len(secrets.KINDS)} OR n_owners < 3),
 per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {len(secrets.KINDS)}) AS base_spans, string_agg(span, ',' ORDER BY start, kind) AS spans,
-  count(*) FILTER (n_owners < 3) AS n_live, count(*) FILTER (n_owners >= 3) AS n_examples FROM kept GROUP BY doc_id)
+  count(*) FILTER (n_owners < 3) AS n_live, count(*) FILTER (n_owners >= 3) AS n_examples, max(n_repositories) FILTER (n_owners < 3) AS live_repositories FROM kept GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM doc LEFT JOIN per USING (doc_id)"""
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(live_repositories, 0) AS live_repositories FROM doc LEFT JOIN per USING (doc_id)"""
 
 
 @query("op6_secret_scan", OP6_SQL)

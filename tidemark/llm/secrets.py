@@ -89,9 +89,9 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3) -> DataFrame:
 
     The repository is the `source`, its owner the part before the first `/` (a null source is a repository and an owner
     of its own). Every base match stays. Besides, each long mixed run of key characters that no base span covers is a
-    candidate. A value that `example_owners` or more owners hold is a copied example, fewer: live. Candidates are added as
-    `owned` when they are live. The SQL twin adds them for one owner only, so it differs from here on a candidate of more
-    than one owner and fewer than `example_owners`.
+    candidate. A value that `example_owners` or more owners hold is a copied example, fewer: live, in however many
+    repositories these owners have it. Candidates are added as `owned` when they are live. `live_repositories` is the
+    largest number of repositories that hold the value of one of the document's live spans: how far it must be revoked.
 
     Null and empty texts have no spans. Rows of one doc_id, or without one, are one document if their texts are equal
     (returned once per row), else documents of their own; an empty table gives no rows; other columns are ignored."""
@@ -103,15 +103,16 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     judged = spread.join(owners, "hash").where((F.col("kind") < len(KINDS)) | (F.col("n_owners") < example_owners))
     verdict = F.when(F.col("n_owners") >= example_owners, "example").otherwise("live")
     # all spans of one document: as many as its own text holds
-    spans = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict")))).alias("all"))
+    spans = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict"), F.col("n_repositories").cast("long").alias("n_repositories")))).alias("all"))
     rows = found.select("doc_id", "text_key", "base").join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     base = F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    every = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,verdict:string>>"))
+    every = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,verdict:string,n_repositories:bigint>>"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     judged_as = lambda v: F.size(F.filter(every, lambda s: s["verdict"] == v)).cast("long")
     return rows.select(
         "doc_id", *[count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(KINDS)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        judged_as("live").alias("n_live"), judged_as("example").alias("n_examples"), every.alias("span_list"), "text_key")
+        judged_as("live").alias("n_live"), judged_as("example").alias("n_examples"),
+        F.coalesce(F.array_max(F.transform(F.filter(every, lambda s: s["verdict"] == "live"), lambda s: s["n_repositories"])), F.lit(0).cast("long")).alias("live_repositories"), every.alias("span_list"), "text_key")
 
 
 def mask_spans(text: Column, spans: Column, mark: str = "<secret>") -> Column:
