@@ -14,6 +14,8 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als für es an werden aus er".split(),
     "es": "de la que el en y los se del las un por con una su para es al lo no como más o pero sus".split(),
 }
+#: Documents that name a language before there is a reference for it, and the most languages that are held in a task.
+LEAST_DOCS, MOST_LANGUAGES = 20, 10_000
 SPACE = r"\x20\x09-\x0D"
 #: Characters of each class but the first, `lower` (a-z), and the last, `other`.
 CHAR_CLASSES = {"upper": "A-Z", "digit": "0-9", "space": SPACE, "punct": ".,;:!?'\"()-", "symbol": "#*$%&|<>"}
@@ -67,15 +69,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
-    """lang, char_ref, word_ref: the share of each character class and of each word of VOCABULARY among the common
-    words, over all documents of each known language. At most one row per language of COMMON_WORDS."""
-    rows = measured.where(F.col(lang).isin(list(COMMON_WORDS))).withColumnRenamed(lang, "lang")
+    """lang, char_ref, word_ref: the share of each character class, over all documents of each language that LEAST_DOCS of
+    them name, and of each word of VOCABULARY among the common words, null for a language without a list in COMMON_WORDS."""
+    rows = measured.where(F.col(lang).isNotNull()).withColumnRenamed(lang, "lang")
+    listed = F.col("lang").isin(list(COMMON_WORDS))
     width = len(CHAR_CLASSES) + 2
     share = lambda parts: F.array(*[p / F.greatest(sum(parts, F.lit(0)), F.lit(1)) for p in parts])
-    chars = rows.groupBy("lang").agg(*[F.sum(F.get("char_counts", F.lit(i))).alias(f"c{i}") for i in range(width)])
-    words = rows.select("lang", F.explode("word_counts").alias("x")).groupBy("lang").agg(*[F.sum(F.when(F.col("x.w") == i, F.col("x.n")).otherwise(0)).alias(f"w{i}") for i in range(1, len(VOCABULARY) + 1)])
+    chars = rows.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.get("char_counts", F.lit(i))).alias(f"c{i}") for i in range(width)]).where(F.col("n") >= LEAST_DOCS)
+    words = rows.where(listed).select("lang", F.explode("word_counts").alias("x")).groupBy("lang").agg(*[F.sum(F.when(F.col("x.w") == i, F.col("x.n")).otherwise(0)).alias(f"w{i}") for i in range(1, len(VOCABULARY) + 1)])
     none = F.array_repeat(F.lit(0.0), len(VOCABULARY))
-    return chars.select("lang", share([F.col(f"c{i}") for i in range(width)]).alias("char_ref")).join(words.select("lang", share([F.col(f"w{i}") for i in range(1, len(VOCABULARY) + 1)]).alias("word_ref")), "lang", "left").withColumn("word_ref", F.coalesce("word_ref", none))
+    return chars.select("lang", share([F.col(f"c{i}") for i in range(width)]).alias("char_ref")).join(words.select("lang", share([F.col(f"w{i}") for i in range(1, len(VOCABULARY) + 1)]).alias("word_ref")), "lang", "left").withColumn("word_ref", F.when(listed, F.coalesce("word_ref", none)))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -107,20 +110,28 @@ def quality_rules(docs: DataFrame, max_char: float = 0.3, max_word: float = 0.6,
     from all documents of that language (or given as `refs`); it is dropped if the nearest language's character classes
     are further than `max_char`, or its common words further than `max_word`. Below `least_words` words neither
     distance is taken, below `least_common` common words not the second: so few say nothing, and the distance is null.
-    `lang` only serves the references: a document is held against all of them, so a wrong or null one does not hurt it.
+
+    Every value of `lang` that enough documents name has character references, and those with a word list have word
+    references. A document whose own `lang` has no reference of a kind, or is null, is of a kind of text that nothing is
+    known of: that distance is null and the base rule decides. Otherwise it is held against all languages, so naming
+    another known language does not hurt it. A very long text is measured whole, in one task.
 
     Null and empty texts have zero counts and fail the base rule; without any known language the distances are null and
     the base rule decides. Repeated rows are judged alike; other columns are ignored."""
     n_common = F.aggregate("word_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     measured = measures(docs.select("doc_id", "text", "lang")).withColumns({"n_char": _total(F.col("char_counts")), "n_word": n_common})
     measured = materialise(measured, "measures")
-    # the references are a few numbers per language of COMMON_WORDS, whatever the corpus holds
-    known = (references(measured) if refs is None else refs).select("char_ref", "word_ref").collect()
+    # a few numbers for each language; their number is checked before they go to every task
+    known = (references(measured) if refs is None else refs).select("lang", "char_ref", "word_ref").limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     enough = {"char": F.col("n_words") >= least_words, "word": (F.col("n_words") >= least_words) & (F.col("n_word") >= least_common)}
     nearest = {}
     for k, distance in (("char", char_distance), ("word", word_distance)):
-        far = [distance(F.col(f"{k}_counts"), F.col(f"n_{k}"), list(row[f"{k}_ref"])) for row in known]
-        nearest[k] = F.when(enough[k], F.least(*far) if len(far) > 1 else far[0] if far else F.lit(None).cast("double"))
+        held = [row for row in known if row[f"{k}_ref"] is not None]
+        far = [distance(F.col(f"{k}_counts"), F.col(f"n_{k}"), list(row[f"{k}_ref"])) for row in held]
+        own = F.col("lang").isin([row["lang"] for row in held])
+        nearest[k] = F.when(enough[k] & own, F.least(*far) if len(far) > 1 else far[0]) if far else F.lit(None).cast("double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), nearest["char"].alias("char_distance"), nearest["word"].alias("word_distance"))
     odd = F.coalesce(F.col("char_distance") > max_char, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
