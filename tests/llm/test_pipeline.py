@@ -60,3 +60,11 @@ def test_clean_rows_without_an_id_stay(spark):
     rows = [(None, f"before {passage}"), (None, "a clean text"), (1, passage), (1, "another clean text"), (2, None)]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, DATA).collect()} == {rows[1], rows[3], rows[4]}
+
+
+def test_different_texts_under_one_id_stay(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "an old clean text about rivers and stones in spring"), (3, "another clean text about ships and sails at sea"), (3, "another clean text about ships and sails at sea"), (4, long), (5, long + " end"), (6, "a third text with an id of its own"), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect())
+    assert got == [rows[0], rows[1], (4, long), rows[5], (7, None)]

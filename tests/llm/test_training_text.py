@@ -277,8 +277,122 @@ def test_language_of_odd_tables(odd, none):
     assert {r.lang_pred for r in language.identify(odd.where("doc_id = 4"), alone).collect()} == {"fr"}
 
 
+def test_ids_of_chats_keep_every_digit(spark):
+    rows = [(9007199254740993, 0, "user", "x"), (None, 0, "user", "p"), (None, 1, "assistant", "q"), (None, 1, "assistant", "q")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 0), (0, 1, 1), (0, 1, 1), (9007199254740993, 1, 0)]
+
+
+def test_repeats_go_by_id_and_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, "c " + b.replace("b0 ", "z ")), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 0), (0, 40, 40), (0, 41, 39), (1, 40, 39), (1, 40, 40), (2, 40, 40)]
+
+
+def test_repositories_of_live_keys(spark):
+    key = "Zx81kQ07pLmN44rTy2Ab"
+    df = lambda *sources: spark.createDataFrame([(i, f"key {key}", s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    judged = lambda *sources: {(r.n_live, r.n_examples, r.live_repositories) for r in secrets.scan_secrets(df(*sources)).collect()}
+    assert judged("a/1") == {(1, 0, 1)} and judged(*[f"a/{i}" for i in range(5)]) == {(1, 0, 5)}
+    assert judged("a/1", "b/1", "b/1") == {(1, 0, 2)} and judged("a/1", "b/1", "c/1") == {(0, 0, 0)}
+
+
+def test_secret_twin_on_keys_of_several_owners(spark, tmp_path):
+    key, copied = "Zx81kQ07pLmN44rTy2Ab", "Qw71kZ07pLmN44rTy2Xy"
+    rows = [(1, f"key {key}", "a/1"), (2, f"key {key}", "b/1"), (3, f"see {copied} password=hunter2hunter2", "a/1"), (4, copied, "b/2"), (5, copied, "c/3"), (6, "password=hunter2hunter2", "a/2"), (7, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.QUERIES["op6_secret_scan"](spark, str(tmp_path))
+    cols, expected = sql_rows(con, queries.SQL["op6_secret_scan"])
+    assert compare(df.columns, [tuple(r) for r in df.collect()], cols, expected) is None and any(r[cols.index("live_repositories")] == 2 for r in expected)
+
+
+@pytest.mark.parametrize("m", [500, 1000, 2000])
+def test_pairs_of_edited_copies_grow_with_their_number(spark, monkeypatch, m):
+    """40-word copies with one to three edits: candidates beyond the stars stay in proportion to what is linked."""
+    rng, base = random.Random(1), [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(m):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(40)] = f"e{rng.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    seen, plain = {}, near_dups.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        seen[name] = out.count() if name in ("cross", "stars") else 0
+        return out
+
+    monkeypatch.setattr(near_dups, "materialise", counted)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert seen["cross"] <= 4 * m and seen["stars"] <= 4 * m
+    if m == 500:
+        assert got == {i: c for i, (_, c) in brute.near_duplicates(rows, 3, 85).items()}
+
+
+def test_aliases_equal_union_find(spark):
+    """Random redirect graphs with chains, cycles, a hub of a third of all pages, fragments, relative links and nulls."""
+    rng = random.Random(12)
+    url = lambda i: f"http://h{i % 7}.foo/p{i}"
+    n, links, rows = 240, {}, []
+    for i in range(n):
+        to = 0 if i % 3 == 0 else i + 1 if i < 60 else 60 + (i - 59) % 20 if i < 80 else rng.randrange(n) if rng.random() < 0.5 else None
+        target = None if to is None else ("http://blocked.net/x" if i == 7 else "http://example.org/fr/" if i == 70 else url(to))
+        links[i] = target
+        form = "" if target is None else f'<link rel="canonical" href="{target if rng.random() < 0.7 else target + "#frag"}">' if rng.random() < 0.6 else f'<meta http-equiv="refresh" content="0; url={target}">'
+        rows.append((i, url(i) + ("#top" if i % 5 == 0 else ""), form if i != 3 else f'<a>{"x " * 200_000}</a>{form}'))
+    rows += [(n, None, None), (n + 1, "no scheme", '<link rel="canonical" href="http://blocked.net/x">'), (n + 2, url(200), None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, t in links.items():
+        if t:
+            root[find(url(i))] = find(t)
+    blocked, allowed = find("http://blocked.net/x"), find("http://example.org/fr/")
+    want = {i: "block" if find(url(i)) == blocked and blocked != allowed else "allow" for i in range(n)}
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(n)} == want and len(got) == n + 3 and got[n] == "allow" and len(set(want.values())) == 2
+
+
 # quality (9, 10)
 
+
+def test_languages_without_a_reference_leave_it_to_the_base_rule(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(3, 9)))
+    text = lambda letters: " ".join(word(letters) for _ in range(200))
+    rows = [(i, text("abcdefghijklmnopqrstuvwxyz"), "en") for i in range(60)] + [(100 + i, text("абвгдежзиклмнопрст"), "ru") for i in range(60)] + [(200 + i, text("αβγδεζηθικλμνξο"), "el") for i in range(5)] + [(300, text("αβγδεζηθικλμνξο"), None), (301, "§¶†‡ " * 200, "en")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept and got[i].char_distance is not None for i in range(100, 160)) and all(got[i].kept and got[i].char_distance is None for i in (*range(200, 205), 300))
+    assert not got[301].kept
+
+
+def test_all_chunks_of_a_chosen_document_are_learnt(spark, monkeypatch):
+    rng = random.Random(2)
+    seen, fit = [], quality_net.fit
+    monkeypatch.setattr(quality_net, "fit", lambda chunks, first, labels: seen.append(len(chunks)) or fit(chunks, first, labels))
+    text = lambda n: " ".join(rng.choice(["a", "river", "of", "stones"]) for _ in range(n))
+    docs = [(i, text(9000 if i < 2 else 100)) for i in range(20)]
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    every = len(quality_net.chunks_of(pa.array([t for _, t in docs]))[0])
+    assert quality_net.train(frame, labels) is not None and quality_net.train(frame, labels, most_bytes=40_000) is not None
+    assert seen[0] == every and 0 < seen[1] < every
+
+
+def test_quality_query_tells_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = queries.QUERIES["op9_quality_classifier"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(bad) > 10 and np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.95
+
 def test_quality_net_separates(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(["the", "river", "of", "small", "stones", "runs"]) for _ in range(rng.randrange(40, 400))) for _ in range(150)]
