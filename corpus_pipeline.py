@@ -28,18 +28,21 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates (5-word shingles, 0.8). Rows that
-    repeat an id come down to one, that with the smallest hash of its columns; rows without an id cannot be named as
-    anybody's duplicate and stay."""
-    kept = near_dups.near_duplicates(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(*COLUMNS).join(kept.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64(*COLUMNS)).alias("h")).where("n > 1"), "repeated_ids")
+    """One document of each group of near duplicates (5-word shingles, 0.8): the one with the smallest id. Different texts
+    under one id are documents of their own, told apart by their texts (where they stand in for an id, the smallest hash
+    takes the place of the smallest id); equal texts under one id are copies, of which one row stays. Rows without an id
+    cannot be named as anybody's duplicate and stay."""
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select(*COLUMNS).where("doc_id is not null").withColumn("_of", key)
+    texts = rows.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_of").alias("_lo"), F.max("_of").alias("_hi"))
+    repeated = materialise(texts.where("_n > 1").select("doc_id", (F.col("_lo") < F.col("_hi")).alias("_mixed")), "repeated_ids")
+    named = materialise(rows.join(repeated, "doc_id", "left").withColumn("_row", F.when(F.col("_mixed"), F.col("_of")).otherwise(F.col("doc_id"))), "named")
+    kept = near_dups.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    stay = named.join(kept.hint("merge"), F.col("_row") == F.col("_id"), "left_semi")
+    # rows of one id and text: the one with the smallest hash of its columns
+    once = stay.where("_mixed is not null").withColumn("_h", F.xxhash64(*COLUMNS)).groupBy("_row").agg(F.min_by(F.struct(*COLUMNS), "_h").alias("r")).select("r.*")
     nameless = docs.select(*COLUMNS).where("doc_id is null")
-    if repeated.isEmpty():
-        return rows.unionByName(nameless)
-    marked = rows.join(repeated, "doc_id", "left")
-    once = marked.where("n is not null").where(F.xxhash64(*COLUMNS) == F.col("h")).dropDuplicates(["doc_id"])
-    return marked.where("n is null").select(*COLUMNS).unionByName(once.select(*COLUMNS)).unionByName(nameless)
+    return stay.where("_mixed is null").select(*COLUMNS).unionByName(once).unionByName(nameless)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
