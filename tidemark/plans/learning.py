@@ -2,16 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import session_return
+from ..functions.temporal import asof_join_many, trailing_distinct, trailing_sums
+from ..functions.windows import own, session_return
+from ..operators import bars as B
 from ..operators import features as C
 from ..operators import learning as O
-from ..operators import outcomes as L
 from ..operators import panel_signals as P
+from ..operators.bars import days_to_next
 from ..session import materialise
 from ..sources import bindings as S
+from .asset_signals import line_news
+from .bars import cal_d, jobs
 from .catalog import cte, query
 from .event_signals import BARS, PAN, base, short_ranks
 from .features import FEATS
+from .news import on_sessions
 from .outcomes import rounded, trades
 from .panel_signals import one, pct
 
@@ -58,7 +63,7 @@ def o3(spark, sf):
 def o4(spark, sf):
     """Without a SQL twin: boosted trees."""
     d = materialise(dataset(spark, sf).filter("target_rank is not null"), "ranker")
-    s = O.gbt_scores(d.filter(f"sno <= {FIRST + 2 * STEP}"), d.filter(f"sno > {FIRST + 2 * STEP + EMBARGO}"), FS, "target_rank", 5)
+    s = O.gbt_scores(d.filter(f"sno <= {FIRST + 2 * STEP}"), d.filter(f"sno > {FIRST + 2 * STEP + EMBARGO}"), FS, "target_rank", 40)
     return s.select("ts", "asset", F.round("score", 6).alias("score"))
 
 
@@ -112,19 +117,73 @@ def g36(spark, sf):
 
 
 POOL = [c for c in FEATS if c != "sma_long"]
-cte("pool", "select t.strategy, t.asset, t.signal_ts, t.entry_ts, t.exit_ts, t.side, t.r, d.trend, " + ", ".join(f"f.{c}" for c in POOL) + " from trades t left join feat_w f on f.asset = t.asset and f.ts = t.signal_ts left join trend_w d on d.asset = t.asset and d.ts = t.signal_ts")
+NEWS, INSIDERS, MOVES, DAYS = ["tone_z", "attention_z", "news_1h", "news_24h_z", "news_tone"], ["insider_buyers", "insider_bought", "insider_sold"], ["asia_move", "europe_move"], ["to_earnings", "to_fed", "to_jobs"]
+STRATEGIES, CLASSES = ["sweep", "donchian"], ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+cte("news_w", """select b.asset, b.ts, b.n as news_1h, (l - case when count(*) over w >= 10 then avg(l) over w end) / nullif(case when count(*) over w >= 10 then stddev_samp(l) over w end, 0) as news_24h_z, case when n > 0 then (pos - neg) / n else 0 end as news_tone from (select *, ln(1 + n) as l from ns_w) b window w as (partition by asset order by ts rows between 29 preceding and current row)""")
+cte("ins_w", """select b.asset, b.ts, count(distinct f.owner) filter (f.code = 'P') as insider_buyers, ln(1 + coalesce(sum(f.value) filter (f.code = 'P'), 0)) as insider_bought, ln(1 + coalesce(sum(f.value) filter (f.code = 'S' and date_diff('day', f.filed, b.ts) < 30), 0)) as insider_sold
+  from bars_w b left join filings f on f.asset = b.asset and f.filed <= b.ts and date_diff('day', f.filed, b.ts) < 90 group by 1, 2""")
+cte("fed_w", "select d.ts, date_diff('day', d.ts, f.day) as to_fed from (select distinct ts from bars_w) d asof left join (select day from (select ts as day, lead(ts) over (order by ts) as nx from cal_d) where date_trunc('month', day) <> date_trunc('month', nx)) f on f.day >= d.ts")
+cte("moves_w", "select d.ts, max(z) filter (region = 'ASIA') as asia_move, max(z) filter (region = 'EUROPE') as europe_move from (select c.ts, z.region, z.z from (select ts, region from (select distinct ts from bars_w), (select unnest(['ASIA', 'EUROPE']) as region)) c asof left join (select * from regz where z is not null) z on c.region = z.region and c.ts >= z.known_at) d group by 1")
+cte("pool", "select t.strategy, t.asset, s.sector as kind, t.signal_ts, t.entry_ts, t.exit_ts, t.side, t.r, d.trend, " + ", ".join(f"f.{c}" for c in POOL) + """, n.tone_z, n.attention_z, w.news_1h, w.news_24h_z, w.news_tone, i.insider_buyers, i.insider_bought, i.insider_sold, m.asia_move, m.europe_move, e.to_earnings, x.to_fed, j.to_jobs, a.bias as ai_bias
+  from trades t left join feat_w f on f.asset = t.asset and f.ts = t.signal_ts left join trend_w d on d.asset = t.asset and d.ts = t.signal_ts left join sect s on s.asset = t.asset left join nz_w n on n.asset = t.asset and n.ts = t.signal_ts left join news_w w on w.asset = t.asset and w.ts = t.signal_ts
+  left join ins_w i on i.asset = t.asset and i.ts = t.signal_ts left join moves_w m on m.ts = t.signal_ts left join dte_w e on e.asset = t.asset and e.ts = t.signal_ts left join fed_w x on x.ts = t.signal_ts left join dtj_w j on j.ts = t.signal_ts left join aib a on a.asset = t.asset and a.ts = t.signal_ts""")
+
+
+def session_news(spark, sf):
+    """Counts of a session's items, against those of thirty sessions, and their tone."""
+    l = F.log1p("n")
+    past = own().rowsBetween(-29, 0)
+    enough = lambda f: F.when(F.count("*").over(past) >= 10, f(l).over(past))
+    tone = F.when(F.col("n") > 0, (F.col("pos") - F.col("neg")) / F.col("n")).otherwise(0.0)
+    return on_sessions(spark, sf).select("asset", "ts", F.col("n").alias("news_1h"), ((l - enough(F.avg)) / F.nullif(enough(F.stddev_samp), F.lit(0.0))).alias("news_24h_z"), tone.alias("news_tone"))
+
+
+def insider_context(spark, sf, bars):
+    """Different buyers and log value bought in 90 days, log value sold in 30, at every bar."""
+    f = materialise(S.filings(spark, sf).select("asset", "owner", "filed", "code", "value"), "filings")
+    grid = bars.select("asset", F.col("ts").alias("filed"))
+    bought, sold = f.filter("code = 'P'"), f.filter("code = 'S'")
+    df = trailing_distinct(bought, ["asset"], "owner", "filed", 90, grid, "insider_buyers")
+    df = df.join(trailing_sums(bought, ["asset"], "filed", 90, {"_b": "value"}, grid), ["asset", "filed"], "left").join(trailing_sums(sold, ["asset"], "filed", 30, {"_s": "value"}, grid), ["asset", "filed"], "left")
+    log = lambda c: F.log1p(F.coalesce(c, F.lit(0.0)))
+    return df.select("asset", F.col("filed").alias("ts"), "insider_buyers", log("_b").alias("insider_bought"), log("_s").alias("insider_sold"))
+
+
+def calendar_context(spark, sf, bars):
+    """Per session: days to the next jobs report and month end, and how two regions moved before it."""
+    cal = bars.select("ts").distinct()
+    one = cal.select(F.col("ts").alias("day"), F.lit(1).alias("all"))
+    ahead = lambda days, out: days_to_next(one, days.select(F.lit(1).alias("all"), F.col("day").alias("event")), ["all"], out).select(F.col("day").alias("ts"), out)
+    month_end = B.month_ends(cal_d(spark, sf)).select(F.col("ts").alias("day"))
+    p = S.sector_panel(spark, sf).withColumn("r", F.col("close") / C.sessions_ago("close", 1) - 1).filter("r is not null")
+    ret = p.groupBy(F.col("sector").alias("region"), F.col("ts").alias("day")).agg(F.avg("r").alias("ret"))
+    regions = cal.withColumn("region", F.explode(F.array(F.lit("ASIA"), F.lit("EUROPE"))))
+    z = C.global_move(ret, regions).groupBy("ts").agg(*[F.max(F.when(F.col("region") == x.upper(), F.col("z"))).alias(f"{x}_move") for x in ("asia", "europe")])
+    return ahead(jobs(spark, sf), "to_jobs").join(ahead(month_end, "to_fed"), "ts").join(z, "ts", "left")
 
 
 def pool(spark, sf):
+    """Every signal's outcome with what was known at it: features, news, insiders and earnings of its asset in one as-of
+    pass over all series, and the calendar."""
     bars = materialise(BARS(spark, sf), "bars")
-    feats = C.with_features(bars).withColumn("trend", F.signum(F.col("close") - C.sma("close", 10)).cast("int"))
-    t = trades(spark, sf).select("strategy", "asset", "signal_ts", "entry_ts", "exit_ts", "side", "r")
-    return t.join(feats.select("asset", F.col("ts").alias("signal_ts"), "trend", *POOL), ["asset", "signal_ts"], "left")
+    feats = C.with_features(bars).withColumns({"trend": F.signum(F.col("close") - C.sma("close", 10)).cast("int"), "ai_bias": F.col("volume").cast("int") % 3 - 1})
+    earn = S.earnings(spark, sf).select("asset", F.col("accepted").cast("date").alias("event"))
+    to_e = days_to_next(bars.select("asset", F.col("ts").alias("day")), earn, ["asset"], "to_earnings").withColumnRenamed("day", "ts")
+    t = materialise(trades(spark, sf).select("strategy", "asset", "signal_ts", "entry_ts", "exit_ts", "side", "r"), "ledger")
+    series = {"f": (feats, ["trend", "ai_bias", *POOL]), "n": (line_news(spark, sf), ["tone_z", "attention_z"]), "w": (session_news(spark, sf), ["news_1h", "news_24h_z", "news_tone"]), "i": (insider_context(spark, sf, bars), INSIDERS), "e": (to_e, ["to_earnings"])}
+    known = asof_join_many(t, {k: (df.select("asset", "ts", *cs), "ts", cs) for k, (df, cs) in series.items()}, ["asset"], "signal_ts", strict=False, slice_unit="YEAR")
+    flat = known.select(*t.columns, *[F.col(f"{k}.{c}").alias(c) for k, (_, cs) in series.items() for c in cs])
+    flat = flat.join(calendar_context(spark, sf, bars).withColumnRenamed("ts", "signal_ts"), "signal_ts", "left")
+    return flat.join(S.sectors(spark, sf).select("asset", F.col("sector").alias("kind")), "asset", "left")
+
+
+POOLED = ["kind", "trend", *POOL, *NEWS, *INSIDERS, *MOVES, *DAYS, "ai_bias"]
 
 
-@query("o8_outcome_pool", "select strategy, asset, signal_ts, side, round(r, 6) as r, trend, " + ", ".join(f"round({c}, 6) as {c}" for c in POOL) + " from pool")
+@query("o8_outcome_pool", "select strategy, asset, signal_ts, side, round(r, 6) as r, " + ", ".join(f"round({c}, 6) as {c}" if c in {*POOL, *NEWS[:2], *NEWS[3:], *INSIDERS[1:], *MOVES} else f"cast({c} as bigint) as {c}" if c in DAYS else c for c in POOLED) + " from pool")
 def o8(spark, sf):
-    return rounded(pool(spark, sf).drop("entry_ts", "exit_ts"))
+    df = rounded(pool(spark, sf).select("strategy", "asset", "signal_ts", "side", "r", *POOLED))
+    return df.withColumns({c: F.col(c).cast("long") for c in DAYS})
 
 
 def recent_sql(n, same):
@@ -137,40 +196,40 @@ def o9(spark, sf):
     return df.select("strategy", "asset", "signal_ts", F.round("mean_own", 6).alias("mean_own"), F.round("mean_strategy", 6).alias("mean_strategy"))
 
 
-META = ["d_dist_long", "d_ret5", "d_ret20", "d_rsi", "d_trend", "is_long", "earnings_in", "weekday", "month"]
+META = O.meta_columns(STRATEGIES, CLASSES)
+DIRECT_SQL = ", ".join(f"round(cast(side * {c} as double), 6) as {k}" for k, c in O.DIRECTED.items())
 
 
-def with_earnings(spark, sf, df):
-    from ..operators.bars import days_to_next
-    earn = S.earnings(spark, sf).select("asset", F.col("accepted").cast("date").alias("event"))
-    days = df.select("asset", F.col("signal_ts").alias("day")).distinct()
-    return df.join(days_to_next(days, earn, ["asset"], "to_earnings").withColumnRenamed("day", "signal_ts"), ["asset", "signal_ts"], "left")
+def meta(spark, sf):
+    p = materialise(pool(spark, sf), "pool")
+    recent = O.pool_recent(p).select("strategy", "asset", "signal_ts", "n_own", "mean_own", "mean_strategy")
+    return O.meta_features(p.join(recent, ["strategy", "asset", "signal_ts"], "left"), STRATEGIES, CLASSES)
 
 
-@query("o10_meta_features", """select p.strategy, p.asset, p.signal_ts, round(side * dist_long, 6) as d_dist_long, round(side * ret5, 6) as d_ret5, round(side * ret20, 6) as d_ret20, round(side * (rsi14 - 50), 6) as d_rsi, side * coalesce(trend, 0) as d_trend, cast(side > 0 as double) as is_long,
-  least(coalesce(e.to_earnings, 30), 30) as earnings_in, isodow(p.signal_ts) - 1 as weekday, month(p.signal_ts) as month from pool p left join dte_w e on e.asset = p.asset and e.ts = p.signal_ts""")
+@query("o10_meta_features", "select strategy, asset, signal_ts, cast(side as double) as side_, " + ", ".join(f"cast(strategy = '{x}' as double) as is_{x}" for x in STRATEGIES) + ", " + ", ".join(f"cast(kind = '{x}' as double) as \"in_{x}\"" for x in CLASSES) + ", "
+       + ", ".join(f"round(cast({c} as double), 6) as m_{c}" for c in O.PLAIN) + f", {DIRECT_SQL}, round(side * (rsi14 - 50), 6) as d_rsi, round(-side * insider_sold, 6) as d_insider_sold, cast(side * coalesce(ai_bias, 0) as double) as d_bias, "
+       + ", ".join(f"case when {c} is not null then cast(least({c}, 30) as double) end as {k}" for k, c in O.CAPPED.items())
+       + f""", cast(0 as double) as hour, cast(isodow(signal_ts) - 1 as double) as weekday, round({recent_sql(20, 'h.strategy = t.strategy and h.asset = t.asset').replace('select avg(r)', '(select avg(r)')}), 6) as own_recent_r, cast((select count(*) from (select 1 from trades h where h.strategy = t.strategy and h.asset = t.asset and h.exit_ts < t.entry_ts order by h.exit_ts desc limit 20)) as double) as own_trades, round({recent_sql(50, 'h.strategy = t.strategy').replace('select avg(r)', '(select avg(r)')}), 6) as strategy_recent_r from pool t""")
 def o10(spark, sf):
-    return rounded(O.meta_features(with_earnings(spark, sf, pool(spark, sf))).select("strategy", "asset", "signal_ts", *META))
+    df = meta(spark, sf).select("strategy", "asset", "signal_ts", *META)
+    return rounded(df)
 
 
 @query("o11_meta_label_walkforward")
 def o11(spark, sf):
     """Without a SQL twin: boosted trees per refit."""
-    p = materialise(O.meta_features(pool(spark, sf).withColumn("to_earnings", F.lit(None).cast("int"))), "pool")
-    s = O.meta_label_walkforward(p, ["d_ret5", "d_ret20", "d_rsi", "is_long", "vol_rank"], 900, 20000, 300, 3)
+    s = O.meta_label_walkforward(materialise(meta(spark, sf), "meta"), META)
     return s.select("strategy", "asset", "signal_ts", F.round("p", 6).alias("p"), F.round("ev", 6).alias("ev"), "take", F.round("size", 6).alias("size"))
 
 
 @query("o12_holdout_report")
 def o12(spark, sf):
-    """Without a SQL twin: shuffled features. A linear scorer fitted on the first 80% by exit time, judged on the rest."""
-    fs = ["d_ret5", "d_ret20", "d_rsi"]
-    p = O.meta_features(pool(spark, sf).withColumn("to_earnings", F.lit(None).cast("int"))).withColumns({"won": F.col("r") > 0, "label": (F.col("r") > 0).cast("double"), "fold": F.lit(0), "_part": F.pmod(F.xxhash64("asset"), F.lit(8)), "_key": F.xxhash64("strategy", "asset", "signal_ts")})
-    p = materialise(p, "holdout")
-    cut = p.agg(F.percentile(F.unix_date("exit_ts"), F.lit(0.8)).alias("c")).select("c").scalar()
-    train, test = p.filter(F.unix_date("exit_ts") <= cut), p.filter(F.unix_date("exit_ts") > cut)
-    medians = O.fold_medians(train, fs)
-    train, test = O.imputed(train, medians, fs), O.imputed(test, medians, fs)
-    fits = O.ridge_fit(train, fs, "label")
-    imp = O.permutation_importance(test, lambda d: O.linear_scores(d, fits, fs), fs, lambda d: L.auc(d, "score", "won").first()["auc"], 1)
-    return imp.select("feature", F.round("auc_drop", 6).alias("auc_drop"))
+    """Without a SQL twin: shuffled features of boosted trees."""
+    return O.holdout_report(materialise(meta(spark, sf), "meta"), META)[1].select("feature", F.round("auc_drop", 6).alias("auc_drop"))
+
+
+@query("o12_holdout_quality")
+def o12b(spark, sf):
+    """Without a SQL twin: boosted trees on the first four fifths of the newest outcomes, judged on the last."""
+    q = O.holdout_report(materialise(meta(spark, sf), "meta"), META)[0]
+    return q.select("trained", "judged", F.round("auc", 6).alias("auc"), F.transform("fifths", lambda x: F.round(x, 6)).alias("fifths"))
