@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import group_quantiles, pct_rank
-from ..functions.windows import own
+from ..functions.temporal import asof_join, trailing_distinct, trailing_sums
+from ..functions.windows import bars_ago, own, rolling
 from ..session import materialise
 from . import trees
 from .outcomes import _recent_mean
@@ -50,25 +51,44 @@ def with_test_fold(rows: DataFrame, first: int, step: int) -> DataFrame:
     return rows.withColumn("fold", F.when(F.col("sno") >= first, F.floor((F.col("sno") - first) / step)))
 
 
-def train_rows(rows: DataFrame, first: int, step: int, embargo: int) -> DataFrame:
-    """Each row once per fold that may learn from it: every fold whose refit is at least `embargo` sessions later.
+def last_fold(rows: DataFrame, first: int, step: int) -> int:
+    """Number of the newest fold, -1 before the first."""
+    newest = rows.agg(F.max("sno").alias("m")).first().m
+    return -1 if newest is None or newest < first else (newest - first) // step
 
-    The number of folds is bounded by the calendar; a row's folds start at a number that follows from its session.
-    """
-    last = rows.agg(F.max("sno").alias("m")).select("m").scalar()
-    start = F.greatest(F.lit(0), F.ceil((F.col("sno") + embargo - first) / step))
-    end = F.floor((last - first) / step)
-    return rows.filter("target is not null").withColumn("fold", F.explode(F.when(start <= end, F.sequence(start, end)).otherwise(F.expr("cast(array() as array<bigint>)"))))
 
+def train_blocks(rows: DataFrame, first: int, step: int, embargo: int) -> DataFrame:
+    """Rows with a known target under the first fold that may learn from them, the first whose refit is at least `embargo`
+    sessions later. Later folds learn from them as well: folds are nested, so sums of blocks add up to theirs and no row
+    is copied."""
+    return rows.filter("target is not null").withColumn("fold", F.greatest(F.lit(0), F.ceil((F.col("sno") + embargo - first) / step)))
 
-def normal_equations(train: DataFrame, features: Sequence[str], target: str, fold: str = "fold") -> dict:
-    """Per fold the sums a linear fit needs, from one aggregation that combines map-side."""
+
+def nested_counts(blocks: DataFrame, last: int) -> DataFrame:
+    """fold, train: rows that each fold up to `last` learns from."""
+    n = blocks.groupBy("fold").agg(F.count("*").alias("n"))
+    folds = blocks.sparkSession.range(last + 1).select(F.col("id").alias("fold"))
+    run = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)  # a row per fold
+    return folds.join(n, "fold", "left").select("fold", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("train"))
+
+
+def normal_equations(train: DataFrame, features: Sequence[str], target: str, fold: str = "fold", last: int | None = None) -> dict:
+    """Per fold the sums a linear fit needs, from one aggregation that combines map-side. With `last` the rows are blocks of
+    nested folds 0 to `last`, and each fold's sums are those of all blocks up to it."""
     x = [F.coalesce(F.col(f), F.lit(0.5)) for f in features]
     p = len(features)
     sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
     sums += [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(c * F.col(target)).alias(f"b{i}") for i, c in enumerate(x)]
-    rows = train.groupBy(fold).agg(*sums, F.sum(target).alias("y"), F.count("*").alias("n")).collect()
-    return {r[fold]: r for r in rows}
+    rows = {r[fold]: r.asDict() for r in train.groupBy(fold).agg(*sums, F.sum(target).alias("y"), F.count("*").alias("n")).collect()}
+    if last is None:
+        return rows
+    out, total = {}, None
+    for k in range(last + 1):
+        if k in rows:
+            total = rows[k] if total is None else {c: v if c == fold else v + total[c] for c, v in rows[k].items()}
+        if total is not None:
+            out[k] = total
+    return out
 
 
 def fold_medians(train: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
@@ -82,12 +102,12 @@ def imputed(rows: DataFrame, medians: DataFrame, features: Sequence[str], fold:
     return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}").cast("double"), F.lit(0.0)) for f in features}).drop(*[f"_m_{f}" for f in features])
 
 
-def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0, least: int = 1, fold: str = "fold", scaled: bool = False) -> DataFrame:
+def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0, least: int = 1, fold: str = "fold", scaled: bool = False, last: int | None = None) -> DataFrame:
     """Ridge coefficients of every fold with `least` rows: an intercept, and one slope per feature. `scaled` penalises the
-    slopes that features divided by their deviation would have."""
+    slopes that features divided by their deviation would have; `last` says that the rows are blocks of nested folds."""
     out = []
     p = len(features)
-    for k, r in normal_equations(train, features, target, fold).items():
+    for k, r in normal_equations(train, features, target, fold, last).items():
         n = r["n"]
         if n < least:
             continue
@@ -112,7 +132,7 @@ def linear_scores(rows: DataFrame, coefficients: DataFrame, features: Sequence[s
 
 def walkforward_scores(rows: DataFrame, features: Sequence[str], first: int, step: int, embargo: int, least: int, target: str = "target_rank") -> DataFrame:
     """Every row scored by a fit that saw only rows whose target was known `embargo` sessions before the refit."""
-    fits = ridge_fit(train_rows(rows, first, step, embargo), features, target, least=least)
+    fits = ridge_fit(train_blocks(rows, first, step, embargo), features, target, least=least, last=last_fold(rows, first, step))
     return linear_scores(with_test_fold(rows, first, step).filter("fold is not null"), fits, features)
 
 
@@ -132,12 +152,43 @@ def gbt_scores(train: DataFrame, test: DataFrame, features: Sequence[str], targe
     return model.transform(assembled(test, features)).withColumn("score", F.col("prediction")).drop("features", "prediction")
 
 
-def cluster_rows(signals: DataFrame, panel: DataFrame, features: dict, horizon: int) -> DataFrame:
-    """One row per cluster with its features and the return of `horizon` sessions in excess of the session's mean."""
-    df = panel.withColumns(features).withColumn("_t", F.lead("close", horizon).over(own()) / F.col("close") - 1)
-    mean = df.groupBy("ts").agg(F.avg("_t").alias("_m"))
-    df = df.join(mean, "ts").withColumn("target", F.col("_t") - F.col("_m")).drop("_m")
-    return df.join(signals.select("asset", "ts"), ["asset", "ts"], "left_semi").select("asset", "ts", *features, "target")
+#: What is known of a cluster of purchases: the purchases, the bars before it, the last report and the market.
+CLUSTER = ["buyers", "bought", "largest", "bought_vs_volume", "officer", "sold_before", "ret_1m", "ret_6m", "off_high", "vol_60", "dollar_vol", "since_earnings", "mkt_1m"]
+
+
+def cluster_events(signals: DataFrame, bars: DataFrame, filings: DataFrame, reports: DataFrame, month: int = 21, half: int = 126, year: int = 252, quarter: int = 60, dollar: int = 20, horizon: int = 60, warm: int = 130, days: int = 90) -> DataFrame:
+    """One row per cluster, the day it forms, with the CLUSTER features known then and `target`: the return from the next
+    open to `horizon` bars later, less the mean of all assets over the same bars. Clusters of an asset's first `warm` bars
+    are left out.
+
+    `signals(asset, ts)`, `bars`, `filings(asset, owner, accession, filed, code, role, value, plan)`, `reports(asset, day)`.
+    Purchases of the last `days` days are sums, distinct counts and maxima per day, carried to the clusters."""
+    c, lead = F.col("close"), lambda x, k: F.lead(x, k).over(own())
+    b = bars.select("asset", "ts", "open", "close", "volume", (F.row_number().over(own()) - 1).alias("_p"), F.log(c / bars_ago("close", 1)).alias("_step"))
+    b = b.withColumns({
+        "ret_1m": c / bars_ago("close", month) - 1, "ret_6m": c / bars_ago("close", half) - 1, "off_high": c / rolling(F.max, "close", year, year * 10 // 21) - 1,
+        "vol_60": rolling(F.stddev_samp, "_step", quarter, quarter * 2 // 3), "_dvol": rolling(F.avg, c * F.col("volume"), dollar, dollar // 2), "_t": lead("close", horizon) / lead("open", 1) - 1})
+    mean = b.groupBy("ts").agg(F.avg("ret_1m").alias("mkt_1m"), F.avg("_t").alias("_m"))
+    at = signals.select("asset", "ts").join(b, ["asset", "ts"]).filter(F.col("_p") >= warm).join(mean, "ts")
+    at = asof_join(at, reports.select("asset", "day").distinct(), ["asset"], "ts", "day", [], strict=False)
+    at = materialise(at, "clusters")
+    grid, value = at.select("asset", F.col("ts").alias("filed")), F.col("value")
+    bought = materialise(filings.filter("code = 'P'").groupBy("asset", "owner", "accession", "filed").agg(F.sum(value).alias("value"), F.max(F.coalesce(F.col("role").ilike("%officer%"), F.lit(False)).cast("int")).alias("_o")), "bought")
+    sold = filings.filter("code = 'S' and not coalesce(plan, false)")
+    buyers = trailing_distinct(bought, ["asset"], "owner", "filed", days, grid, "buyers")
+    sums = trailing_sums(bought, ["asset"], "filed", days, {"_bought": "value", "_officer": "_o"}, grid)
+    gone = trailing_sums(sold, ["asset"], "filed", days, {"_sold": "value"}, grid)
+    per = bought.groupBy("asset", "accession", "filed").agg(F.sum("value").alias("v")).groupBy("asset", "filed").agg(F.max("v").alias("v"))
+    line = per.unionByName(grid.distinct(), allowMissingColumns=True).groupBy("asset", "filed").agg(F.max("v").alias("v")).withColumn("_d", F.unix_date("filed"))
+    largest = line.select("asset", "filed", F.max("v").over(Window.partitionBy("asset").orderBy("_d").rangeBetween(-(days - 1), 0)).alias("_largest"))  # a row per day
+    df = at.withColumnRenamed("ts", "filed")
+    for part in (buyers, sums, gone, largest):
+        df = df.join(part, ["asset", "filed"], "left")
+    log = lambda x: F.log1p(F.coalesce(x, F.lit(0.0)))
+    df = df.filter("buyers > 0").withColumns({
+        "bought": log("_bought"), "largest": log("_largest"), "bought_vs_volume": F.col("_bought") / F.greatest("_dvol", F.lit(1.0)), "officer": (F.col("_officer") > 0).cast("double"), "sold_before": log("_sold"),
+        "dollar_vol": F.log1p("_dvol"), "since_earnings": F.coalesce(F.datediff("filed", "day"), F.lit(365)).cast("double"), "buyers": F.col("buyers").cast("double"), "target": F.col("_t") - F.col("_m")})
+    return df.select("asset", F.col("filed").alias("ts"), *CLUSTER, "target")
 
 
 def cluster_walkforward(rows: DataFrame, features: Sequence[str], first_year: int, gap_days: int, least: int, keep: float) -> DataFrame:

@@ -46,7 +46,7 @@ FIRST, STEP, EMBARGO = 104, 26, 5
   union all select cast((sno - {FIRST}) // {STEP} as bigint), 'test' from rk where sno >= {FIRST}) group by 1""")
 def o2(spark, sf):
     d = materialise(dataset(spark, sf), "ranker")
-    train = O.train_rows(d, FIRST, STEP, EMBARGO).groupBy("fold").agg(F.count("*").alias("train"))
+    train = O.nested_counts(O.train_blocks(d, FIRST, STEP, EMBARGO), O.last_fold(d, FIRST, STEP))
     test = O.with_test_fold(d, FIRST, STEP).filter("fold is not null").groupBy("fold").agg(F.count("*").alias("test"))
     return train.join(test, "fold", "full_outer").na.fill(0, ["train", "test"]).select("fold", "train", "test")
 
@@ -55,7 +55,7 @@ def o2(spark, sf):
   join (select f.fold, avg(coalesce(mom, 0.5)) as x, avg(target_rank) as y from rk join (select unnest(range(0, (select (max(sno) - {FIRST}) // {STEP} + 1 from rk))) as fold) f on sno <= {FIRST} + f.fold * {STEP} - {EMBARGO} where target is not null group by 1) m using (fold) where target is not null group by 1""")
 def o3(spark, sf):
     d = materialise(dataset(spark, sf), "ranker")
-    fits = O.ridge_fit(O.train_rows(d, FIRST, STEP, EMBARGO), ["mom"], "target_rank")
+    fits = O.ridge_fit(O.train_blocks(d, FIRST, STEP, EMBARGO), ["mom"], "target_rank", last=O.last_fold(d, FIRST, STEP))
     return fits.select("fold", F.round(F.col("weights")[0], 6).alias("slope"))
 
 
@@ -88,17 +88,27 @@ def f19(spark, sf):
     return P.only(P.momentum_month_end(PAN(spark, sf), 52, 4, 0.2), short_ranks(spark, sf).filter("short_rank <= 0.5")).select("asset", "ts", "side")
 
 
-CF = ["mom", "rev"]
-cte("cl", "select c.asset, c.ts, r.mom, r.r1 as rev, r.t - avg_t as target from c_base c join (select *, avg(t) over (partition by ts) as avg_t from (select asset, ts, mom, r1, lead(close, 8) over (partition by asset order by ts) / close - 1 as t from fx_w)) r using (asset, ts)")
+CF = O.CLUSTER
+cte("cf0", """select *, bn - 1 as p, close / lag(close, 4) over w - 1 as ret_1m, close / lag(close, 26) over w - 1 as ret_6m, close / case when count(close) over y >= 24 then max(close) over y end - 1 as off_high, case when count(st) over q >= 8 then stddev_samp(st) over q end as vol_60,
+  case when count(close * volume) over d >= 2 then avg(close * volume) over d end as dvol, lead(close, 12) over w / lead(open) over w - 1 as t from (select *, ln(close / lag(close) over (partition by asset order by ts)) as st, row_number() over (partition by asset order by ts) as bn from bars_w)
+  window w as (partition by asset order by ts), y as (partition by asset order by ts rows 51 preceding), q as (partition by asset order by ts rows 11 preceding), d as (partition by asset order by ts rows 3 preceding)""")
+cte("cf1", "select c.asset, c.ts, count(distinct owner) as buyers, sum(value) as paid, max(cast(role ilike '%officer%' as int)) as officer from c_base c join buys b on b.asset = c.asset and b.filed <= c.ts and date_diff('day', b.filed, c.ts) < 90 group by 1, 2")
+cte("cf2", "select c.asset, c.ts, max(v) as largest from c_base c join (select asset, accession, filed, sum(value) as v from buys group by 1, 2, 3) b on b.asset = c.asset and b.filed <= c.ts and date_diff('day', b.filed, c.ts) < 90 group by 1, 2")
+cte("cf3", "select c.asset, c.ts, sum(value) as sold from c_base c join filings b on b.asset = c.asset and b.code = 'S' and not b.plan and b.filed <= c.ts and date_diff('day', b.filed, c.ts) < 90 group by 1, 2")
+cte("cl", """select c.asset, c.ts, cast(buyers as double) as buyers, ln(1 + paid) as bought, ln(1 + largest) as largest, paid / greatest(dvol, 1) as bought_vs_volume, cast(officer as double) as officer, ln(1 + coalesce(sold, 0)) as sold_before, ret_1m, ret_6m, off_high, vol_60, ln(1 + dvol) as dollar_vol,
+  cast(coalesce(date_diff('day', e.event, c.ts), 365) as double) as since_earnings, mkt_1m, t - avg_t as target from c_base c join cf0 f using (asset, ts) join (select ts, avg(ret_1m) as mkt_1m, avg(t) as avg_t from cf0 group by 1) using (ts) join cf1 using (asset, ts) join cf2 using (asset, ts) left join cf3 using (asset, ts)
+  asof left join earn_day e on e.asset = c.asset and c.ts >= e.event where p >= 26""")
 
 
 def cluster_rows(spark, sf):
-    return O.cluster_rows(base(spark, sf), PAN(spark, sf), {"mom": P.momentum(52, 4), "rev": session_return(1)}, 8)
+    reports = S.earnings(spark, sf).select("asset", F.col("accepted").cast("date").alias("day"))
+    return O.cluster_events(base(spark, sf), materialise(BARS(spark, sf), "bars"), S.filings(spark, sf), reports, 4, 26, 52, 12, 4, 12, 26)
 
 
-@query("o6_cluster_events", "select asset, ts, round(mom, 8) as mom, round(rev, 8) as rev, round(target, 8) as target from cl")
+@query("o6_cluster_events", "select asset, ts, " + ", ".join(f"round({c}, 6) as {c}" for c in CF) + ", round(target, 8) as target from cl")
 def o6(spark, sf):
-    return rounded(cluster_rows(spark, sf), 8)
+    df = cluster_rows(spark, sf)
+    return df.select("asset", "ts", *[F.round(c, 6).alias(c) for c in CF], F.round("target", 8).alias("target"))
 
 
 def kept(spark, sf):
