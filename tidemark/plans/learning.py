@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.temporal import asof_join_many, trailing_distinct, trailing_sums
-from ..functions.windows import own, session_return
+from ..functions.windows import own
 from ..operators import bars as B
 from ..operators import features as C
+from ..operators import fundamentals as J
 from ..operators import learning as O
 from ..operators import panel_signals as P
 from ..operators.bars import days_to_next
@@ -16,21 +17,25 @@ from .bars import cal_d, jobs
 from .catalog import cte, query
 from .event_signals import BARS, PAN, base, short_ranks
 from .features import FEATS
+from .fundamentals import FEATURES, quarters
 from .news import on_sessions
 from .outcomes import rounded, trades
-from .panel_signals import one, pct
-
-FS = ["mom", "rev", "half", "high"]
-cte("rk0", """select f.ts, f.sno, f.asset, mom, r1 as rev, r26 as half, close / max(close) over (partition by asset order by sno range between 25 preceding and current row) - 1 as high,
-  lead(close, 4) over (partition by asset order by ts) / lead(open) over (partition by asset order by ts) - 1 as t from fx_w f""")
-cte("rk1", "select *, t - avg(t) over (partition by ts) as target from rk0")
-cte("rk", "select ts, sno, asset, " + ", ".join(f"{pct(c)} as {c}" for c in FS) + f", target, {pct('target')} as target_rank from rk1")
+from .panel_signals import ago, full_ses, one, pct
+
+FS = O.RANKER
+cte("rka", f"""select p.asset, p.ts, p.sno, p.close, {ago(4)} / {ago(52)} - 1 as mom_12_1, {ago(4)} / {ago(26)} - 1 as mom_6_1, close / {ago(4)} - 1 as ret_1m, close / {ago(1)} - 1 as ret_1w, ln(close / {ago(1)}) as st, close / {full_ses('max', 'close', 52, 41)} - 1 as off_high,
+  close / {full_ses('avg', 'close', 40, 30)} - 1 as trend_200, ln(1 + {full_ses('avg', 'close * volume', 4, 2)}) as dollar_vol, max(case when v.total > 0 then v.short / v.total end) over (partition by asset order by sno range between 1 preceding and 1 preceding) as known,
+  lead(close, 4) over (partition by asset order by ts) / lead(open) over (partition by asset order by ts) - 1 as t from panel_w p left join shortv v using (asset, ts)""")
+cte("rkb", f"select *, {full_ses('stddev_samp', 'st', 12, 8)} as vol_60, {full_ses('avg', 'known', 4, 2)} as short_20, {full_ses('avg', 'known', 4, 2)} - {full_ses('avg', 'known', 24, 12)} as short_chg, avg(ret_1m) over (partition by ts) as mkt_1m, t - avg(t) over (partition by ts) as target from rka")
+cte("ins_r", """select b.asset, b.ts, cast(count(distinct f.owner) filter (f.code = 'P') as double) as ins_buyers, ln(1 + coalesce(sum(f.value) filter (f.code = 'P'), 0)) as ins_buy, ln(1 + coalesce(sum(f.value) filter (f.code = 'S' and not f.plan and date_diff('day', f.filed, b.ts) < 30), 0)) as ins_sell
+  from bars_w b left join filings f on f.asset = b.asset and f.filed <= b.ts and date_diff('day', f.filed, b.ts) < 90 group by 1, 2""")
+cte("rkc", "select r.*, i.ins_buyers, i.ins_buy, i.ins_sell, f.f_ey, f.f_bm, f.f_roa, f.f_accr, f.f_rev_g, f.f_sue from rkb r left join ins_r i using (asset, ts) left join ff_w f using (asset, ts) where mom_12_1 is not null and vol_60 is not null and ts >= (select min(ts) from bars_w) + interval 380 day")
+cte("rk", "select ts, sno, asset, " + ", ".join(f"{pct(c)} as {c}" if c != "mkt_1m" else c for c in FS) + f", target, {pct('target')} as target_rank from rkc")
 
 
 def dataset(spark, sf):
-    from ..functions.windows import session_rolling
-    feats = {"mom": P.momentum(52, 4), "rev": session_return(1), "half": session_return(26), "high": F.col("close") / session_rolling(F.max, "close", 26, 1) - 1}
-    return O.ranker_dataset(PAN(spark, sf), feats, 4)
+    known = J.fundamental_features(S.weekly_bars(spark, sf), quarters(spark, sf), S.points(spark, sf)).select("asset", "ts", *FEATURES)
+    return O.ranker_dataset(PAN(spark, sf), S.short_volume(spark, sf), materialise(S.filings(spark, sf), "filings"), known, 4, 26, 52, 1, 12, 40, 4, 24, 4, 380)
 
 
 @query("o1_ranker_dataset", "select ts, asset, " + ", ".join(f"round({c}, 6) as {c}" for c in FS) + ", round(target, 8) as target, round(target_rank, 6) as target_rank from rk")
@@ -51,11 +56,11 @@ def o2(spark, sf):
     return train.join(test, "fold", "full_outer").na.fill(0, ["train", "test"]).select("fold", "train", "test")
 
 
-@query("o3_ridge_fit", f"""select f.fold, round(sum((coalesce(mom, 0.5) - m.x) * (target_rank - m.y)) / (sum((coalesce(mom, 0.5) - m.x) * (coalesce(mom, 0.5) - m.x)) + 10), 6) as slope from rk join (select unnest(range(0, (select (max(sno) - {FIRST}) // {STEP} + 1 from rk))) as fold) f on sno <= {FIRST} + f.fold * {STEP} - {EMBARGO}
-  join (select f.fold, avg(coalesce(mom, 0.5)) as x, avg(target_rank) as y from rk join (select unnest(range(0, (select (max(sno) - {FIRST}) // {STEP} + 1 from rk))) as fold) f on sno <= {FIRST} + f.fold * {STEP} - {EMBARGO} where target is not null group by 1) m using (fold) where target is not null group by 1""")
+@query("o3_ridge_fit", f"""select f.fold, round(sum((coalesce(mom_12_1, 0.5) - m.x) * (target_rank - m.y)) / (sum((coalesce(mom_12_1, 0.5) - m.x) * (coalesce(mom_12_1, 0.5) - m.x)) + 10), 6) as slope from rk join (select unnest(range(0, (select (max(sno) - {FIRST}) // {STEP} + 1 from rk))) as fold) f on sno <= {FIRST} + f.fold * {STEP} - {EMBARGO}
+  join (select f.fold, avg(coalesce(mom_12_1, 0.5)) as x, avg(target_rank) as y from rk join (select unnest(range(0, (select (max(sno) - {FIRST}) // {STEP} + 1 from rk))) as fold) f on sno <= {FIRST} + f.fold * {STEP} - {EMBARGO} where target is not null group by 1) m using (fold) where target is not null group by 1""")
 def o3(spark, sf):
     d = materialise(dataset(spark, sf), "ranker")
-    fits = O.ridge_fit(O.train_blocks(d, FIRST, STEP, EMBARGO), ["mom"], "target_rank", last=O.last_fold(d, FIRST, STEP))
+    fits = O.ridge_fit(O.train_blocks(d, FIRST, STEP, EMBARGO), ["mom_12_1"], "target_rank", last=O.last_fold(d, FIRST, STEP))
     return fits.select("fold", F.round(F.col("weights")[0], 6).alias("slope"))
 
 
