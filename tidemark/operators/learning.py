@@ -337,7 +337,7 @@ def meta_label_walkforward(pool: DataFrame, features: Sequence[str], refit_days:
 
     scored = pool.mapInPandas(score, schema)
     scored = scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("p", "ev")})
-    size = F.least(F.greatest(1 + F.col("ev") / 0.25, F.lit(0.5)), F.lit(2.0))
+    size = F.when(F.col("ev").isNotNull(), F.least(F.greatest(1 + F.col("ev") / 0.25, F.lit(0.5)), F.lit(2.0)))
     return scored.withColumns({"take": F.coalesce(F.col("ev") >= 0, F.lit(True)), "size": F.coalesce(size, F.lit(1.0))})
 
 
