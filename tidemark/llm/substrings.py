@@ -23,8 +23,9 @@ LONGEST = 256
 HOT, CELL_BITS = 50_000, 26
 
 CELLS = "cell int, n long"
-PACKED = "minimiser long, doc_id long, text_key int, start int, packed binary"
-SINGLE = "high long, low long, doc_id long, text_key int, start int"
+#: `place` is text_key and start in one number, as every column of a shuffled row takes eight bytes.
+PACKED = "minimiser long, doc_id long, place long, packed binary"
+SINGLE = "high long, low long, doc_id long, place long"
 RANGES = "doc_id long, text_key int, start int, n int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -78,10 +79,10 @@ def _is_hot(minimisers: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _places(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> list[pa.Array]:
-    """The doc_id and text_key of each word number, and its place within the text."""
+    """The doc_id of each word number, and its text_key (upper half) and place within the text (lower half)."""
     row = np.searchsorted(words.first, at, "right") - 1
-    rows = pa.array(row)
-    return [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array((at - words.first[row]).astype(np.int32))]
+    keys = batch.column("text_key").to_numpy().astype(np.int64)
+    return [batch.column("doc_id").take(pa.array(row)), pa.array(keys[row] << 32 | at - words.first[row])]
 
 
 def _packer(span: int, hot: np.ndarray):
@@ -97,7 +98,7 @@ def _packer(span: int, hot: np.ndarray):
             raw, ends = words.data.tobytes(), at + n + span - 1
             odd = uneven[ends - 1] > uneven[at]
             pieces = [raw[a:b] if not o else b" ".join(raw[a:b].split()) for a, b, o in zip(words.starts[at].tolist(), words.ends[ends - 1].tolist(), odd.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), *_places(batch, words, at), pa.array(pieces, pa.binary())], names=["minimiser", "doc_id", "text_key", "start", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), *_places(batch, words, at), pa.array(pieces, pa.binary())], names=["minimiser", "doc_id", "place", "packed"])
 
     return run
 
@@ -122,7 +123,7 @@ def _single(span: int, hot: np.ndarray):
             at, n = at[chosen], n[chosen]
             at = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
             high, low = (_window_hash(h, span, base)[at] if len(at) else hashes[:0] for h, base in ((hashes, 0x9E3779B97F4A7C15), (mix(hashes + np.uint64(1)), 0xD1B54A32D192ED03)))
-            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), *_places(batch, words, at)], names=["high", "low", "doc_id", "text_key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), *_places(batch, words, at)], names=["high", "low", "doc_id", "place"])
 
     return run
 
@@ -176,8 +177,9 @@ def _ranges(table: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
         return
     new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(offset) != 1)))
     first = row[new]
-    start = one.column("start").to_numpy()[first] + offset[new]
-    of = [one.column(c).take(pa.array(first)) for c in ("doc_id", "text_key")]
+    place = one.column("place").to_numpy()[first]
+    start = (place & 0xFFFFFFFF) + offset[new]
+    of = [one.column("doc_id").take(pa.array(first)), pa.array((place >> 32).astype(np.int32))]
     yield pa.RecordBatch.from_arrays([*of, pa.array(start.astype(np.int32)), pa.array(np.diff(np.append(new, len(row))).astype(np.int32))], names=["doc_id", "text_key", "start", "n"])
 
 
@@ -236,7 +238,8 @@ def repeated_ranges(rows: DataFrame, span: int) -> DataFrame:
         return cold
     single = rows.mapInArrow(_single(span, hot), SINGLE)
     twice = materialise(single.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "twice")
-    return cold.unionByName(single.join(twice, ["high", "low"]).select("doc_id", "text_key", "start", F.lit(1).alias("n")))
+    found = single.join(twice, ["high", "low"])
+    return cold.unionByName(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("text_key"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> DataFrame:
