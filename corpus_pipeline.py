@@ -36,7 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(*COLUMNS).where("doc_id is not null").withColumn("_of", key)
     texts = rows.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_of").alias("_lo"), F.max("_of").alias("_hi"))
     repeated = materialise(texts.where("_n > 1").select("doc_id", (F.col("_lo") < F.col("_hi")).alias("_mixed")), "repeated_ids")
-    named = materialise(rows.join(repeated, "doc_id", "left").withColumn("_row", F.when(F.col("_mixed"), F.col("_of")).otherwise(F.col("doc_id"))), "named")
+    if repeated.isEmpty():
+        # every id names one row: nothing to tell apart, and no text is moved
+        named = rows.withColumns({"_mixed": F.lit(None).cast("boolean"), "_row": F.col("doc_id")})
+    else:
+        named = materialise(rows.join(repeated, "doc_id", "left").withColumn("_row", F.when(F.col("_mixed"), F.col("_of")).otherwise(F.col("doc_id"))), "named")
     kept = near_dups.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     stay = named.join(kept.hint("merge"), F.col("_row") == F.col("_id"), "left_semi")
     # rows of one id and text: the one with the smallest hash of its columns
