@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import Words, mix, runs_hash, slices, words_of
@@ -242,6 +243,13 @@ def repeated_ranges(rows: DataFrame, span: int) -> DataFrame:
     return cold.unionByName(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("text_key"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.lit(1).alias("n")))
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of a finished job go when the driver has collected its plan: the packed strings are several times the
+    texts, and would else lie beside them until the driver happens to run out of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> DataFrame:
     """One row per row of `docs` (doc_id, text): n_words, n_removed, kept_sha256 and, with `keep_text`, kept_text.
 
@@ -258,6 +266,7 @@ def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> D
     texts. An empty table gives no rows; other columns are ignored."""
     rows = named(docs)
     ranges = materialise(repeated_ranges(rows, span), "ranges")
+    _release(docs.sparkSession)
     # as many ranges as the windows of one text; copies of one row find the same ones
     per = ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     marked = rows.join(per.hint("merge"), ["doc_id", "text_key"], "left")
