@@ -277,3 +277,33 @@ def test_averages_with_little_memory(spark):
     got = C.ewm_means(df, {"one": ("x", 1.0, 1), "fast": ("x", 0.9, 1)}).orderBy("ts").collect()
     assert [r.one for r in got] == xs
     assert [r.fast for r in got] == pytest.approx(pd.Series(xs).ewm(alpha=0.9, adjust=False).mean().tolist())
+
+
+def test_first_rows_keep_k_of_a_hot_tie_in_each_task(spark):
+    rows = [(0, 1.0, i) for i in range(3000)] + [(0, 2.0, 9000), (0, None, 9001), (1, 5.0, 7), (1, 4.0, 8), (None, 3.0, 1)]
+    df = spark.createDataFrame(rows, "ts int, x double, asset long")
+    got = ranks.first_rows(df.filter("ts is not null"), ["ts"], "x", "asset", 4, "rank", ascending=False)
+    assert sorted((r.ts, r.rank, r.asset) for r in got.collect()) == [(0, 1, 9000), (0, 2, 0), (0, 3, 1), (0, 4, 2), (1, 1, 7), (1, 2, 8)]
+    assert "Partial" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sum_before_equals_a_running_sum_with_a_hot_group(spark):
+    rnd = random.Random(12)
+    rows = [(0 if rnd.random() < 0.7 else rnd.randrange(1, 40), rnd.randrange(400), i, rnd.randrange(1, 80) / 8) for i in range(4000)]
+    df = spark.createDataFrame(rows + [(3, None, 5000, 1.0), (None, 1, 5001, 1.0)], "symbol int, seq int, x int, size double")
+    seen, want = {}, {}
+    for symbol, seq, x, size in sorted(rows):
+        want[x] = seen.get(symbol, 0.0)
+        seen[symbol] = want[x] + size
+    assert {r.x: r.used for r in ranks.sum_before(df, ["symbol"], ["seq", "x"], "size", "used").collect()} == want
+
+
+def test_recent_mean_of_a_hot_day_takes_the_newest(spark):
+    rnd = random.Random(13)
+    rows = [("s", a, day(rnd.randrange(4)), day(4 + rnd.randrange(2)), rnd.randrange(100) / 4) for a in range(900)] + [("s", 5000 + i, day(4 + i), day(9), 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "strategy string, asset long, signal_ts date, exit_ts date, r double").withColumn("entry_ts", F.col("signal_ts"))
+    got = {r.asset: (r.n_recent, r.mean_recent) for r in L.rule_learner_view(df, ["strategy"], last=7).collect()}
+    for _, asset, signal, _, _ in rows:
+        closed = sorted((x, a, s, r) for _, a, s, x, r in rows if x < signal)[-7:]
+        n, mean = got[asset]
+        assert n == len(closed) and (mean is None if not closed else abs(mean - sum(c[3] for c in closed) / len(closed)) < 1e-12)

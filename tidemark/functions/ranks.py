@@ -81,14 +81,33 @@ def group_medians(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
     return group_quantiles(df, by, value, {out: 0.5}).select(*by, out)
 
 
-def first_ranks(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, ascending: bool = True) -> DataFrame:
-    """Rank from 1 with ties in the order of `tie`: average-free rank plus the position among equal values."""
-    by = list(by)
-    below = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("n")
-    ranks = value_ranks(df, by, value).select(*by, value, below.alias("_below"))
-    among = Window.partitionBy(*by, value).orderBy(tie)
-    return (
-        df.join(ranks, [*by, value], "left")
-        .withColumn(out, F.when(F.col(value).isNotNull(), F.col("_below") + F.row_number().over(among)))
-        .drop("_below")
-    )
+def first_rows(df: DataFrame, by: Sequence[str], value: str, tie: str, k: int, out: str, ascending: bool = True) -> DataFrame:
+    """The first k rows of each group by `value`, ties in the order of `tie`, numbered from 1; null values take no part.
+
+    A filter on row_number lets the planner keep k rows of a group in each task before the shuffle, so neither a hot group
+    nor a hot value meets in one task.
+    """
+    order = F.col(value).asc() if ascending else F.col(value).desc()
+    present = F.col(value).isNotNull()
+    return df.filter(present).withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order, tie))).filter(F.col(out) <= k)
+
+
+def sum_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, slices: int = 64) -> DataFrame:
+    """Sum of `value` over the rows of a group before each row, in the order of `order`, whose first column is a number.
+
+    A group is cut into slices at approximate quantiles of that number; a slice is one window, and the sums of the lower
+    slices are added. Rows whose group or first order column is null have no place in the order and are left out.
+    """
+    by, order = list(by), list(order)
+    present = F.col(order[0]).isNotNull()
+    for c in by:
+        present = present & F.col(c).isNotNull()
+    rows = materialise(df.filter(present), "ordered")  # bounds, sums of slices and windows all read it
+    bounds = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(order[0], [i / slices for i in range(1, slices)], 1000)).alias("_bounds"))
+    sliced = rows.join(bounds, by).withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(order[0])))).drop("_bounds")
+    sums = sliced.groupBy(*by, "_slice").agg(F.sum(value).alias("_in_slice"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    lower = sums.select(*by, "_slice", F.coalesce(F.sum("_in_slice").over(earlier), F.lit(0)).alias("_lower"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_lower") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return sliced.join(lower, [*by, "_slice"]).withColumn(out, total).drop("_slice", "_lower")

@@ -232,12 +232,13 @@ def _recent_mean(trades: DataFrame, key: list[str], entry: str, exit_: str, valu
     """Adds `n_recent` and `mean_recent`: the last results of the key with exit strictly before the row's entry.
 
     A key may hold a third of all trades, so its days are windowed, not its trades: per key and exit day only the newest
-    `last` results are kept (bounded), ordered by a total order of the trade.
+    `last` results are kept, in a total order of the trade. The filter on row_number keeps them in each task before the
+    shuffle, so no list is longer than `last`.
     """
-    newest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(exit_).alias("x"), "asset", "signal_ts", F.col(value).alias("v"))))), 1, last)
-    part = trades.withColumn("_salt", F.pmod(F.hash("asset", "signal_ts"), F.lit(32)))
-    salted = part.groupBy(*key, F.col(exit_).alias("_d"), "_salt").agg(newest.alias("_l"))
-    daily = salted.groupBy(*key, "_d").agg(F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("_l")))), 1, last).alias("_l"))
+    newest = Window.partitionBy(*key, "_d").orderBy(*[F.col(c).desc() for c in ("_a", "_s", "_v")])
+    results = trades.select(*key, F.col(exit_).alias("_d"), F.col("asset").alias("_a"), F.col("signal_ts").alias("_s"), F.col(value).alias("_v"))
+    kept = results.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= last)
+    daily = kept.groupBy(*key, "_d").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("_v").alias("v")))), lambda t: F.struct(t["v"].alias("v"))).alias("_l"))
     grid = trades.groupBy(*key, F.col(entry).alias("_d")).agg(F.lit(True).alias("_asked"))
     line = daily.join(grid, [*key, "_d"], "full_outer")
     filled = line.filter("_l is not null")

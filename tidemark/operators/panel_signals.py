@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import average_rank, first_ranks, group_medians, pct_rank
+from ..functions.ranks import average_rank, first_rows, group_medians, pct_rank
 from ..functions.windows import enters, session_return, session_rolling, sessions_ago
 from .bars import mark_month_ends
 from .features import beta_residual, with_realised_vol
@@ -144,7 +144,7 @@ def washout_calmest(panel: DataFrame, drop: float, bounce: int, window: int, k:
     """The k calmest stocks of each washed-out sector, ties in asset order."""
     df = with_realised_vol(panel, vol_window, min_count, out="_vol")
     df = df.join(sector_turns(panel, drop, bounce, window), ["ts", "sector"], "left_semi")
-    return picked(first_ranks(df, ["ts", "sector"], "_vol", "asset", "_rank"), F.col("_rank") <= k)
+    return picked(first_rows(df, ["ts", "sector"], "_vol", "asset", k, "_rank"), F.lit(True))
 
 
 def momentum_pullback(panel: DataFrame, far: int, near: int, top: float, dip: int, bottom: float, weekday: int | None = 4) -> DataFrame:
@@ -248,7 +248,7 @@ def target_weights(panel: DataFrame, top: int, months: int = 12, mean_months: in
     df = month_end_closes(panel)
     mean = F.avg("close").over(Window.partitionBy("asset").orderBy("mno").rangeBetween(-(mean_months - 1), 0))
     df = df.withColumns({"_mom": F.col("close") / months_ago("close", months) - 1, "_mean": mean})
-    best = first_ranks(df.filter("_mom is not null"), ["ts"], "_mom", "asset", "_rank", ascending=False).filter(F.col("_rank") <= top)
+    best = first_rows(df.filter("_mom is not null"), ["ts"], "_mom", "asset", top, "_rank", ascending=False)
     name = F.when(F.col("close") > F.col("_mean"), F.col("asset")).otherwise(F.lit(CASH))
     return best.groupBy("ts", name.alias("asset")).agg((F.count("*") / top).alias("weight"))
 
@@ -257,7 +257,7 @@ def inverse_vol_weights(panel: DataFrame, far: int, near: int, top: int, trend:
     """At month ends, the `top` momentum names above their mean, weighted by the inverse of their volatility."""
     df = with_realised_vol(panel.withColumns({"_mom": momentum(far, near), "_mean": session_rolling(F.avg, "close", trend)}), vol_window, vol_window, out="_vol")
     df = mark_month_ends(df).filter("month_end").filter("_mom is not null and close > _mean and _vol > 0")
-    best = first_ranks(df, ["ts"], "_mom", "asset", "_rank", ascending=False).filter(F.col("_rank") <= top)
+    best = first_rows(df, ["ts"], "_mom", "asset", top, "_rank", ascending=False)
     total = F.sum(1 / F.col("_vol")).over(Window.partitionBy("ts"))  # at most `top` rows per month
     return best.select("ts", "asset", (1 / F.col("_vol") / total).alias("weight"))
 
@@ -273,7 +273,7 @@ def rotation_variants(panel: DataFrame, top: int, pair: tuple[int, int], cash: i
     name = F.when(F.col("close") > F.col("_mean"), F.col("asset")).otherwise(F.lit(CASH))
     trend = each.groupBy("ts", name.alias("asset"), "_n").agg((F.count("*") / F.col("_n")).alias("weight")).select(F.lit("trend").alias("variant"), "ts", "asset", "weight")
     mixed = df.withColumn("_avg", (F.col("_m1") + F.col("_m3") + F.col("_m6") + F.col("_m12")) / 4).filter("_avg is not null")
-    best = first_ranks(mixed, ["ts"], "_avg", "asset", "_rank", ascending=False).filter(F.col("_rank") <= top)
+    best = first_rows(mixed, ["ts"], "_avg", "asset", top, "_rank", ascending=False)
     average = best.groupBy("ts", name.alias("asset")).agg((F.count("*") / top).alias("weight")).select(F.lit("average").alias("variant"), "ts", "asset", "weight")
     a, b = pair
     r = lambda k: F.max(F.when(F.col("asset") == k, F.col("_m12")))

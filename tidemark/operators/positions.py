@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import sum_before
+
 
 def zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0))
@@ -42,15 +46,15 @@ def order_diff(want: DataFrame, have: DataFrame, quotes: DataFrame, min_notional
     return df.select("symbol", F.when(F.col("_d") > 0, "buy").otherwise("sell").alias("side"), size.alias("qty"), F.when(F.col("crypto"), "gtc").otherwise("day").alias("tif"))
 
 
-def protective_orders(plan: DataFrame, have: DataFrame, quotes: DataFrame, stop_room: float = 0.01) -> DataFrame:
+def protective_orders(plan: DataFrame, have: DataFrame, quotes: DataFrame, stop_room: float = 0.01, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Stops and targets for what is held: the held quantity is given to the plan's rows in order until it is used up.
 
-    `plan(symbol, seq, qty, stop, target)`; a row takes what the rows before it left.
+    `plan(symbol, seq, qty, stop, target)`; a row takes what the rows before it, in the order of `order`, left. One symbol
+    may hold a large share of the plan, so its rows are ordered in slices.
     """
     df = plan.join(have, "symbol").join(quotes, "symbol").filter(F.col("have") * F.col("qty") > 0)
-    before = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.abs("qty")).over(before), F.lit(0.0))
-    df = df.withColumn("_q", F.least(F.abs("qty"), F.greatest(F.abs("have") - used, F.lit(0.0)))).filter("_q > 0 and stop is not null")
+    df = sum_before(df.withColumn("_size", F.abs("qty")), ["symbol"], order, "_size", "_used")
+    df = df.withColumn("_q", F.least("_size", F.greatest(F.abs("have") - F.col("_used"), F.lit(0.0)))).filter("_q > 0 and stop is not null")
     through = (F.col("price") - F.col("stop")) * F.signum("have") <= 0
     whole = F.floor(F.col("_q") + 1e-9).cast("double")
     part = F.round(F.col("_q") - whole, 9)

@@ -267,8 +267,8 @@ def b17(spark, sf):
 def b18(spark, sf):
     last = S.hourly_bars(spark, sf).groupBy("asset").agg(F.max("ts").alias("last"))
     moments = B.next_bar(last.select("last").distinct(), sess_e(spark, sf))
-    now = S.table(spark, sf, "events").agg((F.max("ts") - F.expr("interval 48 hours")).alias("now"))
-    return last.join(moments, "last").join(now, F.col("next_start") + F.expr("interval 1 hour") > F.col("now")).select("asset", "next_start")
+    now = S.table(spark, sf, "events").agg((F.max("ts") - F.expr("interval 48 hours")).alias("now")).scalar()
+    return last.join(moments, "last").filter(F.col("next_start") + F.expr("interval 1 hour") > now).select("asset", "next_start")
 
 
 @query("b19_retire_masks", """select b.asset, b.ts, b.blocked or b.ts >= r.at as blocked from blk b join (select user_id as asset, max(ts) - interval 3 days as at

@@ -79,8 +79,7 @@ cte("pall", "select *, (price - stop) * sign(have) <= 0 as thr from palloc where
 
 
 def protection(spark, sf):
-    p = P.live_plan(plan(spark, sf), ranges(spark, sf)).withColumn("seq", F.struct("seq", "x"))
-    return P.protective_orders(p, have(spark, sf), quotes(spark, sf)).withColumn("seq", F.col("seq.seq"))
+    return P.protective_orders(P.live_plan(plan(spark, sf), ranges(spark, sf)), have(spark, sf), quotes(spark, sf), order=["seq", "x"])
 
 
 PCOLS = ["symbol", "seq", "side", "type", "qty", "stop_price", "limit_price", "tif"]
