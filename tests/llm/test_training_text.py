@@ -145,6 +145,38 @@ def test_hits_of_long_and_short_items(spark):
     assert decontaminate.find_contamination(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).isEmpty()
 
 
+def test_items_of_ten_lengths_equal_brute_force(spark, tmp_path):
+    rng = random.Random(44)
+    draw = lambda n: [f"v{rng.randrange(40)}" for _ in range(n)]
+    bench = [(i, draw(2 + i % 12)) for i in range(60)]
+    docs = []
+    for i in range(150):
+        words = draw(rng.choice([0, 1, 5, 30, 80]))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(bench)[1][: rng.choice([3, 9, 10, 14])]
+        docs.append((i, words))
+    expected = {}
+    for i, words in docs:
+        hit, met = set(), set()
+        for k, item in bench:
+            n = min(len(item), 10)
+            runs = {tuple(item[j:j + n]) for j in range(len(item) - n + 1)}
+            for j in range(len(words) - n + 1):
+                if tuple(words[j:j + n]) in runs:
+                    hit |= set(range(j, j + n))
+                    met.add(k)
+        expected[i] = (len(words), len(hit), sorted(map(str, met)), bool(hit))
+    spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    texts = spark.read.parquet(f"{tmp_path}/docs")
+    items = spark.createDataFrame([(k, "-".join(w)) for k, w in bench], "item_id long, text string")
+    found = decontaminate.find_contamination(texts, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.contaminated) for r in found.collect()} == expected
+    # the suspects' texts are read once for all lengths
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "text#" in line for line in plan.splitlines()) == 1
+
+
 def test_greek_sigma_is_met(spark):
     docs = spark.createDataFrame([(1, "ΟΣ.α b c d e f g h i j k")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "ΟΣ α b c d e f g h i")], "item_id long, text string")

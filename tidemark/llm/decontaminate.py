@@ -39,12 +39,11 @@ def grams(words: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def least_of(hashes: Column, width: int) -> Column:
+def least_of(hashes: Column, width: Column) -> Column:
     """The smallest hash of every `width` neighbours; empty below that."""
     n = F.size(hashes)
     least = lambda i: F.array_min(F.slice(hashes, i + 1, width))
-    mins = hashes if width == 1 else F.transform(F.sequence(F.lit(0), n - width), least)
-    return F.when(n >= width, mins).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), least)).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], span: int, gram: int) -> DataFrame:
@@ -54,15 +53,17 @@ def fingerprints(rows: DataFrame, keys: list[str], span: int, gram: int) -> Data
     folded = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("Σ"), F.lit("σ")))
     worded = with_words(rows, keys, folded)
     hashed = worded.select(*keys, F.size("_w").cast("long").alias("n_words"), grams(F.col("_w"), gram).alias("_g"))
-    return hashed.select(*keys, "n_words", F.array_distinct(least_of(F.col("_g"), span - gram + 1)).alias("prints"))
+    return hashed.select(*keys, "n_words", F.array_distinct(least_of(F.col("_g"), F.lit(span - gram + 1))).alias("prints"))
 
 
-def windows(rows: DataFrame, keys: list[str], span: int, gram: int) -> DataFrame:
-    """keys, start, length, print, window: every run of `span` words of each text, exactly as compared."""
-    worded = with_words(rows, keys, lower_ascii(F.coalesce("text", F.lit(""))))
-    hashed = worded.select(*keys, "_w", grams(F.col("_w"), gram).alias("_g")).select(*keys, "_w", least_of(F.col("_g"), span - gram + 1).alias("_m"))
-    each = F.transform("_m", lambda m, s: F.struct(s.alias("start"), F.lit(span).alias("length"), m.alias("print"), F.array_join(F.slice("_w", s + 1, span), " ").alias("window")))
-    return hashed.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+def windows(rows: DataFrame, keys: list[str], lengths: Column, gram: int) -> DataFrame:
+    """keys, length, start, print, window: every run of each of `lengths` (an array) words of each text, exactly as
+    compared. A text is split and hashed once for all lengths; a text too short for a length gives one row of nulls."""
+    worded = with_words(rows.withColumn("_lengths", lengths), [*keys, "_lengths"], lower_ascii(F.coalesce("text", F.lit(""))))
+    hashed = worded.select(*keys, "_w", grams(F.col("_w"), gram).alias("_g"), F.explode("_lengths").alias("length"))
+    least = hashed.select(*keys, "_w", "length", least_of(F.col("_g"), F.col("length") - (gram - 1)).alias("_m"))
+    each = F.transform("_m", lambda m, s: F.struct(s.alias("start"), m.alias("print"), F.array_join(F.slice("_w", s + 1, F.col("length")), " ").alias("window")))
+    return least.select(*keys, "length", F.explode_outer(each).alias("x")).select(*keys, "length", "x.*")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -75,9 +76,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
     A window is `span` consecutive words of an item, or the whole item if it has fewer; every document word inside an
     occurrence of a window is hit. The winnowing window is set by the shortest item, so shorter items are met too.
-    Documents whose fingerprints meet the benchmark's are read again, and a window counts only if all its words are
-    equal. Tables of the benchmark are sent to all executors up to BROADCAST_ROWS rows, beyond that both sides are
-    shuffled by hash and window.
+    Documents whose fingerprints meet the benchmark's are read again, once for all lengths of windows, and a window counts
+    only if all its words are equal. Tables of the benchmark are sent to all executors up to BROADCAST_ROWS rows, beyond
+    that both sides are shuffled by hash and window.
 
     Null and empty texts have no words: such a document is clean, such an item never occurs. Rows of one doc_id are
     taken as one document (n_words of the longest, hits of all), or with `by_text` only if their texts are equal; rows
@@ -102,15 +103,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     suspects = counted.where("met = 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     # by merging at every size: the ids grow with the documents, so a plan that sends them to all would not last
     again = docs.join(suspects.hint("merge"), met_by, "left_semi")
-    union = None
-    for n in lengths:
-        held = items.where(F.col("n") == n) if n < span else items.where(F.col("n") >= span)
-        asked = materialise(windows(held, ["item_id"], n, gram).groupBy("print", "window").agg(F.collect_set("item_id").alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("unnamed")), "windows")
-        found = windows(again, keys, n, gram).join(_small(asked), ["print", "window"]).select(*keys, "start", "length", "ids", "unnamed")
-        union = found if union is None else union.unionByName(found)
+    held = windows(items, ["item_id"], F.array(F.least("n", F.lit(span))), gram).where("print is not null")
+    asked = materialise(held.groupBy("length", "print", "window").agg(F.collect_set("item_id").alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("unnamed")), "windows")
+    found = windows(again, keys, F.lit(lengths), gram).join(_small(asked), ["length", "print", "window"]).select(*keys, "start", "length", "ids", "unnamed")
     # as many starts as a document has words, as many ids as the benchmark has items
     reach = lambda acc, x: F.struct(F.greatest(acc["at"], x["start"] + x["length"]).alias("at"), (acc["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(acc["at"], x["start"]))).alias("n"))
-    hits = union.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.bool_or("unnamed").alias("unnamed"))
+    hits = found.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.bool_or("unnamed").alias("unnamed"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), reach, lambda acc: acc["n"]).cast("long").alias("n_hit"), "items", "unnamed", "spans")
     return _result(counted.drop("met"), hits)
 
