@@ -287,6 +287,17 @@ def test_first_rows_keep_k_of_a_hot_tie_in_each_task(spark):
     assert "Partial" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_slice_bounds_are_taken_once(spark):
+    df = spark.range(400).select((F.col("id") % 3).alias("g"), F.sqrt("id").alias("v"), "id")
+    for out in (ranks.value_ranks(df, ["g"], "v"), ranks.sum_before(df, ["g"], ["v"], "id", "s")):
+        assert "percentile_approx" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_values_that_agree_to_the_digits_tie(spark):
+    df = spark.createDataFrame([(0, 0.1 + 0.2), (0, 0.3), (0, 0.5)], "g int, v double")
+    assert [r.p for r in ranks.pct_rank(df, ["g"], "v", "p", digits=12).orderBy("v").collect()] == [0.5, 0.5, 1.0]
+
+
 def test_sum_before_equals_a_running_sum_with_a_hot_group(spark):
     rnd = random.Random(12)
     rows = [(0 if rnd.random() < 0.7 else rnd.randrange(1, 40), rnd.randrange(400), i, rnd.randrange(1, 80) / 8) for i in range(4000)]
@@ -307,3 +318,10 @@ def test_recent_mean_of_a_hot_day_takes_the_newest(spark):
         closed = sorted((x, a, s, r) for _, a, s, x, r in rows if x < signal)[-7:]
         n, mean = got[asset]
         assert n == len(closed) and (mean is None if not closed else abs(mean - sum(c[3] for c in closed) / len(closed)) < 1e-12)
+
+
+def test_a_flat_tone_has_no_score(spark):
+    from tidemark.operators import news as I
+    daily = spark.createDataFrame([(1, day(i), 1, x) for i, x in enumerate([0.1 + 0.2, 0.3, 0.3, 0.1 + 0.2, 0.3, 0.3, 0.3, 0.1 + 0.2])], "asset long, day date, articles long, tone double")
+    got = I.news_features(daily, daily.select("asset", "day"), (1, 1, 4, 2), (1, 1, 4, 2)).collect()
+    assert {r.tone_z for r in got} == {None}
