@@ -325,3 +325,17 @@ def test_a_flat_tone_has_no_score(spark):
     daily = spark.createDataFrame([(1, day(i), 1, x) for i, x in enumerate([0.1 + 0.2, 0.3, 0.3, 0.1 + 0.2, 0.3, 0.3, 0.3, 0.1 + 0.2])], "asset long, day date, articles long, tone double")
     got = I.news_features(daily, daily.select("asset", "day"), (1, 1, 4, 2), (1, 1, 4, 2)).collect()
     assert {r.tone_z for r in got} == {None}
+
+
+def test_column_ranks_of_small_and_large_dates_agree(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(day(i % 3 and 1), i, rnd.choice([None, 0.5, rnd.random()]), rnd.random(), 7.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "ts date, asset long, a double, b double, kept double")
+    whole = O.rank_columns(df, "ts", "asset", ["a", "b"])
+    assert "explode" not in whole._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(O, "DATE_ROWS", 150)
+    mixed = O.rank_columns(df, "ts", "asset", ["a", "b"])
+    want = df.toPandas()
+    want[["a", "b"]] = want.groupby("ts")[["a", "b"]].rank(pct=True)
+    for got in (whole, mixed):
+        pd.testing.assert_frame_equal(got.toPandas().sort_values("asset").reset_index(drop=True), want.sort_values("asset").reset_index(drop=True))
