@@ -290,6 +290,13 @@ def test_repeats_of_odd_tables(odd, none):
     assert substrings.remove_repeats(none).isEmpty()
 
 
+def test_windows_travel_in_eight_bytes_whatever_their_words(spark):
+    texts = [" ".join(f"{'long' * 10}word{i * k}" for i in range(200)) for k in (1, 3)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text_key": pa.array([0, 0], pa.int32()), "text": texts})
+    packed = [v for out in substrings._packer(35, np.zeros(0, np.uint64))(iter([batch])) for v in out.column("packed").to_pylist()]
+    assert sum(map(len, packed)) == 8 * 2 * (200 - 35 + 1)
+
+
 # language (8)
 
 def test_language_held_out_accuracy(spark):

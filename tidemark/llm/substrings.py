@@ -1,4 +1,4 @@
-"""Repeated passages: windows of words are counted in the bucket of their minimiser, several windows to one string."""
+"""Repeated passages: windows of words are counted in the bucket of their minimiser, several windows to one row."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ from tidemark.session import materialise
 
 #: Words of the run whose smallest hash names the bucket of a window.
 GRAM = 5
-#: Windows of one packed string at most.
+#: Windows of one packed row at most.
 LONGEST = 256
-#: Minimisers fall into 2**CELL_BITS cells by their leading bits; those of a cell with more packed strings than HOT (about
-#: 16 MB of text, a small task) are counted window by window. Both are fixed, and so are a bucket's size and the table of
+#: Minimisers fall into 2**CELL_BITS cells by their leading bits; those of a cell with more packed rows than HOT (about
+#: 8 MB, a small task) are counted window by window. Both are fixed, and so are a bucket's size and the table of
 #: cells, however large the corpus is.
 HOT, CELL_BITS = 50_000, 26
 
@@ -84,20 +84,28 @@ def _places(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> list[pa.Arra
     return [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array((at - words.first[row]).astype(np.int32))]
 
 
+def _run_hash(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` neighbours, by doubling; the two halves of the last step may overlap."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        hashes = mix(hashes[:-step] * np.uint64(0x9E3779B97F4A7C15) + hashes[step:]) if len(hashes) > step else hashes[:0]
+        have += step
+    return hashes
+
+
 def _packer(span: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"))
-            minimisers, at, n = _super_kmers(words, words.hashes(), span)
+            hashes = words.hashes()
+            minimisers, at, n = _super_kmers(words, hashes, span)
             cold = ~_is_hot(minimisers, hot)
             minimisers, at, n = minimisers[cold], at[cold], n[cold]
-            uneven = np.zeros(len(words.starts) + 1, np.int64)
-            if len(words.starts) > 1:
-                np.cumsum((words.starts[1:] - words.ends[:-1] != 1) | (words.data[words.ends[:-1]] != 0x20), out=uneven[1 : len(words.starts)])
-            raw, ends = words.data.tobytes(), at + n + span - 1
-            odd = uneven[ends - 1] > uneven[at]
-            pieces = [raw[a:b] if not o else b" ".join(raw[a:b].split()) for a, b, o in zip(words.starts[at].tolist(), words.ends[ends - 1].tolist(), odd.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), *_places(batch, words, at), pa.array(pieces, pa.binary())], names=["minimiser", "doc_id", "text_key", "start", "packed"])
+            upto = np.append(0, np.cumsum(n))
+            windows = _run_hash(hashes, span)[np.repeat(at - upto[:-1], n) + np.arange(upto[-1])] if len(at) else hashes[:0]
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((upto * 8).astype(np.int32)), pa.py_buffer(windows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), *_places(batch, words, at), packed], names=["minimiser", "doc_id", "text_key", "start", "packed"])
 
     return run
 
@@ -127,29 +135,23 @@ def _single(span: int, hot: np.ndarray):
     return run
 
 
-def _repeated(group: np.ndarray, packed: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and offset of each window that stands more than once in the packed strings of its group. Sorting brings
-    equal hashes together; neighbours count as equal if all their words are."""
-    words = words_of(packed.cast(pa.string()))
-    hashes = words.hashes()
-    window = _window_hash(hashes, span, 0x9E3779B97F4A7C15)
-    row = np.repeat(np.arange(len(packed)), np.diff(words.first))[: len(window)]
-    at = np.flatnonzero(np.arange(len(window)) + span <= words.first[1:][row])
-    row, window = row[at], window[at]
+def _repeated(group: np.ndarray, packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and offset of each window that stands more than once in the packed rows of its group. Sorting brings equal
+    hashes together."""
+    packed = packed.cast(pa.large_binary())
+    ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    window = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+    n = np.diff(ends) // 8
+    row = np.repeat(np.arange(len(packed)), n)
     order = np.lexsort((window, group[row]))
-    same = (window[order[1:]] == window[order[:-1]]) & (group[row[order[1:]]] == group[row[order[:-1]]])
-    pair = np.flatnonzero(same)
-    a, b = at[order[pair]], at[order[pair + 1]]
-    equal = (words.ends[a + span - 1] - words.starts[a]) == (words.ends[b + span - 1] - words.starts[b])
-    for j in range(span):
-        equal &= hashes[a + j] == hashes[b + j]
-    again = np.zeros(len(at), bool)
-    again[order[pair[equal]]] = again[order[pair[equal] + 1]] = True
+    same = np.flatnonzero((window[order[1:]] == window[order[:-1]]) & (group[row[order[1:]]] == group[row[order[:-1]]]))
+    again = np.zeros(len(window), bool)
+    again[order[same]] = again[order[same + 1]] = True
     hit = np.flatnonzero(again)
-    return row[hit], at[hit] - words.first[row[hit]]
+    return row[hit], hit - (np.cumsum(n) - n)[row[hit]]
 
 
-def _bucket(span: int):
+def _bucket():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by minimiser. The last group of a batch may go on in the next, so it waits; a group has no
         more rows than the bound on minimisers that are not hot."""
@@ -160,18 +162,18 @@ def _bucket(span: int):
             other = np.flatnonzero(keys != keys[-1:])
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from _ranges(table.slice(0, cut), span)
+                yield from _ranges(table.slice(0, cut))
             rest = table.slice(cut)
         if rest is not None and rest.num_rows:
-            yield from _ranges(rest, span)
+            yield from _ranges(rest)
 
     return run
 
 
-def _ranges(table: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
+def _ranges(table: pa.Table) -> Iterator[pa.RecordBatch]:
     one = table.combine_chunks().to_batches()[0]
     keys = one.column("minimiser").to_numpy()
-    row, offset = _repeated(np.cumsum(np.append(False, keys[1:] != keys[:-1])), one.column("packed"), span)
+    row, offset = _repeated(np.cumsum(np.append(False, keys[1:] != keys[:-1])), one.column("packed"))
     if not len(row):
         return
     new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(offset) != 1)))
@@ -215,7 +217,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def hot_cells(rows: DataFrame, span: int) -> np.ndarray:
-    """The cells of more than HOT packed strings as bits of 64-bit words; empty if there are none. At most
+    """The cells of more than HOT packed rows as bits of 64-bit words; empty if there are none. At most
     2**(CELL_BITS - 6) words reach the driver."""
     counts = rows.mapInArrow(_counter(span), CELLS).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
     bits = counts.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cell & 63))").alias("bits")).collect()
@@ -231,7 +233,7 @@ def repeated_ranges(rows: DataFrame, span: int) -> DataFrame:
     rows = rows.select("doc_id", "text_key", "text")
     hot = hot_cells(rows, span)
     packed = rows.mapInArrow(_packer(span, hot), PACKED)
-    cold = packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_bucket(span), RANGES)
+    cold = packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_bucket(), RANGES)
     if not len(hot):
         return cold
     single = rows.mapInArrow(_single(span, hot), SINGLE)
@@ -245,9 +247,9 @@ def remove_repeats(docs: DataFrame, span: int = 35, keep_text: bool = True) -> D
     A word goes if a window of `span` consecutive words covers it whose word sequence also starts anywhere else, in the
     same document or another; all windows are judged on the input. Words are runs of characters between blanks.
 
-    Consecutive windows whose smallest GRAM-word hash is the same travel to that hash's bucket as one packed string;
-    there all windows are sorted and counted by their words. The strings of a minimiser that very many texts share
-    would all meet in one task: such minimisers are counted first, and their windows (by 128-bit hashes, summed before
+    Consecutive windows whose smallest GRAM-word hash is the same travel to that hash's bucket as one packed row of their
+    64-bit hashes, about a third of the words they cover; there all windows are sorted and counted, and two are equal if
+    both hashes, the bucket's and their own, are. The rows of a minimiser that very many texts share would all meet in one task: such minimisers are counted first, and their windows (by 128-bit hashes, summed before
     the shuffle) go to as many tasks as there are.
 
     Null, empty and short texts have no window and keep all words; a very long text is cut in one task. Every row is an
