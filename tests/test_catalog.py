@@ -27,3 +27,8 @@ def test_no_nested_loops_in_headline_plans(spark, catalog):
     for name in ("c16_beta_residual", "d8_membership_mask", "d12_event_window_agg", "f8_sector_reversal", "g1_insider_cluster", "l3_barrier_outcomes"):
         plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_union_recent_joins_the_filings_once(spark, catalog):
+    plan = catalog.QUERIES["a4_union_recent"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Union" in plan
