@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asset_signals as E
 from tidemark.operators import bars as B
+from tidemark.operators import combine as H
 from tidemark.operators import features as C
 from tidemark.operators import outcomes as L
 from tidemark.operators import research as N
@@ -342,3 +343,11 @@ def test_same_idea_over_shared_weeks(spark, monkeypatch):
     frame = pd.DataFrame([(t, w, x) for (t, w), x in r.items()], columns=["t", "w", "r"]).pivot(index="w", columns="t", values="r").corr()
     assert {x.try_id for x in out.collect()} == {t for t in range(4, 10) if (frame.loc[t, [0, 1, 2, 3]] >= 0.4).any()}
     assert "corr(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_ratios_of_another_order_tie(spark):
+    ratios = {1: [1.0, 2.0, 3.0], 2: [3.0, 2.0, 1.0]}
+    panel = spark.createDataFrame([(a, DAY + dt.timedelta(7 * k), k) for a in ratios for k in range(4)], "asset long, ts date, sno long")
+    volumes = spark.createDataFrame([(a, DAY + dt.timedelta(7 * k), v, 10.0) for a, vs in ratios.items() for k, v in enumerate(vs)], "asset long, ts date, short double, total double")
+    ranks = lambda digits: {r.asset: r.short_rank for r in H.short_rank(panel, volumes, 3, 3, digits).collect() if r.short_rank is not None}
+    assert ranks(12) == {1: 0.75, 2: 0.75} and ranks(None) == {1: 1.0, 2: 0.5}

@@ -23,15 +23,16 @@ def one_per_gap_bars(parts: list[DataFrame], bars: DataFrame, gap: int) -> DataF
     return numbered.join(kept, ["asset", "_bn"]).select("asset", "ts", F.lit(1).alias("side"))
 
 
-def short_rank(panel: DataFrame, volumes: DataFrame, n: int, least: int) -> DataFrame:
+def short_rank(panel: DataFrame, volumes: DataFrame, n: int, least: int, digits: int | None = None) -> DataFrame:
     """Share of the cross-section with a lower mean short ratio, the ratio usable from the session after its own.
 
-    `volumes(asset, ts, short, total)` on the panel's sessions.
+    `volumes(asset, ts, short, total)` on the panel's sessions. With `digits`, means that agree to so many places tie: a
+    mean of the same ratios in another order differs by rounding noise.
     """
     ratio = volumes.filter("total > 0").select("asset", "ts", (F.col("short") / F.col("total")).alias("_ratio"))
     df = panel.join(ratio, ["asset", "ts"], "left").withColumn("_known", sessions_ago("_ratio", 1))
     df = df.withColumn("_mean", session_rolling(F.avg, "_known", n, least))
-    return pct_rank(df, ["ts"], "_mean", "short_rank").drop("_ratio", "_known", "_mean")
+    return pct_rank(df, ["ts"], "_mean", "short_rank", digits=digits).drop("_ratio", "_known", "_mean")
 
 
 def at_turn(signals: DataFrame, panel: DataFrame, bounce: int, wait: int, confirm: str = "stock") -> DataFrame:
