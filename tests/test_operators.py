@@ -339,3 +339,22 @@ def test_column_ranks_of_small_and_large_dates_agree(spark, monkeypatch):
     want[["a", "b"]] = want.groupby("ts")[["a", "b"]].rank(pct=True)
     for got in (whole, mixed):
         pd.testing.assert_frame_equal(got.toPandas().sort_values("asset").reset_index(drop=True), want.sort_values("asset").reset_index(drop=True))
+
+
+def test_signals_and_twins_of_several_rules_in_one_pass(spark):
+    rng = random.Random(7)
+    rows = []
+    for a in (1, 2, 3):
+        p = 100.0
+        for k in range(90):
+            p *= 1 + rng.uniform(-0.03, 0.03)
+            o, c = p * (1 + rng.uniform(-0.02, 0.02)), p * (1 + rng.uniform(-0.02, 0.02))
+            rows.append((a, dt.date(2020, 1, 6) + dt.timedelta(7 * k), o, max(o, c) * 1.01, min(o, c) * 0.99, c, 1.0))
+    bars = spark.createDataFrame(rows, "asset long, ts date, open double, high double, low double, close double, volume double")
+    got = E.fired_each(C.with_atr(bars), {"s": E.sweep_side(4, 0.1), "d": E.breakout_side(10, 40)})
+    both = {(r.candidate, r.asset, r.ts, r.side) for r in got.collect()}
+    apart = {"s": E.liquidity_sweep(bars, 4, 0.1), "d": E.donchian_breakout(bars, 10, 40)}
+    assert both == {(k, r.asset, r.ts, r.side) for k, df in apart.items() for r in df.collect()} and len(both) > 10
+    twins = E.random_twins(got, bars, 7)
+    assert {(r.candidate, r.asset, r.ts, r.side) for r in twins.collect()} == {(k, r.asset, r.ts, r.side) for k, df in apart.items() for r in E.random_twin(df, bars, 7).collect()}
+    assert got._jdf.queryExecution().executedPlan().toString().count("Union") == 0
