@@ -222,6 +222,22 @@ def test_rules_of_a_table_give_what_each_gives_alone(spark):
         assert {(r.asset, r.fill_no): (r.reason, round(r.r, 9), r.exit_ts) for r in grid if r.rule == name} == alone and alone
 
 
+def test_signals_listed_on_bars_give_the_trades_of_a_table_of_signals(spark):
+    from tidemark.functions.temporal import flag_session, on_session
+
+    rng = random.Random(12)
+    bars = spark.createDataFrame([b for a in (1, 2) for b in walk(rng, 80, a)], "asset long, ts date, open double, high double, low double, close double, volume double, atr double").filter("pmod(datediff(ts, date'2020-01-06'), 7) < 5")
+    days = spark.createDataFrame([(a, DAY + dt.timedelta(i)) for a in (1, 3) for i in (-4, 2, 12, 13, 40, 40, 200)] + [(2, None)], "asset long, day date")
+    want = {(r.asset, r.ts) for r in on_session(days.filter("day is not null").distinct(), bars).collect()}
+    marked = flag_session(bars, days, "blocked")
+    assert {(r.asset, r.ts) for r in marked.filter("blocked").collect()} == want and marked.count() == bars.count() and want
+    rules = {"up": F.when(F.col("close") > 100, 1).otherwise(0), "down": F.when(F.col("close") < 101, -1).otherwise(0)}
+    listed = marked.withColumn("fires", E.fires(rules))
+    table = listed.select("asset", "ts", F.explode("fires").alias("x")).select("asset", "ts", "x.strategy", "x.side")
+    rows = lambda signals: sorted(map(str, L.ledger(signals, marked if signals is table else listed, L.ExitRule(1.0, 1.5, max_bars=6), L.Costs(), ["strategy", "asset"]).collect()))
+    assert rows("fires") == rows(table) and rows(table)
+
+
 # documents (A9, A10)
 
 def test_ownership_documents(spark):
