@@ -238,6 +238,21 @@ def test_signals_listed_on_bars_give_the_trades_of_a_table_of_signals(spark):
     assert rows("fires") == rows(table) and rows(table)
 
 
+def test_medians_of_folds_are_exact_beyond_the_sketch(spark):
+    from tidemark.operators import learning as O
+
+    rng = np.random.default_rng(3)
+    table = pd.DataFrame({"fold": np.arange(60_001) % 2, "a": rng.lognormal(0, 3, 60_001), "b": np.round(rng.normal(0, 1, 60_001), 1), "c": None}).astype({"c": float})
+    table.loc[::7, "a"] = None
+    frame = spark.createDataFrame(table).withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in "abc"}).repartition(8)
+    got = {r.fold: r for r in O.fold_medians(frame, ["a", "b", "c"]).collect()}
+    for fold, rows in table.groupby("fold"):
+        for k in "ab":
+            v = np.sort(rows[k].dropna())
+            assert got[fold][f"_m_{k}"] == v[math.ceil(len(v) / 2) - 1]
+        assert got[fold]["_m_c"] is None
+
+
 # documents (A9, A10)
 
 def test_ownership_documents(spark):
