@@ -373,6 +373,26 @@ def test_trailing_activity_equals_distinct_counts_and_sums(spark):
     assert {(r.asset, r.d): (r.n, r.s) for r in asked.collect()} == {k: want(*k) for k in grid}
 
 
+def joins_of_filings(spark, catalog, name, monkeypatch):
+    """How often a query makes the filings' join, the bars and the panel."""
+    from tidemark.sources import bindings
+    made = dict.fromkeys(("filings", "weekly_bars", "sector_panel"), 0)
+    for f in made:
+        def counted(*a, f=f, make=getattr(bindings, f)):
+            made[f] += 1
+            return make(*a)
+        monkeypatch.setattr(bindings, f, counted)
+    monkeypatch.setattr("tidemark.plans.event_signals.BARS", bindings.weekly_bars)
+    monkeypatch.setattr("tidemark.plans.learning.BARS", bindings.weekly_bars)
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    return made
+
+
+@pytest.mark.parametrize("name, panels", [("g35_insider_consensus", 0)])
+def test_signals_of_a_query_share_filings_and_bars(spark, catalog, name, panels, monkeypatch):
+    assert joins_of_filings(spark, catalog, name, monkeypatch) == {"filings": 1, "weekly_bars": 1, "sector_panel": panels}
+
+
 def test_clean_signal_makes_the_filings_join_once(spark, catalog):
     plan = catalog.QUERIES["g9_insider_clean"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
