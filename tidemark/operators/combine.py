@@ -46,6 +46,13 @@ def at_turn(signals: DataFrame, panel: DataFrame, bounce: int, wait: int, confir
     return first_ahead(on_bars(signals, df), F.col("_sig"), F.col("_up"), 0, wait)
 
 
+def at_turn_by(signals: DataFrame, panel: DataFrame, bounce: int, wait: int, by: list[str]) -> DataFrame:
+    """`at_turn` on the stock's own return for the signals of several ideas (named by the columns `by`) in one pass over the panel."""
+    df = panel.select("asset", "ts", F.when(session_return(bounce) > 0, F.col("ts")).alias("_turn"))
+    df = df.select("asset", "ts", F.min("_turn").over(own().rowsBetween(0, wait)).alias("_to")).filter("_to is not null")
+    return signals.select(*by, "asset", "ts").join(df, ["asset", "ts"]).select(*by, "asset", F.col("_to").alias("ts")).distinct()
+
+
 def not_event_day(rows: DataFrame, bars: DataFrame, release_days: DataFrame) -> DataFrame:
     """Rows outside the reaction session of a release and the one after it."""
     react = on_session(release_days.select("asset", "day").distinct(), bars).select("asset", "ts").distinct().withColumn("_r", F.lit(1))

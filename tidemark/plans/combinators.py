@@ -10,7 +10,7 @@ from ..session import materialise
 from ..sources import bindings as S
 from .asset_signals import donchian, full, sweeps
 from .catalog import cte, query
-from .event_signals import BARS, BUYS, PAN, g3, g35, base, once_cte, short_ranks, stressed, underwater
+from .event_signals import BARS, BUYS, PAN, g3, g35, base, once_cte, short_ranks, stressed, underwater, written_filings
 from .panel_signals import enter, one
 
 once_cte("h1", "e16_w", 60)
@@ -67,15 +67,17 @@ cte("calm_stress", "select s.asset, s.ts from sstress s join calm_w f using (ass
 cte("wash_calm", "select asset, ts from wash_w where calm <= 0.5")
 
 
-def calm_rows(spark, sf):
-    return P.calm(PAN(spark, sf), 0.3, 26, 13)
+def calm_rows(spark, sf, panel=None):
+    return P.calm(PAN(spark, sf) if panel is None else panel, 0.3, 26, 13)
 
 
 @query("h6_turned_ideas", f"select 'underwater' as idea, * from ({turn_sql('s_under', 6, 'rb')}) union all select 'calm_fresh', * from ({turn_sql('calm_fresh', 6, 'rb')})")
 def h6(spark, sf):
-    a = H.at_turn(underwater(spark, sf), PAN(spark, sf), 2, 6).select(F.lit("underwater").alias("idea"), "asset", "ts", "side")
-    fresh = P.only(g3(spark, sf), calm_rows(spark, sf))
-    return a.unionByName(H.at_turn(fresh, PAN(spark, sf), 2, 6).select(F.lit("calm_fresh").alias("idea"), "asset", "ts", "side"))
+    # an idea turns only on a bar of the panel, so the panel's bars place the signals too
+    panel, (_, buys) = PAN(spark, sf), written_filings(spark, sf, "shares", "price")
+    fresh = P.only(g3(spark, sf, buys, panel), calm_rows(spark, sf, panel))
+    ideas = underwater(spark, sf, buys, panel).select(F.lit("underwater").alias("idea"), "asset", "ts").unionByName(fresh.select(F.lit("calm_fresh").alias("idea"), "asset", "ts"))
+    return H.at_turn_by(ideas, panel, 2, 6, ["idea"]).select("idea", "asset", "ts", F.lit(1).alias("side"))
 
 
 cte("low_short_base", "select s.asset, s.ts from c_base s join srank_w f using (asset, ts) where short_rank <= 0.3")
