@@ -388,7 +388,7 @@ def joins_of_filings(spark, catalog, name, monkeypatch):
     return made
 
 
-@pytest.mark.parametrize("name, panels", [("g35_insider_consensus", 0), ("h6_turned_ideas", 1), ("o6_cluster_events", 0)])
+@pytest.mark.parametrize("name, panels", [("g29_low_short_combos", 1), ("g35_insider_consensus", 0), ("h6_turned_ideas", 1), ("o6_cluster_events", 0)])
 def test_signals_of_a_query_share_filings_and_bars(spark, catalog, name, panels, monkeypatch):
     assert joins_of_filings(spark, catalog, name, monkeypatch) == {"filings": 1, "weekly_bars": 1, "sector_panel": panels}
 
