@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -396,3 +397,27 @@ def test_signals_of_a_query_share_filings_and_bars(spark, catalog, name, panels,
 def test_clean_signal_makes_the_filings_join_once(spark, catalog):
     plan = catalog.QUERIES["g9_insider_clean"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
+
+
+def test_surprises_of_another_sum_order_tie(spark):
+    """Three equal companies whose quarters were added up in other orders, one worse and one better: the equal ones share their
+    rank, (2 + 3 + 4) / 3 of 5."""
+    noise = {"b": 0.0, "c": 1e-10, "d": -1e-10}
+    ends = [d.date() for d in pd.date_range("2018-03-31", periods=14, freq="QE")]
+    moves = [3.0, 9.0, 4.0, 1.0, 8.0, 2.0, 7.0, 5.0, 6.0, 4.0, 9.0, 2.0, 8.0, 6.0]
+    last = {"a": 1.0, "e": 12.0} | {k: 6.0 + v for k, v in noise.items()}
+    rows = [(k, "ni", e, v if i < 13 else last[k], e + dt.timedelta(20)) for k in "abcde" for i, (e, v) in enumerate(zip(ends, moves))]
+    quarters = spark.createDataFrame(rows, "asset string, item string, end date, val double, filed date")
+    grid = spark.createDataFrame([(k, dt.date(2021, 8, 2)) for k in "abcde"], "asset string, ts date")
+    picked = lambda least: {r.asset for r in J.surprise_rank(grid, quarters, least).collect()}
+    assert picked(0.6) == set("bcde") and picked(0.61) == {"e"}
+
+
+def test_asof_of_bars_equals_the_sliced_one(spark):
+    rng = np.random.default_rng(3)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(int(k))
+    bars = spark.createDataFrame([(int(a), day(7 * k), float(rng.random())) for a in range(5) for k in range(40)], "asset long, ts date, close double")
+    series = {n: (spark.createDataFrame([(int(rng.integers(0, 6)), day(rng.integers(0, 280)), float(v)) for v in range(30)], "asset long, filed date, val double"), "filed", ["val"]) for n in ("x", "y")}
+    for strict in (True, False):
+        got, want = (sorted(map(str, f(bars, series, ["asset"], "ts", strict=strict).select("asset", "ts", "close", "x", "y").collect())) for f in (temporal.asof_bars, temporal.asof_join_many))
+        assert got == want
