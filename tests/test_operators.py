@@ -421,3 +421,37 @@ def test_asof_of_bars_equals_the_sliced_one(spark):
     for strict in (True, False):
         got, want = (sorted(map(str, f(bars, series, ["asset"], "ts", strict=strict).select("asset", "ts", "close", "x", "y").collect())) for f in (temporal.asof_bars, temporal.asof_join_many))
         assert got == want
+
+
+def test_unions_make_the_filings_join_once(spark, catalog, monkeypatch):
+    assert joins_of_filings(spark, catalog, "h7_unions", monkeypatch) == {"filings": 1, "weekly_bars": 0, "sector_panel": 0}
+
+
+def test_parts_by_rank_are_those_of_the_ranks(spark):
+    """Ties, a hot value across the share, small groups, groups of one, nulls, and a group beyond the sketch."""
+    rnd = random.Random(4)
+    rows = [("wide", rnd.gauss(0, 1)) for _ in range(6000)] + [("tied", float(rnd.randint(0, 9))) for _ in range(500)] + [("hot", 1.0 if rnd.random() < 0.6 else rnd.random() * 2) for _ in range(400)]
+    rows += [("one", 5.0), ("none", None), ("equal", 2.0), ("equal", 2.0), ("ten", None)] + [("ten", float(v)) for v in range(10)]
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(rows)], "g string, v double, i int")
+    ranked = {r.i: r.p for r in ranks.pct_rank(df, ["g"], "v", "p").collect()}
+    for share in (0.3, 0.5, 0.6):
+        assert {r.i for r in ranks.ranked_from(df, ["g"], "v", share).collect()} == {i for i, p in ranked.items() if p is not None and p >= share}
+        assert {r.i for r in ranks.ranked_upto(df, ["g"], "v", share).collect()} == {i for i, p in ranked.items() if p is not None and p <= share}
+
+
+def test_ideas_of_one_pass_are_those_of_each(spark):
+    """Owners without a name, hot pairs, sales, titles and releases: the one pass gives what the operators give alone."""
+    rnd = random.Random(11)
+    filed = [(rnd.choice([0, 0, 0, 1, 2, 3]), rnd.choice([None, 1, 2, 3, 4, 5, 6]), day(rnd.randint(0, 700)), rnd.randint(0, 5), rnd.choice("PPPS"), float(rnd.randint(0, 9)), 90 + 20 * rnd.random(), rnd.choice(["CEO", "CFO", "x", None])) for _ in range(900)]
+    f = spark.createDataFrame([(a, o, d, d - dt.timedelta(days=k), c, s, p, s * p * 200, t) for a, o, d, k, c, s, p, t in filed], "asset int, owner int, filed date, traded date, code string, shares double, price double, value double, title string")
+    bars = spark.createDataFrame([(a, day(7 * k), 100 + 12 * math.sin(k / 3 + a)) for a in range(4) for k in range(95)], "asset int, ts date, close double")
+    rel = spark.createDataFrame([(a, day(rnd.randint(0, 690))) for a in range(4) for _ in range(9)], "asset int, day date")
+    gaps = {"base": 10, "fresh": 20, "late": 10, "exec": 30, "clean": 30, "under": 30, "votes": 30}
+    buys = f.filter("code = 'P'")
+    alone = {"base": G.insider_cluster(buys, bars, 2, 10), "fresh": G.insider_cluster(G.fresh(buys, 60), bars, 2, 10, 20), "late": G.insider_cluster(G.filing_lag(buys, "late"), bars, 2, 10), "exec": G.insider_top_exec(buys, bars, 90000.0, "ceo_cfo", 30),
+             "clean": G.insider_clean(f, bars, 1, 10, 15, 30), "under": G.insider_underwater(buys, bars, 2, 0.01, 20, 30)}
+    alone["votes"] = G.consensus([alone["fresh"], alone["under"], alone["exec"], alone["clean"], G.after_earnings(alone["base"], bars, rel, 4, 0.0)], bars, 2, 4, 30)
+    got = G.insider_ideas(f, bars, 10, 2, 60, 3, 90000.0, "ceo_cfo", 15, 20, 0.01, gaps, rel, 4, 2, 4).collect()
+    for k, df in alone.items():
+        want = {(r.asset, r.ts) for r in df.collect()}
+        assert want and {(r.asset, r.ts) for r in got if r.idea == k} == want, k

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import pct_rank
-from ..functions.temporal import gap_filter, on_session
+from ..functions.temporal import gap_filter, on_session, pick
 from ..functions.windows import own, session_return, session_rolling, sessions_ago
 from .event_signals import as_signals, first_ahead, on_bars
 from .panel_signals import sector_medians
@@ -23,6 +23,21 @@ def one_per_gap_bars(parts: list[DataFrame], bars: DataFrame, gap: int) -> DataF
     return numbered.join(kept, ["asset", "_bn"]).select("asset", "ts", F.lit(1).alias("side"))
 
 
+def one_per_gap_bars_by(signals: DataFrame, bars: DataFrame, gap: int, by: list[str]) -> DataFrame:
+    """`one_per_gap_bars` of several unions, named by the columns `by` of `signals`, in one pass over the bars."""
+    numbered = bars.select("asset", "ts", F.row_number().over(own()).alias("_bn")).join(signals.select(*by, "asset", "ts"), ["asset", "ts"])
+    lists = numbered.groupBy(*by, "asset").agg(F.sort_array(F.collect_set(F.struct("_bn", "ts"))).alias("_all"))  # never longer than an asset's bars
+    kept = pick(F.col("_all"), F.lit(None).cast("int"), lambda last, x: last.isNull() | (x["_bn"] - last > gap), lambda x: x["_bn"], lambda x: x["ts"], dict(bars.dtypes)["ts"])
+    return lists.select(*by, "asset", F.explode(kept).alias("ts")).withColumn("side", F.lit(1))
+
+
+def with_short_mean(panel: DataFrame, n: int, least: int) -> DataFrame:
+    """The mean of `short_rank`, unranked, as `_mean`, of a panel that carries `short` and `total`."""
+    df = panel.withColumn("_ratio", F.when(F.col("total") > 0, F.col("short") / F.col("total")))
+    df = df.withColumn("_known", sessions_ago("_ratio", 1))
+    return df.withColumn("_mean", session_rolling(F.avg, "_known", n, least)).drop("_ratio", "_known")
+
+
 def short_rank(panel: DataFrame, volumes: DataFrame, n: int, least: int, digits: int | None = None) -> DataFrame:
     """Share of the cross-section with a lower mean short ratio, the ratio usable from the session after its own.
 

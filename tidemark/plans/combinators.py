@@ -1,16 +1,22 @@
 """H: signal combinators."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import enters, rolling
+from ..functions.ranks import ranked_upto
+from ..functions.temporal import calendar
+from ..functions.windows import enters, rolling, session_return
 from ..operators import combine as H
 from ..operators import event_signals as G
 from ..operators import panel_signals as P
+from ..operators.features import with_realised_vol
 from ..session import materialise
 from ..sources import bindings as S
 from .asset_signals import donchian, full, sweeps
 from .catalog import cte, query
-from .event_signals import BARS, BUYS, PAN, g3, g35, base, once_cte, short_ranks, stressed, underwater, written_filings
+from .event_signals import BARS, GAPS, PAN, g3, ideas, once_cte, short_ranks, underwater, written_filings
 from .panel_signals import enter, one
 
 once_cte("h1", "e16_w", 60)
@@ -89,20 +95,20 @@ union_cte("top", ["calm_fresh", "s_under", "c_late", "s_votes"], 8)
 
 @query("h7_unions", "select 'calm' as kind, asset, ts, 1 as side from u_calm union all select 'insider', asset, ts, 1 from u_insider union all select 'top', asset, ts, 1 from u_top")
 def h7(spark, sf):
-    bars, calm = BARS(spark, sf), calm_rows(spark, sf)
-    fresh = P.only(g3(spark, sf), calm)
-    wash = P.only(P.sector_washout(PAN(spark, sf), 0.004, 2, 12), P.calm(PAN(spark, sf), 0.5, 26, 13))
-    stress = stressed(spark, sf)
-    b = base(spark, sf)
-    late = G.insider_cluster(G.filing_lag(BUYS(spark, sf), "late"), bars, 2, 10)
+    bars = materialise(S.weekly_closes(spark, sf), "bars")
+    found = ideas(spark, sf, bars, *GAPS)
+    panel = bars.join(calendar(bars), "ts").join(S.sectors(spark, sf).select("asset", "sector"), "asset")
+    moves = with_realised_vol(H.with_short_mean(panel, 8, 4), 26, 13, False, "_vol").withColumns({"_rw": session_return(12), "_rb": session_return(2)})
+    moves = materialise(moves.select("asset", "ts", "sno", "sector", "_vol", "_mean", "_rw", "_rb"), "moves")
+    calm, quiet = (materialise(ranked_upto(moves.select("asset", "ts", "_vol"), ["ts"], "_vol", most).select("asset", "ts"), "calm") for most in (0.3, 0.5))
+    low = ranked_upto(moves.select("asset", "ts", "_mean"), ["ts"], "_mean", 0.3)
+    stress = materialise(P.only(found["base"], moves.join(P.sector_medians(moves, "_rw", "_mw").filter("_mw <= -0.003").select("ts", "sector"), ["ts", "sector"], "left_semi")), "stress")
+    fresh, wash = P.only(found["fresh"], calm), P.only(P.sector_washout(moves, 0.004, 2, 12), quiet)
     kinds = {"calm": [wash, fresh, P.only(stress, calm)],
-             "insider": [P.only(b, short_ranks(spark, sf).filter("short_rank <= 0.3")), fresh, P.only(b, calm), stress],
-             "top": [fresh, underwater(spark, sf), late, g35(spark, sf)]}
-    out = None
-    for k, parts in kinds.items():
-        d = H.one_per_gap_bars(parts, bars, 8).select(F.lit(k).alias("kind"), "asset", "ts", "side")
-        out = d if out is None else out.unionByName(d)
-    return out
+             "insider": [P.only(found["base"], low), fresh, P.only(found["base"], calm), stress],
+             "top": [fresh, found["under"], found["late"], found["votes"]]}
+    parts = [d.select(F.lit(k).alias("kind"), "asset", "ts") for k, each in kinds.items() for d in each]
+    return H.one_per_gap_bars_by(reduce(DataFrame.unionByName, parts), bars, 8, ["kind"]).select("kind", "asset", "ts", "side")
 
 
 @query("h8_not_event_day", """select e.asset, e.ts, e.side from e16_w e join own_w o using (asset, ts) where not exists (select 1 from react_w r join own_w q on q.asset = r.asset and q.ts = r.ts
