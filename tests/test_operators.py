@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ranks, temporal
 from tidemark.operators import asset_signals as E
+from tidemark.operators import bars as B
 from tidemark.operators import event_signals as G
 from tidemark.operators import features as C
 from tidemark.operators import fundamentals as J
 from tidemark.operators import learning as O
 from tidemark.operators import metrics as M
+from tidemark.operators import news
 from tidemark.operators import outcomes as L
 from tidemark.operators import pit as D
 from tidemark.operators import research as N
@@ -455,3 +457,29 @@ def test_ideas_of_one_pass_are_those_of_each(spark):
     for k, df in alone.items():
         want = {(r.asset, r.ts) for r in df.collect()}
         assert want and {(r.asset, r.ts) for r in got if r.idea == k} == want, k
+
+
+def test_what_is_known_at_bars_in_one_pass(spark):
+    """Buyers, sums, items since the bar before, releases and the next event: as the operators give them one by one."""
+    rnd = random.Random(12)
+    f = spark.createDataFrame([(rnd.choice([0, 0, 1, 2, 9]), rnd.choice([None, 1, 2, 3]), day(rnd.randint(-9, 300)), rnd.choice("PPS"), float(rnd.randint(1, 99)), rnd.randint(0, 1), rnd.randint(0, 1), rnd.randint(0, 1)) for _ in range(500)],
+                              "asset int, owner int, filed date, code string, value double, n int, pos int, neg int")
+    bars = spark.createDataFrame([(a, day(7 * k), float(k)) for a in range(4) for k in range(40) if k % 9], "asset int, ts date, close double")
+    rel, events = (spark.createDataFrame([(a, day(rnd.randint(-9, 290))) for a in range(4) for _ in range(6)] + [(0, day(14))], "asset int, day date") for _ in range(2))
+    got = {(r.asset, r.ts): r for r in D.known_at_bars(bars, f, rel, events, 90, 30).collect()}
+    grid = bars.select("asset", F.col("ts").alias("filed"))
+    bought, sold = f.filter("code = 'P'"), f.filter("code = 'S'")
+    n = {(r.asset, r.filed): r._n for r in temporal.trailing_distinct(bought, ["asset"], "owner", "filed", 90, grid, "_n").collect()}
+    b, s = ({(r.asset, r.filed): r.v for r in temporal.trailing_sums(df, ["asset"], "filed", k, {"v": "value"}, grid).collect()} for df, k in ((bought, 90), (sold, 30)))
+    laid = {(r.asset, r.ts): (r.n, r.pos, r.neg) for r in news.news_on_sessions(f.groupBy("asset", F.col("filed").alias("day")).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")]), bars, ["n", "pos", "neg"]).collect()}
+    blocked = {(r.asset, r.ts): r.x for r in temporal.flag_session(bars, rel, "x").collect()}
+    ahead = {(r.asset, r.day): r.to for r in B.days_to_next(bars.select("asset", F.col("ts").alias("day")), events.withColumnRenamed("day", "event"), ["asset"], "to").collect()}
+    assert len(got) == bars.count()
+    for k, r in got.items():
+        assert (r._buyers, r._bought, r._sold) == (n[k], b[k], s[k]) and (r.n, r.pos, r.neg) == laid[k] and r.blocked == blocked[k]
+        assert (None if r._next is None else (r._next - r.ts).days) == ahead[k]
+
+
+def test_pool_makes_filings_and_bars_once(spark, catalog, monkeypatch):
+    """The weekly bars come with their lines' counts; no second set is made."""
+    assert joins_of_filings(spark, catalog, "o8_outcome_pool", monkeypatch) == {"filings": 1, "weekly_bars": 0, "sector_panel": 0}
