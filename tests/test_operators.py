@@ -483,3 +483,8 @@ def test_what_is_known_at_bars_in_one_pass(spark):
 def test_pool_makes_filings_and_bars_once(spark, catalog, monkeypatch):
     """The weekly bars come with their lines' counts; no second set is made."""
     assert joins_of_filings(spark, catalog, "o8_outcome_pool", monkeypatch) == {"filings": 1, "weekly_bars": 0, "sector_panel": 0}
+
+
+def test_ranker_makes_filings_and_bars_once(spark, catalog, monkeypatch):
+    """No panel is written and no second pass over the filings made for what the ranker knows of an asset."""
+    assert joins_of_filings(spark, catalog, "o1_ranker_dataset", monkeypatch) == {"filings": 1, "weekly_bars": 0, "sector_panel": 0}
