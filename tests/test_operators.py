@@ -488,3 +488,10 @@ def test_pool_makes_filings_and_bars_once(spark, catalog, monkeypatch):
 def test_ranker_makes_filings_and_bars_once(spark, catalog, monkeypatch):
     """No panel is written and no second pass over the filings made for what the ranker knows of an asset."""
     assert joins_of_filings(spark, catalog, "o1_ranker_dataset", monkeypatch) == {"filings": 1, "weekly_bars": 0, "sector_panel": 0}
+
+
+def test_fits_meet_rows_without_shuffling_them(spark):
+    """Fits are a row per fold: the rows they score are not dealt out by fold."""
+    rows = spark.range(2000).selectExpr("id % 7 as fold", "rand(1) as x", "rand(2) as y")
+    plan = O.linear_scores(rows, O.ridge_fit(rows, ["x"], "y"), ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
